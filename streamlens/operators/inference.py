@@ -36,11 +36,13 @@ def answer_fired(fired: DataFrame, load: Callable[[], Callable[[pd.DataFrame], l
     return fired.mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, load: Callable[[], Callable], column: str, out: str = "embedding", batch_size: int = 256) -> DataFrame:
-    """Batch encoder: ``load()`` returns ``numpy batch -> numpy batch`` and is kept per worker."""
+def embed(df: DataFrame, load: Callable[[], Callable], column: str, size: int, out: str = "embedding",
+          batch_size: int = 256) -> DataFrame:
+    """Batch encoder: ``load()`` returns ``numpy batch -> numpy batch`` and is kept per worker.
+    ``size`` is the length of the input vectors."""
     from pyspark.ml.functions import predict_batch_udf
 
-    encode = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    encode = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[size]])
     return df.withColumn(out, encode(F.col(column)))
 
 
