@@ -147,7 +147,7 @@ def budget(runs: DataFrame, cap_w: float) -> DataFrame:
 
 def event_counts(events: DataFrame, by: list[str], kind: str, kinds: list[str], cap: int) -> DataFrame:
     """Rows of each kind per run, and whether a recorder keeping ``cap`` rows would have truncated."""
-    out = events.groupBy(*by).pivot(kind, kinds).agg(F.count("*"))
+    out = events.groupBy(*by).pivot(kind, kinds).agg(F.count(F.lit(1)))
     out = out.select(*by, *[F.coalesce(F.col(k), F.lit(0)).cast("long").alias(k) for k in kinds])
     total = sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))
     return out.withColumn("truncated", total > cap)

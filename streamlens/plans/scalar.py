@@ -292,9 +292,8 @@ SELECT stream_id, CAST(i AS INTEGER) AS i, ids[least(greatest(i, 0), len(ids) -
 def b24(spark, path):
     from streamlens.sources import annotations
 
-    docs = annotation_docs(spark, path)
-    probe = docs.select(F.col("name").cast("long").alias("stream_id"), "state_ids", F.explode(F.array(*[F.lit(i) for i in (-3, 0, 5, 1000)])).alias("i"))
-    return probe.select("stream_id", "i", scalars.state_at(F.col("state_ids"), F.col("i")).alias("state_id"))
+    d = annotations.state_at(annotation_docs(spark, path), [-3, 0, 5, 1000])
+    return d.withColumn("stream_id", F.col("stream_id").cast("long"))
 
 
 @query("b24_semantic_events", f"""WITH {TR}, m AS (SELECT *, lag(state_id) OVER (PARTITION BY stream_id ORDER BY t_us, event_id) AS ps FROM tr)
@@ -306,16 +305,16 @@ def b24_events(spark, path):
     return e.select(F.col("stream_id").cast("long").alias("stream_id"), rd(F.col("t_start"), "t_start"), "kind")
 
 
-def annotation_docs(spark, path):
-    """One annotation document per stream, made from the trace. A document is one row by format."""
+def annotation_docs(spark, path, part_rows=traces.PART_ROWS):
+    """Annotation documents made from the trace, each of a bounded number of rows."""
     laid = tables.trace(spark, path).lag(_ps="state_id")
     event = F.when(F.col("_ps") != F.col("state_id"), F.struct(
         (F.col("frame_idx") / F.lit(30.0)).alias("t_start"), F.lit("state_change").alias("kind"),
         (F.col("motion") >= 0.1).alias("semantic"), F.col("answer").alias("description")))
-    packed = laid.df.groupBy("stream_id").agg(
+    packed = laid.df.groupBy("stream_id", F.floor(F.col("frame_idx") / part_rows).alias("_part")).agg(
         F.sort_array(F.collect_list(F.struct("frame_idx", "state_id"))).alias("s"),
         F.sort_array(F.collect_list(event)).alias("events"), F.count("*").cast("int").alias("n_frames"))
     return packed.select(
         F.col("stream_id").cast("string").alias("name"), F.lit("none").alias("path"), F.lit(30.0).alias("fps"), "n_frames",
         (F.col("n_frames") / F.lit(30.0)).alias("duration_s"), "events", F.transform("s", lambda x: x["state_id"]).alias("state_ids"),
-        F.lit("test").alias("purpose"), F.lit(1).alias("schema_version"))
+        F.lit("test").alias("purpose"), F.lit(1).alias("schema_version"), F.col("s")[0]["frame_idx"].alias("first_frame"))

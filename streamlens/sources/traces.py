@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
+PART_ROWS = 100_000  # rows of a stream one document may hold
 ARRAYS = ["motion", "novelty", "scene_change", "state_id", "answer"]
 SIGNALS = ("novelty", "novelty_patch", "motion", "scene_change")
 
 
 def from_arrays(docs: DataFrame, columns: list[str] = ARRAYS) -> DataFrame:
-    """One document per stream, one array per column -> rows; an unknown version stops the job."""
+    """Documents with one array per column -> rows; an unknown version stops the job."""
     ok = F.assert_true(F.col("schema_version") == VERSION, F.lit(f"trace version is not {VERSION}"))
-    zipped = F.posexplode(F.arrays_zip(*columns)).alias("frame_idx", "_z")
-    rows = docs.withColumn("_ok", ok).filter("_ok is null").select("stream_id", "fps", zipped)
-    return rows.select("stream_id", "frame_idx", (F.col("frame_idx") / F.col("fps")).alias("t"),
+    first = F.col("first_frame") if "first_frame" in docs.columns else F.lit(0)
+    zipped = F.posexplode(F.arrays_zip(*columns)).alias("_i", "_z")
+    rows = docs.withColumn("_ok", ok).filter("_ok is null").select("stream_id", "fps", first.cast("long").alias("_f"), zipped)
+    idx = F.col("_f") + F.col("_i")
+    return rows.select("stream_id", idx.alias("frame_idx"), (idx / F.col("fps")).alias("t"),
                        *[F.col("_z")[c].alias(c) for c in columns])
 
 
-def to_arrays(rows: DataFrame, fps: float, columns: list[str] = ARRAYS) -> DataFrame:
-    """Rows -> one document per stream. For streams of bounded length: a document is one row."""
+def to_arrays(rows: DataFrame, fps: float, columns: list[str] = ARRAYS, part_rows: int = PART_ROWS) -> DataFrame:
+    """Rows -> documents of at most ``part_rows`` rows; a long stream becomes several, in order."""
+    part = F.floor(F.col("frame_idx") / part_rows)
     ordered = F.sort_array(F.collect_list(F.struct("frame_idx", *columns)))
-    packed = rows.groupBy("stream_id").agg(ordered.alias("_r"))
+    packed = rows.groupBy("stream_id", part.alias("_part")).agg(ordered.alias("_r"))
     return packed.select(
-        "stream_id", F.lit(float(fps)).alias("fps"), F.lit(VERSION).alias("schema_version"),
-        *[F.transform("_r", lambda x, c=c: x[c]).alias(c) for c in columns])
+        "stream_id", F.col("_r")[0]["frame_idx"].alias("first_frame"), F.lit(float(fps)).alias("fps"),
+        F.lit(VERSION).alias("schema_version"), *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
 def save(rows: DataFrame, path: str, by_stream: bool = False) -> None:

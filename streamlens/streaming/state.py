@@ -49,23 +49,29 @@ class FoldProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.event_ms:
-            yield from self._step(key, pd.concat(list(rows), ignore_index=True))
+            pdf = pd.concat(list(rows), ignore_index=True)
+            pdf.columns = self.in_schema.names
+            yield from self._step(key, pdf)
             return
-        due: set[int] = set()
+        first = None  # one timer per key at a time: the earliest waiting row
         for pdf in rows:
+            pdf.columns = self.in_schema.names  # computed columns reach the worker by position
             self.waiting.appendList([tuple(r) for r in pdf.itertuples(index=False, name=None)])
-            due.update(int(x) for x in pdf[self.event_ms].unique())
-        for ms in due:
-            self.handle.registerTimer(ms)
+            low = int(pdf[self.event_ms].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.waiting.exists():
             return
         rows = pd.DataFrame(list(self.waiting.get()), columns=self.in_schema.names)
-        ready = rows[self.event_ms] <= expiredTimerInfo.getExpiryTimeInMs()
+        ready = rows[self.event_ms] <= timerValues.getCurrentWatermarkInMs()
         rest = rows[~ready]
         if len(rest):
             self.waiting.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
+            self.handle.registerTimer(int(rest[self.event_ms].min()))
         else:
             self.waiting.clear()
         yield from self._step(key, rows[ready])
@@ -101,17 +107,22 @@ class AsOfProcessor(StatefulProcessor):
         self.evidence = handle.getListState("evidence", "t double, frame_idx long, answer string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.side == 1:
-                    self.queries.appendValue((r.query_id, float(r.t), int(r.ms)))
-                    self.handle.registerTimer(int(r.ms))
-                else:
-                    self.evidence.appendValue((float(r.t), int(r.frame_idx), r.answer))
+            pdf.columns = [*self.keys, "ts", "t", "side", "query_id", "frame_idx", "answer", "ms"]
+            q, e = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
+            if len(q):
+                self.queries.appendList([(x, float(t), int(ms)) for x, t, ms in zip(q["query_id"], q["t"], q["ms"])])
+                low = int(q["ms"].min())
+                first = low if first is None else min(first, low)
+            if len(e):
+                self.evidence.appendList([(float(t), int(f), a) for t, f, a in zip(e["t"], e["frame_idx"], e["answer"])])
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        at = timerValues.getCurrentWatermarkInMs()
         queries = list(self.queries.get()) if self.queries.exists() else []
         ready, rest = [q for q in queries if q[2] <= at], [q for q in queries if q[2] > at]
         if not ready:
@@ -124,10 +135,10 @@ class AsOfProcessor(StatefulProcessor):
             out.append((*key, qid, t, e[0], e[1], e[2]))
         if rest:
             self.queries.put(rest)
+            self.handle.registerTimer(min(q[2] for q in rest))
         else:
             self.queries.clear()
-        # Timers fire in time order and every evidence row up to the watermark is here, so of the
-        # evidence not after this instant only the latest can still be needed.
+        # Every evidence row up to the watermark is here, so of those only the latest can still be needed.
         old = [e for e in evidence if e[0] * 1000.0 <= at]
         keep = old[-1:] + [e for e in evidence if e[0] * 1000.0 > at]
         if keep:
