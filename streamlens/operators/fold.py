@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,5 +190,9 @@ def fold(laid: Laid, kernel: Kernel) -> DataFrame:
     if not laid.split:
         return _run(rows, keys, order, kernel, "rows")
     large = rows.filter(F.col(CHUNK) >= 0)
-    entries = entry_states(large, keys, order, kernel)
+    large = large.persist(StorageLevel.DISK_ONLY)  # read once per round; rebuilt if an executor goes
+    try:
+        entries = entry_states(large, keys, order, kernel)
+    finally:
+        large.unpersist()
     return _run(_with_entries(rows, entries), [*keys, CHUNK], order, kernel, "rows")

@@ -96,7 +96,7 @@ SELECT CASE WHEN b.v IS NULL THEN 'inconclusive' WHEN s.a >= 10 THEN 'keep' ELSE
  {r('y.thr', 'best_any_threshold')}, {r('y.a', 'best_any_avoided_pct')} FROM y LEFT JOIN b ON true LEFT JOIN s ON true""")
 def e6_rule(spark, path):
     e = tables.events(spark, path)
-    hour = F.hour(F.timestamp_micros("t_us"))
+    hour = F.floor(F.col("t_us") / 3_600_000_000) % 24
     t = e.groupBy(F.when(hour > 0, hour / 24.0).alias("cache_threshold")).agg(
         (F.avg("value") / 500).alias("validity_mean"), (F.max("value") / 10).alias("calls_avoided_pct_mean"), F.count("*").cast("double").alias("calls_per_min_mean"))
     v = cache.verdict(t)

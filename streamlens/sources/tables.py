@@ -15,7 +15,8 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 def events(spark: SparkSession, path: str) -> DataFrame:
     """One stream per user; ``t`` in seconds, ``t_us`` the same instant in whole microseconds."""
     e = table(spark, path, "events")
-    t_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # ``ts`` is a wall clock without a zone: read it as UTC whatever zone the session is in.
+    t_us = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     return e.select(
         F.col("user_id").alias("stream_id"), "event_id", t_us.alias("t_us"),
         (t_us / F.lit(1e6)).alias("t"), "event_type", "value",

@@ -75,10 +75,17 @@ def main(argv):
         i = argv.index("--sf")
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2 :]
+    chunk = None
+    if "--chunk" in argv:  # cut every stream into chunks of about this many rows
+        i = argv.index("--chunk")
+        chunk = argv[i + 1]
+        argv = argv[:i] + argv[i + 2 :]
     import __spark_entry__ as entry
 
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
+    if chunk:
+        spark.conf.set("spark.streamlens.chunkRows", chunk)
     path = f"/root/testdata/sf{sf}"
     con = connect(path)
     q, o = entry.queries(), entry.oracle_sql()
