@@ -18,14 +18,13 @@ def normalise(text: Column) -> Column:
     return F.concat_ws(" ", words(text))
 
 
-def content_words(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words(text), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+def keep_content(words_col: Column) -> Column:
+    """Drop stop words (a hashed set, not a list searched per word) and words of one or two letters."""
+    return F.filter(words_col, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
-def bag(words_col: Column) -> Column:
-    """Sorted words: counting an entry is then linear in the distinct words."""
-    return F.array_sort(words_col)
+def content_words(text: Column) -> Column:
+    return keep_content(words(text))
 
 
 def _count(ws: Column, w: Column) -> Column:
@@ -33,35 +32,24 @@ def _count(ws: Column, w: Column) -> Column:
 
 
 def bag_f1(a: Column, b: Column) -> Column:
-    """F1 of two word bags: 1 when both are empty, 0 when one is."""
-    overlap = F.aggregate(
-        F.array_intersect(a, b),
-        F.lit(0).cast("int"),
-        lambda s, w: s + F.least(_count(a, w), _count(b, w)),
-    )
+    """F1 of two word bags: 1 when both are empty, 0 when one is. Pass columns, not expressions: each
+    side is read several times."""
     na, nb = F.size(a), F.size(b)
-    p, r = overlap / na, overlap / nb
-    return (
-        F.when((na == 0) & (nb == 0), F.lit(1.0))
-        .when((na == 0) | (nb == 0) | (overlap == 0), F.lit(0.0))
-        .otherwise(2 * p * r / (p + r))
-    )
 
+    def f1(both: Column) -> Column:
+        p, r = both / na, both / nb
+        return (
+            F.when((na == 0) & (nb == 0), F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)))
 
-def content_f1(a: Column, b: Column) -> Column:
-    return bag_f1(content_words(a), content_words(b))
+    return F.aggregate(
+        F.array_intersect(a, b), F.lit(0).cast("int"), lambda s, w: s + F.least(_count(a, w), _count(b, w)), f1)
 
 
-def top_word_share(text: Column) -> Column:
-    ws = words(text)
-    top = F.array_max(F.transform(F.array_distinct(ws), lambda w: _count(ws, w)))
-    return F.when(F.size(ws) > 0, top / F.size(ws))
-
-
-def is_degenerate(text: Column, min_words: int = 3, repeat_ratio: float = 0.5) -> Column:
-    return F.when(F.size(words(text)) < min_words, F.lit(True)).otherwise(
-        F.coalesce(top_word_share(text) > repeat_ratio, F.lit(False))
-    )
+def is_degenerate(words_col: Column, min_words: int = 3, repeat_ratio: float = 0.5) -> Column:
+    """Fewer than ``min_words`` words, or one word making up more than ``repeat_ratio`` of them."""
+    top = F.array_max(F.transform(F.array_distinct(words_col), lambda w: _count(words_col, w)))
+    return F.when(F.size(words_col) < min_words, F.lit(True)).otherwise(
+        F.coalesce(top / F.size(words_col) > repeat_ratio, F.lit(False)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -76,11 +64,17 @@ def similarity(a: Column, b: Column) -> Column:
     return ratio(normalise(a), normalise(b))
 
 
+# The patterns of a chosen option and the request that ends a question.
+LEADING_OPTION = r"^[^A-Za-z]*([ABCD])\b"
+ANY_OPTION = r"\b([ABCD])\b"
+LETTER_REQUEST = "Answer with the single letter of the correct option (A, B, C or D) and nothing else."
+
+
 def option_letter(text: Column) -> Column:
     """First standalone A-D; a letter opening the text wins."""
     head = F.trim(text)
-    lead = F.regexp_extract(head, r"^[^A-Za-z]*([ABCD])\b", 1)
-    any_ = F.regexp_extract(head, r"\b([ABCD])\b", 1)
+    lead = F.regexp_extract(head, LEADING_OPTION, 1)
+    any_ = F.regexp_extract(head, ANY_OPTION, 1)
     return F.coalesce(F.nullif(lead, F.lit("")), F.nullif(any_, F.lit("")))
 
 
@@ -97,5 +91,5 @@ def choice_prompt(question: Column, options: Column) -> Column:
         "\n",
         question,
         F.concat_ws("\n", options),
-        F.lit("Answer with the single letter of the correct option (A, B, C or D) and nothing else."),
+        F.lit(LETTER_REQUEST),
     )

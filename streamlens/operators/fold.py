@@ -2,7 +2,7 @@
 
 A kernel is ``step(state, block) -> (state, rows)``. The same kernel serves three callers:
 
-* the Arrow batches of one stream (rows arrive sorted, memory stays at one batch),
+* the Arrow batches of sorted partitions (many short streams or part of a long one, one batch in memory),
 * the chunks of a stream too large for one task,
 * the micro-batches of a streaming query (``streamlens.streaming``).
 
@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -67,69 +68,108 @@ class Kernel:
         return a == b
 
 
-def _grouped(df: DataFrame, keys: list[str], sort: list[str]):
-    """Group whose rows arrive in order: one exchange, and the sort also satisfies the grouping."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *sort).groupBy(*keys)
-
-
 def _key_fields(df: DataFrame, keys) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def _with_keys(key: tuple, names: list[str], out: pd.DataFrame) -> pd.DataFrame:
-    out = out.reset_index(drop=True)
-    for i, n in enumerate(names):
-        out.insert(i, n, [key[i]] * len(out))
+def _in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Whole groups per partition, each group's rows together and sorted.
+
+    Input already laid out this way (by a window on the same keys) is not shuffled or sorted again.
+    """
+    sort = ["_first", *order] if ENTRY in df.columns else list(order)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *sort)
+
+
+def _take_entry(pdf: pd.DataFrame) -> tuple[dict | None, pd.DataFrame]:
+    """Split off the entry state that heads a chunk's rows, if this block holds it."""
+    if ENTRY not in pdf.columns:
+        return None, pdf
+    mine = pdf[ENTRY].notna().to_numpy()
+    if not mine.any():
+        return None, pdf
+    return json.loads(pdf.loc[mine, ENTRY].iloc[0]), pdf[~mine].reset_index(drop=True)
+
+
+def _segments(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Stretches of equal key in a sorted block."""
+    new = np.zeros(len(pdf), bool)
+    cols = [pdf[k] for k in keys]
+    for c in cols:
+        v, gone = c.to_numpy(), c.isna().to_numpy()
+        new[1:] |= (v[1:] != v[:-1]) & ~(gone[1:] & gone[:-1])
+    edges = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        if hi > lo:
+            key = tuple(None if pd.isna(c.iloc[lo]) else c.iloc[lo] for c in cols)
+            yield key, pdf.iloc[lo:hi].reset_index(drop=True)
+
+
+def _join_up(parts: list[tuple[tuple, pd.DataFrame]], at: list[int], names: list[str]) -> pd.DataFrame:
+    """One frame from the rows of several groups, with their keys in front."""
+    out = pd.concat([p for _, p in parts], ignore_index=True)
+    sizes = [len(p) for _, p in parts]
+    for i, n in zip(at, names):
+        values = [k[i] for k, _ in parts]
+        plain = all(isinstance(x, (int, np.integer)) for x in values)
+        out.insert(i, n, np.repeat(np.array(values, dtype=np.int64 if plain else object), sizes))
     return out
 
 
-def _run(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, produce: str) -> DataFrame:
-    """Apply ``kernel`` per group; ``produce`` is 'rows', 'exit' or 'probe'."""
-    has_entry = ENTRY in df.columns
-    names = [k for k in keys if not (produce == "rows" and k == CHUNK)]
+def _run_rows(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel) -> DataFrame:
+    """Produce the kernel's rows. Batches hold many short streams or a part of a long one."""
+    names = [k for k in keys if k != CHUNK]
+    at = [keys.index(n) for n in names]
 
-    def blocks_of(batches, head):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
         for pdf in batches:
-            if has_entry:
-                mine = pdf[ENTRY].notna()
-                if mine.any():
-                    head.append(json.loads(pdf.loc[mine, ENTRY].iloc[0]))
-                    pdf = pdf[~mine]
-            if len(pdf):
-                yield pdf.reset_index(drop=True)
-
-    def fold_rows(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head: list[dict] = []
-        state = None
-        for block in blocks_of(batches, head):
-            if state is None:
-                state = head[0] if head else kernel.start()
-            state, out = kernel.step(state, block)
-            if produce == "rows" and out is not None and len(out):
-                yield _with_keys(key, names, out)
-        if state is None:
-            state = head[0] if head else kernel.start()
-        if produce == "rows":
+            parts: list[tuple[tuple, pd.DataFrame]] = []
+
+            def add(k, out, parts=parts):
+                if out is not None and len(out):
+                    parts.append((k, out))
+
+            for k, block in _segments(pdf, keys):
+                if state is None or k != key:
+                    if state is not None:
+                        add(key, kernel.finish(state))
+                    key, state = k, kernel.start()
+                entry, block = _take_entry(block)
+                state = entry if entry is not None else state
+                if len(block):
+                    state, out = kernel.step(state, block)
+                    add(k, out)
+            if parts:
+                yield _join_up(parts, at, names)
+        if state is not None:
             out = kernel.finish(state)
             if out is not None and len(out):
-                yield _with_keys(key, names, out)
-        else:
-            exit_state = json.dumps(kernel.chunk_entry(state))
-            yield _with_keys(key, names, pd.DataFrame({"_state": [exit_state]}))
+                yield _join_up([(key, out)], at, names)
+
+    schema = T.StructType(_key_fields(df, names) + list(T._parse_datatype_string(kernel.schema).fields))
+    return _in_order(df, keys, order).mapInPandas(run, schema)
 
-    def probe_rows(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        summary = kernel.probe(blocks_of(batches, []))
-        yield _with_keys(key, names, pd.DataFrame({"_state": [json.dumps(summary)]}))
 
-    out_fields = (
-        T._parse_datatype_string(kernel.schema).fields
-        if produce == "rows"
-        else [T.StructField("_state", T.StringType())]
-    )
-    schema = T.StructType(_key_fields(df, names) + list(out_fields))
-    sort = ["_first", *order] if has_entry else list(order)
-    fn = probe_rows if produce == "probe" else fold_rows
-    return _grouped(df, keys, sort).applyInPandas(fn, schema)
+def _run_states(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, cold: bool) -> DataFrame:
+    """One row per chunk: its probe (``cold``) or the state it ends in when begun from its entry."""
+    schema = T.StructType([*_key_fields(df, keys), T.StructField("_state", T.StringType())])
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = (b.reset_index(drop=True) for b in batches)
+        if cold:
+            result = kernel.probe(blocks)
+        else:
+            state = kernel.start()
+            for block in blocks:
+                entry, block = _take_entry(block)
+                state = entry if entry is not None else state
+                if len(block):
+                    state, _ = kernel.step(state, block)
+            result = kernel.chunk_entry(state)
+        yield pd.DataFrame([[*key, json.dumps(result)]], columns=[*keys, "_state"])
+
+    return _in_order(df, keys, order).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _with_entries(df: DataFrame, entries: DataFrame) -> DataFrame:
@@ -142,7 +182,7 @@ def _with_entries(df: DataFrame, entries: DataFrame) -> DataFrame:
 def entry_states(rows: DataFrame, keys: list[str], order: list[str], kernel: Kernel) -> DataFrame:
     """State in which every chunk of the split streams starts: ``keys, _chunk, _state``."""
     parts = [*keys, CHUNK]
-    probes = _run(rows, parts, order, kernel, "probe")
+    probes = _run_states(rows, parts, order, kernel, cold=True)
     schema = probes.schema
 
     def compose(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,8 +202,8 @@ def entry_states(rows: DataFrame, keys: list[str], order: list[str], kernel: Ker
     todo = rows  # every chunk once with its first entry, then only those that changed
     exits = None
     while True:
-        fresh = _run(_with_entries(todo, entries.join(todo.select(*parts).distinct(), parts, "left_semi")),
-                     parts, order, kernel, "exit")
+        begin = entries if exits is None else entries.join(moved, parts, "left_semi")
+        fresh = _run_states(_with_entries(todo, begin), parts, order, kernel, cold=False)
         if exits is not None:
             fresh = fresh.unionByName(exits.join(fresh.select(*parts), parts, "left_anti"))
         exits = cut_lineage(fresh)
@@ -188,11 +228,11 @@ def fold(laid: Laid, kernel: Kernel) -> DataFrame:
     wanted = list(dict.fromkeys([*laid.parts, *order, *kernel.columns]))
     rows = laid.df.select(*wanted)
     if not laid.split:
-        return _run(rows, keys, order, kernel, "rows")
+        return _run_rows(rows, keys, order, kernel)
     large = rows.filter(F.col(CHUNK) >= 0)
     large = large.persist(StorageLevel.DISK_ONLY)  # read once per round; rebuilt if an executor goes
     try:
         entries = entry_states(large, keys, order, kernel)
     finally:
         large.unpersist()
-    return _run(_with_entries(rows, entries), [*keys, CHUNK], order, kernel, "rows")
+    return _run_rows(_with_entries(rows, entries), [*keys, CHUNK], order, kernel)

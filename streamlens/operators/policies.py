@@ -266,16 +266,26 @@ class AdaptiveQuantile(Policy):
         return self.q
 
     def scan(self, block, carry):
-        t, v = block["t"], block["novelty"]
-        ht, hv = carry.get("h", [[], []])
-        all_t, all_v = np.concatenate([np.array(ht, float), t]), np.concatenate([np.array(hv, float), v])
-        thr = self._thresholds(all_t, all_v)[len(ht):]
-        ok = (v >= self.min_novelty) & (v >= thr)  # NaN threshold (too few samples) compares false
-        picks, t_last = _pick_with_gap(t, ok, self.min_gap_s, carry.get("t"), True)
+        ok = self.allowed_after(block, carry)
+        picks, t_last = _pick_with_gap(block["t"], ok, self.min_gap_s, carry.get("t"), True)
         picks = np.array(picks, dtype=np.int64)
-        keep = all_t >= (all_t[-1] - self.window_s) if len(all_t) else slice(0)
-        hist = [all_t[keep].tolist(), all_v[keep].tolist()]
-        return picks, v[picks], {"t": t_last, "h": hist}
+        return picks, block["novelty"][picks], {"t": t_last, "h": self.history(block, carry)}
+
+    def _with_history(self, block, carry):
+        ht, hv = carry.get("h", [[], []])
+        return np.concatenate([np.array(ht, float), block["t"]]), np.concatenate([np.array(hv, float), block["novelty"]]), len(ht)
+
+    def allowed_after(self, block, carry) -> np.ndarray:
+        t, v, skip = self._with_history(block, carry)
+        thr = self._thresholds(t, v)[skip:]
+        new = block["novelty"]
+        return (new >= self.min_novelty) & (new >= thr)  # NaN threshold (too few samples) compares false
+
+    def history(self, block, carry) -> list[list[float]]:
+        """The rows a later row's window can still reach."""
+        t, v, _ = self._with_history(block, carry)
+        keep = t >= (t[-1] - self.window_s) if len(t) else slice(0)
+        return [t[keep].tolist(), v[keep].tolist()]
 
     def _thresholds(self, t: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Quantile over [t - window, t] and up to the row itself, NaN below ``min_samples``."""
@@ -349,6 +359,88 @@ def dense_grid(kind: str) -> list[float]:
     return linspace(0.0005, 0.05, 40, 5) + linspace(0.055, 0.20, 15, 5)
 
 
+class Bank:
+    """Many policies advanced together: one step per row over a vector with an entry per policy.
+
+    A sweep has tens to hundreds of settings and often short streams, where scanning policy by policy
+    spends its time on call overhead. Kinds the bank does not know are scanned on their own.
+    """
+
+    def __init__(self, policies: list[Policy]) -> None:
+        kinds = [type(p) for p in policies]
+        self.policies = policies
+        self.gap = [i for i, k in enumerate(kinds) if k in (FixedInterval, SignalThreshold, AdaptiveQuantile)]
+        self.gain = [i for i, k in enumerate(kinds) if k is InformationGain]
+        self.logit = [i for i, k in enumerate(kinds) if k is Learned]
+        self.other = [i for i in range(len(policies)) if i not in {*self.gap, *self.gain, *self.logit}]
+
+    def fire(self, block: dict[str, np.ndarray], carries: list[dict]) -> tuple[np.ndarray, list[dict]]:
+        """(rows x policies) matrix of fired rows, and the carries after the block."""
+        n, t, v = len(block["t"]), block["t"], block["novelty"]
+        fired = np.zeros((n, len(self.policies)), bool)
+        after = list(carries)
+        for i in self.other:
+            picks, _, after[i] = self.policies[i].scan(block, carries[i])
+            fired[picks, i] = True
+        for cols, step in ((self.gap, self._gap_step), (self.gain, self._gain_step), (self.logit, self._logit_step)):
+            if not cols or n == 0:
+                continue
+            ps = [self.policies[i] for i in cols]
+            last = np.array([carries[i].get("t", np.nan) if carries[i].get("t") is not None else np.nan for i in cols])
+            held = np.array([carries[i].get("v", 0.0) for i in cols])
+            rule = step(ps, block, [carries[i] for i in cols])
+            out = np.zeros((n, len(cols)), bool)
+            fresh = np.isnan(last)
+            first = 0
+            if fresh.any():  # a policy that never fired takes the first row it sees
+                out[0] = fresh
+                if not fresh.all():
+                    out[0] |= ~fresh & rule(0, t[0] - last, held)
+                first = 1
+                last, held = np.where(out[0], t[0], last), np.where(out[0], v[0], held)
+            for k in range(first, n):
+                go = rule(k, t[k] - last, held)
+                if go.any():
+                    out[k] = go
+                    last[go] = t[k]
+                    held[go] = v[k]
+            fired[:, cols] = out
+            for j, i in enumerate(cols):
+                after[i] = {**after[i], "t": float(last[j])}
+                if cols is not self.gap:
+                    after[i]["v"] = float(held[j])
+        for i in self.gap:
+            if isinstance(self.policies[i], AdaptiveQuantile) and n:
+                after[i]["h"] = self.policies[i].history(block, carries[i])
+        return fired, after
+
+    @staticmethod
+    def _gap_step(ps, block, carries):
+        ok = np.stack([p.allowed_after(block, c) if isinstance(p, AdaptiveQuantile) else p.allowed(block) for p, c in zip(ps, carries)], axis=1)
+        gap = np.array([p.min_gap_s if isinstance(p, AdaptiveQuantile) else p.gap for p in ps])
+        return lambda k, age, held: ok[k] & (age >= gap)
+
+    @staticmethod
+    def _gain_step(ps, block, carries):
+        gap, thr, half = (np.array([getattr(p, a) for p in ps]) for a in ("min_gap_s", "threshold", "half_life_s"))
+        v = block["novelty"]
+        return lambda k, age, held: (age >= gap) & (
+            np.maximum(0.0, v[k] - held) * (0.5 + 0.5 * (1.0 - np.power(0.5, age / half))) >= thr)
+
+    @staticmethod
+    def _logit_step(ps, block, carries):
+        gap, thr = (np.array([getattr(p, a) for p in ps]) for a in ("min_gap_s", "threshold"))
+        w = np.array([p.weights for p in ps]).T
+        bias = np.array([p.bias for p in ps])
+        v, c, m = block["novelty"], block["scene_change"], block["motion"]
+
+        def rule(k, age, held):
+            z = w[0] * v[k] + w[1] * c[k] + w[2] * m[k] + w[3] * (np.minimum(age, 30.0) / 10.0) + w[4] * np.maximum(0.0, v[k] - held) + bias
+            return (age >= gap) & (1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) >= thr)
+
+        return rule
+
+
 @dataclass
 class Trigger(Kernel):
     """Runs a list of policies over a stream; emits one row per (policy, fired row)."""
@@ -403,10 +495,10 @@ class Trigger(Kernel):
         maps = []
         for i, p in enumerate(self.policies):
             maps.append(_gap_map(p, parts[i]) if p.gap_only else None)
-        return {"cold": cold["p"], "map": maps}
+        return {"cold": cold["p"], "map": maps, "exit": self.chunk_entry(cold)}
 
     def compose(self, probes):
-        entries = [self.start()]
+        entries = [{"p": [{} for _ in self.policies]}]
         for pr in probes[:-1]:
             prev = entries[-1]["p"]
             nxt = []

@@ -17,9 +17,8 @@ def paired(first: DataFrame, second: DataFrame, keys: list[str], order: str) ->
 
 def prepared(pairs: DataFrame) -> DataFrame:
     """Tokenise each side once; every measure below reads these columns."""
-    return pairs.select(
-        "*", text.words(F.col("a")).alias("_wa"), text.words(F.col("b")).alias("_wb"),
-        text.content_words(F.col("a")).alias("_ca"), text.content_words(F.col("b")).alias("_cb"))
+    w = pairs.select("*", text.words(F.col("a")).alias("_wa"), text.words(F.col("b")).alias("_wb"))
+    return w.select("*", text.keep_content(F.col("_wa")).alias("_ca"), text.keep_content(F.col("_wb")).alias("_cb"))
 
 
 def fidelity(pairs: DataFrame, by: list[str], with_similarity: bool = True) -> DataFrame:
@@ -30,7 +29,7 @@ def fidelity(pairs: DataFrame, by: list[str], with_similarity: bool = True) -> D
         F.count("*").alias("n"), *([sim.alias("similarity_mean")] if with_similarity else []),
         F.avg(text.bag_f1(F.col("_ca"), F.col("_cb"))).alias("content_f1_mean"),
         F.avg((F.col("_wa") == F.col("_wb")).cast("double")).alias("exact_match_rate"),
-        F.avg(text.is_degenerate(F.col("a")).cast("double")).alias("degenerate_rate"),
+        F.avg(text.is_degenerate(F.col("_wa")).cast("double")).alias("degenerate_rate"),
         F.avg(F.size("_wa").cast("double")).alias("mean_words"))
 
 

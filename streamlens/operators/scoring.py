@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlens.functions.text import content_f1
+from streamlens.functions.text import bag_f1, content_words
 from streamlens.operators import signals
 from streamlens.operators.asof import coverage
 from streamlens.operators.layout import Laid
@@ -20,9 +20,9 @@ def mark_fired(trace: Laid, decisions: DataFrame) -> Laid:
     return trace.with_df(df.withColumn("fired", F.coalesce("_hit", F.lit(False))).drop("_hit"))
 
 
-def with_held(trace: Laid, fps: float) -> Laid:
-    """Held frame, state and answer of every row, with validity and staleness."""
-    held = signals.held_answer(trace, F.col("fired"), ["frame_idx", "state_id", "answer"])
+def with_held(trace: Laid, fps: float, carry: tuple[str, ...] = ()) -> Laid:
+    """Held frame and state of every row, with validity and staleness; ``carry`` names more columns."""
+    held = signals.held_answer(trace, F.col("fired"), ["frame_idx", "state_id", *carry])
     return held.transform(
         lambda d: d.withColumns({
             "valid": F.coalesce(F.col("held_state_id") == F.col("state_id"), F.lit(False)),
@@ -34,10 +34,12 @@ def with_held(trace: Laid, fps: float) -> Laid:
 def score(trace: Laid, fps: float = 30.0, warmup: int = 15, with_text: bool = True) -> DataFrame:
     """Score per stream of a trace whose rows carry ``fired``."""
     keys = list(trace.keys)
-    held = with_held(trace, fps)
+    if with_text:  # words are found once per row and carried along, not found again per pair
+        trace = trace.transform(lambda d: d.withColumn("_w", content_words(F.col("answer"))))
+    held = with_held(trace, fps, ("_w",) if with_text else ())
     graded = F.col("frame_idx") >= warmup
-    f1 = F.when(F.col("held_answer").isNull(), F.lit(0.0)).otherwise(
-        content_f1(F.col("held_answer"), F.col("answer"))) if with_text else F.lit(None).cast("double")
+    f1 = F.when(F.col("held__w").isNull(), F.lit(0.0)).otherwise(
+        bag_f1(F.col("held__w"), F.col("_w"))) if with_text else F.lit(None).cast("double")
     rows = held.df.withColumn("_s", F.when(graded, F.col("staleness_ms")))
     base = rows.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count_if("fired").alias("n_calls"),
@@ -111,10 +113,11 @@ def versus(rows: DataFrame, base: Column, on: list[str], ratio: dict[str, str],
 
 def agreement_ceiling(trace: Laid) -> DataFrame:
     """Mean F1 of neighbouring answers given in the same state: what serving noise alone costs."""
-    laid = trace.lag(_pa="answer", _ps="state_id")
+    trace = trace.transform(lambda d: d.withColumn("_w", content_words(F.col("answer"))))
+    laid = trace.lag(_pw="_w", _ps="state_id")
     pairs = laid.df.filter(F.col("_ps") == F.col("state_id"))
     return pairs.groupBy(*trace.keys).agg(
-        F.avg(content_f1(F.col("_pa"), F.col("answer"))).alias("ceiling"), F.count("*").alias("n_pairs"))
+        F.avg(bag_f1(F.col("_pw"), F.col("_w"))).alias("ceiling"), F.count("*").alias("n_pairs"))
 
 
 def attribute(trace: Laid, fps: float, warmup: int) -> Laid:

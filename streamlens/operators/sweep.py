@@ -9,18 +9,16 @@ those leftovers are one small array per chunk.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamlens.functions.words import pair_f1
 from streamlens.operators.fold import fold
 from streamlens.operators.layout import CHUNK, Laid
-from streamlens.operators.policies import SIGNALS, Policy, Trigger
-
+from streamlens.operators.policies import SIGNALS, Bank, Policy, Trigger
 
 
 def _bag_f1(cache: dict, a: str, b: str) -> float:
@@ -42,19 +40,21 @@ class SweepScore(Trigger):
     fps: float = 30.0
     warmup: int = 15
     with_text: bool = False
+    leftovers: bool = False  # also report what later chunks of a split stream have to settle
 
     def __post_init__(self):
         super().__post_init__()
         self.columns = ["frame_idx", "t", *SIGNALS, "state_id"] + (["answer"] if self.with_text else [])
         self.schema = (
             "pid int, " + ", ".join(f"{c} double" for c in SUMS)
-            + ", waiting array<struct<state:long,n:double,total:double>>"
-            + ", first_call array<struct<state:long,frame:double>>"
+            + (", waiting array<struct<state:long,n:double,total:double>>, first_call array<struct<state:long,frame:double>>"
+               if self.leftovers else "")
         )
         # Held answer and previous state travel with the time of the last call, so the short
         # time-only map of the plain trigger does not describe the whole carry.
         self.exact_compose = False
         self._f1 = {}
+        self._bank = Bank(self.policies)
 
     def start(self):
         return {"p": [{} for _ in self.policies], "held": [None] * len(self.policies), "prev": None, "acc": None}
@@ -62,123 +62,110 @@ class SweepScore(Trigger):
     def chunk_entry(self, state):
         return {"p": state["p"], "held": state["held"], "prev": state["prev"], "acc": None}
 
-    def probe(self, blocks):
-        state = self.start()
-        last_fire: list[Any] = [None] * len(self.policies)
-
-        def watched():
-            nonlocal state
-            for pdf in blocks:
-                state, _ = self.step(state, pdf)
-                yield pdf
-
-        base = super().probe(watched())
-        return {**base, "exit": self.chunk_entry(state), "last": last_fire}
-
     def compose(self, probes):
-        entries = super().compose([{"cold": p["cold"], "map": p["map"]} for p in probes])
         out = [self.start()]
-        for entry, before in zip(entries[1:], probes[:-1]):
+        for entry, before in zip(super().compose(probes)[1:], probes[:-1]):
             out.append({"p": entry["p"], "held": before["exit"]["held"], "prev": before["exit"]["prev"], "acc": None})
         return out
 
     def step(self, state, pdf):
         block = self.block(pdf)
         frame, st = block["frame_idx"], pdf["state_id"].to_numpy(dtype=np.int64)
-        answers = pdf["answer"].to_numpy() if self.with_text else None
-        n = len(frame)
+        n, size = len(frame), len(self.policies)
+        fired, carries = self._bank.fire(block, state["p"])
+        none = np.iinfo(np.int64).min
+        held = state["held"]
+        h0_state = np.array([none if h is None else h[1] for h in held], dtype=np.int64)
+        h0_frame = np.array([0 if h is None else h[0] for h in held], dtype=np.int64)
+        pos = np.where(fired, np.arange(n)[:, None], -1)
+        np.maximum.accumulate(pos, axis=0, out=pos)
+        here = pos >= 0
+        h_state = np.where(here, st[pos], h0_state)
+        graded = (frame >= self.warmup)[:, None]
+        known = (h_state != none) & graded
+        now = st[:, None]
+        before = np.vstack([h0_state[None, :], h_state[:-1]])  # state of the call before the row
+        labelled = fired & (before != none)
+        lag = np.where(known, frame[:, None] - np.where(here, frame[pos], h0_frame), 0)
+
+        acc = state["acc"] or {"sum": [[0.0] * size for _ in SUMS], "wait": {}, "first": {}}
+        sums = {
+            "n_rows": np.full(size, n), "n_scored": np.full(size, graded.sum()), "n_valid": (known & (h_state == now)).sum(0),
+            "f1_sum": self._text_sum(pdf["answer"].to_numpy(), pos, held, known) if self.with_text else np.zeros(size),
+            "n_calls": fired.sum(0), "n_false": (labelled & (before == now)).sum(0), "n_justified": (labelled & (before != now)).sum(0),
+            "stale_n": known.sum(0), "stale_sum": lag.sum(0) * (1000.0 / self.fps),
+        }
         prev = np.concatenate([[st[0] if state["prev"] is None else state["prev"]], st[:-1]])
-        moved = np.flatnonzero(st != prev)
-        graded = frame >= self.warmup
-        acc = state["acc"] or [{"sum": [0.0] * len(SUMS), "wait": {}, "first": {}} for _ in self.policies]
-        carries, helds = [], []
-        for i, p in enumerate(self.policies):
-            picks, _, carry = p.scan(block, state["p"][i])
-            held = state["held"][i]  # [frame, state, answer] or None
-            a = acc[i]
-            pos = np.full(n, -1, dtype=np.int64)
-            pos[picks] = picks
-            pos = np.maximum.accumulate(pos)
-            h_state = np.where(pos >= 0, st[pos], held[1] if held else np.iinfo(np.int64).min)
-            h_frame = np.where(pos >= 0, frame[pos], held[0] if held else 0)
-            has = (pos >= 0) | (held is not None)
-            valid = has & (h_state == st) & graded
-            stale_ok = has & graded
-            stale = (frame - h_frame) / self.fps * 1000.0
-            s = np.zeros(len(SUMS))
-            s[0], s[1], s[2] = n, graded.sum(), valid.sum()
-            if self.with_text:
-                s[3] = self._text_sum(answers, pos, held, stale_ok)
-            s[4] = len(picks)
-            if len(picks):
-                call_state = st[picks]
-                before = np.concatenate([[held[1]] if held else [call_state[0]], call_state[:-1]])
-                labelled = np.ones(len(picks), bool)
-                labelled[0] = held is not None
-                s[5] = (labelled & (call_state == before)).sum()
-                s[6] = (labelled & (call_state != before)).sum()
-            s[7], s[8] = stale_ok.sum(), stale[stale_ok].sum()
-            s[9] = len(moved)
-            self._cover(a, s, frame, st, moved, picks)
-            a["sum"] = (np.array(a["sum"]) + s).tolist()
-            if len(picks):
-                k = picks[-1]
-                held = [int(frame[k]), int(st[k]), answers[k] if self.with_text else None]
-            carries.append(carry)
-            helds.append(held)
+        moved = st != prev
+        sums["n_events"] = np.full(size, moved.sum())
+        sums["n_covered"], sums["delay_sum"] = self._cover(acc, frame, st, moved, fired)
+        acc["sum"] = [(np.array(a) + sums[c]).tolist() for a, c in zip(acc["sum"], SUMS)]
+        last = pos[-1]
+        helds = [
+            held[i] if last[i] < 0 else [int(frame[last[i]]), int(st[last[i]]), pdf["answer"].iloc[last[i]] if self.with_text else None]
+            for i in range(size)
+        ]
         return {"p": carries, "held": helds, "prev": int(st[-1]), "acc": acc}, None
 
-    def _text_sum(self, answers, pos, held, ok) -> float:
+    def _text_sum(self, answers, pos, held, known) -> np.ndarray:
         codes, texts = pd.factorize(answers)
-        texts = list(texts)
-        h = np.where(pos >= 0, codes[pos], len(texts))
-        texts.append(held[2] if held else None)
-        pairs, counts = np.unique(h[ok] * (len(texts) + 1) + codes[ok], return_counts=True)
-        return float(sum(
-            c * _bag_f1(self._f1, texts[int(x) // (len(texts) + 1)], texts[int(x) % (len(texts) + 1)])
-            for x, c in zip(pairs, counts)
-        ))
-
-    def _cover(self, a, s, frame, st, moved, picks):
-        """A transition is covered by the first later-or-equal call made in its new state."""
-        wait, first = a["wait"], a["first"]
-        calls = {}
-        if len(picks):
-            order = np.lexsort((picks, st[picks]))
-            ps, ss = picks[order], st[picks][order]
-            cuts = np.flatnonzero(np.diff(ss)) + 1
-            for grp in np.split(np.arange(len(ps)), cuts):
-                calls[int(ss[grp[0]])] = ps[grp]
-        for state_no, ps in calls.items():
-            f0 = float(frame[ps[0]])
-            first.setdefault(str(state_no), f0)
-            w = wait.pop(str(state_no), None)
-            if w:
-                s[10] += w[0]
-                s[11] += w[0] * f0 - w[1]
-        for state_no in np.unique(st[moved]):
-            m = moved[st[moved] == state_no]
-            ps = calls.get(int(state_no), np.array([], dtype=np.int64))
-            j = np.searchsorted(ps, m, "left")
-            done = j < len(ps)
-            s[10] += done.sum()
-            s[11] += (frame[ps[j[done]]] - frame[m[done]]).sum() if done.any() else 0.0
-            if (~done).any():
-                w = wait.setdefault(str(int(state_no)), [0.0, 0.0])
-                w[0] += float((~done).sum())
-                w[1] += float(frame[m[~done]].sum())
+        texts = [*texts, *[h[2] if h else None for h in held]]
+        k = len(texts)
+        start = k - len(held) + np.arange(len(held))  # code of the answer held when the block began
+        pairs = np.where(pos >= 0, codes[pos], start) * k + codes[:, None]
+        distinct, where = np.unique(pairs[known], return_inverse=True)
+        f1 = np.array([_bag_f1(self._f1, texts[x // k], texts[x % k]) for x in distinct.tolist()])
+        out = np.zeros(pairs.shape)
+        if len(distinct):
+            out[known] = f1[where]
+        return out.sum(0)
+
+    def _cover(self, acc, frame, st, moved, fired):
+        """A transition is covered by the first later-or-equal call made in its new state.
+
+        Returns events covered and frames waited for them, per policy; events still waiting stay in
+        ``acc["wait"]`` and the first call of the chunk per state in ``acc["first"]``.
+        """
+        size = fired.shape[1]
+        covered, waited = np.zeros(size), np.zeros(size)
+        for s in np.unique(st):
+            rows = np.flatnonzero(st == s)
+            at = np.where(fired[rows], frame[rows][:, None].astype(float), np.inf)
+            nxt = np.minimum.accumulate(at[::-1], axis=0)[::-1]  # next call at or after each of the rows
+            called = np.isfinite(nxt[0])
+            key = str(int(s))
+            first = acc["first"].setdefault(key, [None] * size)
+            for i in np.flatnonzero(called):
+                if first[i] is None:
+                    first[i] = float(nxt[0, i])
+            if key in acc["wait"]:
+                n, total = (np.array(x) for x in acc["wait"][key])
+                done = called & (n > 0)
+                covered += np.where(done, n, 0)
+                waited += np.where(done, n * np.where(done, nxt[0], 0) - total, 0)
+                acc["wait"][key] = [np.where(called, 0, n).tolist(), np.where(called, 0, total).tolist()]
+            mine = moved[rows]
+            if mine.any():
+                hit, f = np.isfinite(nxt[mine]), frame[rows][mine].astype(float)[:, None]
+                covered += hit.sum(0)
+                waited += np.where(hit, np.where(hit, nxt[mine], 0) - f, 0).sum(0)
+                if not hit.all():
+                    n, total = acc["wait"].get(key, [[0.0] * size, [0.0] * size])
+                    acc["wait"][key] = [(np.array(n) + (~hit).sum(0)).tolist(), (np.array(total) + np.where(hit, 0, f).sum(0)).tolist()]
+        return covered, waited
 
     def finish(self, state):
-        if state["acc"] is None:
+        acc = state["acc"]
+        if acc is None:
             return None
-        rows = []
-        for i, a in enumerate(state["acc"]):
-            rows.append({
-                "pid": i, **dict(zip(SUMS, a["sum"])),
-                "waiting": [{"state": int(k), "n": v[0], "total": v[1]} for k, v in a["wait"].items()],
-                "first_call": [{"state": int(k), "frame": v} for k, v in a["first"].items()],
-            })
-        return pd.DataFrame(rows)
+        size = range(len(self.policies))
+        out = pd.DataFrame({"pid": list(size), **dict(zip(SUMS, acc["sum"]))})
+        if self.leftovers:
+            out["waiting"] = [
+                [{"state": int(k), "n": n[i], "total": t[i]} for k, (n, t) in acc["wait"].items() if n[i] > 0] for i in size]
+            out["first_call"] = [
+                [{"state": int(k), "frame": v[i]} for k, v in acc["first"].items() if v[i] is not None] for i in size]
+        return out
 
 
 def _policy_rows(spark, policies: list[Policy]) -> DataFrame:
@@ -206,8 +193,6 @@ def sweep(laid: Laid, policies: list[Policy], fps: float = 30.0, warmup: int = 1
         # As-of forward on (stream, policy, state): rows here are chunks x states, not trace rows.
         both = waits.withColumn("_o", F.col("_at") + 1).withColumn("frame", F.lit(None).cast("double")).unionByName(
             calls.withColumn("_o", F.col("_from")), allowMissingColumns=True)
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*keys, "pid", "state").orderBy("_o", F.col("frame").isNull().desc()).rowsBetween(
             0, Window.unboundedFollowing)
         late = (
@@ -227,7 +212,7 @@ class _Marked(SweepScore):
     """The sweep kernel with the chunk number among its outputs."""
 
     def __init__(self, kernel: SweepScore) -> None:
-        super().__init__(kernel.policies, fps=kernel.fps, warmup=kernel.warmup, with_text=kernel.with_text)
+        super().__init__(kernel.policies, fps=kernel.fps, warmup=kernel.warmup, with_text=kernel.with_text, leftovers=True)
         self.columns = [*self.columns, "_at"]
         self.schema = self.schema + ", _at long"
 

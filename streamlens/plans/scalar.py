@@ -94,10 +94,9 @@ def b7(spark, path):
 @query("b8_content_words", f"""WITH w AS (SELECT doc_id, {words('text')} AS w, {content('text')} AS c FROM documents)
 SELECT doc_id, {lng("len(w)", "n_words")}, {lng("len(c)", "n_content")}, md5(array_to_string(w, ' ')) AS normalised FROM w""")
 def b8(spark, path):
-    t = F.col("text")
-    return table(spark, path, "documents").select(
-        "doc_id", F.size(text.words(t)).cast("long").alias("n_words"), F.size(text.content_words(t)).cast("long").alias("n_content"),
-        F.md5(text.normalise(t)).alias("normalised"))
+    w = table(spark, path, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(text.keep_content(F.col("w"))).cast("long").alias("n_content"),
+                    F.md5(F.concat_ws(" ", "w")).alias("normalised"))
 
 
 TURNS = "p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
@@ -155,7 +154,8 @@ def b11(spark, path):
 WITH w AS (SELECT conv_id, turn, {words('text')} AS w FROM conversations)
 SELECT conv_id, turn, CASE WHEN len(w) < 3 THEN true ELSE list_max(list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x))))::DOUBLE / len(w) > 0.5 END AS degenerate FROM w""")
 def b11_answers(spark, path):
-    return table(spark, path, "conversations").select("conv_id", "turn", text.is_degenerate(F.col("text")).alias("degenerate"))
+    return table(spark, path, "conversations").select("conv_id", "turn", text.words(F.col("text")).alias("w")).select(
+        "conv_id", "turn", text.is_degenerate(F.col("w")).alias("degenerate"))
 
 
 SAID = """CASE event_id % 5 WHEN 0 THEN 'The answer is (' || chr(CAST(65 + event_id % 4 AS INTEGER)) || ')' WHEN 1 THEN chr(CAST(65 + event_id % 4 AS INTEGER)) || '. because' WHEN 2 THEN 'no idea'

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
-# The status a run may have and the latency blocks a document carries.
+# The status a run may have, its latency blocks and the keys a document must carry.
 STATUSES = ("completed", "interrupted", "failed")
 BLOCKS = ("photon_to_first_token_ms", "photon_to_answer_ms", "answer_staleness_ms", "capture_interval_ms")
 

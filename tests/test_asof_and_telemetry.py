@@ -114,9 +114,9 @@ def test_thinning_records_every_drop(spark):
 def test_text_scores(spark):
     rows = [(0, "a red mug on the desk", "a red mug on the desk"), (1, "a red mug sits on the wooden desk", "the red mug is sitting on a wooden desk"),
             (2, "a red mug", "two people walking outside"), (3, "the image shows a dog", "the image shows a car"), (4, "", ""), (5, "word", "")]
-    d = {r.i: r.f for r in spark.createDataFrame(rows, "i int, a string, b string").select("i", text.content_f1(F.col("a"), F.col("b")).alias("f")).collect()}
+    d = {r.i: r.f for r in spark.createDataFrame(rows, "i int, a string, b string").select("i", text.content_words(F.col("a")).alias("a"), text.content_words(F.col("b")).alias("b")).select("i", text.bag_f1(F.col("a"), F.col("b")).alias("f")).collect()}
     assert d[0] == 1.0 and d[1] > 0.7 and d[2] < 0.2 and d[3] < 0.3 and d[4] == 1.0 and d[5] == 0.0
-    bad = spark.createDataFrame([("",), ("the",), ("a a a a a a a a",), ("a quiet empty room",), (None,)], "x string").select(text.is_degenerate(F.col("x")).alias("d"))
+    bad = spark.createDataFrame([("",), ("the",), ("a a a a a a a a",), ("a quiet empty room",), (None,)], "x string").select(text.is_degenerate(text.words(F.col("x"))).alias("d"))
     assert [r.d for r in bad.collect()] == [True, True, True, False, True]
 
 

@@ -52,6 +52,15 @@ def test_block_scan_equals_row_by_row(spark, chunks, size):
             assert mine == by_row(slow or p, [r for r in ROWS if r[0] == name]), (p.name, p.point, name)
 
 
+@pytest.mark.parametrize("size", [4_000_000, 120])
+def test_sweep_advances_all_policies_together(spark, chunks, size):
+    chunks(size)
+    policies = [p for p, _ in BOTH] + [AdaptiveQuantile(0.9, 2.0, 0.3, 10)]
+    got = {(r.stream_id, r.policy, r.point): r.n_calls for r in sweep(trace(spark, ROWS), policies).collect()}
+    want = decisions(trace(spark, ROWS), policies).groupBy("stream_id", "policy", "point").count().collect()
+    assert got == {(r.stream_id, r.policy, r.point): r["count"] for r in want}
+
+
 @pytest.mark.parametrize("size", [4_000_000, 100])
 def test_adaptive_equals_numpy_quantile(spark, chunks, size):
     chunks(size)
