@@ -20,18 +20,22 @@ def total(v: Column) -> Column:
     return F.aggregate(as_double(v), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row; a plain expression used inside a lambda
+    would be evaluated again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mean(v: Column) -> Column:
-    return F.when(F.size(v) > 0, total(v) / F.size(v))
+    return let(v, lambda u: F.when(F.size(u) > 0, total(u) / F.size(u)))
 
 
 def l2_normalise(v: Column, centre: bool = False) -> Column:
     """Unit vector; a zero vector passes through. ``centre`` subtracts the mean first."""
     v = as_double(v)
     if centre:
-        m = mean(v)
-        v = F.transform(v, lambda x: x - m)
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+        v = let(v, lambda u: let(mean(u), lambda m: F.transform(u, lambda x: x - m)))
+    return let(v, lambda u: let(F.sqrt(dot(u, u)), lambda n: F.when(n > 0, F.transform(u, lambda x: x / n)).otherwise(u)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -49,10 +53,12 @@ def normalise_cells(cells: Column) -> Column:
 
 def pool_cells(cells: Column) -> Column:
     """Mean over cells per dimension, then unit length."""
-    n = F.size(cells)
-    first = F.transform(as_double(cells[0]), lambda x: F.lit(0.0))
-    summed = F.aggregate(cells, first, lambda s, c: F.zip_with(s, as_double(c), lambda x, y: x + y))
-    return l2_normalise(F.transform(summed, lambda x: x / n))
+    def pooled(c: Column) -> Column:
+        zero = F.transform(as_double(c[0]), lambda x: F.lit(0.0))
+        summed = F.aggregate(c, zero, lambda s, x: F.zip_with(s, as_double(x), lambda p, q: p + q))
+        return let(F.size(c), lambda n: F.transform(summed, lambda x: x / n))
+
+    return l2_normalise(let(cells, pooled))
 
 
 def top_k_mean(v: Column, k: int) -> Column:

@@ -252,20 +252,24 @@ def event_masks(laid: Laid, response: int, margin: int, warmup: int, state: str
 
 
 def next_value(laid: Laid, value: Column, out: str) -> Laid:
-    """First non-null ``value`` at or after the row."""
-    w = laid.window().rowsBetween(0, Window.unboundedFollowing)
+    """First non-null ``value`` at or after the row.
+
+    Read backwards, because a frame that reaches to the end is evaluated anew for every row.
+    """
+    back = [F.col(c).desc() for c in laid.order]
+    w = Window.partitionBy(*laid.parts).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
     if not laid.split:
-        return laid.transform(lambda d: d.withColumn(out, F.first(value, True).over(w)))
+        return laid.transform(lambda d: d.withColumn(out, F.last(value, True).over(w)))
     key = F.struct(*laid.order)
     heads = (
         laid.df.filter(F.col("_chunk") >= 0).groupBy(*laid.parts)
         .agg(F.min_by(value, F.when(value.isNotNull(), key)).alias("_v"))
     )
-    after = Window.partitionBy(*laid.keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    heads = heads.select(*laid.parts, F.first("_v", True).over(after).alias("_later"))
+    after = Window.partitionBy(*laid.keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*laid.parts, F.last("_v", True).over(after).alias("_later"))
     df = laid.df.join(heads, laid.parts, "left")
     return laid.with_df(
-        df.withColumn(out, F.coalesce(F.first(value, True).over(w), F.col("_later"))).drop("_later")
+        df.withColumn(out, F.coalesce(F.last(value, True).over(w), F.col("_later"))).drop("_later")
     )
 
 

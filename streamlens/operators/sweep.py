@@ -193,10 +193,10 @@ def sweep(laid: Laid, policies: list[Policy], fps: float = 30.0, warmup: int = 1
         # As-of forward on (stream, policy, state): rows here are chunks x states, not trace rows.
         both = waits.withColumn("_o", F.col("_at") + 1).withColumn("frame", F.lit(None).cast("double")).unionByName(
             calls.withColumn("_o", F.col("_from")), allowMissingColumns=True)
-        w = Window.partitionBy(*keys, "pid", "state").orderBy("_o", F.col("frame").isNull().desc()).rowsBetween(
-            0, Window.unboundedFollowing)
+        w = Window.partitionBy(*keys, "pid", "state").orderBy(F.col("_o").desc(), F.col("frame").isNull()).rowsBetween(
+            Window.unboundedPreceding, 0)
         late = (
-            both.withColumn("_f", F.first("frame", ignorenulls=True).over(w)).filter("n is not null and _f is not null")
+            both.withColumn("_f", F.last("frame", ignorenulls=True).over(w)).filter("n is not null and _f is not null")
             .groupBy(*keys, "pid").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("_f") - F.col("total")).alias("_d"))
         )
         sums = sums.join(late, [*keys, "pid"], "left").withColumns({
