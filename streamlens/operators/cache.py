@@ -14,7 +14,7 @@ from streamlens.functions import vec
 from streamlens.operators.fold import Kernel, fold
 from streamlens.operators.layout import Laid
 from streamlens.operators.policies import Policy, Trigger
-from streamlens.operators.quantiles import auc, quantiles
+from streamlens.operators.quantiles import auc, quantiles_where
 
 
 class Store:
@@ -241,10 +241,7 @@ def key_pairs(laid: Laid, draws: int = 4000) -> DataFrame:
 def key_quality(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Streams with both kinds of pairs: percentiles of each kind and the AUC of similarity."""
     a = auc(pairs, keys, "similarity", "same_state").filter("auc is not null")
-    same = quantiles(pairs.filter("same_state"), keys, "similarity", [0.5, 0.1])
-    diff = quantiles(pairs.filter("not same_state"), keys, "similarity", [0.5, 0.9])
-    return (
-        a.join(same.withColumnsRenamed({"q_0": "same_median", "q_1": "same_p10"}), keys)
-        .join(diff.withColumnsRenamed({"q_0": "diff_median", "q_1": "diff_p90"}), keys)
-        .drop("n_pos", "n_neg")
-    )
+    same = F.col("same_state")
+    q = quantiles_where(pairs, keys, "similarity", {
+        "same_median": (same, 0.5), "same_p10": (same, 0.1), "diff_median": (~same, 0.5), "diff_p90": (~same, 0.9)})
+    return a.join(q, keys).drop("n_pos", "n_neg")

@@ -28,6 +28,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return _from_histogram(df, keys, probs)
 
 
+def quantiles_where(df: DataFrame, keys: Sequence[str], value: str, which: dict[str, tuple], within: Laid | None = None) -> DataFrame:
+    """Several percentiles, each over the rows its condition picks: name -> (condition, probability)."""
+    keys = list(keys)
+    if not lay_out(df.select(*keys, value), keys, [value], within=within).split:
+        return df.groupBy(*keys).agg(*[
+            F.percentile(F.when(c, F.col(value).cast("double")), F.lit(float(p))).alias(n) for n, (c, p) in which.items()])
+    out = df.select(*keys).distinct()
+    for n, (c, p) in which.items():
+        out = out.join(quantiles(df.filter(c), keys, value, [p]).withColumnRenamed("q_0", n), keys, "left")
+    return out
+
+
 def _from_histogram(df: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
     hist = df.groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
     laid = lay_out(hist, keys, ["_v"]).running(_upto="_k")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamlens.functions.text import bag_f1, content_words
 from streamlens.operators import signals
-from streamlens.operators.asof import coverage
 from streamlens.operators.layout import Laid
-from streamlens.operators.quantiles import auc, quantiles
+from streamlens.operators.quantiles import auc, quantiles, quantiles_where
 
 
 def mark_fired(trace: Laid, decisions: DataFrame) -> Laid:
@@ -31,46 +32,52 @@ def with_held(trace: Laid, fps: float, carry: tuple[str, ...] = ()) -> Laid:
     )
 
 
+def with_coverage(trace: Laid) -> Laid:
+    """``moved``: the state differs from the previous row's; ``covered_at``: on such rows the first
+    call at or after them made in the new state.
+
+    Looked up inside (stream, state), which the exchange on the stream already keeps together.
+    """
+    trace = trace.lag(_ps="state_id").transform(
+        lambda d: d.withColumn("moved", F.coalesce(F.col("state_id") != F.col("_ps"), F.lit(False))).drop("_ps"))
+    by_state = replace(trace, keys=(*trace.keys, "state_id"))
+    by_state = signals.next_value(by_state, F.when(F.col("fired"), F.col("frame_idx")), "covered_at")
+    return trace.with_df(by_state.df.withColumn("covered_at", F.when(F.col("moved"), F.col("covered_at"))))
+
+
 def score(trace: Laid, fps: float = 30.0, warmup: int = 15, with_text: bool = True) -> DataFrame:
-    """Score per stream of a trace whose rows carry ``fired``."""
+    """Score per stream of a trace whose rows carry ``fired``: one pass and one aggregate."""
     keys = list(trace.keys)
     if with_text:  # words are found once per row and carried along, not found again per pair
         trace = trace.transform(lambda d: d.withColumn("_w", content_words(F.col("answer"))))
-    held = with_held(trace, fps, ("_w",) if with_text else ())
+    laid = with_held(with_coverage(trace), fps, ("_w",) if with_text else ()).lag(_before="held_state_id")
     graded = F.col("frame_idx") >= warmup
     f1 = F.when(F.col("held__w").isNull(), F.lit(0.0)).otherwise(
         bag_f1(F.col("held__w"), F.col("_w"))) if with_text else F.lit(None).cast("double")
-    rows = held.df.withColumn("_s", F.when(graded, F.col("staleness_ms")))
-    base = rows.groupBy(*keys).agg(
+    rows = laid.df.withColumn("_s", F.when(graded, F.col("staleness_ms")))
+    called, delay = F.col("fired") & F.col("_before").isNotNull(), F.col("covered_at") - F.col("frame_idx")
+    p95 = [] if trace.split else [F.percentile("_s", F.lit(0.95)).alias("staleness_ms_p95")]
+    out = rows.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count_if("fired").alias("n_calls"),
         F.avg(F.when(graded, F.col("valid").cast("double"))).alias("validity"),
-        F.avg(F.when(graded, f1)).alias("accuracy"),
-        F.avg("_s").alias("staleness_ms_mean"),
+        F.avg(F.when(graded, f1)).alias("accuracy"), F.avg("_s").alias("staleness_ms_mean"), *p95,
+        F.count_if(called & (F.col("_before") == F.col("state_id"))).alias("false_triggers"),
+        F.count_if(called & (F.col("_before") != F.col("state_id"))).alias("justified_calls"),
+        F.count_if("moved").alias("total_events"), F.count("covered_at").alias("_cov"),
+        F.avg(delay / F.lit(fps) * 1000.0).alias("detection_delay_ms_mean"),
     )
-    p95 = quantiles(rows, keys, "_s", [0.95], within=trace).withColumnRenamed("q_0", "staleness_ms_p95")
-
-    calls = signals.call_labels(trace.with_df(trace.df.filter("fired")))
-    labels = calls.df.groupBy(*keys).agg(
-        F.count_if(~F.col("justified")).alias("false_triggers"), F.count_if("justified").alias("justified_calls"))
-    moves = signals.transitions(trace)
-    cov = coverage(moves.df, trace.df.filter("fired"), keys, within=trace)
-    events = cov.groupBy(*keys).agg(
-        F.count("*").alias("total_events"), F.count("covered_at").alias("_cov"),
-        F.avg((F.col("covered_at") - F.col("event_frame")) / F.lit(fps) * 1000.0).alias("detection_delay_ms_mean"))
-    out = base.join(p95, keys, "left").join(labels, keys, "left").join(events, keys, "left")
+    if trace.split:
+        q = quantiles(rows, keys, "_s", [0.95]).withColumnRenamed("q_0", "staleness_ms_p95")
+        out = out.join(q, keys, "left")
     c = F.col
-    zero = F.lit(0).cast("long")
-    total, cov_n = F.coalesce("total_events", zero), F.coalesce("_cov", zero)
-    false_n, just_n = F.coalesce("false_triggers", zero), F.coalesce("justified_calls", zero)
     return out.select(
         *keys, "n_rows", "n_calls",
         (c("n_calls") / (c("n_rows") / F.lit(fps) / 60.0)).alias("calls_per_min"),
         (c("n_calls") / c("n_rows")).alias("call_fraction"),
-        "validity", "accuracy", "staleness_ms_mean", "staleness_ms_p95",
-        false_n.alias("false_triggers"), just_n.alias("justified_calls"),
-        F.try_divide(false_n, false_n + just_n).alias("false_trigger_rate"),
-        (total - cov_n).alias("missed_events"), total.alias("total_events"),
-        F.try_divide(cov_n, total).alias("event_recall"), "detection_delay_ms_mean",
+        "validity", "accuracy", "staleness_ms_mean", "staleness_ms_p95", "false_triggers", "justified_calls",
+        F.try_divide(c("false_triggers"), c("false_triggers") + c("justified_calls")).alias("false_trigger_rate"),
+        (c("total_events") - c("_cov")).alias("missed_events"), "total_events",
+        F.try_divide(c("_cov"), c("total_events")).alias("event_recall"), "detection_delay_ms_mean",
     )
 
 
@@ -122,18 +129,13 @@ def agreement_ceiling(trace: Laid) -> DataFrame:
 
 def attribute(trace: Laid, fps: float, warmup: int) -> Laid:
     """Cause of every row: warmup, valid, missed_event or detection_lag."""
-    keys = list(trace.keys)
-    held = with_held(trace, fps).lag(_ps="state_id")
-    move = F.when(F.col("state_id") != F.col("_ps"), F.col("frame_idx"))
-    held = held.last(last_event=move)
-    cov = coverage(signals.transitions(trace).df, trace.df.filter("fired"), keys, within=trace)
-    hit = cov.filter("covered_at is not null").select(*keys, F.col("event_frame").alias("last_event"), F.lit(True).alias("_seen"))
-    df = held.df.drop("_ps").join(hit, [*keys, "last_event"], "left")
+    laid = with_held(with_coverage(trace), fps)
+    laid = laid.last(_event=F.when(F.col("moved"), F.struct("frame_idx", "covered_at")))
     cause = (
         F.when(F.col("frame_idx") < warmup, F.lit("warmup")).when(F.col("valid"), F.lit("valid"))
-        .when(F.col("_seen").isNull(), F.lit("missed_event")).otherwise(F.lit("detection_lag"))
+        .when(F.col("_event.covered_at").isNull(), F.lit("missed_event")).otherwise(F.lit("detection_lag"))
     )
-    return held.with_df(df.withColumn("cause", cause).drop("_seen"))
+    return laid.transform(lambda d: d.withColumn("cause", cause).drop("_event"))
 
 
 def cause_shares(attributed: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,10 +162,10 @@ def separability(trace: Laid, response: int, margin: int, warmup: int,
     )
     by = [*keys, "signal"]
     a = auc(rows, by, "v", "is_event", within=trace)
-    med = quantiles(rows.filter("is_event"), by, "v", [0.5], within=trace).withColumnRenamed("q_0", "event_median")
-    p95 = quantiles(rows.filter("is_quiet"), by, "v", [0.95], within=trace).withColumnRenamed("q_0", "quiet_p95")
+    q = quantiles_where(rows, by, "v", {
+        "event_median": (F.col("is_event"), 0.5), "quiet_p95": (F.col("is_quiet"), 0.95)}, within=trace)
     return (
-        a.join(med, by, "left").join(p95, by, "left")
+        a.join(q, by, "left")
         .withColumnRenamed("n_pos", "n_event_rows").withColumnRenamed("n_neg", "n_quiet_rows")
         .withColumn("clears", F.col("event_median") > F.col("quiet_p95"))
     )

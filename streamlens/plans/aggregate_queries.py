@@ -235,15 +235,13 @@ def g19(spark, path):
 @query("g20_missed_events", f"""WITH {TR}, {FIRED}, {MOVES}, pk AS (SELECT stream_id, frame_idx, max(novelty) OVER (PARTITION BY stream_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) AS peak FROM tr), cv AS (SELECT mv.stream_id, mv.frame_idx, mv.state_id, mv.novelty, mv.answer, min(f.frame_idx) AS hit_at FROM mv LEFT JOIN f ON f.stream_id = mv.stream_id AND f.fired AND f.state_id = mv.state_id AND f.frame_idx >= mv.frame_idx GROUP BY ALL)
 SELECT cv.stream_id, cv.frame_idx, state_id AS to_state, 'state_change: ' || answer AS kind, {r('novelty', 'novelty_at_event')}, {r('peak', 'peak_novelty_after')} FROM cv JOIN pk ON pk.stream_id = cv.stream_id AND pk.frame_idx = cv.frame_idx WHERE hit_at IS NULL""")
 def g20(spark, path):
-    from streamlens.operators.asof import coverage, nearest
-    from streamlens.operators.signals import peak_after, transitions
-
-    tr = peak_after(fired_trace(spark, path), "novelty", 60)
-    moves = transitions(tr)
-    cov = coverage(moves.df, tr.df.filter("fired"), ["stream_id"], within=tr)
-    missed = cov.filter("covered_at is null").select("stream_id", F.col("event_frame").alias("frame_idx"))
-    rows = moves.df.join(missed, ["stream_id", "frame_idx"]).select("stream_id", "frame_idx", F.col("state_id").alias("to_state"), rd(F.col("novelty"), "novelty_at_event"), rd(F.col("peak_after"), "peak_novelty_after"))
-    known = moves.df.select("stream_id", "frame_idx", F.concat(F.lit("state_change: "), "answer").alias("what"))
+    from streamlens.operators.asof import nearest
+    from streamlens.operators.signals import peak_after
+
+    tr = scoring.with_coverage(peak_after(fired_trace(spark, path), "novelty", 60))
+    moves = tr.df.filter("moved")
+    rows = moves.filter("covered_at is null").select("stream_id", "frame_idx", F.col("state_id").alias("to_state"), rd(F.col("novelty"), "novelty_at_event"), rd(F.col("peak_after"), "peak_novelty_after"))
+    known = moves.select("stream_id", "frame_idx", F.concat(F.lit("state_change: "), "answer").alias("what"))
     out = nearest(rows, known, ["stream_id"], "frame_idx", "frame_idx", "what", "frame_idx", within=tr)
     return out.withColumnRenamed("nearest_event", "kind")
 
