@@ -114,33 +114,31 @@ def lookups(laid: Laid, policy: Policy, thresholds: list, size: int = 64, max_ag
 
 
 def replay(laid: Laid, served: DataFrame, thresholds: list, fps: float = 30.0, warmup: int = 15) -> DataFrame:
-    """Score each cache threshold: calls paid, hits, false hits, validity, staleness."""
-    keys = list(laid.keys)
-    thr = laid.df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(thresholds)], "tid int, cache_threshold double")
+    """Score each cache threshold: calls paid, hits, false hits, validity, staleness.
+
+    The triggers of all thresholds meet their row as one small map, so the trace is joined and carried
+    forward once and is multiplied by the thresholds only inside the final partial aggregate.
+    """
+    keys, n = list(laid.keys), len(thresholds)
+    thr = laid.df.sparkSession.createDataFrame(list(enumerate(thresholds)), "tid int, cache_threshold double")
     trig = served.join(F.broadcast(thr.withColumnRenamed("cache_threshold", "_thr")),
                        F.col("cache_threshold").eqNullSafe(F.col("_thr"))).drop("_thr")
-    stats = trig.groupBy(*keys, "tid").agg(
-        F.count("*").alias("n_triggers"), F.count_if(~F.col("hit")).alias("n_calls"), F.count_if("hit").alias("n_hits"),
-        F.count_if(F.col("hit") & (F.col("evidence_state") != F.col("state_id"))).alias("false_hits"),
-        F.sum("evictions").alias("evictions"))
-    # Each row once, with the triggers on it as an array indexed by threshold: the trace is carried
-    # forward for all thresholds in one pass instead of being multiplied by them.
-    n = len(thresholds)
-    per_row = trig.groupBy(*keys, "frame_idx").agg(
-        F.map_from_entries(F.collect_list(F.struct("tid", F.struct("evidence_frame", "evidence_state").alias("e")))).alias("_m"))
-    rows = laid.with_df(laid.df.select(*laid.parts, *[c for c in laid.order if c not in laid.parts],
-                                       *[c for c in ("frame_idx", "state_id") if c not in laid.order]).join(per_row, [*keys, "frame_idx"], "left"))
-    held = rows.last(**{f"_h{i}": F.element_at("_m", F.lit(i)) for i in range(n)})
-    graded = F.col("frame_idx") >= warmup
-    long = held.df.filter(graded).select(
-        *keys, "frame_idx", "state_id", F.posexplode(F.array(*[F.col(f"_h{i}") for i in range(n)])).alias("tid", "_h"))
-    q = long.groupBy(*keys, "tid").agg(
-        F.avg(F.coalesce(F.col("_h.evidence_state") == F.col("state_id"), F.lit(False)).cast("double")).alias("validity"),
-        F.avg((F.col("frame_idx") - F.col("_h.evidence_frame")) / F.lit(fps) * 1000.0).alias("staleness_ms_mean"))
-    size = laid.df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    out = stats.join(q, [*keys, "tid"], "left").join(size, keys).join(F.broadcast(thr), "tid")
+    what = F.struct("evidence_frame", "evidence_state", "hit", "evictions")
+    per_row = trig.groupBy(*keys, "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("tid", what.alias("e")))).alias("_m"))
+    cols = dict.fromkeys([*laid.parts, *laid.order, "frame_idx", "state_id"])
+    held = laid.with_df(laid.df.select(*cols).join(per_row, [*keys, "frame_idx"], "left"))
+    held = held.last(**{f"_h{i}": F.element_at("_m", F.lit(i)) for i in range(n)})
+    settings = [F.struct(F.col(f"_h{i}").alias("h"), F.element_at("_m", F.lit(i)).alias("m")) for i in range(n)]
+    long = held.df.select(*keys, "frame_idx", "state_id", F.posexplode(F.array(*settings)).alias("tid", "x"))
+    graded, h, m = F.col("frame_idx") >= warmup, F.col("x.h"), F.col("x.m")
+    valid = F.coalesce(h["evidence_state"] == F.col("state_id"), F.lit(False)).cast("double")
+    stats = long.groupBy(*keys, "tid").agg(
+        F.count("*").alias("n_rows"), F.count(m).alias("n_triggers"), F.count_if(~m["hit"]).alias("n_calls"),
+        F.count_if(m["hit"]).alias("n_hits"), F.count_if(m["hit"] & (m["evidence_state"] != F.col("state_id"))).alias("false_hits"),
+        F.sum(m["evictions"]).alias("evictions"), F.avg(F.when(graded, valid)).alias("validity"),
+        F.avg(F.when(graded, (F.col("frame_idx") - h["evidence_frame"]) / F.lit(fps) * 1000.0)).alias("staleness_ms_mean"))
     avoided = F.col("n_triggers") - F.col("n_calls")
-    return out.select(
+    return stats.join(F.broadcast(thr), "tid").select(
         *keys, "cache_threshold", "n_rows", "n_triggers", "n_calls", "n_hits", "false_hits", "evictions",
         avoided.alias("calls_avoided"),
         F.try_divide(F.lit(100.0) * avoided, F.col("n_triggers")).alias("calls_avoided_pct"),

@@ -108,17 +108,23 @@ def discrimination(distances: DataFrame, by: list[str]) -> DataFrame:
 
 def config_bench(calls: DataFrame, by: list[str]) -> DataFrame:
     """Per configuration: TTFT incl. encoding (NULL where nothing was streamed), totals, tokens/s, memory."""
+    from streamlens.operators.layout import lay_out
     from streamlens.operators.quantiles import quantiles
 
     rows = calls.withColumn("_ttft", F.col("ttft_ms") + F.col("encode_ms"))
     rate = F.when((F.col("n_tokens") > 0) & (F.col("total_ms") > 0), F.col("n_tokens") / (F.col("total_ms") / 1000.0))
-    base = rows.groupBy(*by).agg(
+    plain = [
         F.count("*").alias("n_calls"), F.min("_ttft").alias("ttft_min_ms"), F.avg(rate).alias("tokens_per_s"),
-        F.max("mem_gb").alias("peak_mem_gb"))
-    ttft = quantiles(rows, by, "_ttft", [0.5, 0.95, 0.99]).withColumnsRenamed(
-        {"q_0": "ttft_p50_ms", "q_1": "ttft_p95_ms", "q_2": "ttft_p99_ms"})
-    total = quantiles(rows, by, "total_ms", [0.5, 0.95]).withColumnsRenamed({"q_0": "total_p50_ms", "q_1": "total_p95_ms"})
-    return base.join(ttft, by, "left").join(total, by, "left")
+        F.max("mem_gb").alias("peak_mem_gb")]
+    wanted = {"ttft": ("_ttft", [50, 95, 99]), "total": ("total_ms", [50, 95])}
+    if not lay_out(rows, by, ["total_ms"]).split:
+        exact = [F.percentile(c, F.lit(p / 100)).alias(f"{n}_p{p}_ms") for n, (c, ps) in wanted.items() for p in ps]
+        return rows.groupBy(*by).agg(*plain, *exact)
+    out = rows.groupBy(*by).agg(*plain)
+    for n, (c, ps) in wanted.items():
+        q = quantiles(rows, by, c, [p / 100 for p in ps])
+        out = out.join(q.withColumnsRenamed({f"q_{i}": f"{n}_p{p}_ms" for i, p in enumerate(ps)}), by, "left")
+    return out
 
 
 def wall_clock_audit(log: DataFrame, keys: list[str], tolerance_s: float) -> DataFrame:
