@@ -237,9 +237,13 @@ def key_pairs(laid: Laid, draws: int = 4000) -> DataFrame:
 
 
 def key_quality(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Streams with both kinds of pairs: percentiles of each kind and the AUC of similarity."""
-    a = auc(pairs, keys, "similarity", "same_state").filter("auc is not null")
+    """Streams with both kinds of pairs: percentiles of each kind and the AUC of similarity.
+
+    ``pairs`` are the bounded draws of ``key_pairs``, so no group is too large for one task.
+    """
+    small = Laid(pairs, tuple(keys), ("similarity",), False)
+    a = auc(pairs, keys, "similarity", "same_state", within=small).filter("auc is not null")
     same = F.col("same_state")
     q = quantiles_where(pairs, keys, "similarity", {
-        "same_median": (same, 0.5), "same_p10": (same, 0.1), "diff_median": (~same, 0.5), "diff_p90": (~same, 0.9)})
+        "same_median": (same, 0.5), "same_p10": (same, 0.1), "diff_median": (~same, 0.5), "diff_p90": (~same, 0.9)}, within=small)
     return a.join(q, keys).drop("n_pos", "n_neg")

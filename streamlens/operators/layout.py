@@ -61,13 +61,17 @@ class Laid:
 
     # -- carried columns -----------------------------------------------------------------
     def _carry(self, aggs: dict[str, Column], over: dict[str, Column], prefix: str) -> DataFrame:
-        """One row per chunk of a split key: ``over`` evaluated on ``aggs`` of the earlier chunks."""
+        """One row per chunk of a split key: ``over`` evaluated on ``aggs`` of the earlier chunks.
+
+        Written out, so that a chain of carries stays a chain: each would otherwise be computed again
+        inside every later one.
+        """
         per_chunk = (
             self.df.filter(F.col(CHUNK) >= 0)
             .groupBy(*self.parts)
             .agg(*[c.alias(n) for n, c in aggs.items()])
         )
-        return per_chunk.select(*self.parts, *[c.alias(prefix + n) for n, c in over.items()])
+        return cut_lineage(per_chunk.select(*self.parts, *[c.alias(prefix + n) for n, c in over.items()]))
 
     def _before(self) -> WindowSpec:
         return (
@@ -160,7 +164,7 @@ class Laid:
         heads = heads.select(
             *self.parts, F.slice(F.flatten(F.collect_list("_h").over(after)), 1, n).alias(name)
         )
-        return self.with_df(self.df.join(heads, self.parts, "left"))
+        return self.with_df(self.df.join(cut_lineage(heads), self.parts, "left"))
 
 
 def lay_out(

@@ -14,6 +14,7 @@ from streamlens.functions import vec
 from streamlens.operators.fold import Kernel, fold
 from streamlens.operators.layout import Laid
 from streamlens.operators.policies import AdaptiveQuantile
+from streamlens.session import cut_lineage
 
 
 # -- change since the previous row ------------------------------------------------------------
@@ -267,7 +268,7 @@ def next_value(laid: Laid, value: Column, out: str) -> Laid:
     )
     after = Window.partitionBy(*laid.keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select(*laid.parts, F.last("_v", True).over(after).alias("_later"))
-    df = laid.df.join(heads, laid.parts, "left")
+    df = laid.df.join(cut_lineage(heads), laid.parts, "left")
     return laid.with_df(
         df.withColumn(out, F.coalesce(F.last(value, True).over(w), F.col("_later"))).drop("_later")
     )
@@ -359,4 +360,4 @@ def first_value(laid: Laid, value: str, out: str) -> Laid:
     first = laid.df.groupBy(*laid.keys).agg(F.min_by(value, F.struct(*laid.order)).alias("_fv"))
     # One row per key; joined on the chunked parts so a large key stays spread.
     per_part = laid.df.select(*laid.parts).distinct().join(first, list(laid.keys))
-    return laid.with_df(laid.df.join(per_part, laid.parts, "left").withColumnRenamed("_fv", out))
+    return laid.with_df(laid.df.join(cut_lineage(per_part), laid.parts, "left").withColumnRenamed("_fv", out))

@@ -32,7 +32,8 @@ def block(df, keys, v, digits=4, within=None):
 @query("g1_percentile_block", f"WITH {CALLS} {block_sql('run_id', 'answer_ms', 'lat', 2)}")
 def g1(spark, path):
     fr, calls, _ = tables.call_log(spark, path)
-    return block(telemetry.call_latencies(calls, fr, ["run_id"]), ["run_id"], "answer_ms", 2)
+    within = tables.events_laid(spark, path)  # a run's calls are among its events
+    return block(telemetry.call_latencies(calls, fr, ["run_id"]), ["run_id"], "answer_ms", 2, within=within)
 
 
 @query("g1_percentile_block_global", f"WITH {EV}, x AS (SELECT 1 AS one, value FROM ev) SELECT * EXCLUDE (one) FROM ({block_sql('one', 'value', 'x')})")

@@ -73,12 +73,12 @@ def run_documents(spark, path):
     fr, calls, answers = tables.call_log(spark, path)
     rates = run_rates(spark, path)
     lat = call_latencies(calls, fr, ["run_id"])
-    out = rates
+    out, within = rates, tables.events_laid(spark, path)
     for name, df, col in (("photon_to_first_token_ms", lat, "first_token_ms"), ("photon_to_answer_ms", lat, "answer_ms"),
                           ("answer_staleness_ms", answer_staleness(answers, fr, ["run_id"]), "staleness_ms")):
-        b = percentile_block(df, ["run_id"], col)
+        b = percentile_block(df, ["run_id"], col, within=within)
         out = out.join(b.select("run_id", F.struct("n", "mean", "p50", "p95", "p99", "min", "max", "std").alias(name)), "run_id", "left")
-    stages = percentile_block(tables.events(spark, path).select(F.col("stream_id").alias("run_id"), F.col("event_type").alias("stage"), "value"), ["run_id", "stage"], "value")
+    stages = percentile_block(tables.events(spark, path).select(F.col("stream_id").alias("run_id"), F.col("event_type").alias("stage"), "value"), ["run_id", "stage"], "value", within=within)
     packed = stages.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "stage", F.struct("n", "mean", "p50", "p95", "p99", "min", "max", "std")))).alias("stages_ms"))  # one entry per stage name
     out = out.join(packed, "run_id", "left").select(
