@@ -68,15 +68,29 @@ def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[
     ranges = 8 * n
     shift = np.uint64(32)
 
+    def narrow(col):
+        """A base, and the differences from it in 32 bits if they fit: ids of one task are often close to each other."""
+        base = int(col.min())
+        span = int(col.max()) - base
+        return np.int64(base).tobytes(), (col - base).astype(np.uint32) if span < 1 << 32 else col - np.int64(base)
+
+    def widen(blob, n):
+        base = np.frombuffer(blob[:8], np.int64)[0]
+        return np.frombuffer(blob[8:], np.uint32 if len(blob) == 8 + 4 * n else np.int64).astype(np.int64) + base
+
     def cut(held):
         cols = [np.concatenate(c) for c in zip(*held)]
+        heads = [b""] * len(cols)
+        for i, kind in enumerate(kinds):
+            if kind is np.int64:
+                heads[i], cols[i] = narrow(cols[i])
         part = ((cols[0] >> shift) * np.uint64(ranges)) >> shift
         order = np.argsort(part, kind="stable")
         cols, part = [c[order] for c in cols], part[order]
         at = np.searchsorted(part, np.arange(ranges + 1))
         full = np.flatnonzero(np.diff(at))
         for some in np.array_split(full, max(1, len(full) // 256)):
-            blobs = [pa.array([c[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()) for c in cols]
+            blobs = [pa.array([h + c[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()) for h, c in zip(heads, cols)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *blobs], ["part", *(f"c{i}" for i in range(len(cols)))])
 
     def send(batches):
@@ -101,7 +115,8 @@ def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[
                     if held:
                         yield from receive([np.concatenate(c) for c in zip(*held)])
                     held, part = [], parts[k]
-                held.append([np.frombuffer(batch.column(i + 1)[k].as_buffer(), t) for i, t in enumerate(kinds)])
+                blobs = [batch.column(i + 1)[k].as_py() for i in range(len(kinds))]
+                held.append([widen(b, len(blobs[0]) // 8) if t is np.int64 else np.frombuffer(b, t) for b, t in zip(blobs, kinds)])
         if held:
             yield from receive([np.concatenate(c) for c in zip(*held)])
 
@@ -164,8 +179,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str, few: int = 200_000) -> DataFrame:
     """(node, component) for the graph of all pairs that share enough buckets and link.
 
-    ``members``: bucket, node, n (set size), ell (buckets a pair must share, at least those of the less demanding of the
-    two), alone (share of the set that no other set has). ``sets``: see ``verified``. Nodes in no link are left out.
+    ``members``: bucket, node, n (set size), m (elements that some other set has), ell (buckets a pair must share, at least
+    those of the less demanding of the two). ``sets``: see ``verified``. Nodes in no link are left out.
+
+    A pair can only link if the smaller m reaches the intersection that its sizes ask for; pairs that cannot are never met.
 
     Large groups of copies are contracted first: every node is verified against one other node, a central member of the
     bucket most of its buckets point to, and linked nodes become one component. Only pairs between different components can
@@ -186,7 +203,7 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str
         if r > 0 and (open_pairs <= few or open_pairs > left / 2):
             break
         left = open_pairs
-        rank = F.struct(F.round("alone", 2).alias("x"), F.col("node").alias("y")) if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("x"), F.col("node").alias("y"))
+        rank = F.struct(F.round(-F.col("m") / F.col("n"), 2).alias("x"), F.col("node").alias("y")) if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("x"), F.col("node").alias("y"))
         if r == 0:
             # the most central member of a bucket and, for itself, the next
             ends = now.groupBy("bucket").agg(F.min(rank).alias("p"), F.count("*").alias("m")).where("m > 1").select("bucket", F.col("p.y").alias("h"), F.lit(None).cast("long").alias("g"), F.lit(-1).cast("long").alias("hc"))
@@ -202,10 +219,10 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str
         labels = stored(components(edges, f"{name}-star"), f"{name}-labels")
         r += 1
     live = now.join(counted.where("m * m > q").select("bucket"), "bucket")
-    a, b = (live.select("bucket", *(F.col(c).alias(c + s) for c in ("node", "n", "ell", "comp"))) for s in "ab")
+    a, b = (live.select("bucket", *(F.col(c).alias(c + s) for c in ("node", "n", "m", "ell", "comp"))) for s in "ab")
     met = a.join(b, "bucket").where(
         (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb"))
-        & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+        & ((100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb"))))
     shared = met.groupBy("nodea", "nodeb").agg(F.count("*").alias("c"), F.first(F.least("ella", "ellb")).alias("need")).where("c >= need")
     found = verified(shared.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), sets, percent)
     edges = found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))

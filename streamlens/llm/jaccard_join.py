@@ -145,11 +145,11 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, max_ell: in
             size = np.array([len(p) for p in prefix])
             if size.sum():
                 held = [np.repeat(batch.column(c).to_numpy(), size) for c in (0, 1, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), *map(pa.array, held)], ["bucket", "node", "n", "ell", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), *map(pa.array, held)], ["bucket", "node", "n", "ell", "m"])
 
-    alone = 1 - F.length("items") / (8 * F.col("n"))
-    members = arrays.where(F.length("prefix") > 0).select("node", "n", "prefix", "ell", alone.cast("double").alias("alone")).mapInArrow(
-        unfold, "bucket long, node long, n long, ell int, alone double")
+    m = F.expr("cast(length(items) / 8 as bigint)")
+    members = arrays.where(F.length("prefix") > 0).select("node", "n", "prefix", "ell", m.alias("m")).mapInArrow(
+        unfold, "bucket long, node long, n long, ell int, m long")
     linked = link_components(members, arrays.select("node", "n", "items"), percent, "ngrams")
     named = classes.join(linked, "node", "left").select("n", "hi", "lo", F.coalesce("component", "node").alias("component_id"))
     some = sets.where("n > 0").join(named, ["n", "hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
