@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamlens.llm.kernels import mix
 from streamlens.session import checkpoint_dir, ship_package
 
 #: Hashes a map task holds before it hands them on.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,9 @@ def partitions(spark: SparkSession) -> int:
 def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]],
              receive: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], kinds: tuple[str, ...], schema: str) -> DataFrame:
     """Bring equal hashes together. ``emit`` gives arrays (uint64 hashes, then columns of numpy types ``kinds[1:]``); every
-    hash range is one ``receive`` call with the concatenated arrays.
+    hash range is one ``receive`` call with the concatenated arrays, hashes renamed one to one.
+
+    A hash travels as its low 48 bits; with its range it keeps 56 bits or more, and as many more as there are ranges.
 
     Rows of a hash never leave their range, and a range holds what 1/8 of a shuffle partition does, so memory is bounded by
     the size of partitions; a hash that is in a third of all documents costs its entries, 8 to 20 bytes each.
@@ -81,12 +84,13 @@ def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[
     def cut(held):
         cols = [np.concatenate(c) for c in zip(*held)]
         heads = [b""] * len(cols)
+        raw = np.ascontiguousarray(cols[0]).view(np.uint8).reshape(-1, 8)[:, :6]
         for i, kind in enumerate(kinds):
             if kind is np.int64:
                 heads[i], cols[i] = narrow(cols[i])
         part = ((cols[0] >> shift) * np.uint64(ranges)) >> shift
         order = np.argsort(part, kind="stable")
-        cols, part = [c[order] for c in cols], part[order]
+        cols, part = [raw[order], *(c[order] for c in cols[1:])], part[order]
         at = np.searchsorted(part, np.arange(ranges + 1))
         full = np.flatnonzero(np.diff(at))
         for some in np.array_split(full, max(1, len(full) // 256)):
@@ -116,7 +120,11 @@ def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[
                         yield from receive([np.concatenate(c) for c in zip(*held)])
                     held, part = [], parts[k]
                 blobs = [batch.column(i + 1)[k].as_py() for i in range(len(kinds))]
-                held.append([widen(b, len(blobs[0]) // 8) if t is np.int64 else np.frombuffer(b, t) for b, t in zip(blobs, kinds)])
+                n = len(blobs[0]) // 6
+                low = np.zeros((n, 8), np.uint8)
+                low[:, :6] = np.frombuffer(blobs[0], np.uint8).reshape(n, 6)
+                name = mix(low.view(np.uint64).ravel() ^ mix(np.array([parts[k]], np.uint64)))
+                held.append([name, *(widen(b, n) if t is np.int64 else np.frombuffer(b, t) for b, t in zip(blobs[1:], kinds[1:]))])
         if held:
             yield from receive([np.concatenate(c) for c in zip(*held)])
 
@@ -180,9 +188,12 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str
     """(node, component) for the graph of all pairs that share enough buckets and link.
 
     ``members``: bucket, node, n (set size), m (elements that some other set has), ell (buckets a pair must share, at least
-    those of the less demanding of the two). ``sets``: see ``verified``. Nodes in no link are left out.
+    those of the less demanding of the two), pos (place of the bucket in the node's order of its elements, the same order for
+    all nodes; 0 where buckets have none). ``sets``: see ``verified``. Nodes in no link are left out.
 
-    A pair can only link if the smaller m reaches the intersection that its sizes ask for; pairs that cannot are never met.
+    Of a linked pair's shared elements the first ell have a place before which too few elements of either set remain to
+    spoil the intersection that the two sizes ask for. Rows behind that place, which is that of the pair and not of its
+    least possible partner, are never met; so two variants of one text meet only if they share what sets them apart from it.
 
     Large groups of copies are contracted first: every node is verified against one other node, a central member of the
     bucket most of its buckets point to, and linked nodes become one component. Only pairs between different components can
@@ -219,10 +230,11 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str
         labels = stored(components(edges, f"{name}-star"), f"{name}-labels")
         r += 1
     live = now.join(counted.where("m * m > q").select("bucket"), "bucket")
-    a, b = (live.select("bucket", *(F.col(c).alias(c + s) for c in ("node", "n", "m", "ell", "comp"))) for s in "ab")
+    a, b = (live.select("bucket", *(F.col(c).alias(c + s) for c in ("node", "n", "m", "ell", "pos", "comp"))) for s in "ab")
     met = a.join(b, "bucket").where(
         (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb"))
-        & ((100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb"))))
+        & ((100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb")))
+        & ((100 + percent) * (F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) + F.least("ella", "ellb") - 1) >= percent * (F.col("na") + F.col("nb"))))
     shared = met.groupBy("nodea", "nodeb").agg(F.count("*").alias("c"), F.first(F.least("ella", "ellb")).alias("need")).where("c >= need")
     found = verified(shared.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), sets, percent)
     edges = found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))

@@ -18,15 +18,17 @@ def choose_prefix(df: np.ndarray, n: int, percent: int, max_ell: int = MAX_ELL)
     """(ell, tokens of ``df`` in the prefix) for a set of ``n`` tokens of which those in ``df`` (document frequencies,
     ascending) occur elsewhere; the others come first in the order and meet nothing.
 
-    Two sets that link share at least ceil(percent / 100 * n) tokens, so their first n - that + ell tokens share ell. A
-    longer prefix meets S(ell) entries of other sets, of which at most S(ell) / ell can share ell tokens and need to be
-    verified at a cost of about n: the ell of least S + S / ell * n / 16 is taken.
+    Two sets that link share at least ceil(percent / 100 * n) tokens, so their first n - that + ell tokens share ell. With a
+    partner of equal size, which asks for a larger intersection and so needs a shorter part of the prefix, that part meets
+    S(ell) entries of other sets, of which at most S(ell) / ell can share ell tokens and have to be verified at a cost of
+    about n: the ell of least S + S / ell * n / 16 is taken.
     """
     least = -(-percent * n // 100)
     unique = n - len(df)
-    upto = np.clip(n - least + np.arange(1, max_ell + 1) - unique, 0, len(df))
-    met = np.concatenate([[0], np.cumsum(df - 1)])[upto].astype(float)
     ell = np.arange(1, max_ell + 1)
+    upto = np.clip(n - least + ell - unique, 0, len(df))
+    equal = np.clip(n - -(-2 * percent * n // (100 + percent)) + ell - unique, 0, len(df))
+    met = np.concatenate([[0], np.cumsum(df - 1)])[equal].astype(float)
     ok = ell <= max(1, least)
     cost = np.where(ok, met + met / ell * (n / 16), np.inf)
     best = int(np.argmin(cost))
@@ -78,7 +80,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, max_ell: in
                     else:
                         where[sig] = len(held)
                         held.append((row, h))
-            if sum(len(h) for _, h in held) > 1_000_000:
+            if sum(len(h) for _, h in held) > 500_000:
                 yield flat(held, ids)
                 where, held = {}, []
         if held:
@@ -145,11 +147,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, max_ell: in
             size = np.array([len(p) for p in prefix])
             if size.sum():
                 held = [np.repeat(batch.column(c).to_numpy(), size) for c in (0, 1, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), *map(pa.array, held)], ["bucket", "node", "n", "ell", "m"])
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + held[1] - held[3]  # unique ones come first
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), *map(pa.array, held), pa.array(place)], ["bucket", "node", "n", "ell", "m", "pos"])
 
     m = F.expr("cast(length(items) / 8 as bigint)")
     members = arrays.where(F.length("prefix") > 0).select("node", "n", "prefix", "ell", m.alias("m")).mapInArrow(
-        unfold, "bucket long, node long, n long, ell int, m long")
+        unfold, "bucket long, node long, n long, ell int, m long, pos long")
     linked = link_components(members, arrays.select("node", "n", "items"), percent, "ngrams")
     named = classes.join(linked, "node", "left").select("n", "hi", "lo", F.coalesce("component", "node").alias("component_id"))
     some = sets.where("n > 0").join(named, ["n", "hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

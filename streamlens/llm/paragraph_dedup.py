@@ -128,7 +128,7 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     arrays = stored(docs.join(wanted, "doc_id").select("text", "starts", "nodes").mapInArrow(sets, "node long, n long, items binary"), "paragraph-sets")
     members = mixed.select("bucket", "node").distinct().join(arrays.select("node", "n"), "node").select(
-        "bucket", "node", "n", F.col("n").alias("m"), F.lit(1).alias("ell"))
+        "bucket", "node", "n", F.col("n").alias("m"), F.lit(1).alias("ell"), F.lit(0).alias("pos"))
     linked = link_components(members, arrays, percent, "paragraphs")
     where = hits.select("node", "doc_id", "start").distinct().join(linked, "node", "left").select(
         "doc_id", "start", F.coalesce("component", "node").alias("component_id"))
