@@ -84,9 +84,9 @@ def test_a_group_of_near_copies_around_a_centre(spark):
 def test_links_are_whole_when_rounds_stop_early_or_late(spark):
     rng = np.random.default_rng(3)
     sets = {i: np.unique(rng.integers(0, 60, 12).astype(np.uint64)) for i in range(120)}
-    members = [(int(t), i, len(s), len(s), 1) for i, s in sets.items() for t in s]
+    members = [(int(t), i, len(s), len(s), 1, 0) for i, s in sets.items() for t in s]
     arrays = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in sets.items()], "node long, n long, items binary")
-    df = spark.createDataFrame(members, "bucket long, node long, n long, m long, ell int")
+    df = spark.createDataFrame(members, "bucket long, node long, n long, m long, ell int, pos long")
     want = {}
     parent = list(range(120))
 
@@ -123,7 +123,7 @@ def test_prefix_always_meets_a_linked_set():
 
 def test_longer_prefixes_are_chosen_where_candidates_are_dear():
     cheap = jaccard_join.choose_prefix(np.array([2] * 10), 10, 75)[0]
-    dear = jaccard_join.choose_prefix(np.array([500] * 200), 200, 75)[0]
+    dear = jaccard_join.choose_prefix(np.array([500] * 2000), 2000, 75)[0]
     assert cheap <= dear and dear > 1
 
 
