@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlens.llm import kernels as K
-from streamlens.llm.common import text_bytes
+from streamlens.llm.common import stored, text_bytes
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -100,13 +100,14 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
     count and are judged each. An empty table gives no rows. Added columns replace those of docs with the same names.
 
     Two passes over the texts: one that leaves a row per host (pre-aggregated before its shuffle), one that judges; so no
-    text is ever shuffled for its own sake. Only rejected hosts are joined back.
+    text is ever shuffled for its own sake. Only rejected hosts are joined back, written out first so that their size is known:
+    few are broadcast, for many Spark shuffles and splits a hot host.
     """
     docs = docs.drop("base_failed", "failed", "host_rejected", "kept", "__host")
     rules = rule_failures()
     failed = rules["short"] | rules["repeats"] | rules["symbols"] | rules["lines"]
     hosts = host_verdicts(with_stats(docs.select(host, text), text).select(host, failed.alias("failed")), host, max_rate)
-    bad = hosts.where("reject").select(F.col("host_key").alias("__host"), F.lit(True).alias("host_rejected"))
+    bad = stored(hosts.where("reject").select(F.col("host_key").alias("__host"), F.lit(True).alias("host_rejected")), "rejected-hosts")
     out = with_stats(docs, text).withColumns({"base_failed": rules["short"] | rules["repeats"], "failed": failed})
     out = out.join(bad, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("__host"), "left").drop("__host")
     out = out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
