@@ -10,9 +10,10 @@ import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words a worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: ASCII punctuation but the apostrophe, which opens patterns of its own.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARK_SET = frozenset(_MARKS)
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
@@ -60,39 +61,40 @@ class WordIds:
     def _learn(self, missing: set[bytes]) -> None:
         """Encode words not seen before. Plain words of letters are encoded many at a time: each is one run, and only its
         last id ends a word. Letters followed by punctuation are the ids of both parts, as the pattern splits them there."""
-        ended, plain, marks = [], set(), set()
-        for w in missing:
-            stem = w.rstrip(_MARKS)
-            if stem and len(stem) < len(w) and 97 <= stem[-1] <= 122:
-                rest = w[len(stem):]
-                ended.append((w, stem, rest))
-                plain.add(stem)
-                marks.add(rest)
-            else:
-                plain.add(w)
-        joined, single = [], []
-        for w in (plain | marks).difference(self.at):
-            t = w.decode("utf-8", "replace")
-            (joined if t.isalpha() and t == t.lower() and max(t) < "\u0250" else single).append((w, t))
-        for lo in range(0, len(joined), 2000):
-            some = joined[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, np.uint32)
+        at = self.at
+        ended = [(w, s) for w, s in ((w, w.rstrip(_MARKS)) for w in missing if w[-1] in _MARK_SET) if s and 97 <= s[-1] <= 122]
+        plain = missing.difference([w for w, _ in ended])
+        plain.update([s for _, s in ended if s not in at], {w[len(s):] for w, s in ended}.difference(at))
+        ascii_ = [w for w in plain if w.isalpha()]  # of bytes: a-z only
+        single = []
+        if len(ascii_) < len(plain):
+            for w in plain.difference(ascii_):
+                t = w.decode("utf-8", "replace")
+                if t.isalpha() and t == t.lower() and max(t) < "\u0250":
+                    ascii_.append(w)
+                else:
+                    single.append((w, t))
+        for lo in range(0, len(ascii_), 2000):
+            some = ascii_[lo : lo + 2000]
+            (found,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
             edge = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
             if len(edge) == len(some) + 1:
-                self._add([w for w, _ in some], ids, np.diff(edge))
+                self._add(some, ids, np.diff(edge))
             else:
-                single += some
-        self._each([w for w, _ in single], [self.tokenizer.encode(t, add_special_tokens=False).ids for _, t in single])
-        at, start, size = self.at, self.start, self.size
-        both = []
-        for w, stem, rest in ended:
-            i, j = at[stem], at[rest]
-            both.append(np.concatenate([self.pool[start[i] : start[i] + size[i]], self.pool[start[j] : start[j] + size[j]]]))
-        self._each([w for w, _, _ in ended], both)
-
-    def _each(self, words, ids) -> None:
-        if words:
-            self._add(words, np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids]))
+                single += [(w, w.decode()) for w in some]
+        if single:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in single], add_special_tokens=False)]
+            self._add([w for w, _ in single], np.array(list(chain.from_iterable(found)), np.uint32), np.array([len(x) for x in found]))
+        if ended:
+            pair = np.array([[at[s], at[w[len(s):]]] for w, s in ended]).ravel()
+            size = self.size[pair].astype(np.int64)
+            self._add([w for w, _ in ended], self._ids(pair, size), size.reshape(-1, 2).sum(axis=1))
+
+    def _ids(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        upto = np.cumsum(size)
+        return self.pool[np.repeat(self.start[words] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
 
     def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.lower().split() for t in texts]
@@ -125,7 +127,7 @@ class WordIds:
         word, count = self._words([b"" if k in odd else t for k, t in enumerate(texts)])
         size = self.size[word].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.start[word] - upto[:-1], size) + np.arange(upto[-1])]
+        ids = self._ids(word, size)
         edge = upto[np.concatenate([[0], np.cumsum(count)])]
         if odd:
             parts = [np.array(odd[k], np.uint32) if k in odd else ids[edge[k] : edge[k + 1]] for k in range(len(texts))]
