@@ -64,7 +64,10 @@ def period_name(period_s: Column) -> Column:
     hz = 1.0 / period_s
 
     def short(x):
-        s = F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+        """Six significant digits without closing zeros, as the name of a timer has them."""
+        s = F.format_string("%.0f", x)
+        for whole in range(5, 0, -1):
+            s = F.when(x < 10.0**whole, F.regexp_replace(F.format_string(f"%.{6 - whole}f", x), r"\.?0+$", "")).otherwise(s)
         return s
 
     return F.when(period_s <= 0, F.lit("oracle")).otherwise(

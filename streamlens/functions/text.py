@@ -79,11 +79,11 @@ def option_letter(text: Column) -> Column:
 
 
 def clock_seconds(ts: Column) -> Column:
-    """``HH:MM:SS`` or ``MM:SS`` (or bare seconds) to seconds."""
+    """``HH:MM:SS`` or ``MM:SS`` (or bare seconds) to seconds; NULL for anything else."""
     p = F.split(F.trim(ts), ":")
     p = F.concat(F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 3 - F.size(p))), p)
-    n = [F.element_at(p, i).cast("int") for i in (1, 2, 3)]
-    return (n[0] * 3600 + n[1] * 60 + n[2]).cast("double")
+    n = [F.element_at(p, i).try_cast("int") for i in (1, 2, 3)]
+    return F.when(F.size(p) == 3, (n[0] * 3600 + n[1] * 60 + n[2]).cast("double"))
 
 
 def choice_prompt(question: Column, options: Column) -> Column:

@@ -13,19 +13,19 @@ def asof(queries: DataFrame, evidence: DataFrame, keys: list[str], carry: list[s
     """Latest evidence with ``e_time <= q_time`` per query; unanswered queries keep NULLs.
 
     One union and one ordered carry, no inequality join. Among evidence of equal time the one with
-    the largest ``e_tie`` counts.
+    the largest ``e_tie`` counts, compared as what it is (9 comes before 10).
     """
     e = evidence.select(
-        *keys, F.col(e_time).alias("_t"), F.lit(0).alias("_side"), F.col(e_tie).cast("string").alias("_tie"),
+        *keys, F.col(e_time).alias("_t"), F.lit(0).alias("_side"), F.col(e_tie).alias("_etie"),
         F.struct(F.col(e_time).alias("evidence_t"), *carry).alias("_e"),
     )
     q_cols = [c for c in queries.columns if c not in keys]
     q = queries.select(
-        *keys, F.col(q_time).alias("_t"), F.lit(1).alias("_side"), F.col(q_tie).cast("string").alias("_tie"),
+        *keys, F.col(q_time).alias("_t"), F.lit(1).alias("_side"), F.col(q_tie).alias("_qtie"),
         F.struct(*q_cols).alias("_q"),
     )
     both = e.unionByName(q, allowMissingColumns=True)
-    laid = lay_out(both, keys, ["_t", "_side", "_tie"], within=within).last(_ev="_e")
+    laid = lay_out(both, keys, ["_t", "_side", "_etie", "_qtie"], within=within).last(_ev="_e")
     return laid.df.filter("_side = 1").select(
         *keys, *[F.col("_q")[c].alias(c) for c in q_cols], F.col("_ev.evidence_t").alias("evidence_t"),
         *[F.col("_ev")[c].alias(c) for c in carry],

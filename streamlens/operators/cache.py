@@ -12,47 +12,49 @@ from pyspark.sql import types as T
 
 from streamlens.functions import vec
 from streamlens.operators.fold import Kernel, fold
-from streamlens.operators.layout import Laid
+from streamlens.operators.layout import Laid, join_on
 from streamlens.operators.policies import Policy, Trigger
 from streamlens.operators.quantiles import auc, quantiles_where
 
 
 class Store:
-    """Entries of one stream, oldest first. Never more than ``size`` of them."""
+    """At most ``size`` entries of one stream, oldest first: their keys as rows of one matrix, the rest as a table."""
 
     def __init__(self, threshold: float, size: int, max_age: float, saved: dict | None = None) -> None:
         self.threshold, self.size, self.max_age = threshold, size, max_age
-        saved = saved or {"emb": [], "frame": [], "state": [], "t": [], "hits": []}
-        self.emb = [np.array(e, dtype=np.float64) for e in saved["emb"]]
-        self.frame, self.state = list(saved["frame"]), list(saved["state"])
-        self.t, self.hits = list(saved["t"]), list(saved["hits"])
+        self.keys = np.array(saved["keys"], dtype=np.float64) if saved and saved["keys"] else np.empty((0, 0))
+        self.info = np.array([tuple(x) for x in saved["info"]] if saved else [], dtype=[("frame", "i8"), ("state", "i8"), ("t", "f8"), ("hits", "i8")])
         self.evicted = 0
 
+    def __len__(self) -> int:
+        return len(self.info)
+
     def saved(self) -> dict:
-        return {"emb": [e.tolist() for e in self.emb], "frame": self.frame, "state": self.state,
-                "t": self.t, "hits": self.hits}
+        return {"keys": self.keys.tolist(), "info": [list(x) for x in self.info.tolist()]}
+
+    def entry(self, i: int) -> tuple[int, int, float]:
+        frame, state, t, _ = self.info[i].tolist()
+        return frame, state, t
 
     def lookup(self, e: np.ndarray, t: float) -> tuple[int | None, float | None]:
         """(entry, best similarity). Ties go to the earliest entry."""
-        if not self.emb:
+        if not len(self):
             return None, None
-        sims = np.stack(self.emb) @ e
-        fresh = (sims >= self.threshold) & (t - np.array(self.t) <= self.max_age)
-        best = float(sims.max())
-        if not fresh.any():
-            return None, best
-        i = int(np.argmax(np.where(fresh, sims, -np.inf)))
-        self.hits[i] += 1
+        sims = self.keys @ e
+        usable = np.flatnonzero((sims >= self.threshold) & (t - self.info["t"] <= self.max_age))
+        if not len(usable):
+            return None, float(sims.max())
+        i = int(usable[np.argmax(sims[usable])])
+        self.info["hits"][i] += 1
         return i, float(sims[i])
 
     def add(self, e: np.ndarray, frame: int, state: int, t: float) -> None:
-        """The new entry joins first, so it can be the one evicted: fewest hits, then oldest."""
-        for xs, x in zip((self.emb, self.frame, self.state, self.t, self.hits), (e, frame, state, t, 0)):
-            xs.append(x)
-        while len(self.emb) > self.size:
-            i = min(range(len(self.emb)), key=lambda k: (self.hits[k], self.t[k]))
-            for xs in (self.emb, self.frame, self.state, self.t, self.hits):
-                xs.pop(i)
+        """Append an entry; of one too many the least used goes, of equals the oldest. That may be the new one itself."""
+        self.keys = np.vstack([self.keys.reshape(-1, len(e)), e])
+        self.info = np.append(self.info, np.array([(frame, state, t, 0)], dtype=self.info.dtype))
+        if len(self) > self.size:
+            worst = np.lexsort((self.info["t"], self.info["hits"]))[0]
+            self.keys, self.info = np.delete(self.keys, worst, axis=0), np.delete(self.info, worst)
             self.evicted += 1
 
 
@@ -97,9 +99,9 @@ class CacheRun(Kernel):
                     if thr is not None:
                         store.add(emb[i], *ev)
                 else:
-                    ev = (store.frame[hit], store.state[hit], store.t[hit])
+                    ev = store.entry(hit)
                 rows.append((thr, int(frames[i]), float(t[i]), int(st[i]), hit is not None, sim, *ev,
-                             store.evicted - evicted, len(store.emb)))
+                             store.evicted - evicted, len(store)))
             saved.append(store.saved())
         names = [
             "cache_threshold", "frame_idx", "t", "state_id", "hit", "similarity", "evidence_frame",
@@ -126,7 +128,7 @@ def replay(laid: Laid, served: DataFrame, thresholds: list, fps: float = 30.0, w
     what = F.struct("evidence_frame", "evidence_state", "hit", "evictions")
     per_row = trig.groupBy(*keys, "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("tid", what.alias("e")))).alias("_m"))
     cols = dict.fromkeys([*laid.parts, *laid.order, "frame_idx", "state_id"])
-    held = laid.with_df(laid.df.select(*cols).join(per_row, [*keys, "frame_idx"], "left"))
+    held = laid.with_df(join_on(laid.df.select(*cols), per_row, [*keys, "frame_idx"], "left"))
     held = held.last(**{f"_h{i}": F.element_at("_m", F.lit(i)) for i in range(n)})
     settings = [F.struct(F.col(f"_h{i}").alias("h"), F.element_at("_m", F.lit(i)).alias("m")) for i in range(n)]
     long = held.df.select(*keys, "frame_idx", "state_id", F.posexplode(F.array(*settings)).alias("tid", "x"))
@@ -199,7 +201,7 @@ def best_earlier_similarity(fired: Laid, block: int = 4096) -> DataFrame:
     laid = fired.row_number("_n")
     rows = laid.df.select(*keys, "frame_idx", "_n", "embedding", F.floor(F.col("_n") / block).alias("_b"))
     top = rows.groupBy(*keys).agg(F.max("_b").alias("_top"))
-    rows = rows.join(top, keys)
+    rows = join_on(rows, top, keys)
     # Block b is the later side of pairs (b, 0..b) and the earlier side of pairs (b..top, b).
     later = rows.withColumn("_e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b")))).withColumn("_l", F.col("_b"))
     earlier = rows.withColumn("_l", F.explode(F.sequence(F.col("_b"), F.col("_top")))).withColumn("_e", F.col("_b"))
@@ -223,16 +225,22 @@ def best_earlier_similarity(fired: Laid, block: int = 4096) -> DataFrame:
     return parts.groupBy(*keys, "frame_idx").agg(F.max("best").alias("best_similarity"))
 
 
+#: Steps of the two draws of a pair, as parts of the stream.
+STEPS = (0.6180339887498949, 0.7548776662466927)
+
+
 def key_pairs(laid: Laid, draws: int = 4000) -> DataFrame:
     """``draws`` repeatable row pairs per stream with their similarity and whether the state agrees."""
     keys = list(laid.keys)
-    n = laid.df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    numbered = laid.row_number("_p").df
+    n = numbered.groupBy(*keys).agg(F.count("*").alias("_n"))
     k = n.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    pairs = k.select(*keys, "_k", (F.col("_k") * 7919 % F.col("_n")).alias("_i"),
-                     ((F.col("_k") * 104729 + F.floor(F.col("_k") / F.col("_n")) * 31 + 13) % F.col("_n")).alias("_j")).filter("_i <> _j")
-    left = laid.df.select(*keys, F.col("frame_idx").alias("_i"), F.col("embedding").alias("_a"), F.col("state_id").alias("_sa"))
-    right = laid.df.select(*keys, F.col("frame_idx").alias("_j"), F.col("embedding").alias("_b"), F.col("state_id").alias("_sb"))
-    return pairs.join(left, [*keys, "_i"]).join(right, [*keys, "_j"]).select(
+    # the k-th draw is a fraction of the stream, spread by two irrational steps: every length is covered from end to end
+    pick = lambda step: F.floor((F.col("_k") * step - F.floor(F.col("_k") * step)) * F.col("_n"))
+    pairs = k.select(*keys, "_k", pick(STEPS[0]).alias("_i"), pick(STEPS[1]).alias("_j")).filter("_i <> _j")
+    left = numbered.select(*keys, F.col("_p").alias("_i"), F.col("embedding").alias("_a"), F.col("state_id").alias("_sa"))
+    right = numbered.select(*keys, F.col("_p").alias("_j"), F.col("embedding").alias("_b"), F.col("state_id").alias("_sb"))
+    return join_on(join_on(pairs, left, [*keys, "_i"]), right, [*keys, "_j"]).select(
         *keys, "_k", vec.dot(F.col("_a"), F.col("_b")).alias("similarity"), (F.col("_sa") == F.col("_sb")).alias("same_state"))
 
 
@@ -246,4 +254,4 @@ def key_quality(pairs: DataFrame, keys: list[str]) -> DataFrame:
     same = F.col("same_state")
     q = quantiles_where(pairs, keys, "similarity", {
         "same_median": (same, 0.5), "same_p10": (same, 0.1), "diff_median": (~same, 0.5), "diff_p90": (~same, 0.9)}, within=small)
-    return a.join(q, keys).drop("n_pos", "n_neg")
+    return join_on(a, q, keys).drop("n_pos", "n_neg")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlens.operators.layout import lay_out
+from streamlens.operators.layout import join_on, lay_out
 from streamlens.operators.scoring import rank_first
 
 
@@ -58,7 +58,7 @@ def thin(df: DataFrame, by: list[str], order: list[str], keep: int = 1, newest:
     key = F.struct(*order)
     kept = key >= F.col("_edge") if newest else key <= F.col("_edge")
     reason = "superseded_by_newer" if keep == 1 and newest else "queue_full_drop_oldest" if newest else "queue_full_drop_newest"
-    return df.join(border, by).withColumn("kept", kept).withColumn(
+    return join_on(df, border, by).withColumn("kept", kept).withColumn(
         "reason", F.when(~F.col("kept"), F.lit(reason))).drop("_edge")
 
 

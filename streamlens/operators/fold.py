@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamlens.operators.layout import CHUNK, Laid
+from streamlens.operators.layout import CHUNK, Laid, join_on
 from streamlens.session import cut_lineage
 
 ENTRY = "_entry"
@@ -202,14 +202,14 @@ def entry_states(rows: DataFrame, keys: list[str], order: list[str], kernel: Ker
     todo = rows  # every chunk once with its first entry, then only those that changed
     exits = None
     while True:
-        begin = entries if exits is None else entries.join(moved, parts, "left_semi")
+        begin = entries if exits is None else join_on(entries, moved, parts, "left_semi")
         fresh = _run_states(_with_entries(todo, begin), parts, order, kernel, cold=False)
         if exits is not None:
-            fresh = fresh.unionByName(exits.join(fresh.select(*parts), parts, "left_anti"))
+            fresh = fresh.unionByName(join_on(exits, fresh.select(*parts), parts, "left_anti"))
         exits = cut_lineage(fresh)
         w = Window.partitionBy(*keys).orderBy(CHUNK)
         handed = exits.select(*parts, F.lag("_state").over(w).alias("_next"))
-        checked = entries.join(handed, parts).withColumn(
+        checked = join_on(entries, handed, parts).withColumn(
             "_moved", F.when(F.col("_next").isNotNull(), differs("_state", F.coalesce("_next", "_state"))).otherwise(False)
         )
         checked = cut_lineage(
@@ -219,7 +219,7 @@ def entry_states(rows: DataFrame, keys: list[str], order: list[str], kernel: Ker
         moved = checked.filter("_moved").select(*parts)
         if moved.isEmpty():
             return entries
-        todo = rows.join(moved, parts, "left_semi")
+        todo = join_on(rows, moved, parts, "left_semi")
 
 
 def fold(laid: Laid, kernel: Kernel) -> DataFrame:

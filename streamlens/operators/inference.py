@@ -53,7 +53,7 @@ def chat_request(prompt: Column, payload: Column, *, payload_first: bool = False
     text = F.struct(F.lit("text").alias("type"), prompt.alias("text"), F.lit(None).cast("struct<url:string>").alias("image_url")).cast(part_type)
     image = F.struct(
         F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"),
-        F.struct(F.concat(F.lit("data:image/jpeg;base64,"), payload).alias("url")).alias("image_url")).cast(part_type)
+        F.struct(F.concat(F.lit("data:image/jpeg;base64,"), F.translate(payload, "\r\n", "")).alias("url")).alias("image_url")).cast(part_type)
     parts = F.array(image, text) if payload_first else F.array(text, image)
     user = F.to_json(F.struct(F.lit("user").alias("role"), parts.alias("content")))
     messages = user
@@ -61,4 +61,4 @@ def chat_request(prompt: Column, payload: Column, *, payload_first: bool = False
         messages = F.concat(F.to_json(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), F.lit(","), user)
     tail = F.to_json(F.struct(
         F.lit(max_tokens).alias("max_tokens"), F.lit(float(temperature)).alias("temperature"), F.lit(stream).alias("stream")))
-    return F.concat(F.lit('{"messages":['), messages, F.lit("],"), F.substring(tail, 2, 1_000_000))
+    return F.concat(F.lit('{"messages":['), messages, F.lit("],"), F.right(tail, F.length(tail) - 1))

@@ -6,8 +6,9 @@ window functions. When a key holds more than ``spark.streamlens.chunkRows`` rows
 into time-contiguous chunks of about that size and what crosses a chunk border (the previous row, the
 last non-null value, the sum so far) travels through a table with one row per chunk.
 
-Sizes are measured with one column-pruned aggregate. A stale or wrong measurement changes only how
-evenly work is spread, never a result: the chunk number is monotone in the order column either way.
+Sizes are measured with one column-pruned aggregate each time a table is laid out. Chunk borders are rows
+of the key in its full order, so neither a far-off time nor a burst nor tied times leave a chunk large. A
+NULL key is a key like any other: everything that crosses a border is joined null-safely.
 """
 
 from __future__ import annotations
@@ -17,15 +18,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from streamlens.session import cut_lineage
+from streamlens.session import cut_lineage, stored
 
 CHUNK = "_chunk"
-CELLS_PER_CHUNK = 64
-MAX_BROADCAST_CELLS = 500_000
-
-_measured: dict[tuple, list] = {}
 
 
 def chunk_rows(df: DataFrame) -> int:
@@ -94,7 +90,7 @@ class Laid:
             {n: F.last(F.col(n), ignorenulls=True).over(self._before())["v"] for n in cols},
             "_c_",
         )
-        df = self.df.join(carry, self.parts, "left")
+        df = join_on(self.df, carry, self.parts, "left")
         first = F.row_number().over(w) == 1
         df = df.withColumns(
             {n: F.when(first, F.col("_c_" + n)).otherwise(F.lag(c).over(w)) for n, c in cols.items()}
@@ -117,7 +113,7 @@ class Laid:
             {n: F.last(F.col(n), ignorenulls=True).over(self._before()) for n in cols},
             "_c_",
         )
-        df = self.df.join(carry, self.parts, "left").withColumns(
+        df = join_on(self.df, carry, self.parts, "left").withColumns(
             {n: F.coalesce(F.last(c, True).over(w), F.col("_c_" + n)) for n, c in cols.items()}
         )
         return self.with_df(df.drop(*["_c_" + n for n in cols]))
@@ -135,7 +131,7 @@ class Laid:
             {n: F.sum(n).over(self._before()) for n in cols},
             "_c_",
         )
-        df = self.df.join(carry, self.parts, "left")
+        df = join_on(self.df, carry, self.parts, "left")
         out = {}
         for n, c in cols.items():
             here, earlier = F.sum(c).over(w), F.col("_c_" + n)
@@ -164,7 +160,7 @@ class Laid:
         heads = heads.select(
             *self.parts, F.slice(F.flatten(F.collect_list("_h").over(after)), 1, n).alias(name)
         )
-        return self.with_df(self.df.join(cut_lineage(heads), self.parts, "left"))
+        return self.with_df(join_on(self.df, cut_lineage(heads), self.parts, "left"))
 
 
 def lay_out(
@@ -185,64 +181,32 @@ def lay_out(
     if within is not None and not within.split:
         return Laid(df, keys, order, False)
     target = target_rows or chunk_rows(df)
-    clock = F.col(order[0])
-    sizes = df.select(*keys, clock.cast("double").alias("_x"))
-    ident = (sizes.semanticHash(), keys, order[0], target)
-    if ident not in _measured:
-        big = (
-            sizes.groupBy(*keys)
-            .agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-            .filter(F.col("_n") > target)
-        )
-        _measured[ident] = big.take(MAX_BROADCAST_CELLS // CELLS_PER_CHUNK)
-    big_rows = _measured[ident]
-    if not big_rows:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > target)
+    big = stored(sizes, "large-keys")
+    n_chunks = big.agg(F.sum(F.ceil(F.col("_n") / F.lit(target)))).first()[0]
+    if not n_chunks:
         return Laid(df, keys, order, False)
 
-    # Cut each large key into equal-width cells and group neighbouring cells into even chunks.
-    spark = df.sparkSession
-    key_fields = [f for f in sizes.schema.fields if f.name in keys]
-    big_df = spark.createDataFrame(
-        [tuple(r) for r in big_rows],
-        T.StructType(
-            key_fields
-            + [T.StructField("_n", T.LongType()), T.StructField("_lo", T.DoubleType()),
-               T.StructField("_hi", T.DoubleType())]
-        ),
-    )
-    n_cells = F.ceil(F.col("_n") * CELLS_PER_CHUNK / F.lit(target))
-    cell = F.least(
-        F.greatest(
-            F.floor((clock.cast("double") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)) * n_cells),
-            F.lit(0),
-        ),
-        n_cells,
-    )
-    if keys:
-        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-        joined = df.alias("l").join(F.broadcast(big_df.alias("b")), on, "left").select(
-            "l.*", "b._n", "b._lo", "b._hi"
-        )
-    else:
-        whole = big_rows[0]  # the whole table is the only group
-        joined = df.withColumns(
-            {"_n": F.lit(whole["_n"]), "_lo": F.lit(whole["_lo"]), "_hi": F.lit(whole["_hi"])}
-        )
-    celled = joined.withColumn("_cell", F.when(F.col("_n").isNotNull(), cell)).drop("_n", "_lo", "_hi")
-    counts = celled.filter(F.col("_cell").isNotNull()).groupBy(*keys, "_cell").agg(F.count("*").alias("_k"))
-    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.select(
-        *keys, "_cell",
-        F.floor(F.coalesce(F.sum("_k").over(upto), F.lit(0)) / F.lit(target)).cast("long").alias(CHUNK),
-    )
-    cell_rows = cells.take(MAX_BROADCAST_CELLS + 1)
-    if len(cell_rows) <= MAX_BROADCAST_CELLS:  # the usual case: a checked, small map
-        cells = F.broadcast(spark.createDataFrame(cell_rows, cells.schema))
-    else:  # beyond the bound: (key, cell) is an even join key, so a shuffle join is balanced
-        cells = cut_lineage(cells)
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys] + [F.col("l._cell") == F.col("c._cell")]
-    out = (
-        celled.alias("l").join(cells.alias("c"), on, "left")
-        .select("l.*", F.coalesce(F.col(f"c.{CHUNK}"), F.lit(-1)).alias(CHUNK)).drop("_cell")
-    )
-    return Laid(out, keys, order, True)
+    # Borders come from the rows themselves: a range sort of the large keys by (key, order) deals them out evenly whatever
+    # the spacing, and the first row of a key in each range opens a chunk. Only rows equal in the whole order stay together.
+    large = join_on(df.select(*keys, *order), big.drop("_n"), keys, "left_semi") if keys else df.select(*order)
+    dealt = large.repartitionByRange(int(n_chunks), *keys, *order).withColumn("_part", F.spark_partition_id())
+    firsts = dealt.groupBy(*keys, "_part").agg(F.min(F.struct(*order)).alias("_first"))
+    borders = stored(firsts.groupBy(*keys).agg(F.sort_array(F.collect_list("_first")).alias("_borders")), "chunk-borders")
+    here = F.struct(*order)
+    joined = join_on(df, borders, keys, "left") if keys else df.crossJoin(F.broadcast(borders))
+    passed = F.size(F.filter("_borders", lambda b: b <= here)) - 1
+    chunk = F.when(F.col("_borders").isNull(), F.lit(-1)).otherwise(F.greatest(passed, F.lit(0))).cast("long")
+    return Laid(joined.withColumn(CHUNK, chunk).drop("_borders"), keys, order, True)
+
+
+def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of both sides in which NULL equals NULL; the left side's columns are kept. Other columns of the
+    two sides must differ in name."""
+    on = list(on)
+    right = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    out = left.join(right, match, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_on_{c}" for c in on])

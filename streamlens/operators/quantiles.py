@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamlens.operators.layout import Laid, lay_out
+from streamlens.operators.layout import Laid, join_on, lay_out
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -36,7 +36,8 @@ def quantiles_where(df: DataFrame, keys: Sequence[str], value: str, which: dict[
             F.percentile(F.when(c, F.col(value).cast("double")), F.lit(float(p))).alias(n) for n, (c, p) in which.items()])
     out = df.select(*keys).distinct()
     for n, (c, p) in which.items():
-        out = out.join(quantiles(df.filter(c), keys, value, [p]).withColumnRenamed("q_0", n), keys, "left")
+        one = quantiles(df.filter(c), keys, value, [p]).withColumnRenamed("q_0", n)
+        out = join_on(out, one, keys, "left") if keys else out.crossJoin(one)
     return out
 
 
@@ -108,6 +109,6 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, positive: str, within: L
 def _attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Join one row per key; without keys there is exactly one row, found by a constant."""
     if keys:
-        return df.join(per_key, keys)
+        return join_on(df, per_key, keys)
     one = F.lit(1)
     return df.withColumn("_one", one).join(F.broadcast(per_key.withColumn("_one", one)), "_one").drop("_one")

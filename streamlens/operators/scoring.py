@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streamlens.functions.text import bag_f1, content_words
 from streamlens.operators import signals
-from streamlens.operators.layout import Laid
+from streamlens.operators.layout import Laid, join_on
 from streamlens.operators.quantiles import auc, quantiles, quantiles_where
 
 
@@ -17,7 +17,7 @@ def mark_fired(trace: Laid, decisions: DataFrame) -> Laid:
     """Flag the trace rows one policy fired on."""
     keys = list(trace.keys)
     hits = decisions.select(*keys, "frame_idx", F.lit(True).alias("_hit"))
-    df = trace.df.join(hits, [*keys, "frame_idx"], "left")
+    df = join_on(trace.df, hits, [*keys, "frame_idx"], "left")
     return trace.with_df(df.withColumn("fired", F.coalesce("_hit", F.lit(False))).drop("_hit"))
 
 
@@ -68,7 +68,7 @@ def score(trace: Laid, fps: float = 30.0, warmup: int = 15, with_text: bool = Tr
     )
     if trace.split:
         q = quantiles(rows, keys, "_s", [0.95]).withColumnRenamed("q_0", "staleness_ms_p95")
-        out = out.join(q, keys, "left")
+        out = join_on(out, q, keys, "left")
     c = F.col
     return out.select(
         *keys, "n_rows", "n_calls",
@@ -109,7 +109,7 @@ def versus(rows: DataFrame, base: Column, on: list[str], ratio: dict[str, str],
     cols = set(ratio.values()) | set(delta.values())
     if on:
         b = rows.filter(base).select(*on, *[F.col(c).alias("_b_" + c) for c in cols])
-        both = rows.join(b, on, "left")
+        both = join_on(rows, b, on, "left")
     else:
         b = rows.filter(base).agg(*[F.first(c).alias("_b_" + c) for c in cols]).withColumn("_one", F.lit(1))
         both = rows.withColumn("_one", F.lit(1)).join(F.broadcast(b), "_one").drop("_one")
@@ -165,7 +165,7 @@ def separability(trace: Laid, response: int, margin: int, warmup: int,
     q = quantiles_where(rows, by, "v", {
         "event_median": (F.col("is_event"), 0.5), "quiet_p95": (F.col("is_quiet"), 0.95)}, within=trace)
     return (
-        a.join(q, by, "left")
+        join_on(a, q, by, "left")
         .withColumnRenamed("n_pos", "n_event_rows").withColumnRenamed("n_neg", "n_quiet_rows")
         .withColumn("clears", F.col("event_median") > F.col("quiet_p95"))
     )
@@ -223,7 +223,7 @@ def oversampling(trace: Laid, timer_calls: DataFrame, t: str = "t") -> DataFrame
     ev = signals.transitions(trace).df.groupBy(*keys).agg(F.count("*").alias("_e"))
     calls = timer_calls.groupBy(*keys).agg(F.count("*").alias("_c"))
     zero = F.lit(0).cast("long")
-    out = base.join(ev, keys, "left").join(calls, keys, "left").select(
+    out = join_on(join_on(base, ev, keys, "left"), calls, keys, "left").select(
         *keys, "duration_s", F.coalesce("_e", zero).alias("events"), F.coalesce("_c", zero).alias("timer_calls"))
     return out.withColumns({
         "s_per_event": F.try_divide(F.col("duration_s"), F.col("events")),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from streamlens.functions import vec
 from streamlens.operators.fold import Kernel, fold
-from streamlens.operators.layout import Laid
+from streamlens.operators.layout import Laid, join_on
 from streamlens.operators.policies import AdaptiveQuantile
 from streamlens.session import cut_lineage
 
@@ -224,9 +224,9 @@ def call_labels(calls: Laid, state: str = "state_id") -> Laid:
 
 
 def scene_states(laid: Laid, answer: str = "answer", t: str = "t") -> DataFrame:
-    """Islands of equal consecutive answers: since when, first evidence row, confirmations."""
-    laid = laid.lag(_p=answer)
-    changed = F.when(F.col("_p").isNull() | (F.col("_p") != F.col(answer)), 1).otherwise(0)
+    """Islands of equal consecutive answers: since when, first evidence row, confirmations. No answer (NULL) is an island too."""
+    laid = laid.row_number("_first").lag(_p=answer)
+    changed = F.when((F.col("_first") == 0) | ~F.col("_p").eqNullSafe(F.col(answer)), 1).otherwise(0)
     laid = laid.running(island=changed)
     return laid.df.groupBy(*laid.keys, "island").agg(
         F.first(answer).alias("answer"), F.min(t).alias("since_t"), F.max(t).alias("last_t"),
@@ -268,7 +268,7 @@ def next_value(laid: Laid, value: Column, out: str) -> Laid:
     )
     after = Window.partitionBy(*laid.keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select(*laid.parts, F.last("_v", True).over(after).alias("_later"))
-    df = laid.df.join(cut_lineage(heads), laid.parts, "left")
+    df = join_on(laid.df, cut_lineage(heads), laid.parts, "left")
     return laid.with_df(
         df.withColumn(out, F.coalesce(F.last(value, True).over(w), F.col("_later"))).drop("_later")
     )
@@ -302,9 +302,9 @@ def rolling_mean(laid: Laid, value: str, dt: str, out: str = "smooth") -> DataFr
     med = quantiles(gaps, laid.keys, "_gap", [0.5], within=laid)
     n = F.greatest(F.lit(1), F.round(1.0 / F.greatest(F.lit(1e-6), F.col("q_0")))).cast("long")
     spans = med.select(*laid.keys, n.alias("n_rows"))
-    df = laid.df.join(spans, list(laid.keys))
+    df = join_on(laid.df, spans, laid.keys)
     earlier = df.select(*laid.keys, (F.col("_rn") + F.col("n_rows")).alias("_rn"), F.col("_sum").alias("_old"))
-    df = df.join(earlier, [*laid.keys, "_rn"], "left").filter(F.col("_rn") + 1 >= F.col("n_rows"))
+    df = join_on(df, earlier, [*laid.keys, "_rn"], "left").filter(F.col("_rn") + 1 >= F.col("n_rows"))
     return df.withColumn(out, (F.col("_sum") - F.coalesce("_old", F.lit(0.0))) / F.col("n_rows")).drop("_rn", "_sum", "_old", "_chunk")
 
 
@@ -359,5 +359,6 @@ def first_value(laid: Laid, value: str, out: str) -> Laid:
         return laid.transform(lambda d: d.withColumn(out, F.first(value).over(w)))
     first = laid.df.groupBy(*laid.keys).agg(F.min_by(value, F.struct(*laid.order)).alias("_fv"))
     # One row per key; joined on the chunked parts so a large key stays spread.
-    per_part = laid.df.select(*laid.parts).distinct().join(first, list(laid.keys))
-    return laid.with_df(laid.df.join(cut_lineage(per_part), laid.parts, "left").withColumnRenamed("_fv", out))
+    parts = laid.df.select(*laid.parts).distinct()
+    per_part = join_on(parts, first, laid.keys) if laid.keys else parts.crossJoin(first)
+    return laid.with_df(join_on(laid.df, cut_lineage(per_part), laid.parts, "left").withColumnRenamed("_fv", out))

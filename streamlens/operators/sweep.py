@@ -15,19 +15,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlens.functions.words import pair_f1
+from streamlens.functions.text import content_words
 from streamlens.operators.fold import fold
-from streamlens.operators.layout import CHUNK, Laid
+from streamlens.operators.layout import CHUNK, Laid, join_on
 from streamlens.operators.policies import SIGNALS, Bank, Policy, Trigger
 
 
-def _bag_f1(cache: dict, a: str, b: str) -> float:
-    """F1 of two answers, remembered per pair of texts."""
+#: Content words of an answer in order, as one text: what the kernel compares.
+BAG = "_bag"
+
+
+def with_bags(laid: Laid) -> Laid:
+    """Add the content words of ``answer``, found in the JVM, as sorted text."""
+    return laid.transform(lambda d: d.withColumn(BAG, F.concat_ws(" ", F.sort_array(content_words(F.col("answer"))))))
+
+
+def _bag_f1(cache: dict, a: str | None, b: str | None) -> float:
+    """F1 of two sorted word texts, 2 * shared / (words of a + words of b), remembered per pair; two empty ones agree."""
     hit = cache.get((a, b))
     if hit is None:
         if len(cache) > 200_000:
             cache.clear()
-        hit = cache[(a, b)] = pair_f1(a, b)
+        x, y = (np.array((t or "").split(), dtype=object) for t in (a, b))
+        words, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+        size = len(words)
+        shared = np.minimum(np.bincount(code[: len(x)], minlength=size), np.bincount(code[len(x):], minlength=size)).sum() if size else 0
+        hit = cache[(a, b)] = 2.0 * float(shared) / (len(x) + len(y)) if size else 1.0
     return hit
 
 
@@ -44,7 +57,7 @@ class SweepScore(Trigger):
 
     def __post_init__(self):
         super().__post_init__()
-        self.columns = ["frame_idx", "t", *SIGNALS, "state_id"] + (["answer"] if self.with_text else [])
+        self.columns = ["frame_idx", "t", *SIGNALS, "state_id"] + ([BAG] if self.with_text else [])
         self.schema = (
             "pid int, " + ", ".join(f"{c} double" for c in SUMS)
             + (", waiting array<struct<state:long,n:double,total:double>>, first_call array<struct<state:long,frame:double>>"
@@ -91,7 +104,7 @@ class SweepScore(Trigger):
         acc = state["acc"] or {"sum": [[0.0] * size for _ in SUMS], "wait": {}, "first": {}}
         sums = {
             "n_rows": np.full(size, n), "n_scored": np.full(size, graded.sum()), "n_valid": (known & (h_state == now)).sum(0),
-            "f1_sum": self._text_sum(pdf["answer"].to_numpy(), pos, held, known) if self.with_text else np.zeros(size),
+            "f1_sum": self._text_sum(pdf[BAG].to_numpy(), pos, held, known) if self.with_text else np.zeros(size),
             "n_calls": fired.sum(0), "n_false": (labelled & (before == now)).sum(0), "n_justified": (labelled & (before != now)).sum(0),
             "stale_n": known.sum(0), "stale_sum": lag.sum(0) * (1000.0 / self.fps),
         }
@@ -102,7 +115,7 @@ class SweepScore(Trigger):
         acc["sum"] = [(np.array(a) + sums[c]).tolist() for a, c in zip(acc["sum"], SUMS)]
         last = pos[-1]
         helds = [
-            held[i] if last[i] < 0 else [int(frame[last[i]]), int(st[last[i]]), pdf["answer"].iloc[last[i]] if self.with_text else None]
+            held[i] if last[i] < 0 else [int(frame[last[i]]), int(st[last[i]]), pdf[BAG].iloc[last[i]] if self.with_text else None]
             for i in range(size)
         ]
         return {"p": carries, "held": helds, "prev": int(st[-1]), "acc": acc}, None
@@ -181,6 +194,8 @@ def sweep(laid: Laid, policies: list[Policy], fps: float = 30.0, warmup: int = 1
     kernel = SweepScore(policies, fps=fps, warmup=warmup, with_text=with_text)
     keys = list(laid.keys)
     spark = laid.df.sparkSession
+    if with_text:
+        laid = with_bags(laid)
     if laid.split:
         # Keep the chunk in the output: leftovers of a chunk are settled by the chunks after it.
         marked = laid.with_df(laid.df.withColumn("_at", F.col(CHUNK)))
@@ -199,13 +214,13 @@ def sweep(laid: Laid, policies: list[Policy], fps: float = 30.0, warmup: int = 1
             both.withColumn("_f", F.last("frame", ignorenulls=True).over(w)).filter("n is not null and _f is not null")
             .groupBy(*keys, "pid").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("_f") - F.col("total")).alias("_d"))
         )
-        sums = sums.join(late, [*keys, "pid"], "left").withColumns({
+        sums = join_on(sums, late, [*keys, "pid"], "left").withColumns({
             "n_covered": F.col("n_covered") + F.coalesce("_n", F.lit(0.0)),
             "delay_sum": F.col("delay_sum") + F.coalesce("_d", F.lit(0.0)),
         })
     else:
         sums = fold(laid, kernel)
-    return _finish(sums.join(F.broadcast(_policy_rows(spark, policies)), "pid"), keys, fps)
+    return _finish(sums.join(F.broadcast(_policy_rows(spark, policies)), "pid"), keys, fps, with_text)
 
 
 class _Marked(SweepScore):
@@ -231,7 +246,7 @@ class _Marked(SweepScore):
         return out
 
 
-def _finish(sums: DataFrame, keys: list[str], fps: float) -> DataFrame:
+def _finish(sums: DataFrame, keys: list[str], fps: float, with_text: bool) -> DataFrame:
     c = F.col
     minutes = c("n_rows") / F.lit(fps) / 60.0
     return sums.select(
@@ -240,7 +255,7 @@ def _finish(sums: DataFrame, keys: list[str], fps: float) -> DataFrame:
         F.try_divide(c("n_calls"), minutes).alias("calls_per_min"),
         F.try_divide(c("n_calls"), c("n_rows")).alias("call_fraction"),
         F.try_divide(c("n_valid"), c("n_scored")).alias("validity"),
-        F.try_divide(c("f1_sum"), c("n_scored")).alias("accuracy"),
+        (F.try_divide(c("f1_sum"), c("n_scored")) if with_text else F.lit(None).cast("double")).alias("accuracy"),
         F.try_divide(c("stale_sum"), c("stale_n")).alias("staleness_ms_mean"),
         c("n_false").cast("long").alias("false_triggers"),
         c("n_justified").cast("long").alias("justified_calls"),

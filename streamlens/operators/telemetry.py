@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamlens.operators.layout import Laid
+from streamlens.operators.layout import Laid, join_on
 
 
 def call_latencies(calls: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """Frame to first token and frame to answer; calls without a known frame drop out."""
     f = frames.select(*keys, "frame_id", F.col("t").alias("_t0"))
-    return calls.join(f, [*keys, "frame_id"]).select(
+    return join_on(calls, f, [*keys, "frame_id"]).select(
         *keys, "call_id", "frame_id",
         ((F.col("t_first_token") - F.col("_t0")) * 1000.0).alias("first_token_ms"),
         ((F.col("t_complete") - F.col("_t0")) * 1000.0).alias("answer_ms"))
@@ -23,7 +23,7 @@ def call_latencies(calls: DataFrame, frames: DataFrame, keys: list[str]) -> Data
 def answer_staleness(answers: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """Age of the evidence behind each answer."""
     f = frames.select(*keys, F.col("frame_id").alias("evidence_frame_id"), F.col("t").alias("_t0"))
-    return answers.join(f, [*keys, "evidence_frame_id"]).select(
+    return join_on(answers, f, [*keys, "evidence_frame_id"]).select(
         *keys, "answer_id", ((F.col("t") - F.col("_t0")) * 1000.0).alias("staleness_ms"))
 
 
@@ -33,7 +33,7 @@ def counts_and_rates(frames: DataFrame, drops: DataFrame, calls: DataFrame, keys
     dr = drops.groupBy(*keys).agg(F.count("*").alias("dropped"))
     ca = calls.groupBy(*keys).agg(F.count("*").alias("calls"))
     zero = F.lit(0).cast("long")
-    out = fr.join(dr, keys, "left").join(ca, keys, "left").withColumns(
+    out = join_on(join_on(fr, dr, keys, "left"), ca, keys, "left").withColumns(
         {"dropped": F.coalesce("dropped", zero), "calls": F.coalesce("calls", zero)})
     return out.withColumns({
         "drop_rate": F.try_divide(F.col("dropped"), F.col("captured") + F.col("dropped")),
@@ -81,7 +81,7 @@ def energy(samples: Laid, baseline: Column | None = None, queries: DataFrame | N
     out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("mean_w", "peak_w")})
     if queries is not None:
         n = queries.groupBy(*keys).agg(F.count("*").alias("_q"))
-        out = out.join(n, keys, "left").withColumns({
+        out = join_on(out, n, keys, "left").withColumns({
             "energy_per_query_j": F.try_divide(F.col("energy_j"), F.col("_q")),
             "energy_marginal_per_query_j": F.try_divide(F.col("energy_marginal_j"), F.col("_q")),
         }).drop("_q")
@@ -123,7 +123,7 @@ def config_bench(calls: DataFrame, by: list[str]) -> DataFrame:
     out = rows.groupBy(*by).agg(*plain)
     for n, (c, ps) in wanted.items():
         q = quantiles(rows, by, c, [p / 100 for p in ps])
-        out = out.join(q.withColumnsRenamed({f"q_{i}": f"{n}_p{p}_ms" for i, p in enumerate(ps)}), by, "left")
+        out = join_on(out, q.withColumnsRenamed({f"q_{i}": f"{n}_p{p}_ms" for i, p in enumerate(ps)}), by, "left")
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlens.operators.fold import fold
-from streamlens.operators.layout import Laid
+from streamlens.operators.layout import Laid, join_on
 from streamlens.operators.policies import FixedInterval, Policy, SignalThreshold, Trigger
 from streamlens.operators.scoring import mark_fired
 
@@ -38,7 +38,7 @@ def calls_per_minute(laid: Laid, fired: DataFrame) -> DataFrame:
     keys = list(laid.keys)
     span = laid.df.groupBy(*keys).agg(((F.max("t") - F.min("t")) / 60.0).alias("minutes"))
     n = fired.groupBy(*keys).agg(F.count("*").alias("n_calls"))
-    return span.join(n, keys, "left").select(*keys, "n_calls", F.try_divide(F.col("n_calls"), F.col("minutes")).alias("calls_per_min"))
+    return join_on(span, n, keys, "left").select(*keys, "n_calls", F.try_divide(F.col("n_calls"), F.col("minutes")).alias("calls_per_min"))
 
 
 def matched_timer(laid: Laid, fired: DataFrame) -> FixedInterval:

@@ -187,7 +187,13 @@ def b13(spark, path):
     return table(spark, path, "benchmark").select("item_id", F.md5(text.choice_prompt(t, options)).alias("prompt"))
 
 
-@query("b14_request_table")
+REQ_TEXT = "'{{\"type\":\"text\",\"text\":' || to_json(text)::VARCHAR || '}}'"
+REQ_IMAGE = "'{{\"type\":\"image_url\",\"image_url\":{{\"url\":\"data:image/jpeg;base64,' || base64(encode(text)) || '\"}}}}'"
+REQ_TAIL = "']}}],\"max_tokens\":32,\"temperature\":0.0,\"stream\":true}}'"
+
+
+@query("b14_request_table", ("SELECT item_id, '{{\"messages\":[{{\"role\":\"user\",\"content\":[' || " + REQ_TEXT + " || ',' || " + REQ_IMAGE + " || " + REQ_TAIL + " AS text_first, "
+       "'{{\"messages\":[{{\"role\":\"system\",\"content\":\"You describe scenes.\"}},{{\"role\":\"user\",\"content\":[' || " + REQ_IMAGE + " || ',' || " + REQ_TEXT + " || " + REQ_TAIL + " AS payload_first FROM benchmark").replace("{{", "{").replace("}}", "}"))
 def b14(spark, path):
     b = table(spark, path, "benchmark")
     image = F.base64(F.col("text").cast("binary"))

@@ -51,15 +51,30 @@ def cell_frames(spark, path):
     return tables.frames(spark, path).transform(lambda d: d.withColumn("cells", tables.cells(F.col("embedding"), 8)))
 
 
-@query("c4_patch_novelty")
+LEN = "sqrt(list_sum(list_transform(v, lambda y: y * y)))"
+#: One reference of unit length for each of the eight cells of a frame; ``d``: distances before the frame enters them.
+PATCH = f"""kc AS (SELECT k.*, list_transform(list_transform(range(0, 8), lambda c: e[c * 8 + 1:c * 8 + 8]), lambda v: list_transform(v, lambda x: CASE WHEN {LEN} > 0 THEN x / {LEN} ELSE x END)) AS cells FROM k),
+pt AS (
+  SELECT stream_id, f, t, cells AS ref, list_transform(range(0, 8), lambda c: 0.0::DOUBLE) AS d FROM kc WHERE f = 0
+  UNION ALL
+  SELECT stream_id, f, t, list_transform(m, lambda v: list_transform(v, lambda x: CASE WHEN {LEN} > 0 THEN x / {LEN} ELSE x END)), d FROM (
+    SELECT stream_id, f, t, d, list_transform(range(1, 9), lambda c: list_transform(range(1, 9), lambda i: (1 - w) * ref[c][i] + w * cells[c][i])) AS m FROM (
+      SELECT kc.stream_id, kc.f, kc.t, kc.cells, pt.ref, 1 - pow(0.5, (kc.t - pt.t) / 2.0) AS w,
+        list_transform(range(1, 9), lambda c: 1 - list_sum(list_transform(range(1, 9), lambda i: pt.ref[c][i] * kc.cells[c][i]))) AS d
+      FROM pt JOIN kc ON kc.stream_id = pt.stream_id AND kc.f = pt.f + 1) a) b)"""
+TOP3 = "CASE WHEN pt.f < 5 THEN 0.0 ELSE greatest(0.0, least(2.0, list_avg(list_reverse_sort(pt.d)[1:3]))) END"
+
+
+@query("c4_patch_novelty", f"WITH {NOVELTY}, {PATCH} SELECT stream_id, f AS frame_idx, {r(TOP3, 'novelty')} FROM pt")
 def c4(spark, path):
-    return signals.reference_novelty(cell_frames(spark, path), column="cells", cells=True, top_k=3)
+    d = signals.reference_novelty(cell_frames(spark, path), column="cells", cells=True, top_k=3)
+    return d.withColumn("novelty", F.round("novelty", 6))
 
 
-@query("c5_cell_distance")
+@query("c5_cell_distance", f"WITH {NOVELTY}, {PATCH} SELECT stream_id, f AS frame_idx, CAST(i - 1 AS INTEGER) AS cell, {r('d[i]', 'distance')} FROM pt, unnest(range(1, 9)) x(i)")
 def c5(spark, path):
     d = signals.reference_novelty(cell_frames(spark, path), column="cells", cells=True, emit_cells=True)
-    return d.select("stream_id", "frame_idx", F.posexplode("cell_distance").alias("cell", "distance"))
+    return d.select("stream_id", "frame_idx", F.posexplode("cell_distance").alias("cell", "distance")).withColumn("distance", F.round("distance", 6))
 
 
 @query("c6_combined_signals", f"""WITH {NOVELTY}, p AS (SELECT stream_id, frame_idx, e, lag(e) {W} AS q FROM fr)
@@ -71,10 +86,14 @@ def c6(spark, path):
     return d.select("stream_id", "frame_idx", *[rd(F.col(c), c) for c in ("motion", "scene_change", "novelty")])
 
 
-@query("c6_combined_with_patches")
+@query("c6_combined_with_patches", f"""WITH {NOVELTY}, {PATCH}, p AS (SELECT stream_id, frame_idx, e, lag(e) {W} AS q FROM fr)
+SELECT s.stream_id, p.frame_idx, {r("CASE WHEN q IS NULL THEN 0.0 ELSE list_sum(list_transform(range(1, 65), lambda i: abs(abs(e[i]) * 255 - abs(q[i]) * 255))) / 64 / 255.0 END", "motion")},
+{r(f"CASE WHEN q IS NULL THEN 0.0 ELSE 1 - {dot('e', 'q')} END", "scene_change")}, {r('novelty', 'novelty')}, {r(TOP3, 'novelty_patch')}
+FROM s JOIN p ON s.stream_id = p.stream_id AND s.f = p.frame_idx JOIN pt ON pt.stream_id = s.stream_id AND pt.f = s.f""")
 def c6_patches(spark, path):
     fr = thumb_frames(spark, path).transform(lambda d: d.withColumn("cells", tables.cells(F.col("embedding"), 8)))
-    return signals.combined_signals(fr, cells=True)
+    d = signals.combined_signals(fr, cells=True)
+    return d.select("stream_id", "frame_idx", *[rd(F.col(c), c) for c in ("motion", "scene_change", "novelty", "novelty_patch")])
 
 
 @query("c7_interval_ms", f"""WITH {TR}, x AS (SELECT stream_id, frame_idx, (t - lag(t) {W}) * 1000.0::DOUBLE AS d FROM tr) SELECT stream_id, frame_idx, {r('d', 'interval_ms', 3)} FROM x WHERE d IS NOT NULL""")

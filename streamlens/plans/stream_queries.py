@@ -6,6 +6,7 @@ from streamlens.functions import vec
 from streamlens.operators.cache import CacheRun
 from streamlens.operators.policies import FixedInterval, Trigger, make_policy
 from streamlens.operators.signals import Reference
+from streamlens.plans.cache_queries import CACHE_ROWS, cache_rec, rounded_lookups
 from streamlens.plans.join_queries import QE
 from streamlens.plans.registry import EV, FR, TR, lng, query, r
 from streamlens.plans.scalar import rd
@@ -80,14 +81,14 @@ def j2_held(spark, path):
     return collected(spark, out, "triggers-held").select("stream_id", "policy", "point", "frame_idx")
 
 
-@query("j3_stateful_cache")
+@query("j3_stateful_cache", f"WITH {cache_rec('[0.1, 0.2]')} SELECT {CACHE_ROWS} FROM c")
 def j3(spark, path):
     zero = F.lit(0.0)
     fr = tables.frames(spark, path).result().withColumns(
         {"motion": zero, "novelty": zero, "scene_change": zero, "state_id": F.col("state_id").cast("long")})
     stream = replayed(spark, fr, "cache-frames", "frame_idx")
     out = state.stream_fold(stream, CacheRun(FixedInterval(0.1), [0.1, 0.2], 8, 1.0), ["stream_id"], ["frame_idx"])
-    return collected(spark, out, "cache")
+    return rounded_lookups(collected(spark, out, "cache"))
 
 
 @query("j4_streaming_asof", f"WITH {QE}, l AS (SELECT max(t) AS m FROM ev) SELECT stream_id, CAST(query_id AS VARCHAR) AS query_id, evidence_id AS frame_idx FROM ans")
@@ -103,14 +104,14 @@ def j4(spark, path):
     return out.select("stream_id", "query_id", "frame_idx")
 
 
-@query("j5_late_rows", f"WITH {EV} SELECT event_id, {r('value / 100', 'lateness_s')}, value / 100 > 1 AS is_late FROM ev WHERE value / 100 <= 4")
+@query("j5_late_rows", f"WITH {EV}, x AS (SELECT event_id, CASE WHEN value / 100 <= 4 THEN value / 100 ELSE -value / 100 END AS late FROM ev) SELECT event_id, {r('late', 'lateness_s')}, late > 1 AS is_late, late < 0 AS is_future FROM x")
 def j5(spark, path):
     e = tables.events(spark, path)
     us = F.round(F.col("value") / 100 * 1e6).cast("long")
     late = F.when(F.col("value") / 100 <= 4, us).otherwise(-us)  # the largest values claim to come from the future
     rows = e.select("event_id", F.timestamp_micros("t_us").alias("ts"), F.timestamp_micros(F.col("t_us") + late).alias("arrived"))
     out = windows.mark_late(replayed(spark, rows.withColumn("_us", F.unix_micros("arrived")), "late", "_us", "event_id"), "arrived", "ts", 1.0)
-    return collected(spark, out, "late-out").select("event_id", rd(F.col("lateness_s"), "lateness_s"), "is_late")
+    return collected(spark, out, "late-out").select("event_id", rd(F.col("lateness_s"), "lateness_s"), "is_late", "is_future")
 
 
 @query("j6_answered_once", f"WITH {EV} SELECT DISTINCT stream_id || '-' || CAST(floor(t / 86400) AS BIGINT) AS query_id FROM ev")

@@ -212,16 +212,32 @@ def d11(spark, path):
     return laid.df.select("stream_id", "frame_idx", "outcome")
 
 
-@query("d12_teacher_examples", f"""WITH RECURSIVE {TR}, k AS (SELECT *, CAST(frame_idx AS BIGINT) AS f FROM tr),
+TEACHER = f"""{TR}, k AS (SELECT *, CAST(frame_idx AS BIGINT) AS f FROM tr),
 s AS (SELECT stream_id, f, t AS tl, novelty AS vl, state_id AS sl, 0.0::DOUBLE AS age, 0.0::DOUBLE AS dv, 0.0::DOUBLE AS label FROM k WHERE f = 0
  UNION ALL SELECT stream_id, f, CASE WHEN go THEN t ELSE tl END, CASE WHEN go THEN novelty ELSE vl END, CASE WHEN go THEN state_id ELSE sl END, least(t - tl, 30.0) / 10.0, greatest(0.0, novelty - vl), CASE WHEN go THEN 1.0 ELSE 0.0 END
- FROM (SELECT k.stream_id, k.f, k.t, k.novelty, k.state_id, s.tl, s.vl, s.sl, k.state_id <> s.sl AND k.t - s.tl >= {GAP} AS go FROM s JOIN k ON k.stream_id = s.stream_id AND k.f = s.f + 1) x)
+ FROM (SELECT k.stream_id, k.f, k.t, k.novelty, k.state_id, s.tl, s.vl, s.sl, k.state_id <> s.sl AND k.t - s.tl >= {GAP} AS go FROM s JOIN k ON k.stream_id = s.stream_id AND k.f = s.f + 1) x)"""
+
+
+@query("d12_teacher_examples", f"""WITH RECURSIVE {TEACHER}
 SELECT s.stream_id, s.f AS frame_idx, {r('novelty', 'novelty')}, {r('motion', 'motion')}, {r('age', 'since_last_call')}, {r('dv', 'novelty_delta')}, label FROM s JOIN tr ON tr.stream_id = s.stream_id AND tr.frame_idx = s.f WHERE s.f > 0""")
 def d12(spark, path):
     e = training.teacher_examples(tables.trace(spark, path), GAP).drop("scene_change")
     return rounded(e, ["novelty", "motion", "since_last_call", "novelty_delta"])
 
 
+#: A model to evaluate: weights of the features in their order, and the bias.
+FIXED_MODEL = ([2.0, 0.5, 1.0, -0.25, 3.0], -1.0)
+
+
+@query("d13_evaluate_learned", f"""WITH RECURSIVE {TEACHER}, x AS (SELECT label, 2.0 * novelty + 0.5 * scene_change + 1.0 * motion - 0.25 * age + 3.0 * dv - 1.0 >= 0 AS p, label > 0 AS y
+ FROM s JOIN tr ON tr.stream_id = s.stream_id AND tr.frame_idx = s.f WHERE s.f > 0)
+SELECT count(*) AS n_examples, count(*) FILTER (y) AS n_positive, {r('avg(label)', 'positive_rate')}, {r('count(*) FILTER (p AND y)::DOUBLE / nullif(count(*) FILTER (p), 0)', 'precision')},
+ {r('count(*) FILTER (p AND y)::DOUBLE / nullif(count(*) FILTER (y), 0)', 'recall')} FROM x""")
+def d13_evaluate(spark, path):
+    d = training.evaluate(training.teacher_examples(tables.trace(spark, path), GAP), *FIXED_MODEL)
+    return rounded(d, ["positive_rate", "precision", "recall"])
+
+
 @query("d13_fit_learned")
 def d13(spark, path):
     tr = tables.trace(spark, path)

@@ -19,12 +19,13 @@ def replay_source(spark: SparkSession, path: str, schema: T.StructType | str, fi
 
 
 def mark_late(df: DataFrame, arrived: str, event: str, tolerance_s: float) -> DataFrame:
-    """Flag rows that came later than the tolerance and refuse rows from the future.
+    """Flag rows that came later than the tolerance, and rows from the future, which no step may use as evidence.
 
     Done before any stateful step, whose watermark would drop late rows without a trace.
     """
     lateness = F.unix_micros(F.col(arrived)) / 1e6 - F.unix_micros(F.col(event)) / 1e6
-    return df.withColumn("lateness_s", lateness).filter("lateness_s >= 0").withColumn("is_late", F.col("lateness_s") > tolerance_s)
+    return df.withColumn("lateness_s", lateness).withColumns({
+        "is_late": F.col("lateness_s") > tolerance_s, "is_future": F.col("lateness_s") < 0})
 
 
 def telemetry(df: DataFrame, event: str, by: list[str], every: str = "1 minute", delay: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from streamlens.operators.layout import lay_out
 
 TRACE = ("stream_id string, frame_idx long, t double, motion double, novelty double, scene_change double,"
          " state_id int, answer string")
-A, B = "an empty desk with a keyboard", "a red mug sits on the desk"
+A, B = "two chairs beside a closed window", "someone waters the plant on the shelf"
 
 
 def two_state_rows(name="two", n=300, fps=30.0):

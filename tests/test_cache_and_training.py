@@ -25,10 +25,12 @@ def test_store_rules():
     e = np.array([1.0, 0.0])
     s.add(e, 7, 0, 0.0)
     assert s.lookup(e, 4.9)[0] == 0 and s.lookup(e, 5.1)[0] is None
-    assert s.frame[0] == 7
+    assert s.entry(0) == (7, 0, 0.0)
     s.add(np.array([0.0, 1.0]), 8, 0, 1.0)
     s.add(np.array([0.7, -0.7]), 9, 0, 2.0)
-    assert s.evicted == 1 and 7 in s.frame and 9 in s.frame
+    assert s.evicted == 1 and s.info["frame"].tolist() == [7, 9] and s.keys.shape == (2, 2)
+    again = Store(0.9, 2, 5.0, s.saved())
+    assert again.info.tolist() == s.info.tolist() and (again.keys == s.keys).all()
 
 
 @pytest.mark.parametrize("size", [4_000_000, 60])

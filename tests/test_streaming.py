@@ -49,5 +49,5 @@ def test_rows_out_of_order_wait_for_the_watermark(spark, tmp_path):
 def test_late_and_future_rows(spark):
     df = spark.createDataFrame([(1, 10_000_000, 10_500_000), (2, 10_000_000, 13_000_000), (3, 10_000_000, 9_000_000)], "id int, e long, a long").select(
         "id", F.timestamp_micros("e").alias("ts"), F.timestamp_micros("a").alias("arrived"))
-    d = {r.id: r.is_late for r in windows.mark_late(df, "arrived", "ts", 1.0).collect()}
-    assert d == {1: False, 2: True}
+    d = {r.id: (r.is_late, r.is_future) for r in windows.mark_late(df, "arrived", "ts", 1.0).collect()}
+    assert d == {1: (False, False), 2: (True, False), 3: (False, True)}
