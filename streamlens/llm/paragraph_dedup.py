@@ -14,8 +14,12 @@ from streamlens.llm.common import exchange, link_components, one_text_per_id, st
 #: Words of a paragraph, and starts among which one is chosen: every run of WORDS + SPAN - 1 = 50 words holds a paragraph.
 WORDS, SPAN = 35, 16
 SHINGLE = 5
-#: Bands of one MinHash value each. A pair of similarity 0.75 shares a band with probability 1 - 0.25 ** BANDS = 0.94; a repeat of 60 words has several.
-BANDS = 2
+#: Words of the shingles that are sketched, and bands of one MinHash value each. Paragraphs of 35 words whose 5-word shingles
+#: have a similarity of 0.75 (27 of 31 shared) have 31 words in a row in common. Sketches of 31-word shingles therefore
+#: collide for hardly anything but links, so short common lines and the ragged ends of common passages make no pairs. Equal
+#: paragraphs always collide; those that differ in their last 1, 2, 3 or 4 words with probability .96, .81, .58 and .30 - and
+#: a repeat of 50 words holds an equal one for certain.
+SKETCH, BANDS = 31, 3
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,10 +56,10 @@ def paragraphs(words: np.ndarray, bands: int = BANDS):
     starts = paragraph_starts(s, len(words))
     if not len(starts):
         return starts, None, None
-    width = WORDS - SHINGLE + 1
+    runs = K.shingle_hashes(words, SKETCH)
     band = np.empty((bands, len(starts)), np.uint64)
     for b in range(bands):
-        low = _sliding_min(K.mix(s * (K._STEP[40 + b]) + np.uint64(b)), width)
+        low = _sliding_min(K.mix(runs * K._STEP[40 + b] + np.uint64(b)), WORDS - SKETCH + 1)
         band[b] = K.mix(low[starts] + np.uint64(b + 1))
     # the words' order is part of the identity
     power = K._powers(WORDS)[:WORDS]
@@ -84,14 +88,14 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
                 starts, same, band = paragraphs(w)
                 if len(starts):
                     for b in range(BANDS):
-                        out.append((band[b], same, np.full(len(starts), ids[words.first + r]), starts.astype(np.int32), np.full(len(starts), b, np.int8)))
+                        out.append((band[b], same, np.full(len(starts), ids[words.first + r]), starts.astype(np.int32)))
             if out:
                 yield tuple(np.concatenate(c) for c in zip(*out))
 
     def receive(columns):
-        band, same, doc, start, number = columns
+        band, same, doc, start = columns
         order = np.lexsort((start, doc, same, band))
-        band, same, doc, start, number = (c[order] for c in (band, same, doc, start, number))
+        band, same, doc, start = (c[order] for c in columns)
         edge = np.concatenate([[True], band[1:] != band[:-1]])
         group = np.cumsum(edge) - 1
         first = np.flatnonzero(edge)
@@ -102,10 +106,10 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
         if keep.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(band[keep].view(np.int64)), pa.array(same[keep].view(np.int64)), pa.array(doc[keep]), pa.array(start[keep]),
-                 pa.array(number[keep]), pa.array((variants[group] > 1)[keep])], ["bucket", "node", "doc_id", "start", "band", "mixed"])
+                 pa.array((variants[group] > 1)[keep])], ["bucket", "node", "doc_id", "start", "mixed"])
 
-    hits = stored(exchange(docs, emit, receive, (np.uint64, np.uint64, np.int64, np.int32, np.int8),
-                           "bucket long, node long, doc_id long, start int, band byte, mixed boolean"), "paragraphs")
+    hits = stored(exchange(docs, emit, receive, (np.uint64, np.uint64, np.int64, np.int32),
+                           "bucket long, node long, doc_id long, start int, mixed boolean"), "paragraphs")
     # one example of every paragraph that meets a different one; its words are read again for the exact check
     mixed = hits.where("mixed")
     example = mixed.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("x"))
