@@ -61,6 +61,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, max_ell: in
                     if len(h):
                         hi[row], lo[row] = K.signature(h)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(hi), pa.array(lo)], ["doc_id", "n", "hi", "lo"])
+        K.release()
 
     sets = stored(docs.mapInArrow(profile, "doc_id long, n long, hi long, lo long"), "profiles")
     classes = stored(sets.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("node")), "classes")
@@ -133,6 +134,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, max_ell: in
             out.append(close())
         if out:
             yield rows(out)
+        K.release()
 
     def rows(out):
         return pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; bounds the temporary arrays whatever a batch holds.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -21,6 +22,15 @@ _POW = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def release() -> None:
+    """Give freed memory back, for the JVM and the other workers beside this one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 bits."""
     h = h ^ (h >> np.uint64(30))
