@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlens.llm.common import shared_path, stored, text_bytes
-from streamlens.llm.kernels import mix
+from streamlens.llm.kernels import mix, release
 from streamlens.llm.tokens import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -65,10 +65,10 @@ def _coder(path: str):
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def sequences(docs: DataFrame, length: int = 1024, vocabulary: str | None = None) -> DataFrame:
-    """(part, k, n_tokens, blob): the documents' ids, each document closed by END, end to end in sequences of ``length``;
+def sequences(docs: DataFrame, length: int = 4096, vocabulary: str | None = None) -> DataFrame:
+    """(part, k, n_tokens, ids): the documents' ids, each document closed by END, end to end in sequences of ``length``;
     part and k count them inside a partition. The last of a partition is filled up with END; n_tokens says how many are
-    real. ``blob``: zlib of little-endian unsigned 16-bit ids, which halves what is stored and shuffled."""
+    real. ``ids``: little-endian unsigned 16-bit numbers."""
     import public_tokenizers
 
     path = vocabulary or public_tokenizers.path(VOCABULARY)
@@ -80,10 +80,10 @@ def sequences(docs: DataFrame, length: int = 1024, vocabulary: str | None = None
         def cut(ids, n_tokens):
             nonlocal k
             n = len(ids) // length
-            blobs = [zlib.compress(ids[i * length : (i + 1) * length].astype("<u2").tobytes(), 1) for i in range(n)]
+            blobs = [ids[i * length : (i + 1) * length].astype("<u2").tobytes() for i in range(n)]
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(k, k + n, dtype=np.int64)), pa.array(np.full(n, n_tokens, np.int32)), pa.array(blobs, pa.binary())],
-                ["part", "k", "n_tokens", "blob"])
+                ["part", "k", "n_tokens", "ids"])
             k += n
             return batch
 
@@ -92,7 +92,7 @@ def sequences(docs: DataFrame, length: int = 1024, vocabulary: str | None = None
                 for t in texts:
                     held.append(np.append(np.array(coder.encode_ordinary(t.decode("utf-8", "replace")), np.uint16), np.uint16(END)))
                     size += len(held[-1])
-                if size >= 512 * length:
+                if size >= 128 * length:
                     ids = np.concatenate(held)
                     full = len(ids) // length * length
                     yield cut(ids[:full], length)
@@ -105,21 +105,23 @@ def sequences(docs: DataFrame, length: int = 1024, vocabulary: str | None = None
             rest = np.full(length, END, np.uint16)
             rest[: len(ids) - full] = ids[full:]
             yield cut(rest, len(ids) - full)
+        release()
 
-    return docs.select(text_bytes()).mapInArrow(run, "part int, k long, n_tokens int, blob binary")
+    return docs.select(text_bytes()).mapInArrow(run, "part int, k long, n_tokens int, ids binary")
 
 
-def materialise(docs: DataFrame, path: str, key: int = 20240229, length: int = 1024, shard_rows: int = 4096, vocabulary: str | None = None) -> dict:
+def materialise(docs: DataFrame, path: str, key: int = 20240229, length: int = 4096, shard_rows: int = 1024, vocabulary: str | None = None) -> dict:
     """Write the shards of a table of documents (text) under ``path``; returns the manifest.
 
     Sequence i of n (by partition and place in it) goes to slot permute(i, n, key). Shard s is one file with the slots from
     s * shard_rows on, in order; slot t is at byte (t mod shard_rows) * stride. A record is 2 * length bytes of ids and one
     line feed. A null or empty text is one END; repeated rows are kept; other columns are ignored; an empty table leaves no
     shard. Sequences are stored once before they are numbered, since numbers need the counts of all partitions; the number
-    of partitions, not of rows, bounds what the driver sees. Each shard is one partition of a single shuffle.
+    of partitions, not of rows, bounds what the driver sees. Each shard is one partition of a single shuffle, which sequences
+    cross as zlib streams.
     """
     spark = docs.sparkSession
-    made = stored(sequences(docs, length, vocabulary), "sequences")
+    made = stored(sequences(docs, length, vocabulary), "sequences", compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
     counts = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.count("*").alias("n")).collect())
     n = sum(c for _, c in counts)
     offsets = dict(zip((p for p, _ in counts), np.cumsum([0] + [c for _, c in counts]).tolist()))
@@ -131,7 +133,7 @@ def materialise(docs: DataFrame, path: str, key: int = 20240229, length: int = 1
             part = batch.column(0).to_numpy()
             first = np.array([starts.value[p] for p in part.tolist()], np.int64)
             slot = permute(first + batch.column(1).to_numpy(), n, key) if len(part) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column(3)], ["slot", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array([zlib.compress(b.as_buffer(), 1) for b in batch.column(3)], pa.binary())], ["slot", "blob"])
 
     placed = made.mapInArrow(place, "slot long, blob binary").withColumn("shard", F.expr(f"cast(slot div {shard_rows} as int)"))
     ordered = placed.repartitionById(shards, "shard").sortWithinPartitions("slot")
