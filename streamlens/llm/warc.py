@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +44,12 @@ def resolve(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = MIN_BYTES,
-                   records_per_file: int = RECORDS_PER_FILE) -> None:
+                   records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Write one WARC/1.1 record for every page (page_id, url, html) under ``path`` with new headers.
 
     A null html is an empty payload, a null url leaves its line out. Other columns are ignored; no pages, no records.
     Records end with CR LF CR LF, which is the line separator of the text files that Spark commits, so a task that is run
-    again leaves no half archives.
+    again leaves no half archives. ``compression``: gzip (a file is one gzip member) or none.
     """
     r = resolve(pages, min_bytes)
     response = F.col("record_type") == "response"
@@ -63,11 +65,13 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.when(~response, _line("WARC-Refers-To-Date", F.lit(date))),
         _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", length.cast("string")))
     record = F.concat(head, F.lit("\r\n\r\n"), http, F.when(response, F.col("body").cast("string")).otherwise(F.lit("")))
-    r.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    r.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def records(data: bytes):
-    """(header dict, block) of every record of an archive; the declared lengths say where a block ends."""
+    """(header dict, block) of every record of an archive, gzipped or not; the declared lengths say where a block ends."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at, end = 0, len(data)
     while at < end:
         stop = data.index(b"\r\n\r\n", at)
