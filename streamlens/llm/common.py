@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlens.llm.kernels import mix
+from streamlens.llm.kernels import mix, release
 from streamlens.session import checkpoint_dir, ship_package
 
 #: Hashes a map task holds before it hands them on.
@@ -31,10 +31,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -109,6 +109,8 @@ def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[
                         held, size = [], 0
         if held:
             yield from cut(held)
+        del held
+        release()
 
     def take(batches):
         held, part = [], None
@@ -127,6 +129,8 @@ def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[
                 held.append([name, *(widen(b, n) if t is np.int64 else np.frombuffer(b, t) for b, t in zip(blobs[1:], kinds[1:]))])
         if held:
             yield from receive([np.concatenate(c) for c in zip(*held)])
+        del held
+        release()
 
     blocks = source.mapInArrow(send, "part int, " + ", ".join(f"c{i} binary" for i in range(len(kinds))))
     return blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(take, schema)
