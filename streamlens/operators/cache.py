@@ -14,7 +14,7 @@ from streamlens.functions import vec
 from streamlens.operators.fold import Kernel, fold
 from streamlens.operators.layout import Laid, join_on
 from streamlens.operators.policies import Policy, Trigger
-from streamlens.operators.quantiles import auc, quantiles_where
+from streamlens.operators.quantiles import auc, quantiles, quantiles_where
 
 
 class Store:
@@ -225,6 +225,16 @@ def best_earlier_similarity(fired: Laid, block: int = 4096) -> DataFrame:
     return parts.groupBy(*keys, "frame_idx").agg(F.max("best").alias("best_similarity"))
 
 
+def similarity_summary(best: DataFrame, keys: list[str]) -> DataFrame:
+    """How alike triggers are to what came before: count, median and maximum per stream and, with NULL keys, over all."""
+    def of(by: list[str]) -> DataFrame:
+        head = best.groupBy(*by).agg(F.count("*").alias("n"), F.max("best_similarity").alias("max_similarity"))
+        med = quantiles(best, by, "best_similarity", [0.5]).withColumnRenamed("q_0", "median_similarity")
+        return join_on(head, med, by) if by else head.crossJoin(med)
+
+    return of(keys).unionByName(of([]), allowMissingColumns=True)
+
+
 #: Steps of the two draws of a pair, as parts of the stream.
 STEPS = (0.6180339887498949, 0.7548776662466927)
 

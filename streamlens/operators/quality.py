@@ -64,3 +64,13 @@ def choice_score(predictions: DataFrame) -> DataFrame:
     return predictions.rollup("task_type").agg(
         F.count("*").alias("n"), F.count_if(right).alias("correct"), F.avg(right.cast("double")).alias("accuracy"),
         F.count_if(F.col("predicted").isNull()).alias("unparsed"))
+
+
+def choice_by_sample(questions: DataFrame, predictions: DataFrame, sample: str, question: str) -> DataFrame:
+    """Score of every sample over the questions that were reached (have a row in ``predictions``), those not reached apart."""
+    both = questions.join(predictions.select(question, "predicted", F.lit(True).alias("_reached")), question, "left")
+    reached = F.coalesce("_reached", F.lit(False))
+    right = reached & F.coalesce(F.col("predicted") == F.col("answer"), F.lit(False))
+    return both.groupBy(sample).agg(
+        F.count("*").alias("n_questions"), F.count_if(reached).alias("n_reached"), F.count_if(~reached).alias("n_unreached"),
+        F.count_if(right).alias("correct"), F.try_divide(F.count_if(right), F.count_if(reached)).alias("accuracy"))

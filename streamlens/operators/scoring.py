@@ -82,8 +82,12 @@ def score(trace: Laid, fps: float = 30.0, warmup: int = 15, with_text: bool = Tr
 
 
 def across_streams(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, population spread and minimum over streams; a NULL of one stream is left out."""
+    """Mean, population spread and minimum over streams; a NULL of one stream is left out. Scores with text agreement (they
+    have a ``staleness_ms_p95``) also give those of accuracy."""
+    text = [F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"), F.min("accuracy").alias("accuracy_min"),
+            F.avg("staleness_ms_p95").alias("staleness_ms_p95_mean")] if "staleness_ms_p95" in scores.columns else []
     return scores.groupBy(*by).agg(
+        *text,
         F.count("*").alias("n_streams"),
         F.avg("validity").alias("validity_mean"), F.stddev_pop("validity").alias("validity_std"),
         F.min("validity").alias("validity_min"),
@@ -201,6 +205,15 @@ def headroom(curve: DataFrame, keys: list[str], bar: float) -> DataFrame:
     )
 
 
+def stream_headroom(curve: DataFrame, keys: list[str], bar: float) -> DataFrame:
+    """Each stream's own cheapest threshold that clears the bar, with what it costs and recalls; one that no threshold
+    clears is unreachable and shows its best validity alone."""
+    best = F.min(F.when(F.col("validity") >= F.lit(bar), F.struct("calls_per_min", "threshold", "validity", "event_recall")))
+    own = curve.groupBy(*keys).agg(best.alias("_o"), F.max("validity").alias("best_validity"))
+    return own.select(*keys, F.col("_o").isNotNull().alias("reachable"), "best_validity", F.col("_o.threshold").alias("threshold"),
+                      F.col("_o.calls_per_min").alias("calls_per_min"), F.col("_o.event_recall").alias("event_recall"))
+
+
 def diagnosis(separable: DataFrame, room: DataFrame, auc_bar: float = 0.65, room_bar: float = 1.2) -> DataFrame:
     """What limits the policy: the signal, the threshold, or neither."""
     novelty = separable.filter(F.col("signal") == "novelty").agg(

@@ -59,7 +59,7 @@ class SweepScore(Trigger):
         super().__post_init__()
         self.columns = ["frame_idx", "t", *SIGNALS, "state_id"] + ([BAG] if self.with_text else [])
         self.schema = (
-            "pid int, " + ", ".join(f"{c} double" for c in SUMS)
+            "pid int, " + ", ".join(f"{c} double" for c in SUMS) + (", stale array<struct<lag:long,n:long>>" if self.with_text else "")
             + (", waiting array<struct<state:long,n:double,total:double>>, first_call array<struct<state:long,frame:double>>"
                if self.leftovers else "")
         )
@@ -101,13 +101,15 @@ class SweepScore(Trigger):
         labelled = fired & (before != none)
         lag = np.where(known, frame[:, None] - np.where(here, frame[pos], h0_frame), 0)
 
-        acc = state["acc"] or {"sum": [[0.0] * size for _ in SUMS], "wait": {}, "first": {}}
+        acc = state["acc"] or {"sum": [[0.0] * size for _ in SUMS], "wait": {}, "first": {}, "lags": [{} for _ in range(size)]}
         sums = {
             "n_rows": np.full(size, n), "n_scored": np.full(size, graded.sum()), "n_valid": (known & (h_state == now)).sum(0),
             "f1_sum": self._text_sum(pdf[BAG].to_numpy(), pos, held, known) if self.with_text else np.zeros(size),
             "n_calls": fired.sum(0), "n_false": (labelled & (before == now)).sum(0), "n_justified": (labelled & (before != now)).sum(0),
             "stale_n": known.sum(0), "stale_sum": lag.sum(0) * (1000.0 / self.fps),
         }
+        if self.with_text:
+            self._count_lags(acc["lags"], lag, known)
         prev = np.concatenate([[st[0] if state["prev"] is None else state["prev"]], st[:-1]])
         moved = st != prev
         sums["n_events"] = np.full(size, moved.sum())
@@ -133,6 +135,13 @@ class SweepScore(Trigger):
             out[known] = f1[where]
         return out.sum(0)
 
+    @staticmethod
+    def _count_lags(lags, lag, known) -> None:
+        """Add to every policy's histogram of the frames by which the held answer is old."""
+        for i, counts in enumerate(lags):
+            for v, n in zip(*(x.tolist() for x in np.unique(lag[known[:, i], i], return_counts=True))):
+                counts[str(v)] = counts.get(str(v), 0) + n
+
     def _cover(self, acc, frame, st, moved, fired):
         """A transition is covered by the first later-or-equal call made in its new state.
 
@@ -173,6 +182,8 @@ class SweepScore(Trigger):
             return None
         size = range(len(self.policies))
         out = pd.DataFrame({"pid": list(size), **dict(zip(SUMS, acc["sum"]))})
+        if self.with_text:
+            out["stale"] = [[{"lag": int(k), "n": n} for k, n in counts.items()] for counts in acc["lags"]]
         if self.leftovers:
             out["waiting"] = [
                 [{"state": int(k), "n": n[i], "total": t[i]} for k, (n, t) in acc["wait"].items() if n[i] > 0] for i in size]
@@ -190,7 +201,8 @@ def _policy_rows(spark, policies: list[Policy]) -> DataFrame:
 
 def sweep(laid: Laid, policies: list[Policy], fps: float = 30.0, warmup: int = 15,
           with_text: bool = False) -> DataFrame:
-    """Scores per (stream, policy, point). ``laid`` needs the trace columns."""
+    """Scores per (stream, policy, point). ``laid`` needs the trace columns. ``with_text``: also how far the held answers agree
+    with the row's own (``accuracy``, otherwise NULL) and the 95th percentile of staleness."""
     kernel = SweepScore(policies, fps=fps, warmup=warmup, with_text=with_text)
     keys = list(laid.keys)
     spark = laid.df.sparkSession
@@ -200,7 +212,7 @@ def sweep(laid: Laid, policies: list[Policy], fps: float = 30.0, warmup: int = 1
         # Keep the chunk in the output: leftovers of a chunk are settled by the chunks after it.
         marked = laid.with_df(laid.df.withColumn("_at", F.col(CHUNK)))
         parts = fold(marked, _Marked(kernel))
-        sums = parts.groupBy(*keys, "pid").agg(*[F.sum(c).alias(c) for c in SUMS])
+        sums = _summed(parts, keys, fps) if with_text else parts.groupBy(*keys, "pid").agg(*[F.sum(c).alias(c) for c in SUMS])
         calls = parts.select(*keys, "pid", "_at", F.explode("first_call").alias("x")).select(
             *keys, "pid", F.col("x.state").alias("state"), F.col("_at").alias("_from"), F.col("x.frame").alias("frame"))
         waits = parts.select(*keys, "pid", "_at", F.explode("waiting").alias("x")).select(
@@ -220,9 +232,19 @@ def sweep(laid: Laid, policies: list[Policy], fps: float = 30.0, warmup: int = 1
         })
     else:
         sums = fold(laid, kernel)
+        if with_text:
+            sums = _summed(sums, keys, fps)
     return _finish(sums.join(F.broadcast(_policy_rows(spark, policies)), "pid"), keys, fps, with_text)
 
 
+def _summed(parts: DataFrame, keys: list[str], fps: float) -> DataFrame:
+    """Sums of the chunks of a stream and the exact 95th percentile of staleness, from the chunks' histograms."""
+    long = parts.select(*keys, "pid", *SUMS, F.posexplode_outer("stale").alias("_pos", "_x"))
+    once = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    p95 = F.percentile(F.col("_x.lag") * F.lit(1000.0 / fps), F.lit(0.95), F.coalesce(F.col("_x.n"), F.lit(0).cast("long")))
+    return long.groupBy(*keys, "pid").agg(*[F.sum(F.when(once, F.col(c))).alias(c) for c in SUMS], p95.alias("stale_p95"))
+
+
 class _Marked(SweepScore):
     """The sweep kernel with the chunk number among its outputs."""
 
@@ -257,6 +279,7 @@ def _finish(sums: DataFrame, keys: list[str], fps: float, with_text: bool) -> Da
         F.try_divide(c("n_valid"), c("n_scored")).alias("validity"),
         (F.try_divide(c("f1_sum"), c("n_scored")) if with_text else F.lit(None).cast("double")).alias("accuracy"),
         F.try_divide(c("stale_sum"), c("stale_n")).alias("staleness_ms_mean"),
+        *([c("stale_p95").alias("staleness_ms_p95")] if with_text else []),
         c("n_false").cast("long").alias("false_triggers"),
         c("n_justified").cast("long").alias("justified_calls"),
         F.try_divide(c("n_false"), c("n_false") + c("n_justified")).alias("false_trigger_rate"),

@@ -63,6 +63,14 @@ def queue_depth(samples: DataFrame, by: list[str]) -> DataFrame:
         F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"), F.count("*").alias("n_samples"))
 
 
+def depth_points(samples: Laid, t: str = "t", depth: str = "depth") -> DataFrame:
+    """The depth of every queue over time: place in the series, seconds since its first sample, depth."""
+    from streamlens.operators.signals import relative_time
+
+    laid = relative_time(samples.row_number("point"), t)
+    return laid.result().select(*samples.keys, "point", "t_rel", depth)
+
+
 def energy(samples: Laid, baseline: Column | None = None, queries: DataFrame | None = None) -> DataFrame:
     """Trapezoid energy over each run; marginal = above the idle baseline, held at 0.
 
@@ -137,6 +145,14 @@ def wall_clock_audit(log: DataFrame, keys: list[str], tolerance_s: float) -> Dat
     return out.withColumn("within_wall_clock", F.col("delivered") <= F.col("allowed"))
 
 
+def wall_clock_verdict(audit: DataFrame) -> DataFrame:
+    """One row over all streams of an audit: did every one stay within its clock?"""
+    return audit.agg(
+        F.count("*").alias("n_streams"), F.sum("delivered").alias("delivered"), F.sum("rows_late").alias("rows_late"),
+        F.max("max_lateness_ms").alias("max_lateness_ms"), F.count_if(~F.col("within_wall_clock")).alias("n_beyond"),
+        F.coalesce(F.bool_and("within_wall_clock"), F.lit(True)).alias("within_wall_clock"))
+
+
 def budget(runs: DataFrame, cap_w: float) -> DataFrame:
     """Throughput deficit, kept and dropped share, power one call per frame would need."""
     calls_s = F.col("calls_per_min") / 60.0

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from streamlens.functions import text
 from streamlens.operators import quality, scoring, telemetry
 from streamlens.operators.choose import backlog_stats, thin
+from streamlens.operators.layout import lay_out
 from streamlens.operators.policies import FixedInterval, make_policy
 from streamlens.operators.quantiles import auc, percentile_block
 from streamlens.operators.scoring import across_streams, mark_fired, versus
@@ -13,7 +14,7 @@ from streamlens.plans.join_queries import CALLS, answered, passes, QE
 from streamlens.plans.registry import EV, FR, TR, content, f1, lng, query, r, words
 from streamlens.plans.scalar import LETTER, SAID, annotation_docs, backend_label, LABELS, rd, said
 from streamlens.plans.signal_queries import FIRED, HELD, MOVES, W, fired_trace
-from streamlens.plans.trigger_queries import (DAY, DENSE_KIND, DENSE_REC, GAP, MEANS, NOVELTY_COND, SPLITS, SWEEP, TABLE_SQL, dense_scores, rec,
+from streamlens.plans.trigger_queries import (DAY, DENSE_KIND, DENSE_REC, GAP, MEANS, NOVELTY_COND, SPLITS, SWEEP, TABLE_SQL, TEXT_MEANS, dense_scores, rec,
                                               rounded, score_sql, sweep_table)
 from streamlens.sources import annotations, tables, traces
 from streamlens.sources.tables import table
@@ -54,6 +55,13 @@ def g3(spark, path):
     return telemetry.queue_depth(s, ["run_id", "queue"]).withColumn("mean_depth", F.round("mean_depth", 6))
 
 
+@query("g3_depth_series", f"""WITH {EV}, d AS (SELECT stream_id AS run_id, event_type AS queue, t, t_us, event_id, CAST(floor(value / 10) AS INTEGER) AS depth FROM ev)
+SELECT run_id, queue, row_number() OVER w - 1 AS point, {r('t - first_value(t) OVER w', 't_rel')}, depth FROM d WINDOW w AS (PARTITION BY run_id, queue ORDER BY t_us, event_id)""")
+def g3_series(spark, path):
+    s = tables.events(spark, path).select(F.col("stream_id").alias("run_id"), F.col("event_type").alias("queue"), "t", "t_us", "event_id", F.floor(F.col("value") / 10).cast("int").alias("depth"))
+    return telemetry.depth_points(lay_out(s, ["run_id", "queue"], ["t_us", "event_id"])).withColumn("t_rel", F.round("t_rel", 6))
+
+
 RUNS = f"""{EV}, rn AS (SELECT stream_id AS run_id, count(*) AS captured, max(t) - min(t) AS duration_s, count(*) FILTER (event_type = 'error') AS dropped, count(*) FILTER (event_type = 'click') AS calls FROM ev GROUP BY 1),
 rr AS (SELECT *, dropped::DOUBLE / (captured + dropped) AS drop_rate, CASE WHEN duration_s > 0 THEN captured / duration_s END AS achieved_fps, CASE WHEN duration_s > 0 THEN calls / (duration_s / 60.0) END AS calls_per_min FROM rn)"""
 
@@ -108,11 +116,11 @@ def g7(spark, path):
     return rounded(s, ["calls_per_min", "call_fraction", "validity", "accuracy", "staleness_ms_mean", "staleness_ms_p95", "false_trigger_rate", "event_recall", "detection_delay_ms_mean"])
 
 
-@query("g8_across_streams", f"""WITH {G7_SQL}, x AS (SELECT stream_id, n_rows, validity, coalesce(n_calls, 0) / (n_rows / 30.0::DOUBLE / 60.0) AS calls_per_min, coalesce(n_calls, 0)::DOUBLE / n_rows AS call_fraction, CASE WHEN nf + nj > 0 THEN nf::DOUBLE / (nf + nj) END AS false_trigger_rate, nc::DOUBLE / ne AS event_recall, sm AS staleness_ms_mean FROM gs LEFT JOIN cs USING (stream_id) LEFT JOIN es USING (stream_id))
-SELECT 'novelty' AS policy, count(*) AS n_streams, {', '.join(r(e, n) for n, e in MEANS.items())} FROM x""")
+@query("g8_across_streams", f"""WITH {G7_SQL}, x AS (SELECT stream_id, n_rows, validity, accuracy, s95, coalesce(n_calls, 0) / (n_rows / 30.0::DOUBLE / 60.0) AS calls_per_min, coalesce(n_calls, 0)::DOUBLE / n_rows AS call_fraction, CASE WHEN nf + nj > 0 THEN nf::DOUBLE / (nf + nj) END AS false_trigger_rate, nc::DOUBLE / ne AS event_recall, sm AS staleness_ms_mean FROM gs LEFT JOIN cs USING (stream_id) LEFT JOIN es USING (stream_id))
+SELECT 'novelty' AS policy, count(*) AS n_streams, {', '.join(r(e, n) for n, e in (MEANS | TEXT_MEANS).items())} FROM x""")
 def g8(spark, path):
-    s = scoring.score(fired_trace(spark, path), with_text=False).withColumn("policy", F.lit("novelty"))
-    return rounded(across_streams(s, ["policy"]), MEANS)
+    s = scoring.score(fired_trace(spark, path)).withColumn("policy", F.lit("novelty"))
+    return rounded(across_streams(s, ["policy"]), MEANS | TEXT_MEANS)
 
 
 @query("g9_energy", f"""WITH {EV}, x AS (SELECT stream_id, t, value AS w, greatest(0.0, value - 20.0) AS m, event_id, t_us FROM ev), y AS (SELECT *, lag(t) OVER o AS pt, lag(w) OVER o AS pw, lag(m) OVER o AS pm FROM x WINDOW o AS (PARTITION BY stream_id ORDER BY t_us, event_id)),
@@ -178,6 +186,13 @@ def g13(spark, path):
     return rounded(room(spark, path).drop("global_mean_recall"), ROOM_COLS)
 
 
+@query("g13_stream_headroom", f"""WITH {DENSE_REC}, {score_sql(False)}, {ROOM}, b AS (SELECT stream_id, max(validity) AS bv, min(struct_pack(c := calls_per_min, t := threshold, v := validity, rc := event_recall)) FILTER (validity >= {BAR}) AS o FROM cu GROUP BY 1)
+SELECT stream_id, o IS NOT NULL AS reachable, {r('bv', 'best_validity')}, {r('o.t', 'threshold')}, {r('o.c', 'calls_per_min')}, {r('o.rc', 'event_recall')} FROM b""")
+def g13_streams(spark, path):
+    curve = dense_scores(spark, path).filter("kind = 'embedding_novelty'").withColumnRenamed("point", "threshold")
+    return rounded(scoring.stream_headroom(curve, ["stream_id"], BAR), ["best_validity", "threshold", "calls_per_min", "event_recall"])
+
+
 @query("g14_diagnosis", f"""WITH {DENSE_REC}, {score_sql(False)}, {ROOM}, {SEP[SEP.index('j AS ('):]},
 d AS (SELECT avg(auc) AS mean_auc, count(*) FILTER (clears) AS n_clearing, count(*) AS n_with_events FROM sep WHERE signal = 'novelty')
 SELECT {r('mean_auc', 'mean_auc')}, n_clearing, n_with_events, n_unreachable, {r('headroom_x', 'headroom_x')}, CASE WHEN n_unreachable > 0 OR mean_auc < 0.65 THEN 'signal_problem' WHEN headroom_x IS NULL OR headroom_x < 1.2 THEN 'neither' ELSE 'threshold_problem' END AS verdict FROM d, room""")
@@ -221,6 +236,16 @@ def g18(spark, path):
     return quality.choice_score(e).withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query("g18_choice_by_sample", f"""WITH x AS (SELECT event_id, user_id AS sample, event_type, chr(CAST(65 + event_id % 4 AS INTEGER)) AS answer, {SAID} AS s FROM events), y AS (SELECT sample, answer, event_type <> 'error' AS reached, {LETTER} AS l FROM x)
+SELECT sample, count(*) AS n_questions, count(*) FILTER (reached) AS n_reached, count(*) FILTER (NOT reached) AS n_unreached, count(*) FILTER (reached AND l = answer) AS correct,
+ {r('count(*) FILTER (reached AND l = answer)::DOUBLE / nullif(count(*) FILTER (reached), 0)', 'accuracy')} FROM y GROUP BY 1""")
+def g18_samples(spark, path):
+    e = table(spark, path, "events")
+    q = e.select("event_id", F.col("user_id").alias("sample"), F.chr(65 + F.col("event_id") % 4).alias("answer"))
+    said_ = e.filter("event_type <> 'error'").select("event_id", text.option_letter(said()).alias("predicted"))
+    return quality.choice_by_sample(q, said_, "sample", "event_id").withColumn("accuracy", F.round("accuracy", 6))
+
+
 ATTR = f"""{TR}, {FIRED}, {HELD}, {MOVES}, cv AS (SELECT mv.stream_id, mv.frame_idx, min(f.frame_idx) AS hit_at FROM mv LEFT JOIN f ON f.stream_id = mv.stream_id AND f.fired AND f.state_id = mv.state_id AND f.frame_idx >= mv.frame_idx GROUP BY ALL),
 lt AS (SELECT h.*, (SELECT max(m.frame_idx) FROM mv m WHERE m.stream_id = h.stream_id AND m.frame_idx <= h.frame_idx) AS le FROM h),
 at2 AS (SELECT lt.stream_id, lt.frame_idx, CASE WHEN lt.frame_idx < 15 THEN 'warmup' WHEN hs = state_id THEN 'valid' WHEN cv.hit_at IS NULL THEN 'missed_event' ELSE 'detection_lag' END AS cause FROM lt LEFT JOIN cv ON cv.stream_id = lt.stream_id AND cv.frame_idx = le)"""
@@ -325,6 +350,15 @@ def g26(spark, path):
     return rounded(telemetry.wall_clock_audit(log, ["stream_id"], 0.1), ["elapsed_s", "allowed", "max_lateness_ms"])
 
 
+@query("g26_wall_clock_verdict", f"""WITH {TR}, x AS (SELECT stream_id, frame_idx, frame_idx / 30.0::DOUBLE + CASE WHEN stream_id % 2 = 0 THEN novelty ELSE -(frame_idx / 30.0::DOUBLE) / 2 END AS a FROM tr),
+s AS (SELECT stream_id, count(*) AS d, count(*) FILTER (a - frame_idx / 30.0::DOUBLE > 0.1) AS l, max((a - frame_idx / 30.0::DOUBLE) * 1000.0) AS m, count(*) <= max(a) * 30.0 + 1 AS ok FROM x GROUP BY 1)
+SELECT count(*) AS n_streams, {lng('sum(d)', 'delivered')}, {lng('sum(l)', 'rows_late')}, {r('max(m)', 'max_lateness_ms')}, count(*) FILTER (NOT ok) AS n_beyond, bool_and(ok) AS within_wall_clock FROM s""")
+def g26_verdict(spark, path):
+    due = F.col("frame_idx") / F.lit(30.0)
+    log = tables.trace(spark, path).df.select("stream_id", "frame_idx", F.lit(30.0).alias("fps"), (due + F.when(F.col("stream_id") % 2 == 0, F.col("novelty")).otherwise(-due / 2)).alias("arrived_t"))
+    return rounded(telemetry.wall_clock_verdict(telemetry.wall_clock_audit(log, ["stream_id"], 0.1)), ["max_lateness_ms"])
+
+
 @query("g27_timeline_summary", f"WITH {QE} SELECT stream_id, count(*) AS n_queries, count(evidence_t) AS n_answered, count(*) FILTER (evidence_t IS NULL) AS n_unanswered, {r('avg(t - evidence_t)', 'staleness_s_mean', 3)}, {r('max(t - evidence_t)', 'staleness_s_max', 3)}, {lng('0', 'future_evidence_violations')} FROM ans GROUP BY 1")
 def g27(spark, path):
     from streamlens.operators.asof import timeline_summary

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from streamlens.operators import cache
+from streamlens.operators.layout import join_on
 from streamlens.operators.policies import FixedInterval
 from streamlens.operators.scoring import with_splits
+from streamlens.operators.triggers import decisions
 from streamlens.plans.registry import EV, FR, dot, lng, query, r
 from streamlens.plans.scalar import rd
 from streamlens.sources import tables
@@ -108,6 +110,20 @@ def e4(spark, path):
     return cache.best_earlier_similarity(tables.frames(spark, path)).select("stream_id", "frame_idx", rd(F.col("best_similarity"), "best_similarity"))
 
 
+TRIGGERS = cache_rec("[0.2]")[: cache_rec("[0.2]").index("th AS (")]
+
+
+@query("e4_best_at_trigger", f"""WITH {TRIGGERS} b AS (SELECT a.stream_id, a.f, max({dot('a.e', 'b.e')}) AS s FROM q a JOIN q b ON a.stream_id = b.stream_id AND b.f < a.f GROUP BY ALL)
+SELECT stream_id, count(*) AS n, {r('max(s)', 'max_similarity')}, {r('quantile_cont(s, 0.5)', 'median_similarity')} FROM b GROUP BY stream_id
+UNION ALL SELECT NULL, count(*), {r('max(s)', 'max_similarity')}, {r('quantile_cont(s, 0.5)', 'median_similarity')} FROM b""")
+def e4_trigger(spark, path):
+    laid = signal_frames(spark, path)
+    fired = decisions(laid, [FixedInterval(PERIOD)]).select("stream_id", "frame_idx")
+    rows = laid.with_df(join_on(laid.df, fired, ["stream_id", "frame_idx"], "left_semi"))
+    d = cache.similarity_summary(cache.best_earlier_similarity(rows), ["stream_id"])
+    return d.select("stream_id", "n", rd(F.col("max_similarity"), "max_similarity"), rd(F.col("median_similarity"), "median_similarity"))
+
+
 @query("e5_key_quality", f"""WITH {FR}, n AS (SELECT stream_id, count(*) AS n FROM fr GROUP BY 1), k AS (SELECT stream_id, n, unnest(range(0, 4000)) AS k FROM n),
 ij AS (SELECT stream_id, k, CAST(floor((k * s1 - floor(k * s1)) * n) AS BIGINT) AS i, CAST(floor((k * s2 - floor(k * s2)) * n) AS BIGINT) AS j FROM k, (SELECT 0.6180339887498949::DOUBLE AS s1, 0.7548776662466927::DOUBLE AS s2)),
 p AS (SELECT ij.stream_id, {dot('a.e', 'b.e')} AS s, a.state_id = b.state_id AS same FROM ij JOIN fr a ON a.stream_id = ij.stream_id AND a.frame_idx = i JOIN fr b ON b.stream_id = ij.stream_id AND b.frame_idx = j WHERE i <> j),

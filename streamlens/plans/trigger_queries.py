@@ -8,7 +8,7 @@ from streamlens.operators.policies import (AdaptiveQuantile, FixedInterval, Info
 from streamlens.operators.scoring import across_streams, with_splits
 from streamlens.operators.sweep import sweep
 from streamlens.operators.triggers import calls_per_minute, decisions, in_flight, matched_timer
-from streamlens.plans.registry import FR, TR, lng, query, r
+from streamlens.plans.registry import FR, TR, content, f1, lng, query, r
 from streamlens.plans.scalar import rd
 from streamlens.plans.signal_queries import MOVES, WIN_H
 from streamlens.sources import tables
@@ -170,6 +170,24 @@ def d8_streams(spark, path):
     return rounded(s, ["calls_per_min", "validity", "staleness_ms_mean", "false_trigger_rate", "event_recall", "detection_delay_ms_mean"])
 
 
+TEXT_SQL = f"""tok AS (SELECT answer, {content('answer')} AS w FROM (SELECT DISTINCT answer FROM tr)), pr AS (SELECT a.answer AS a, b.answer AS b, {f1('a.w', 'b.w')} AS f1 FROM tok a, tok b),
+gt AS (SELECT pid, h.stream_id, avg(coalesce(pr.f1, 0.0)) FILTER (h.f >= 15) AS accuracy, quantile_cont((h.f - hf) / 30.0::DOUBLE * 1000.0, 0.95) FILTER (h.f >= 15 AND hf IS NOT NULL) AS s95
+ FROM h JOIN tr n ON n.stream_id = h.stream_id AND n.frame_idx = h.f LEFT JOIN tr o ON o.stream_id = h.stream_id AND o.frame_idx = h.hf LEFT JOIN pr ON pr.a = o.answer AND pr.b = n.answer GROUP BY ALL)"""
+TEXT_MEANS = {"accuracy_mean": "avg(accuracy)", "accuracy_std": "stddev_pop(accuracy)", "accuracy_min": "min(accuracy)", "staleness_ms_p95_mean": "avg(s95)"}
+
+
+@query("d8_sweep_with_text", f"WITH {SWEEP}, {score_sql(True)}, {TEXT_SQL} SELECT stream_id, {KIND_SQL} AS kind, point::DOUBLE AS point, {r('accuracy', 'accuracy')}, {r('s95', 'staleness_ms_p95')} FROM gt JOIN p USING (pid)")
+def d8_text(spark, path):
+    s = sweep(tables.trace(spark, path), [p for _, _, p in POLICIES], with_text=True)
+    return rounded(s.select("stream_id", "kind", "point", "accuracy", "staleness_ms_p95"), ["accuracy", "staleness_ms_p95"])
+
+
+@query("d8_text_across_streams", f"WITH {SWEEP}, {score_sql(True)}, {TEXT_SQL} SELECT {KIND_SQL} AS kind, point::DOUBLE AS point, count(*) AS n_streams, {', '.join(r(e, n) for n, e in TEXT_MEANS.items())} FROM gt JOIN p USING (pid) GROUP BY pid, point")
+def d8_text_table(spark, path):
+    s = sweep(tables.trace(spark, path), [p for _, _, p in POLICIES], with_text=True)
+    return rounded(across_streams(s, ["kind", "point"]).select("kind", "point", "n_streams", *TEXT_MEANS), TEXT_MEANS)
+
+
 DENSE = [("embedding_novelty", v) for v in dense_grid("embedding_novelty")] + [("motion_threshold", v) for v in dense_grid("motion_threshold")]
 N_NOV = len(dense_grid("embedding_novelty"))
 DENSE_REC = rec(f"k.t - s.tl >= {GAP} AND CASE WHEN s.pid < {N_NOV} THEN k.novelty ELSE k.motion END >= s.point", ", ".join(f"({i}, {v})" for i, (_, v) in enumerate(DENSE)))
