@@ -1,24 +1,23 @@
 """Sources and sinks: files are written from the test tables into a fresh folder, then scanned."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from streamlens.operators.layout import lay_out
 from streamlens.operators.quantiles import percentile_block
-from streamlens.operators.telemetry import answer_staleness, call_latencies
+from streamlens.operators.telemetry import answer_staleness, call_latencies, energy, memory
 from streamlens.plans.aggregate_queries import RUNS, run_rates
 from streamlens.plans.join_queries import CALLS
 from streamlens.plans.registry import EV, TR, lng, query, r
 from streamlens.plans.scalar import annotation_docs, rd
 from streamlens.plans.signal_queries import MOVES
-from streamlens.session import checkpoint_dir
+from streamlens.session import shared_path
 from streamlens.sources import annotations, documents, inventory, questions, tables, traces
 from streamlens.sources.tables import table
 
 
 def scratch(spark, name):
-    """A new folder below the shared checkpoint folder, readable by every executor."""
-    return f"{checkpoint_dir(spark)}/streamlens/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder, readable by every executor; it goes with the application."""
+    return shared_path(spark, name)
 
 
 def written_annotations(spark, path):
@@ -68,6 +67,10 @@ def a3(spark, path):
     return questions.read(spark, folder).select("question_id", "sample", "index", "task_type", F.md5("question").alias("question"), "t", "answer", "options")
 
 
+#: Points of a queue that the query's documents hold.
+DEPTH_POINTS = 5
+
+
 def run_documents(spark, path):
     """A metrics document per run, from the run's own frames, calls and answers."""
     fr, calls, answers = tables.call_log(spark, path)
@@ -81,16 +84,25 @@ def run_documents(spark, path):
     stages = percentile_block(tables.events(spark, path).select(F.col("stream_id").alias("run_id"), F.col("event_type").alias("stage"), "value"), ["run_id", "stage"], "value", within=within)
     packed = stages.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "stage", F.struct("n", "mean", "p50", "p95", "p99", "min", "max", "std")))).alias("stages_ms"))  # one entry per stage name
-    out = out.join(packed, "run_id", "left").select(
-        F.col("run_id").cast("string").alias("name"),
-        F.when(F.col("run_id") % 10 == 0, "failed").when(F.col("run_id") % 7 == 0, "paused").otherwise("completed").alias("status"),
-        F.col("duration_s").alias("duration_requested_s"), F.col("duration_s").alias("duration_actual_s"), F.lit(0.0).alias("t_start_monotonic"),
-        F.lit("2024-01-01T00:00:00Z").alias("started_utc"), F.col("captured").alias("frames_captured"), F.col("dropped").alias("frames_dropped"),
-        "drop_rate", "achieved_fps", F.col("calls").alias("vlm_calls"), F.col("calls_per_min").alias("vlm_calls_per_min"),
-        "photon_to_first_token_ms", "photon_to_answer_ms", "answer_staleness_ms", "stages_ms")
+    e = tables.events(spark, path).withColumnRenamed("stream_id", "run_id")
+    depth = documents.depth_blocks(
+        lay_out(e.select("run_id", F.col("event_type").alias("queue"), "t", "t_us", "event_id", F.floor(F.col("value") / 10).cast("int").alias("depth")), ["run_id", "queue"], ["t_us", "event_id"]),
+        "run_id", "queue", points=DEPTH_POINTS)
+    power = tables.power_samples(spark, path)
+    watts = energy(power).select(F.col("stream_id").alias("run_id"), F.struct("mean_w", "peak_w", "energy_j").alias("power"))
+    vram = memory(power.result(), ["stream_id"]).select(F.col("stream_id").alias("run_id"), F.struct("peak_used_gb", "mean_used_gb").alias("vram"))
+    counts = e.groupBy("run_id", "event_type").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("counts"))
+    for more in (packed, depth, watts, vram, counts):
+        out = out.join(more, "run_id", "left")
+    run = F.col("run_id")
+    out = out.withColumns({
+        "name": run.cast("string"), "status": F.when(run % 10 == 0, "failed").when(run % 7 == 0, "paused").otherwise("completed"),
+        "duration_requested_s": F.when(run % 13 != 0, F.col("duration_s")), "duration_actual_s": F.col("duration_s"), "t_start_monotonic": F.lit(0.0),
+        "started_utc": F.lit("2024-01-01T00:00:00Z"), "trigger_count": F.col("calls")})
+    out = out.withColumnsRenamed({"captured": "frames_captured", "dropped": "frames_dropped", "calls": "vlm_calls", "calls_per_min": "vlm_calls_per_min"})
+    machine = F.struct(F.lit("3").alias("python"), F.lit("linux").alias("platform"), F.when(run % 11 != 0, "none").alias("gpu_name"), run.cast("long").alias("seed"))
     return documents.build(out, ["name", "status", "duration_requested_s", "duration_actual_s", "t_start_monotonic", "started_utc"],
-                           ["frames_captured", "frames_dropped", "drop_rate", "achieved_fps", "vlm_calls", "vlm_calls_per_min"],
-                           ["photon_to_first_token_ms", "photon_to_answer_ms", "answer_staleness_ms"], "stages_ms")
+                           machine, F.create_map(F.lit("policy"), F.lit("novelty")), F.col("counts"), F.coalesce("truncated", F.lit(False)))
 
 
 def written_documents(spark, path, status=None):
@@ -117,7 +129,28 @@ def a5(spark, path):
     return m.select("run_id", b["n"].alias("n"), rd(b["p50"], "p50", 2), rd(b["max"], "max", 2))
 
 
-@query("a6_document_validator", f"WITH {EV} SELECT DISTINCT CAST(stream_id AS VARCHAR) AS run_id, 'run.status unknown' AS rule FROM ev WHERE stream_id % 10 <> 0 AND stream_id % 7 = 0")
+@query("a5_document_parts", f"""WITH {EV}, x AS (SELECT stream_id, t, t_us, event_id, event_type, value, lag(t) OVER w AS pt, lag(value) OVER w AS pv FROM ev WINDOW w AS (PARTITION BY stream_id ORDER BY t_us, event_id)),
+c AS (SELECT stream_id, count(*) AS n, CAST(max(floor(value / 10)) AS BIGINT) AS d, count(*) FILTER (event_type = 'click') AS k FROM ev WHERE event_type = 'click' GROUP BY 1),
+m AS (SELECT stream_id, max(n) AS most FROM (SELECT stream_id, event_type, count(*) AS n FROM ev GROUP BY ALL) GROUP BY 1)
+SELECT CAST(x.stream_id AS VARCHAR) AS run_id, {r('avg(value)', 'mean_w', 4)}, {r('sum((t - pt) * (value + pv) / 2.0::DOUBLE)', 'energy_j', 1)}, {r('max(CAST(value * 10000000 AS BIGINT)) / 1073741824.0::DOUBLE', 'peak_used_gb', 5)},
+ any_value(c.d) AS click_depth, CAST(least(any_value(c.n), {DEPTH_POINTS}) AS INTEGER) AS click_points, any_value(c.k) AS clicks, any_value(m.most) > {DEPTH_POINTS} AS truncated, 0 AS n_missing
+FROM x JOIN m ON m.stream_id = x.stream_id LEFT JOIN c ON c.stream_id = x.stream_id GROUP BY x.stream_id HAVING count(*) > 1""")
+def a5_parts(spark, path):
+    folder = scratch(spark, "documents")
+    documents.write(run_documents(spark, path), folder)
+    d = documents.read(spark, folder, multi_line=False)
+    missing = documents.missing_keys(spark.read.text(folder)).groupBy("run_id").agg(F.count("*").cast("int").alias("n_missing"))
+    q = F.col("metrics.queue_depth")["click"]
+    out = d.select(F.col("run.name").alias("run_id"), rd(F.col("metrics.power.mean_w"), "mean_w", 4), rd(F.col("metrics.power.energy_j"), "energy_j", 1),
+                   rd(F.col("metrics.vram.peak_used_gb"), "peak_used_gb", 5), q["max"].alias("click_depth"), F.when(q.isNotNull(), F.size(q["series"])).alias("click_points"),
+                   F.col("events.counts")["click"].alias("clicks"), F.col("events.truncated").alias("truncated")).filter("mean_w is not null")
+    return out.join(missing, "run_id", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+
+
+@query("a6_document_validator", f"""WITH {EV}, r AS (SELECT DISTINCT stream_id AS i FROM ev)
+SELECT CAST(i AS VARCHAR) AS run_id, 'run.status unknown' AS rule FROM r WHERE i % 10 <> 0 AND i % 7 = 0
+UNION ALL SELECT CAST(i AS VARCHAR), 'run.duration_requested_s not numeric' FROM r WHERE i % 13 = 0
+UNION ALL SELECT CAST(i AS VARCHAR), 'environment.gpu_name missing' FROM r WHERE i % 11 = 0""")
 def a6(spark, path):
     return documents.violations(written_documents(spark, path))
 

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from streamlens.operators import telemetry
+from streamlens.operators.layout import Laid, join_on
 
 VERSION = 1
 # The status a run may have, its latency blocks and the keys a document must carry.
 STATUSES = ("completed", "interrupted", "failed")
 BLOCKS = ("photon_to_first_token_ms", "photon_to_answer_ms", "answer_staleness_ms", "capture_interval_ms")
 
-TOP_KEYS = "schema_version run environment config definitions metrics events".split()
-METRIC_KEYS = """
-frames_captured frames_dropped drop_rate achieved_fps capture_interval_ms stages_ms queue_depth
-photon_to_first_token_ms photon_to_answer_ms vlm_calls vlm_calls_per_min answer_staleness_ms
-accuracy_vs_oracle false_trigger_rate trigger_count power vram
-""".split()
+TOP_KEYS = ("schema_version", "run", "environment", "config", "definitions", "metrics", "events")
+METRIC_KEYS = (
+    "frames_captured", "frames_dropped", "drop_rate", "achieved_fps", "capture_interval_ms", "stages_ms", "queue_depth",
+    "photon_to_first_token_ms", "photon_to_answer_ms", "vlm_calls", "vlm_calls_per_min", "answer_staleness_ms",
+    "accuracy_vs_oracle", "false_trigger_rate", "trigger_count", "power", "vram")
+ENVIRONMENT_KEYS = ("python", "platform", "gpu_name", "seed")
 
 BLOCK = "struct<n:bigint,mean:double,p50:double,p95:double,p99:double,min:double,max:double,std:double>"
 DEPTH = "struct<max:bigint,mean:double,n_samples:bigint,series:array<array<double>>>"
@@ -23,11 +27,13 @@ SCHEMA = f"""
 schema_version int,
 run struct<name:string,status:string,duration_requested_s:double,duration_actual_s:double,t_start_monotonic:double,started_utc:string>,
 environment struct<python:string,platform:string,gpu_name:string,seed:bigint>,
+config map<string,string>,
 definitions map<string,string>,
 metrics struct<frames_captured:bigint,frames_dropped:bigint,drop_rate:double,achieved_fps:double,vlm_calls:bigint,
   vlm_calls_per_min:double,{",".join(f"{b}:{BLOCK}" for b in BLOCKS)},stages_ms:map<string,{BLOCK}>,queue_depth:map<string,{DEPTH}>,
-  accuracy_vs_oracle:double>,
-events struct<counts:map<string,bigint>>
+  accuracy_vs_oracle:double,false_trigger_rate:double,trigger_count:bigint,
+  power:struct<mean_w:double,peak_w:double,energy_j:double>,vram:struct<peak_used_gb:double,mean_used_gb:double>>,
+events struct<counts:map<string,bigint>,truncated:boolean>
 """
 
 
@@ -53,17 +59,37 @@ def depth_series(docs: DataFrame) -> DataFrame:
 
 
 def write(runs: DataFrame, path: str) -> None:
-    """One document per line. Raw events stay in their own tables: a document holds aggregates only."""
-    runs.write.mode("errorifexists").json(path)
+    """One document per line; what is unknown is there as null. Raw events stay in their own tables: a document holds
+    aggregates, and of every queue a bounded series."""
+    runs.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
+#: Points of a queue's series that a document holds at most; ``events.truncated`` says whether some run has more.
+DEPTH_POINTS = 200
+
+
+def depth_blocks(samples: Laid, run: str, queue: str, t: str = "t", depth: str = "depth", points: int = DEPTH_POINTS) -> DataFrame:
+    """(run, queue_depth, truncated): the map of a run's queues to maximum, mean, number of samples and first ``points`` points."""
+    keys = [run, queue]
+    series = telemetry.depth_points(samples, t, depth).filter(F.col("point") < points).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("point", "t_rel", F.col(depth).cast("double").alias("d")))).alias("_s"))
+    both = join_on(telemetry.queue_depth(samples.result().withColumnRenamed(depth, "depth"), keys), series, keys)
+    block = F.struct(
+        F.col("max_depth").cast("long").alias("max"), F.col("mean_depth").alias("mean"), F.col("n_samples"),
+        F.transform("_s", lambda x: F.array(x["t_rel"], x["d"])).alias("series"))
+    return both.groupBy(run).agg(
+        F.map_from_entries(F.collect_list(F.struct(queue, block))).alias("queue_depth"), F.max(F.col("n_samples") > points).alias("truncated"))
 
 
-def build(metrics: DataFrame, run: list[str], values: list[str], blocks: list[str], stages: str | None = None) -> DataFrame:
-    """Nest flat per-run columns into the document layout."""
-    fields = [F.col(v) for v in values] + [F.col(b) for b in blocks] + ([F.col(stages)] if stages else [])
+def build(metrics: DataFrame, run: list[str], environment: Column, config: Column, counts: Column, truncated: Column) -> DataFrame:
+    """Nest flat per-run columns into the document layout. A metric that ``metrics`` has no column for is null; the
+    environment (a struct of ENVIRONMENT_KEYS), configuration and event counts are what the caller knows, nothing is made up."""
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(SCHEMA)["metrics"].dataType.fields}
+    fields = [(F.col(k) if k in metrics.columns else F.lit(None)).cast(kinds[k]).alias(k) for k in METRIC_KEYS]
     return metrics.select(
-        F.lit(VERSION).alias("schema_version"), F.struct(*run).alias("run"),
-        F.struct(F.lit("3").alias("python"), F.lit("linux").alias("platform"), F.lit("none").alias("gpu_name"), F.lit(0).cast("long").alias("seed")).alias("environment"),
-        F.create_map(F.lit("t0"), F.lit("frame capture")).alias("definitions"), F.struct(*fields).alias("metrics"))
+        F.lit(VERSION).alias("schema_version"), F.struct(*run).alias("run"), environment.alias("environment"), config.alias("config"),
+        F.create_map(F.lit("t0"), F.lit("frame capture")).alias("definitions"), F.struct(*fields).alias("metrics"),
+        F.struct(counts.alias("counts"), truncated.alias("truncated")).alias("events"))
 
 
 def rules() -> dict[str, Column]:
@@ -76,7 +102,8 @@ def rules() -> dict[str, Column]:
         "run.duration_actual_s not numeric": F.col("run.duration_actual_s").isNull(),
         "definitions.t0 missing": F.col("definitions")["t0"].isNull(),
         "metrics missing": F.col("metrics").isNull(),
-        "environment.seed missing": F.col("environment.seed").isNull(),
+        "run.duration_requested_s not numeric": F.col("run.duration_requested_s").isNull(),
+        **{f"environment.{k} missing": F.col(f"environment.{k}").isNull() for k in ENVIRONMENT_KEYS},
     }
     for b in BLOCKS:
         block = F.col(f"metrics.{b}")
