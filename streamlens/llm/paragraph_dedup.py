@@ -131,12 +131,28 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary())], ["node", "n", "items"])
 
     arrays = stored(docs.join(wanted, "doc_id").select("text", "starts", "nodes").mapInArrow(sets, "node long, n long, items binary"), "paragraph-sets")
-    members = mixed.select("bucket", "node").distinct().join(arrays.select("node", "n"), "node").select(
-        "bucket", "node", "n", F.col("n").alias("m"), F.lit(1).alias("ell"), F.lit(0).alias("pos"))
+
+    def send(batch):
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        if items:
+            yield np.concatenate(items), np.repeat(batch.column(0).to_numpy(), [len(x) for x in items])
+
+    def tally(columns):
+        hashes, nodes = columns
+        _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        node, m = np.unique(nodes[count[back] > 1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(m.astype(np.int64))], ["node", "m"])
+
+    # how much of a paragraph any other one has: a few words over and over share long runs with much that is no copy of them
+    met = exchange(arrays.select("node", "items"), send, tally, (np.uint64, np.int64), "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
+    sizes = stored(arrays.select("node", "n").join(met, "node"), "paragraph-sizes")
+    members = mixed.select("bucket", "node").distinct().join(sizes, "node").select(
+        "bucket", "node", "n", "m", F.lit(1).alias("ell"), F.lit(0).alias("pos"))
     linked = link_components(members, arrays, percent, "paragraphs")
-    where = hits.select("node", "doc_id", "start").distinct().join(linked, "node", "left").select(
-        "doc_id", "start", F.coalesce("component", "node").alias("component_id"))
-    groups = where.groupBy("component_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper <> high").drop("high")
+    where = stored(hits.select("node", "doc_id", "start").distinct().join(linked, "node", "left").select(
+        "doc_id", "start", F.coalesce("component", "node").alias("component_id")), "paragraph-components")
+    # stored, so that the join's sides are both shuffled and Spark can split a component with much of the rows
+    groups = stored(where.groupBy("component_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper <> high").drop("high"), "paragraph-groups")
     return where.join(groups, "component_id").select("doc_id", F.col("start").alias("start_word"), F.lit(WORDS).alias("n_words"), "component_id", "keeper")
 
 
