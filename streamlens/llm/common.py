@@ -204,7 +204,7 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str
     change the result from then on. Rounds go on while they halve the number of such pairs and more than ``few`` are left;
     then all of them are counted per pair and verified. So groups cost about a pair for each member and no link is lost.
     """
-    members = stored(members, f"{name}-members")
+    members = stored(members.where(100 * F.col("m") >= percent * F.col("n")), f"{name}-members")
     edges, labels, left, r = None, None, None, 0
     while True:
         if labels is None:
