@@ -363,9 +363,13 @@ class Bank:
     """Many policies advanced together: one step per row over a vector with an entry per policy.
 
     A sweep has tens to hundreds of settings and often short streams, where scanning policy by policy
-    spends its time on call overhead. Kinds the bank does not know are scanned on their own.
+    spends its time on call overhead. A block with many more rows than policies is scanned policy by
+    policy instead, each jumping from call to call. Kinds the bank does not know are always scanned.
     """
 
+    #: Rows for each policy from which on a block is scanned policy by policy.
+    LONG = 8
+
     def __init__(self, policies: list[Policy]) -> None:
         kinds = [type(p) for p in policies]
         self.policies = policies
@@ -385,6 +389,12 @@ class Bank:
         for cols, step in ((self.gap, self._gap_step), (self.gain, self._gain_step), (self.logit, self._logit_step)):
             if not cols or n == 0:
                 continue
+            if n >= self.LONG * len(cols):
+                for i in cols:
+                    picks, _, carry = self.policies[i].scan(block, carries[i])
+                    fired[picks, i] = True
+                    after[i] = {**after[i], **carry}
+                continue
             ps = [self.policies[i] for i in cols]
             last = np.array([carries[i].get("t", np.nan) if carries[i].get("t") is not None else np.nan for i in cols])
             held = np.array([carries[i].get("v", 0.0) for i in cols])
@@ -410,7 +420,7 @@ class Bank:
                 if cols is not self.gap:
                     after[i]["v"] = float(held[j])
         for i in self.gap:
-            if isinstance(self.policies[i], AdaptiveQuantile) and n:
+            if isinstance(self.policies[i], AdaptiveQuantile) and n and n < self.LONG * len(self.gap):
                 after[i]["h"] = self.policies[i].history(block, carries[i])
         return fired, after
 

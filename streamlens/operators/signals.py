@@ -3,6 +3,7 @@ and the columns that follow the last call or the last state change."""
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -328,14 +329,56 @@ class RunningQuantile(Kernel):
 
     def step(self, state, pdf):
         new = pdf[self.column].to_numpy(dtype=np.float64)
-        old = np.repeat(np.array(state["v"], float), np.array(state["n"], int))
-        s = pd.Series(np.concatenate([old, new]))
-        q = s.expanding(self.min_samples).quantile(self.q, interpolation="linear").to_numpy()[len(old):]
-        v, n = np.unique(s.dropna().to_numpy(), return_counts=True)
-        out = pd.DataFrame({"frame_idx": pdf["frame_idx"].to_numpy(), "running_q": [None if np.isnan(x) else float(x) for x in q]})
+        seen = _Ranked(np.array(state["v"], float), np.array(state["n"], np.int64))
+        q = []
+        for x in new.tolist():
+            if x == x:
+                seen.add(x)
+            q.append(seen.quantile(self.q) if len(seen) >= self.min_samples else None)
+        out = pd.DataFrame({"frame_idx": pdf["frame_idx"].to_numpy(), "running_q": q})
+        v, n = seen.histogram()
         return {"v": v.tolist(), "n": n.tolist()}, out
 
 
+class _Ranked:
+    """Order statistics of values that come one by one, on top of a histogram that stays as it is: an element is found by a
+    binary search over both, so a batch costs its own rows times a logarithm, whatever came before."""
+
+    def __init__(self, v: np.ndarray, n: np.ndarray) -> None:
+        self.v, self.n, self.upto = v, n, np.cumsum(n)
+        self.before = int(self.upto[-1]) if len(n) else 0
+        self.new: list[float] = []
+
+    def __len__(self) -> int:
+        return self.before + len(self.new)
+
+    def add(self, x: float) -> None:
+        bisect.insort(self.new, x)
+
+    def _old(self, i: int) -> float:
+        return float(self.v[np.searchsorted(self.upto, i, "right")])
+
+    def at(self, i: int) -> float:
+        lo, hi = max(0, i + 1 - self.before), min(len(self.new), i + 1)
+        while lo < hi:  # how many of the first i + 1 are new
+            mid = (lo + hi) // 2
+            if self.new[mid] < self._old(i - mid):
+                lo = mid + 1
+            else:
+                hi = mid
+        return max(([self.new[lo - 1]] if lo else []) + ([self._old(i - lo)] if i >= lo else []))
+
+    def quantile(self, q: float) -> float:
+        place = q * (len(self) - 1)
+        i = int(place)
+        low = self.at(i)
+        return low if place == i else low + (place - i) * (self.at(i + 1) - low)
+
+    def histogram(self) -> tuple[np.ndarray, np.ndarray]:
+        v, back = np.unique(np.concatenate([self.v, self.new]), return_inverse=True)
+        return v, np.bincount(back, weights=np.concatenate([self.n, np.ones(len(self.new))]), minlength=len(v)).astype(np.int64)
+
+
 def running_rate(laid: Laid, fired: Column, t: str, per_s: float = 60.0) -> Laid:
     """Calls so far per minute of elapsed stream time; NULL while no time has passed."""
     laid = laid.running(n_calls=F.when(fired, F.lit(1)).otherwise(F.lit(0)).cast("long"))

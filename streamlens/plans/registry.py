@@ -34,8 +34,9 @@ tr AS (
   FROM ev WINDOW w AS (PARTITION BY stream_id ORDER BY t_us, event_id))"""
 
 FR = """fr AS (
-  SELECT vec_id % 10 AS stream_id, vec_id // 10 AS frame_idx, (vec_id // 10) / 30.0::DOUBLE AS t,
-    list_transform(embedding, lambda x: x::DOUBLE) AS e, label AS state_id FROM embeddings)"""
+  SELECT vec_id % s.n AS stream_id, vec_id // s.n AS frame_idx, (vec_id // s.n) / 30.0::DOUBLE AS t,
+    list_transform(embedding, lambda x: x::DOUBLE) AS e, label AS state_id
+  FROM embeddings, (SELECT greatest(10, (count(*) + 99999) // 100000) AS n FROM embeddings) s)"""
 
 DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
 

@@ -54,9 +54,10 @@ def trace(spark: SparkSession, path: str) -> Laid:
     return laid.with_df(df)
 
 
-def frames(spark: SparkSession, path: str, n_streams: int = 10, fps: float = 30.0) -> Laid:
-    """Embedding frames: ten interleaved streams at 30 rows a second."""
+def frames(spark: SparkSession, path: str, n_streams: int | None = None, fps: float = 30.0) -> Laid:
+    """Embedding frames: interleaved streams at 30 rows a second, as many as 100,000 rows each ask for, ten at least."""
     e = table(spark, path, "embeddings")
+    n_streams = n_streams or max(10, -(-e.count() // 100_000))
     idx = F.floor(F.col("vec_id") / n_streams).cast("long")
     df = e.select(
         (F.col("vec_id") % n_streams).cast("long").alias("stream_id"),

@@ -134,3 +134,25 @@ def test_in_flight_rows_are_busy(spark):
     assert started == [0, 30, 60, 90]
     busy = sorted(d[d.outcome == "worker_busy"].frame_idx)
     assert busy == [i for s in started for i in range(s + 9, s + 30)]
+
+
+def test_a_bank_scans_long_blocks_as_it_steps_through_short_ones():
+    import numpy as np
+
+    from streamlens.operators.policies import AdaptiveQuantile, Bank, FixedInterval, InformationGain, Learned, SignalThreshold
+
+    policies = [FixedInterval(0.0), FixedInterval(0.7), SignalThreshold("embedding_novelty", "novelty", 0.6, 0.2), AdaptiveQuantile(0.8, 5.0, 0.2, 10),
+                InformationGain(0.2, 3.0, 0.2), Learned([1.0, 0.5, 1.0, -0.2, 2.0], -1.5, 0.5, 0.2)]
+    rng = np.random.default_rng(3)
+    n = 400
+    block = {"t": np.cumsum(rng.choice([0.0, 0.03, 0.3], n)), "frame_idx": np.arange(n), **{c: rng.random(n) for c in ("motion", "novelty", "scene_change")}}
+    out = []
+    for long, size in ((1, n), (10**9, n), (1, 50), (10**9, 37)):
+        bank = Bank(policies)
+        bank.LONG = long
+        carries, rows = [{} for _ in policies], []
+        for lo in range(0, n, size):
+            fired, carries = bank.fire({k: v[lo : lo + size] for k, v in block.items()}, carries)
+            rows.append(fired)
+        out.append(np.vstack(rows))
+    assert all((out[0] == x).all() for x in out[1:]) and out[0].sum(0).min() > 1

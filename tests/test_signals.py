@@ -92,3 +92,20 @@ def test_one_stream_with_a_third_of_the_rows_is_spread(spark, chunks):
     sizes = laid.df.groupBy("stream_id", "_chunk").count().toPandas()
     assert sizes["count"].max() <= 260
     assert set(sizes[sizes.stream_id != "hot"]["_chunk"]) == {-1}
+
+
+def test_running_quantile_equals_an_expanding_window():
+    import numpy as np
+    import pandas as pd
+
+    from streamlens.operators.signals import RunningQuantile
+
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(500) < 0.1, np.nan, rng.integers(0, 40, 500) / 7)
+    k = RunningQuantile("v", 0.95, 3)
+    state, got = k.start(), []
+    for lo in range(0, 500, 61):
+        state, out = k.step(state, pd.DataFrame({"frame_idx": np.arange(lo, min(500, lo + 61)), "v": x[lo : lo + 61]}))
+        got += [np.nan if v is None else v for v in out["running_q"]]
+    want = pd.Series(x).expanding(3).quantile(0.95, interpolation="linear").to_numpy()
+    assert np.allclose(np.array(got, float), want, equal_nan=True)
