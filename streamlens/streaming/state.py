@@ -96,7 +96,9 @@ def stream_fold(df: DataFrame, kernel: Kernel, keys: list[str], order: list[str]
 
 
 class AsOfProcessor(StatefulProcessor):
-    """Holds each question until the watermark passes it, then takes the last evidence not after it."""
+    """Holds each question until the watermark passes it, then takes the last evidence not after it; of evidence of one time
+    that with the largest frame_idx, as the batch join does. Evidence is kept as far back as a question can still ask: from
+    the last row not after the watermark, or not after the oldest waiting question, on - with questions or without."""
 
     def __init__(self, keys: list[str]) -> None:
         self.keys = keys
@@ -107,7 +109,7 @@ class AsOfProcessor(StatefulProcessor):
         self.evidence = handle.getListState("evidence", "t double, frame_idx long, answer string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, came = None, False
         for pdf in rows:
             pdf.columns = [*self.keys, "ts", "t", "side", "query_id", "frame_idx", "answer", "ms"]
             q, e = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
@@ -117,34 +119,46 @@ class AsOfProcessor(StatefulProcessor):
                 first = low if first is None else min(first, low)
             if len(e):
                 self.evidence.appendList([(float(t), int(f), a) for t, f, a in zip(e["t"], e["frame_idx"], e["answer"])])
+                came = True
+        if came:
+            self._prune(self._sorted(), timerValues.getCurrentWatermarkInMs(), [q[2] for q in self._waiting()])
         if first is not None:
             self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = timerValues.getCurrentWatermarkInMs()
-        queries = list(self.queries.get()) if self.queries.exists() else []
+        queries = self._waiting()
         ready, rest = [q for q in queries if q[2] <= at], [q for q in queries if q[2] > at]
         if not ready:
             return
-        evidence = sorted(self.evidence.get()) if self.evidence.exists() else []
-        out = []
-        for qid, t, _ in sorted(ready, key=lambda q: q[1]):
-            seen = [e for e in evidence if e[0] <= t]
-            e = seen[-1] if seen else (None, None, None)
+        evidence, out, i = self._sorted(), [], 0
+        for qid, t, _ in sorted(ready, key=lambda q: q[1]):  # both sides in order: one merge
+            while i < len(evidence) and evidence[i][0] <= t:
+                i += 1
+            e = evidence[i - 1] if i else (None, None, None)
             out.append((*key, qid, t, e[0], e[1], e[2]))
         if rest:
             self.queries.put(rest)
             self.handle.registerTimer(min(q[2] for q in rest))
         else:
             self.queries.clear()
-        # Every evidence row up to the watermark is here, so of those only the latest can still be needed.
-        old = [e for e in evidence if e[0] * 1000.0 <= at]
-        keep = old[-1:] + [e for e in evidence if e[0] * 1000.0 > at]
-        if keep:
-            self.evidence.put(keep)
+        self._prune(evidence, at, [q[2] for q in rest])
         yield pd.DataFrame(out, columns=[*self.keys, "query_id", "t", "evidence_t", "frame_idx", "answer"])
 
+    def _waiting(self) -> list:
+        return list(self.queries.get()) if self.queries.exists() else []
+
+    def _sorted(self) -> list:
+        return sorted(self.evidence.get(), key=lambda e: (e[0], e[1])) if self.evidence.exists() else []
+
+    def _prune(self, evidence: list, watermark_ms: int, waiting_ms: list[int]) -> None:
+        # all evidence up to the watermark is here; a question's ms is its time rounded up, so one millisecond is spared
+        bound = min([watermark_ms, *(ms - 1 for ms in waiting_ms)])
+        first = max(0, sum(1 for e in evidence if e[0] * 1000.0 <= bound) - 1)
+        if first:
+            self.evidence.put(evidence[first:])
+
     def close(self) -> None:
         pass
 
