@@ -43,6 +43,12 @@ def text_bytes(column: str = "text"):
     return F.col(column).cast("binary")
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under column names that no operator uses, and the names to give back."""
+    back = {f"__col{i}": n for i, n in enumerate(df.columns)}
+    return df.toDF(*back), back
+
+
 def one_text_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) with one row for each id that is not null. Where an id comes with several texts its greatest text
     (in byte order; null last) stands for it. The texts are shuffled only if an id does repeat."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamlens.llm.common import text_bytes
+from streamlens.llm.common import set_aside, text_bytes
 
 #: A word is a run of a-z, 0-9 and bytes from 0x80 after lower-casing A-Z; everything else separates.
 _NORMAL = bytes(
@@ -99,7 +99,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[li
     return blocks + [now] if now or not blocks else blocks
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """docs plus n_words, hits (array of start, end: character offsets in the original text of maximal hit runs), n_hit
     (hit words), items (ids found, sorted as strings). A text without words, or null, has none of them; an empty benchmark
     hits nothing; columns of docs with these names are replaced.
@@ -114,9 +114,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     spark = docs.sparkSession
     out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.array().cast("array<struct<a:int,b:int>>"), "__items": F.array().cast("array<string>")})
     for block in item_blocks(benchmark, block_bytes):
-        out = _with_block(out, spark.sparkContext.broadcast(tuple(block)), width)
+        out = _with_block(out, spark.sparkContext.broadcast(tuple(block)), width, text)
     offsets = F.pandas_udf(_offsets, "array<struct<start:int,end:int>>")
-    where = out.withColumn("__found", offsets(F.struct(text_bytes().alias("t"), F.col("__spans").alias("s"))))
+    where = out.withColumn("__found", offsets(F.struct(text_bytes(text).alias("t"), F.col("__spans").alias("s"))))
     runs = F.expr("aggregate(__spans, cast(0 as bigint), (n, s) -> n + s.b - s.a)")
     return where.select(
         *[F.col(f"`{c}`") for c in names], F.col("__words").alias("n_words"), F.col("__found").alias("hits"),
@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
 _SCAN = "struct<n:bigint,spans:array<struct<a:int,b:int>>,items:array<string>>"
 
 
-def _with_block(docs: DataFrame, block, width: int) -> DataFrame:
+def _with_block(docs: DataFrame, block, width: int, text: str) -> DataFrame:
     @F.pandas_udf(_SCAN)
     def found(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         automaton, items = _automaton(block.value, width), block.value
@@ -138,7 +138,7 @@ def _with_block(docs: DataFrame, block, width: int) -> DataFrame:
             names.append([items[j][0] for j in i])
         return pd.DataFrame({"n": n, "spans": runs, "items": names})
 
-    step = docs.withColumn("__r", found(text_bytes(), F.col("__spans")))
+    step = docs.withColumn("__r", found(text_bytes(text), F.col("__spans")))
     return step.withColumns({"__words": F.col("__r.n"), "__spans": F.col("__r.spans"), "__items": F.concat("__items", "__r.items")}).drop("__r")
 
 
@@ -159,9 +159,11 @@ def _offsets(rows: pd.DataFrame) -> pd.Series:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Documents without a hit. (Those with one carry test questions or answers and are left out of training.)"""
-    names = docs.columns
-    return contamination(docs, benchmark, width).where("n_hit = 0").select(*[f"`{c}`" for c in names])
+    """Documents without a hit, with the columns of docs, whatever they are called. (Those with one carry test questions or
+    answers and are left out of training.)"""
+    plain, back = set_aside(docs)
+    text = next(c for c, n in back.items() if n == "text")
+    return contamination(plain, benchmark, width, text=text).where("n_hit = 0").select(*[F.col(c).alias(n) for c, n in back.items()])
 
 
 def items_digest(items: list[str]) -> str:

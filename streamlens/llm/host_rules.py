@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlens.llm import kernels as K
-from streamlens.llm.common import stored, text_bytes
+from streamlens.llm.common import set_aside, stored, text_bytes
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -115,5 +115,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    return judge(docs, host, text).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs that are kept, with the columns of docs, whatever they are called."""
+    plain, back = set_aside(docs)
+    name = {n: c for c, n in back.items()}
+    return judge(plain, name[host], name[text]).where("kept").select(*[F.col(c).alias(n) for c, n in back.items()])

@@ -184,7 +184,7 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with every repeated paragraph cut out of all documents but its keeper; n_chars, if there, is counted anew. Rows
     without a cut are unchanged, and so is a text too short for its cuts (another text of a repeated doc_id)."""
-    spans = removed_spans(found).withColumnRenamed("doc_id", "__id")
+    spans = removed_spans(found).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -192,8 +192,8 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    hit = joined.where(F.col("spans").isNotNull() & F.col("text").isNotNull()).withColumn("text", cut(text_bytes(), F.col("spans")))
+    hit = joined.where(F.col("__spans").isNotNull() & F.col("text").isNotNull()).withColumn("text", cut(text_bytes(), F.col("__spans")))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rest = joined.where(F.col("spans").isNull() | F.col("text").isNull())
+    rest = joined.where(F.col("__spans").isNull() | F.col("text").isNull())
     return rest.select(*names).unionByName(hit.select(*names))

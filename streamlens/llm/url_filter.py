@@ -63,11 +63,12 @@ def _pieces(host):
 
 
 def unigrams(texts: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(word, n): how often each word of 2 to MAX_WORD letters comes up in the texts (tags apart) and as a whole piece of the
-    hosts; counted over all rows, pre-aggregated before the shuffle."""
+    """(word, n): how often each word of 2 to MAX_WORD letters comes up in the texts (tags apart) and between the hyphens of a
+    host; counted over all rows, pre-aggregated before the shuffle."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>", " "))
     words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, MAX_WORD))
-    cut = hosts.select(F.explode(_pieces(F.col("host"))).alias("word")).where(F.length("word").between(2, MAX_WORD))
+    labels = hosts.select(F.explode(F.split("host", r"[.:]")).alias("label")).where(F.contains("label", F.lit("-")))
+    cut = labels.select(F.explode(_pieces(F.col("label"))).alias("word")).where(F.length("word").between(2, MAX_WORD))
     return words.union(cut).groupBy("word").agg(F.count("*").alias("n"))
 
 

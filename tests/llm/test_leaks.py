@@ -65,8 +65,8 @@ def test_offsets_point_into_the_original(spark):
 def test_clean_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c", 5), (2, "x", 6), (3, None, 7)], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame([(1, "b")], "item_id long, text string")
-    kept = decontaminate.clean(df.select("doc_id", "text"), bench)
-    assert kept.columns == ["doc_id", "text"] and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.select("doc_id", "n_words").collect()) == [(2, 6), (3, 7)]
     assert decontaminate.clean(df.limit(0), bench).collect() == []
     none = decontaminate.contamination(df, bench.limit(0))
     assert {(r.doc_id, r.n_words, r.n_hit) for r in none.collect()} == {(1, 3, 0), (2, 1, 0), (3, 0, 0)}
