@@ -41,21 +41,17 @@ def noise_floor(pairs: DataFrame, by: list[str]) -> DataFrame:
         F.avg((F.col("_wa") == F.col("_wb")).cast("double")).alias("self_exact_match"))
 
 
-def long_text_f1(pairs: DataFrame, pair_id: list[str]) -> DataFrame:
-    """Content F1 of long texts: words are counted by a shuffle instead of inside one row."""
-    side = [
-        pairs.select(*pair_id, F.explode(text.content_words(F.col(s))).alias("w"), F.lit(s).alias("s")) for s in ("a", "b")
-    ]
-    counts = side[0].unionByName(side[1]).groupBy(*pair_id, "w").agg(
-        F.count_if(F.col("s") == "a").alias("na"), F.count_if(F.col("s") == "b").alias("nb"))
-    sums = counts.groupBy(*pair_id).agg(
-        F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum(F.least("na", "nb")).alias("both"))
-    out = pairs.select(*pair_id).join(sums, pair_id, "left")
-    p, r = F.col("both") / F.col("na"), F.col("both") / F.col("nb")
-    f1 = (
-        F.when(F.col("na").isNull(), F.lit(1.0)).when((F.col("na") == 0) | (F.col("nb") == 0) | (F.col("both") == 0), F.lit(0.0))
-        .otherwise(2 * p * r / (p + r)))
-    return out.select(*pair_id, f1.alias("content_f1"))
+def long_text_f1(texts: DataFrame, pairs: DataFrame, text_id: str, body: str = "text") -> DataFrame:
+    """(a, b, content_f1) for pairs (a, b) of ids of long texts. Every text's words are counted once, by a pre-aggregated
+    shuffle instead of inside one row; pairs then meet counts, so no body is shuffled and none is read twice for its partner."""
+    counts = texts.select(F.col(text_id).alias("_id"), F.explode(text.content_words(F.col(body))).alias("_w")).groupBy("_id", "_w").agg(F.count("*").alias("_n"))
+    total = counts.groupBy("_id").agg(F.sum("_n").alias("_t"))
+    side = lambda df, c, *names: df.select(F.col("_id").alias(c), *(F.col(x).alias(x + c) for x in names))
+    left = pairs.select("a", "b").join(counts.select(F.col("_id").alias("a"), "_w", F.col("_n").alias("_na")), "a")
+    both = left.join(counts.select(F.col("_id").alias("b"), "_w", F.col("_n").alias("_nb")), ["b", "_w"]).groupBy("a", "b").agg(F.sum(F.least("_na", "_nb")).alias("_both"))
+    out = pairs.select("a", "b").join(both, ["a", "b"], "left").join(side(total, "a", "_t"), "a", "left").join(side(total, "b", "_t"), "b", "left")
+    f1 = 2.0 * F.coalesce("_both", F.lit(0)) / (F.coalesce("_ta", F.lit(0)) + F.coalesce("_tb", F.lit(0)))
+    return out.select("a", "b", F.when(F.col("_ta").isNull() & F.col("_tb").isNull(), F.lit(1.0)).otherwise(f1).alias("content_f1"))
 
 
 def choice_score(predictions: DataFrame) -> DataFrame:

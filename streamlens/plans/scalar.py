@@ -128,8 +128,9 @@ def b9_long(spark, path):
     from streamlens.operators.quality import long_text_f1
 
     d = table(spark, path, "documents").select("doc_id", "text")
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
-    return long_text_f1(d.withColumnRenamed("text", "a").join(b, "doc_id"), ["doc_id"]).withColumn("content_f1", F.round("content_f1", 6))
+    ids = d.select(F.col("doc_id").alias("a"))
+    pairs = ids.join(d.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b")), "a")
+    return long_text_f1(d, pairs, "doc_id").select(F.col("a").alias("doc_id"), F.round("content_f1", 6).alias("content_f1"))
 
 
 @query("b10_similarity")
