@@ -20,6 +20,11 @@ SHINGLE = 5
 #: paragraphs always collide; those that differ in their last 1, 2, 3 or 4 words with probability .96, .81, .58 and .30 - and
 #: a repeat of 50 words holds an equal one for certain.
 SKETCH, BANDS = 31, 3
+#: A paragraph with fewer different 5-word shingles says a few words over and over; its long runs say nothing. Its bands are
+#: ROWS MinHash values each of the 5-word shingles, and FEW_BANDS of them, as there are only few such paragraphs: similarities
+#: of 0.75, 0.86 and 1 meet with probability .79, .98 and 1, those of 1/11 (the same run, then another word) hardly ever.
+FEW, ROWS, FEW_BANDS = 16, 6, 8
+_ROW = np.random.default_rng(31).integers(1, 1 << 63, ROWS * FEW_BANDS, dtype=np.uint64) | np.uint64(1)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,21 +55,42 @@ def paragraph_starts(shingle: np.ndarray, n_words: int, words: int = WORDS, span
     return np.unique(at + start).astype(np.int64)
 
 
+def variety(shingle: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Different shingles among the ``width`` from each start on: those that did not come before inside the paragraph."""
+    order = np.argsort(shingle, kind="stable")
+    again = shingle[order[1:]] == shingle[order[:-1]]
+    if not again.any():
+        return np.full(len(starts), width)
+    before = np.full(len(shingle), -1)
+    before[order[1:][again]] = order[:-1][again]
+    return (before[starts[:, None] + np.arange(width)] < starts[:, None]).sum(axis=1)
+
+
 def paragraphs(words: np.ndarray, bands: int = BANDS):
-    """(starts, identity hash, band hashes [bands, starts], distinct shingles of each) of one text's word hashes."""
+    """(starts, identity hashes, band hashes, number of the paragraph of each band hash) of one text's word hashes."""
     s = K.shingle_hashes(words, SHINGLE)
     starts = paragraph_starts(s, len(words))
     if not len(starts):
-        return starts, None, None
+        return starts, np.empty(0, np.uint64), np.empty(0, np.uint64), starts
     runs = K.shingle_hashes(words, SKETCH)
-    band = np.empty((bands, len(starts)), np.uint64)
+    few = variety(s, starts, width := WORDS - SHINGLE + 1) < FEW
+    many, few = np.flatnonzero(~few), np.flatnonzero(few)
+    band = []
     for b in range(bands):
         low = _sliding_min(K.mix(runs * K._STEP[40 + b] + np.uint64(b)), WORDS - SKETCH + 1)
-        band[b] = K.mix(low[starts] + np.uint64(b + 1))
+        band.append(K.mix(low[starts[many]] + np.uint64(b + 1)))
+    if len(few):
+        held = s[starts[few][:, None] + np.arange(width)]
+        for b in range(FEW_BANDS):
+            mixed = np.full(len(held), b + 101, np.uint64)
+            for r in range(ROWS):
+                mixed = K.mix(mixed + K.mix(held * _ROW[ROWS * b + r]).min(axis=1))
+            band.append(mixed)
     # the words' order is part of the identity
     power = K._powers(WORDS)[:WORDS]
     held = words[starts[:, None] + np.arange(WORDS)]
-    return starts, K.mix((held * power).sum(axis=1, dtype=np.uint64)), band
+    which = np.concatenate([*[many] * bands, *([few] * FEW_BANDS if len(few) else [])])
+    return starts, K.mix((held * power).sum(axis=1, dtype=np.uint64)), np.concatenate(band), which
 
 
 def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -85,10 +111,9 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
             out = []
             for r in range(words.last - words.first):
                 w = words.hashes[words.at[r] : words.at[r + 1]]
-                starts, same, band = paragraphs(w)
+                starts, same, band, which = paragraphs(w)
                 if len(starts):
-                    for b in range(BANDS):
-                        out.append((band[b], same, np.full(len(starts), ids[words.first + r]), starts.astype(np.int32)))
+                    out.append((band, same[which], np.full(len(which), ids[words.first + r]), starts[which].astype(np.int32)))
             if out:
                 yield tuple(np.concatenate(c) for c in zip(*out))
 
