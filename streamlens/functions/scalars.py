@@ -81,6 +81,7 @@ def policy_kind(name: Column) -> Column:
     return F.when(name.startswith("fixed") | (name == "oracle"), F.lit("fixed_interval")).otherwise(name)
 
 
+# The parts of a run's label that name its backend, and those that are not its model.
 def backend_of(label: Column) -> Column:
     return (
         F.when(label.contains("control") | label.contains("downsample"), F.lit("control"))

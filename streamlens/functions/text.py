@@ -27,29 +27,39 @@ def content_words(text: Column) -> Column:
     return keep_content(words(text))
 
 
-def _count(ws: Column, w: Column) -> Column:
-    return F.size(F.filter(ws, lambda x: x == w))
+def _shared(a: Column, b: Column) -> Column:
+    """Words that two bags share, each as often as in both: one walk over the words of both in order."""
+    tag = lambda ws, side: F.transform(ws, lambda w: F.struct(w.alias("w"), F.lit(side).alias("s")))
+    zero = F.lit(0)
 
+    def step(acc: Column, x: Column) -> Column:
+        same, in_a, in_b = acc["w"].eqNullSafe(x["w"]), 1 - x["s"], x["s"]
+        return F.struct(
+            x["w"].alias("w"), F.when(same, acc["a"] + in_a).otherwise(in_a).alias("a"), F.when(same, acc["b"] + in_b).otherwise(in_b).alias("b"),
+            F.when(same, acc["n"]).otherwise(acc["n"] + F.least(acc["a"], acc["b"])).alias("n"))
 
-def bag_f1(a: Column, b: Column) -> Column:
-    """F1 of two word bags: 1 when both are empty, 0 when one is. Pass columns, not expressions: each
-    side is read several times."""
-    na, nb = F.size(a), F.size(b)
+    start = F.struct(F.lit(None).cast("string").alias("w"), zero.alias("a"), zero.alias("b"), zero.alias("n"))
+    return F.aggregate(F.array_sort(F.concat(tag(a, 0), tag(b, 1))), start, step, lambda acc: acc["n"] + F.least(acc["a"], acc["b"]))
 
-    def f1(both: Column) -> Column:
-        p, r = both / na, both / nb
-        return (
-            F.when((na == 0) & (nb == 0), F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)))
 
-    return F.aggregate(
-        F.array_intersect(a, b), F.lit(0).cast("int"), lambda s, w: s + F.least(_count(a, w), _count(b, w)), f1)
+def bag_f1(a: Column, b: Column) -> Column:
+    """F1 of two word bags, 2 * shared / (words of a + words of b): 1 when both are empty, 0 when one is."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * _shared(a, b) / total)
 
 
 def is_degenerate(words_col: Column, min_words: int = 3, repeat_ratio: float = 0.5) -> Column:
-    """Fewer than ``min_words`` words, or one word making up more than ``repeat_ratio`` of them."""
-    top = F.array_max(F.transform(F.array_distinct(words_col), lambda w: _count(words_col, w)))
-    return F.when(F.size(words_col) < min_words, F.lit(True)).otherwise(
-        F.coalesce(top / F.size(words_col) > repeat_ratio, F.lit(False)))
+    """Fewer than ``min_words`` words, or one word making up more than ``repeat_ratio`` of them: the longest run of the sorted
+    words says how often the commonest comes."""
+    zero = F.lit(0)
+
+    def step(acc: Column, w: Column) -> Column:
+        run = F.when(acc["w"].eqNullSafe(w), acc["r"] + 1).otherwise(F.lit(1))
+        return F.struct(w.alias("w"), run.alias("r"), F.greatest(acc["m"], run).alias("m"))
+
+    start = F.struct(F.lit(None).cast("string").alias("w"), zero.alias("r"), zero.alias("m"))
+    top = F.aggregate(F.array_sort(words_col), start, step, lambda acc: acc["m"])
+    return F.when(F.size(words_col) < min_words, F.lit(True)).otherwise(F.coalesce(top / F.size(words_col) > repeat_ratio, F.lit(False)))
 
 
 def similarity(a: Column, b: Column) -> Column:

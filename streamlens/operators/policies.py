@@ -352,6 +352,7 @@ def linspace(lo: float, hi: float, n: int, digits: int) -> list[float]:
     return [round(float(x), digits) for x in np.linspace(lo, hi, n)]
 
 
+# The cut-points of the dense curves.
 def dense_grid(kind: str) -> list[float]:
     """Fine cut-points for locating optima."""
     if kind == "embedding_novelty":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from streamlens.operators.fold import Kernel, fold
 from streamlens.operators.layout import Laid
 from streamlens.operators.policies import LEARNED_FEATURES
+from streamlens.session import stored
 
 
 @dataclass
@@ -60,14 +61,14 @@ def fit(examples: DataFrame, l2: float = 1e-3, max_iter: int = 200) -> dict[str,
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    examples = stored(examples, "examples")  # made by a fold; read for the counts, the fit and the report
     n, pos = examples.agg(F.count("*"), F.sum("label")).first()
     if not n:
-        raise ValueError("no training examples")
+        raise ValueError("there is nothing to learn from: the table of examples is empty")
     if not pos:
-        raise ValueError("no positive examples: the teacher never fired")
-    w_pos = (n - pos) / max(pos, 1.0)
-    mean_w = (pos * w_pos + (n - pos)) / n
-    weight = F.when(F.col("label") > 0, F.lit(w_pos / mean_w)).otherwise(F.lit(1.0 / mean_w))
+        raise ValueError("every example has the label 0; a trigger cannot be learned from them")
+    # both labels get half of the weight, and an example has a weight of 1 on average
+    weight = F.when(F.col("label") > 0, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * max(n - pos, 1.0))))
     data = VectorAssembler(inputCols=list(LEARNED_FEATURES), outputCol="features").transform(examples.withColumn("weight", weight))
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", standardization=True,

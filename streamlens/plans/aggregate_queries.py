@@ -124,12 +124,12 @@ def g8(spark, path):
 
 
 @query("g9_energy", f"""WITH {EV}, x AS (SELECT stream_id, t, value AS w, greatest(0.0, value - 20.0) AS m, event_id, t_us FROM ev), y AS (SELECT *, lag(t) OVER o AS pt, lag(w) OVER o AS pw, lag(m) OVER o AS pm FROM x WINDOW o AS (PARTITION BY stream_id ORDER BY t_us, event_id)),
-q AS (SELECT stream_id, count(*) AS nq FROM ev WHERE event_type = 'click' GROUP BY 1), z AS (SELECT stream_id, count(*) AS n_samples, avg(w) AS mw, max(w) AS xw, sum((t - pt) * (w + pw) / 2.0::DOUBLE) AS e, sum((t - pt) * (m + pm) / 2.0::DOUBLE) AS em FROM y GROUP BY 1)
-SELECT z.stream_id, n_samples, {r('mw', 'mean_w')}, {r('xw', 'peak_w')}, {r('e', 'energy_j', 2)}, {r('em', 'energy_marginal_j', 2)}, {r('e / nq', 'energy_per_query_j', 2)} FROM z LEFT JOIN q USING (stream_id)""")
+q AS (SELECT stream_id, count(*) AS nq FROM ev WHERE event_type = 'click' GROUP BY 1), z AS (SELECT stream_id, count(*) AS n_samples, avg(w) AS mw, max(w) AS xw, sum((t - pt) * (w + pw) / 2.0::DOUBLE) AS e, sum((t - pt) * (m + pm) / 2.0::DOUBLE) AS em, avg(floor(w % 100)) AS mu, CAST(max(floor(w % 40 + 40)) AS INTEGER) AS pt FROM y GROUP BY 1)
+SELECT z.stream_id, n_samples, {r('mw', 'mean_w')}, {r('xw', 'peak_w')}, {r('e', 'energy_j', 2)}, {r('em', 'energy_marginal_j', 2)}, {r('e / nq', 'energy_per_query_j', 2)}, {r('em / nq', 'energy_marginal_per_query_j', 2)}, {r('mu', 'mean_util_pct')}, pt AS peak_temp_c FROM z LEFT JOIN q USING (stream_id)""")
 def g9(spark, path):
     e = tables.events(spark, path).filter("event_type = 'click'")
     d = telemetry.energy(tables.power_samples(spark, path), F.lit(20.0), e)
-    return d.select("stream_id", "n_samples", rd(F.col("mean_w"), "mean_w"), rd(F.col("peak_w"), "peak_w"), *[rd(F.col(c), c, 2) for c in ("energy_j", "energy_marginal_j", "energy_per_query_j")])
+    return d.select("stream_id", "n_samples", rd(F.col("mean_w"), "mean_w"), rd(F.col("peak_w"), "peak_w"), *[rd(F.col(c), c, 2) for c in ("energy_j", "energy_marginal_j", "energy_per_query_j", "energy_marginal_per_query_j")], rd(F.col("mean_util_pct"), "mean_util_pct"), "peak_temp_c")
 
 
 @query("g10_memory", f"WITH {EV}, x AS (SELECT stream_id, CAST(trunc(value * 1e7) AS BIGINT) AS m FROM ev) SELECT stream_id, {r('max(m) / 1073741824.0::DOUBLE', 'peak_used_gb')}, {r('avg(m) / 1073741824.0::DOUBLE', 'mean_used_gb')} FROM x GROUP BY 1")

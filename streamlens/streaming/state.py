@@ -17,8 +17,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """The state API below needs this store; state then lives on disk, not on the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """The state API below needs this store; state then lives on disk, not on the heap. It is a setting of the session, so all
+    streaming queries that start later use it; one that names another store is an error."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    now = spark.conf.get(name, "")
+    if now and now != ROCKSDB and "HDFSBackedStateStoreProvider" not in now:
+        raise ValueError(f"stateful operators need {ROCKSDB}; this session is set to {now}")
+    spark.conf.set(name, ROCKSDB)
 
 
 class FoldProcessor(StatefulProcessor):
