@@ -51,6 +51,14 @@ def a8(spark, path):
     return out.withColumn("t", F.round("t", 6))
 
 
+@query("a8_replay_loop", f"WITH {FR}, n AS (SELECT stream_id, max(frame_idx) + 1 AS n FROM fr GROUP BY 1) SELECT stream_id, frame_idx + k * n AS frame_idx, {r('t + k * n / 30.0::DOUBLE', 't')} FROM fr JOIN n USING (stream_id), (SELECT unnest(range(0, 3)) AS k)")
+def a8_loop(spark, path):
+    fr = tables.frames(spark, path).result().select("stream_id", "frame_idx", "t")
+    rows = windows.looped(fr, ["stream_id"], 3, 30.0)
+    out = collected(spark, replayed(spark, rows, "replay-loop", "frame_idx"), "replay-loop-out")
+    return out.withColumn("t", F.round("t", 6))
+
+
 @query("j1_stateful_signals", f"WITH {NOVELTY} SELECT stream_id, f AS frame_idx, {r('novelty', 'novelty')} FROM s")
 def j1(spark, path):
     fr = tables.frames(spark, path).result()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from streamlens.operators.choose import thin
+from streamlens.operators.layout import join_on
 
 
 def replay_source(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 1) -> DataFrame:
@@ -18,6 +19,14 @@ def replay_source(spark: SparkSession, path: str, schema: T.StructType | str, fi
     )
 
 
+def looped(rows: DataFrame, keys: list[str], times: int, fps: float, frame: str = "frame_idx", t: str = "t") -> DataFrame:
+    """The recorded rows ``times`` times over, as a source that starts again at its end would give them: numbers and times go on
+    where the pass before ended. Every row makes its own repeats, so nothing is ordered or gathered."""
+    length = rows.groupBy(*keys).agg((F.max(frame) + 1).alias("_len"))
+    out = join_on(rows, length, keys).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return out.withColumns({frame: F.col(frame) + F.col("_k") * F.col("_len"), t: F.col(t) + F.col("_k") * F.col("_len") / F.lit(fps)}).drop("_k", "_len")
+
+
 def mark_late(df: DataFrame, arrived: str, event: str, tolerance_s: float) -> DataFrame:
     """Flag rows that came later than the tolerance, and rows from the future, which no step may use as evidence.
 
