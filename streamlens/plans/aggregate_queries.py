@@ -8,14 +8,13 @@ from streamlens.operators.choose import backlog_stats, thin
 from streamlens.operators.layout import lay_out
 from streamlens.operators.policies import FixedInterval, make_policy
 from streamlens.operators.quantiles import auc, percentile_block
-from streamlens.operators.scoring import across_streams, mark_fired, versus
+from streamlens.operators.scoring import across_streams, versus
 from streamlens.operators.triggers import decisions
 from streamlens.plans.join_queries import CALLS, answered, passes, QE
-from streamlens.plans.registry import EV, FR, TR, content, f1, lng, query, r, words
+from streamlens.plans.registry import EV, TR, content, f1, lng, query, r, words
 from streamlens.plans.scalar import LETTER, SAID, annotation_docs, backend_label, LABELS, rd, said
 from streamlens.plans.signal_queries import FIRED, HELD, MOVES, W, fired_trace
-from streamlens.plans.trigger_queries import (DAY, DENSE_KIND, DENSE_REC, GAP, MEANS, NOVELTY_COND, SPLITS, SWEEP, TABLE_SQL, TEXT_MEANS, dense_scores, rec,
-                                              rounded, score_sql, sweep_table)
+from streamlens.plans.trigger_queries import DAY, DENSE_REC, GAP, MEANS, NOVELTY_COND, TEXT_MEANS, dense_scores, rec, rounded, score_sql
 from streamlens.sources import annotations, tables, traces
 from streamlens.sources.tables import table
 

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from streamlens.operators import asof, telemetry
-from streamlens.operators.policies import make_policy, policy_grid
+from streamlens.operators.policies import make_policy
 from streamlens.operators.scoring import rank_first, versus
 from streamlens.operators.signals import transitions
 from streamlens.operators.triggers import decisions
-from streamlens.plans.registry import EV, FR, TR, query, r
+from streamlens.plans.registry import EV, TR, query, r
 from streamlens.plans.scalar import rd
-from streamlens.plans.signal_queries import FIRED, MOVES, W, fired_trace
+from streamlens.plans.signal_queries import FIRED, MOVES, fired_trace
 from streamlens.plans.trigger_queries import GAP, NOVELTY_COND, rec
 from streamlens.sources import tables, traces
 from streamlens.sources.tables import table

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from streamlens.functions import vec
 from streamlens.operators import signals
-from streamlens.operators.scoring import mark_fired
 from streamlens.plans.registry import EV, FR, TR, dot, lng, query, r
 from streamlens.plans.scalar import rd
 from streamlens.sources import tables

@@ -7,7 +7,7 @@ from streamlens.operators.quantiles import percentile_block
 from streamlens.operators.telemetry import answer_staleness, call_latencies, energy, memory
 from streamlens.plans.aggregate_queries import RUNS, run_rates
 from streamlens.plans.join_queries import CALLS
-from streamlens.plans.registry import EV, TR, lng, query, r
+from streamlens.plans.registry import EV, TR, query, r
 from streamlens.plans.scalar import annotation_docs, rd
 from streamlens.plans.signal_queries import MOVES
 from streamlens.session import shared_path

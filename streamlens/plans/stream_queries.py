@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from streamlens.functions import vec
 from streamlens.operators.cache import CacheRun
 from streamlens.operators.policies import FixedInterval, Trigger, make_policy
 from streamlens.operators.signals import Reference
 from streamlens.plans.cache_queries import CACHE_ROWS, cache_rec, rounded_lookups
 from streamlens.plans.join_queries import QE
-from streamlens.plans.registry import EV, FR, TR, lng, query, r
+from streamlens.plans.registry import EV, FR, query, r
 from streamlens.plans.scalar import rd
 from streamlens.plans.signal_queries import NOVELTY
 from streamlens.plans.source_queries import scratch

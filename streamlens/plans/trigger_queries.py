@@ -7,8 +7,8 @@ from streamlens.operators.policies import (AdaptiveQuantile, FixedInterval, Info
                                            make_policy, register_policy)
 from streamlens.operators.scoring import across_streams, with_splits
 from streamlens.operators.sweep import sweep
-from streamlens.operators.triggers import calls_per_minute, decisions, in_flight, matched_timer
-from streamlens.plans.registry import FR, TR, content, f1, lng, query, r
+from streamlens.operators.triggers import decisions, in_flight, matched_timer
+from streamlens.plans.registry import FR, TR, content, f1, query, r
 from streamlens.plans.scalar import rd
 from streamlens.plans.signal_queries import MOVES, WIN_H
 from streamlens.sources import tables
