@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlens.llm.kernels import mix, release
-from streamlens.session import checkpoint_dir, ship_package
+from streamlens.session import shared_path, ship_package, stored  # noqa: F401  (the operators take them from here)
 
 #: Hashes a map task holds before it hands them on.
 BLOCK = 1_000_000
@@ -22,22 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; what is written there goes when the application ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/streamlens-{uuid.uuid4().hex[:12]}-{name}"
-    jvm, sc = spark._jvm, spark.sparkContext
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
-    path = shared_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text; null stays null. Workers get bytes, so nothing is decoded on the way."""
     return F.col(column).cast("binary")
