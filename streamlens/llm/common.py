@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(check, "a long, b long")
 
 
-def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str, few: int = 200_000) -> DataFrame:
+def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str, few: int | None = None) -> DataFrame:
     """(node, component) for the graph of all pairs that share enough buckets and link.
 
     ``members``: bucket, node, n (set size), m (elements that some other set has), ell (buckets a pair must share, at least
@@ -190,10 +190,12 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int, name: str
 
     Large groups of copies are contracted first: every node is verified against one other node, a central member of the
     bucket most of its buckets point to, and linked nodes become one component. Only pairs between different components can
-    change the result from then on. Rounds go on while they halve the number of such pairs and more than ``few`` are left;
-    then all of them are counted per pair and verified. So groups cost about a pair for each member and no link is lost.
+    change the result from then on. Rounds go on while they halve the number of such pairs and more than ``few`` are left (a
+    round reads all members several times, so by default a quarter of their number); then all of them are counted per pair
+    and verified. So groups cost about a pair for each member and no link is lost.
     """
     members = stored(members.where(100 * F.col("m") >= percent * F.col("n")), f"{name}-members")
+    few = max(200_000, members.count() // 4) if few is None else few
     edges, labels, left, r = None, None, None, 0
     while True:
         if labels is None:
