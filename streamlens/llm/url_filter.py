@@ -132,8 +132,9 @@ def bayes_scores(urls: DataFrame, words: DataFrame, seeds: Sequence[str] = SEEDS
     counts = rows.select("m", "block", F.explode("tokens").alias("token")).groupBy("token").agg(
         F.sum(F.when(F.col("block"), F.col("m")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("block"), F.col("m")).otherwise(0)).alias("a"))
     sums = counts.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("tb"), F.coalesce(F.sum("a"), F.lit(0)).alias("ta"), F.count("*").alias("v"))
-    model = counts.crossJoin(F.broadcast(sums)).select(
-        "token", (F.log((F.col("b") + 1) / (F.col("tb") + F.col("v"))) - F.log((F.col("a") + 1) / (F.col("ta") + F.col("v")))).alias("w"))
+    # stored, so that Spark knows its size: a small model is broadcast, and tokens that most hosts have are not gathered in a task
+    model = stored(counts.crossJoin(F.broadcast(sums)).select(
+        "token", (F.log((F.col("b") + 1) / (F.col("tb") + F.col("v"))) - F.log((F.col("a") + 1) / (F.col("ta") + F.col("v")))).alias("w")), "token-weights")
     prior = rows.agg(F.log((F.coalesce(F.sum(F.when(F.col("block"), F.col("m"))), F.lit(0)) + 1) / (F.coalesce(F.sum(F.when(~F.col("block"), F.col("m"))), F.lit(0)) + 1)).alias("prior"))
     scored = rows.select("host", "path", F.explode("tokens").alias("token")).join(model, "token").groupBy("host", "path").agg(F.sum("w").alias("w"))
     return rows.select("host", "path").join(scored, ["host", "path"], "left").crossJoin(F.broadcast(prior)).select(
