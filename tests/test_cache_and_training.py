@@ -115,5 +115,5 @@ def test_teacher_and_fit(spark, chunks, size):
 
 def test_fit_refuses_no_positives(spark):
     rows = [("s", i, i / 30, 0.0, 0.0, 0.0, 0, "") for i in range(10)]
-    with pytest.raises(ValueError, match="positive"):
+    with pytest.raises(ValueError, match="label 0"):
         training.fit(training.teacher_examples(trace(spark, rows)))
