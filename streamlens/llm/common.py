@@ -87,6 +87,7 @@ def exchange(source: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[tuple[
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *blobs], ["part", *(f"c{i}" for i in range(len(cols)))])
 
     def send(batches):
+        release(caches=True)
         held, size = [], 0
         for batch in batches:
             for arrays in emit(batch):

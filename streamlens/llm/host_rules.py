@@ -34,6 +34,7 @@ def repeat_words(hashes: np.ndarray, k: int = 5) -> int:
 
 
 def _stats(batches):
+    K.release(caches=True)
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
         n = batch.num_rows
@@ -52,6 +53,7 @@ def _stats(batches):
                 out["n_dup_lines"][words.first + r] = len(lines) - len(set(lines))
                 out["n_repeat_words"][words.first + r] = repeat_words(words.hashes[words.at[r] : words.at[r + 1]])
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(out[c]) for c in STATS)], [*batch.schema.names[:-1], *STATS])
+    K.release()
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -51,6 +51,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, max_ell: in
     docs = one_text_per_id(docs).select("doc_id", text_bytes().alias("text"))
 
     def profile(batches):
+        K.release(caches=True)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             n = np.zeros(len(ids), np.int64)

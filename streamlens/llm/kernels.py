@@ -22,8 +22,16 @@ _POW = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def release() -> None:
-    """Give freed memory back, for the JVM and the other workers beside this one."""
+#: What empties the caches that operators keep in a worker from task to task.
+CACHES: list = []
+
+
+def release(caches: bool = False) -> None:
+    """Give freed memory back, for the JVM and the other workers beside this one. ``caches``: and what earlier operators have
+    kept; asked for by tasks that begin with work of another kind."""
+    if caches:
+        for empty in CACHES:
+            empty()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

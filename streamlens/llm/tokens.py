@@ -8,6 +8,8 @@ from itertools import chain
 
 import numpy as np
 
+from streamlens.llm.kernels import CACHES
+
 WORD_BPE = "word_bpe_49k.json"
 #: Words a worker remembers.
 CACHE_WORDS = 1_200_000
@@ -16,6 +18,13 @@ _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARK_SET = frozenset(_MARKS)
 
 
+def _forget() -> None:
+    word_ids.cache_clear()
+
+
+CACHES.append(_forget)
+
+
 def vocabulary_path(name: str = WORD_BPE) -> str:
     import public_tokenizers
 
