@@ -14,16 +14,17 @@ from streamlens.llm.common import exchange, link_components, one_text_per_id, st
 #: Words of a paragraph, and starts among which one is chosen: every run of WORDS + SPAN - 1 = 50 words holds a paragraph.
 WORDS, SPAN = 35, 16
 SHINGLE = 5
-#: Words of the shingles that are sketched, and bands of one MinHash value each. Paragraphs of 35 words whose 5-word shingles
-#: have a similarity of 0.75 (27 of 31 shared) have 31 words in a row in common. Sketches of 31-word shingles therefore
-#: collide for hardly anything but links, so short common lines and the ragged ends of common passages make no pairs. Equal
-#: paragraphs always collide; those that differ in their last 1, 2, 3 or 4 words with probability .96, .81, .58 and .30 - and
-#: a repeat of 50 words holds an equal one for certain.
+#: Words of long shingles, and bands of one MinHash value each of them. They collide for paragraphs that differ in their last
+#: words only, and miss links whose words are in another order; ``repeats`` does not use them but ``near_bands``.
 SKETCH, BANDS = 31, 3
 #: A paragraph with fewer different 5-word shingles says a few words over and over; its long runs say nothing. Its bands are
 #: ROWS MinHash values each of the 5-word shingles, and FEW_BANDS of them, as there are only few such paragraphs: similarities
-#: of 0.75, 0.86 and 1 meet with probability .79, .98 and 1, those of 1/11 (the same run, then another word) hardly ever.
-FEW, ROWS, FEW_BANDS = 16, 6, 8
+#: of 0.75 and 0.86 meet with probability .957 and .9998, those of 1/11 (the same run, then another word) hardly ever.
+FEW, ROWS, FEW_BANDS = 16, 6, 16
+#: All other paragraphs: NEAR_BANDS bands of NEAR_ROWS MinHash values each of the 5-word shingles. Similarities of 0.75, 0.77
+#: (27 of 35) and 1 meet with probability .963, .973 and 1, wherever in the paragraphs the difference is.
+NEAR_ROWS, NEAR_BANDS = 2, 4
+_NEAR = np.random.default_rng(57).integers(1, 1 << 63, NEAR_ROWS * NEAR_BANDS, dtype=np.uint64) | np.uint64(1)
 _ROW = np.random.default_rng(31).integers(1, 1 << 63, ROWS * FEW_BANDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -67,14 +68,15 @@ def variety(shingle: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def paragraphs(words: np.ndarray, bands: int = BANDS):
-    """(starts, identity hashes, band hashes, number of the paragraph of each band hash) of one text's word hashes."""
+    """(starts, identity hashes, band hashes, number of the paragraph of each band hash) of one text's word hashes. Without long
+    ``bands`` those of few shingles are joined by all that could link with them."""
     s = K.shingle_hashes(words, SHINGLE)
     starts = paragraph_starts(s, len(words))
     if not len(starts):
         return starts, np.empty(0, np.uint64), np.empty(0, np.uint64), starts
-    runs = K.shingle_hashes(words, SKETCH)
-    few = variety(s, starts, width := WORDS - SHINGLE + 1) < FEW
-    many, few = np.flatnonzero(~few), np.flatnonzero(few)
+    runs = K.shingle_hashes(words, SKETCH) if bands else s
+    kinds = variety(s, starts, width := WORDS - SHINGLE + 1)
+    many, few = np.flatnonzero(kinds >= FEW), np.flatnonzero(kinds < FEW if bands else 75 * kinds < 100 * FEW)
     band = []
     for b in range(bands):
         low = _sliding_min(K.mix(runs * K._STEP[40 + b] + np.uint64(b)), WORDS - SKETCH + 1)
@@ -89,8 +91,19 @@ def paragraphs(words: np.ndarray, bands: int = BANDS):
     # the words' order is part of the identity
     power = K._powers(WORDS)[:WORDS]
     held = words[starts[:, None] + np.arange(WORDS)]
-    which = np.concatenate([*[many] * bands, *([few] * FEW_BANDS if len(few) else [])])
-    return starts, K.mix((held * power).sum(axis=1, dtype=np.uint64)), np.concatenate(band), which
+    which = np.concatenate([many[:0], *[many] * bands, *([few] * FEW_BANDS if len(few) else [])])
+    return starts, K.mix((held * power).sum(axis=1, dtype=np.uint64)), np.concatenate([np.empty(0, np.uint64), *band]), which
+
+
+def near_bands(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Band hashes of the paragraphs at ``starts``, one row for each of NEAR_BANDS; ``shingle``: the text's 5-word shingles."""
+    out = np.empty((NEAR_BANDS, len(starts)), np.uint64)
+    for b in range(NEAR_BANDS):
+        mixed = np.full(len(starts), b + 201, np.uint64)
+        for row in _NEAR[NEAR_ROWS * b : NEAR_ROWS * (b + 1)]:
+            mixed = K.mix(mixed + _sliding_min(K.mix(shingle * row), WORDS - SHINGLE + 1)[starts])
+        out[b] = mixed
+    return out
 
 
 def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -111,8 +124,12 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
             out = []
             for r in range(words.last - words.first):
                 w = words.hashes[words.at[r] : words.at[r + 1]]
-                starts, same, band, which = paragraphs(w)
+                starts, same, band, which = paragraphs(w, 0)
                 if len(starts):
+                    s = K.shingle_hashes(w, SHINGLE)
+                    many = np.flatnonzero(variety(s, starts, WORDS - SHINGLE + 1) >= FEW)
+                    band = np.concatenate([band, near_bands(s, starts[many]).ravel()])
+                    which = np.concatenate([which, np.tile(many, NEAR_BANDS)])
                     out.append((band, same[which], np.full(len(which), ids[words.first + r]), starts[which].astype(np.int32)))
             if out:
                 yield tuple(np.concatenate(c) for c in zip(*out))

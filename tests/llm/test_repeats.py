@@ -112,6 +112,33 @@ def test_a_few_words_over_and_over_meet_by_what_they_are():
     assert len(a) == P.FEW_BANDS and (a == d).all() and not np.isin(a, b).any() and not np.isin(b, c).any()
 
 
+def test_near_bands_meet_at_the_threshold_wherever_the_words_differ():
+    """Halves in the other order: 27 of 35 shingles in common, but no 31 words in a row. And cycles of 20 words: few shingles."""
+    rng = np.random.default_rng(3)
+    met = total = 0
+    for trial in range(600):
+        w = rng.integers(0, 1 << 62, P.WORDS, dtype=np.uint64)
+        k = int(rng.integers(5, 31))
+        v = np.concatenate([w[k:], w[:k]])
+        a, b = (K.shingle_hashes(x, 5) for x in (w, v))
+        assert len(np.intersect1d(a, b)) == 27
+        total += 1
+        met += bool((P.near_bands(a, np.array([0])) == P.near_bands(b, np.array([0]))).any())
+    assert met / total >= 0.95
+
+
+def test_rotated_halves_are_linked(spark):
+    rng = random.Random(8)
+    docs = []
+    for i in range(40):
+        w = prose(rng, P.WORDS)
+        k = rng.randrange(8, 28)
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[k:] + w[:k]))]
+    found = P.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    pairs = {r.doc_id for r in found if r.doc_id % 2}
+    assert len(pairs) >= 36 and all(r.keeper == r.doc_id // 2 * 2 for r in found)
+
+
 def test_cut(spark):
     docs, holds = planted(1)
     df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars int")
