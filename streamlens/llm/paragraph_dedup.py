@@ -95,24 +95,46 @@ def paragraphs(words: np.ndarray, bands: int = BANDS):
     return starts, K.mix((held * power).sum(axis=1, dtype=np.uint64)), np.concatenate([np.empty(0, np.uint64), *band]), which
 
 
-def near_bands(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Band hashes of the paragraphs at ``starts``, one row for each of NEAR_BANDS; ``shingle``: the text's 5-word shingles."""
-    out = np.empty((NEAR_BANDS, len(starts)), np.uint64)
+def near_bands(shingle: np.ndarray, starts: np.ndarray, line: np.ndarray | None = None, n: np.ndarray | None = None) -> np.ndarray:
+    """Band hashes of the pieces at ``starts`` and then of the lines of ``n`` words at ``line``, one row for each of NEAR_BANDS;
+    ``shingle``: the text's 5-word shingles."""
+    lines = 0 if line is None else len(line)
+    out = np.empty((NEAR_BANDS, len(starts) + lines), np.uint64)
+    edges = np.stack([line, line + n - SHINGLE + 1], axis=1).ravel() if lines else None
     for b in range(NEAR_BANDS):
-        mixed = np.full(len(starts), b + 201, np.uint64)
+        mixed = np.full(out.shape[1], b + 201, np.uint64)
         for row in _NEAR[NEAR_ROWS * b : NEAR_ROWS * (b + 1)]:
-            mixed = K.mix(mixed + _sliding_min(K.mix(shingle * row), WORDS - SHINGLE + 1)[starts])
+            h = K.mix(shingle * row)
+            low = _sliding_min(h, WORDS - SHINGLE + 1)[starts] if len(starts) else h[:0]
+            if lines:
+                low = np.concatenate([low, np.minimum.reduceat(np.append(h, h[-1]), edges)[::2]])
+            mixed = K.mix(mixed + low)
         out[b] = mixed
     return out
 
 
-def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
+def lines(words: np.ndarray, at: np.ndarray, breaks: np.ndarray, shortest: int = SHINGLE):
+    """(starts, numbers of words, identity hashes) of a text's lines of ``shortest`` words or more; ``at``: byte offsets of the words,
+    ``breaks``: those of the line feeds."""
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.int64), words
+    number = np.searchsorted(breaks, at)
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    n = np.diff(np.append(first, len(words)))
+    place = np.arange(len(words)) - np.repeat(first, n)
+    same = K.mix(np.add.reduceat(words * K._powers(int(n.max()))[place], first))
+    keep = n >= max(shortest, SHINGLE)
+    return first[keep], n[keep], same[keep]
+
+
+def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFrame:
     """(doc_id, start_word, n_words, component_id, keeper): paragraphs that repeat in another document, one row each.
 
-    A paragraph is WORDS consecutive words (between ASCII white space, A-Z lower-cased) from a start that its own words
-    choose, so pasted passages are found inside longer lines and every repeat of 50 words is. Two paragraphs link if they
+    A paragraph is a line of ``shortest`` (SHINGLE at least) words or more, or a piece: WORDS consecutive words (between ASCII white space, A-Z
+    lower-cased) from a start that its own words choose, so pasted passages are found inside longer lines and every repeat
+    of 50 words is. Two paragraphs of different documents link if they
     are equal or share a band and their 5-word shingle sets have a Jaccard similarity of percent / 100 or more, exactly
-    verified; component_id names a component of links, keeper its smallest doc_id. Texts of fewer words have no paragraph;
+    verified; component_id names a component of links, keeper its smallest doc_id. Lines of fewer words are no paragraph;
     nulls have none; rows with a null doc_id are left out; see ``one_text_per_id`` for repeated ids. Paragraphs that repeat
     inside one document only are not reported.
     """
@@ -122,22 +144,28 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
         ids = batch.column(0).to_numpy()
         for words in K.batch_words(batch.column(1), lower=True):
             out = []
+            breaks = np.flatnonzero(words.data == 10)
             for r in range(words.last - words.first):
-                w = words.hashes[words.at[r] : words.at[r + 1]]
+                own = slice(words.at[r], words.at[r + 1])
+                w = words.hashes[own]
                 starts, same, band, which = paragraphs(w, 0)
-                if len(starts):
+                line, n, named = lines(w, words.starts[own], breaks, shortest)
+                if len(starts) or len(line):
                     s = K.shingle_hashes(w, SHINGLE)
-                    many = np.flatnonzero(variety(s, starts, WORDS - SHINGLE + 1) >= FEW)
-                    band = np.concatenate([band, near_bands(s, starts[many]).ravel()])
-                    which = np.concatenate([which, np.tile(many, NEAR_BANDS)])
-                    out.append((band, same[which], np.full(len(which), ids[words.first + r]), starts[which].astype(np.int32)))
+                    many = np.flatnonzero(variety(s, starts, WORDS - SHINGLE + 1) >= FEW) if len(starts) else starts
+                    band = np.concatenate([band, near_bands(s, starts[many], line, n).ravel()])
+                    units = np.concatenate([many, len(starts) + np.arange(len(line))])
+                    which = np.concatenate([which, np.tile(units, NEAR_BANDS)]).astype(np.int64)
+                    size = np.concatenate([np.full(len(starts), WORDS), n]).astype(np.int32)
+                    same, starts = np.concatenate([same, named]), np.concatenate([starts, line]).astype(np.int32)
+                    out.append((band, same[which], np.full(len(which), ids[words.first + r]), starts[which], size[which]))
             if out:
                 yield tuple(np.concatenate(c) for c in zip(*out))
 
     def receive(columns):
-        band, same, doc, start = columns
+        band, same, doc, start, size = columns
         order = np.lexsort((start, doc, same, band))
-        band, same, doc, start = (c[order] for c in columns)
+        band, same, doc, start, size = (c[order] for c in columns)
         edge = np.concatenate([[True], band[1:] != band[:-1]])
         group = np.cumsum(edge) - 1
         first = np.flatnonzero(edge)
@@ -148,54 +176,63 @@ def repeats(docs: DataFrame, percent: int = 75) -> DataFrame:
         if keep.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(band[keep].view(np.int64)), pa.array(same[keep].view(np.int64)), pa.array(doc[keep]), pa.array(start[keep]),
-                 pa.array((variants[group] > 1)[keep])], ["bucket", "node", "doc_id", "start", "mixed"])
+                 pa.array(size[keep]), pa.array((variants[group] > 1)[keep])], ["bucket", "node", "doc_id", "start", "size", "mixed"])
 
-    hits = stored(exchange(docs, emit, receive, (np.uint64, np.uint64, np.int64, np.int32),
-                           "bucket long, node long, doc_id long, start int, mixed boolean"), "paragraphs")
+    hits = stored(exchange(docs, emit, receive, (np.uint64, np.uint64, np.int64, np.int32, np.int32),
+                           "bucket long, node long, doc_id long, start int, size int, mixed boolean"), "paragraphs")
     # one example of every paragraph that meets a different one; its words are read again for the exact check
     mixed = hits.where("mixed")
-    example = mixed.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("x"))
-    wanted = example.select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.start").alias("start"))
-    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("node").alias("nodes")), "wanted")
+    example = mixed.groupBy("node").agg(F.min(F.struct("doc_id", "start", "size")).alias("x"), F.max("doc_id").alias("high"))
+    # who has it: its document, or nobody else if several do
+    owner = F.when(F.col("x.doc_id") == F.col("high"), F.col("high")).otherwise(F.xxhash64("node"))
+    wanted = example.select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.start").alias("start"), F.col("x.size").alias("size"), owner.alias("owner"))
+    wanted = stored(wanted.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("start", "node", "size", "owner"))), "wanted")
 
     def sets(batches):
         for batch in batches:
-            starts, nodes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            node, n, items = [], [], []
+            starts, nodes, sizes, owners = (batch.column(i).to_pylist() for i in range(1, 5))
+            node, owner, n, items = [], [], [], []
             for words in K.batch_words(batch.column(0), lower=True):
                 for r in range(words.last - words.first):
                     s = K.shingle_hashes(words.hashes[words.at[r] : words.at[r + 1]], SHINGLE)
-                    for at, name in zip(starts[words.first + r], nodes[words.first + r]):
-                        x = np.unique(s[at : at + WORDS - SHINGLE + 1])
+                    k = words.first + r
+                    for at, name, size, who in zip(starts[k], nodes[k], sizes[k], owners[k]):
+                        x = np.unique(s[at : at + size - SHINGLE + 1])
                         node.append(name)
+                        owner.append(who)
                         n.append(len(x))
                         items.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary())], ["node", "n", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary()), pa.array(owner, pa.int64())], ["node", "n", "items", "owner"])
 
-    arrays = stored(docs.join(wanted, "doc_id").select("text", "starts", "nodes").mapInArrow(sets, "node long, n long, items binary"), "paragraph-sets")
+    arrays = stored(docs.join(wanted, "doc_id").select("text", "start", "node", "size", "owner").mapInArrow(sets, "node long, n long, items binary, owner long"), "paragraph-sets")
 
     def send(batch):
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
         if items:
-            yield np.concatenate(items), np.repeat(batch.column(0).to_numpy(), [len(x) for x in items])
+            n = [len(x) for x in items]
+            yield np.concatenate(items), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(2).to_numpy(), n)
 
     def tally(columns):
-        hashes, nodes = columns
-        _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        node, m = np.unique(nodes[count[back] > 1], return_counts=True)
+        hashes, nodes, owners = columns
+        order = np.lexsort((owners, hashes))
+        hashes, nodes, owners = (c[order] for c in columns)
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        last = np.append(first[1:], len(hashes)) - 1
+        shared = np.repeat(owners[first] != owners[last], last - first + 1)
+        node, m = np.unique(nodes[shared], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(m.astype(np.int64))], ["node", "m"])
 
-    # how much of a paragraph any other one has: a few words over and over share long runs with much that is no copy of them
-    met = exchange(arrays.select("node", "items"), send, tally, (np.uint64, np.int64), "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
+    # how much of a paragraph any one of another document has (neighbours in a text share much with each other): a few words over and over share long runs with much that is no copy of them
+    met = exchange(arrays.select("node", "items", "owner"), send, tally, (np.uint64, np.int64, np.int64), "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
     sizes = stored(arrays.select("node", "n").join(met, "node"), "paragraph-sizes")
     members = mixed.select("bucket", "node").distinct().join(sizes, "node").select(
         "bucket", "node", "n", "m", F.lit(1).alias("ell"), F.lit(0).alias("pos"))
-    linked = link_components(members, arrays, percent, "paragraphs")
-    where = stored(hits.select("node", "doc_id", "start").distinct().join(linked, "node", "left").select(
-        "doc_id", "start", F.coalesce("component", "node").alias("component_id")), "paragraph-components")
+    linked = link_components(members, arrays.drop("owner"), percent, "paragraphs")
+    where = stored(hits.select("node", "doc_id", "start", "size").distinct().join(linked, "node", "left").select(
+        "doc_id", "start", "size", F.coalesce("component", "node").alias("component_id")), "paragraph-components")
     # stored, so that the join's sides are both shuffled and Spark can split a component with much of the rows
     groups = stored(where.groupBy("component_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper <> high").drop("high"), "paragraph-groups")
-    return where.join(groups, "component_id").select("doc_id", F.col("start").alias("start_word"), F.lit(WORDS).alias("n_words"), "component_id", "keeper")
+    return where.join(groups, "component_id").select("doc_id", F.col("start").alias("start_word"), F.col("size").alias("n_words"), "component_id", "keeper")
 
 
 def removed_spans(found: DataFrame) -> DataFrame:

@@ -139,6 +139,26 @@ def test_rotated_halves_are_linked(spark):
     assert len(pairs) >= 36 and all(r.keeper == r.doc_id // 2 * 2 for r in found)
 
 
+def test_lines_are_compared_whole(spark):
+    """Long lines with scattered edits, against brute force, and short lines that are equal."""
+    rng = random.Random(9)
+    docs, links = [], 0
+    for i in range(40):
+        w = prose(rng, 100)
+        v = list(w)
+        v[33], v[67] = prose(rng, 2)
+        a, b = (set(zip(*(x[k:] for k in range(5)))) for x in (w, v))
+        links += 100 * len(a & b) >= 75 * len(a | b)
+        docs += [(2 * i, "\n".join([" ".join(prose(rng, 7)), " ".join(w)])), (2 * i + 1, "\n".join([" ".join(v), " ".join(prose(rng, 7))]))]
+    line = " ".join(prose(rng, 6))
+    docs += [(100 + i, "\n".join([" ".join(prose(rng, 9)), line, " ".join(prose(rng, 3))])) for i in range(5)]
+    found = P.repeats(spark.createDataFrame(docs, "doc_id long, text string"), shortest=P.SHINGLE).collect()
+    assert links == 40
+    whole = {r.doc_id for r in found if r.doc_id < 100 and r.n_words == 100 and r.keeper == r.doc_id // 2 * 2}
+    assert len({d for d in whole if d % 2}) >= 0.95 * links
+    assert sorted((r.doc_id, r.start_word, r.n_words, r.keeper) for r in found if r.doc_id >= 100) == [(100 + i, 9, 6, 100) for i in range(5)]
+
+
 def test_cut(spark):
     docs, holds = planted(1)
     df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars int")
