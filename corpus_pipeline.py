@@ -25,7 +25,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: a paragraph that repeats stays in one document and is cut out of the others."""
     ship_package(spark)
-    return paragraph_dedup.without_repeats(docs, paragraph_dedup.repeats(docs, shortest=paragraph_dedup.SHINGLE))
+    found = paragraph_dedup.repeats(docs, shortest=paragraph_dedup.SHINGLE)
+    return paragraph_dedup.without_repeats(docs, paragraph_dedup.whole_spans(docs, found))
 
 
 def test_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from streamlens.llm.common import exchange, link_components, one_text_per_id, st
 #: Words of a paragraph, and starts among which one is chosen: every run of WORDS + SPAN - 1 = 50 words holds a paragraph.
 WORDS, SPAN = 35, 16
 SHINGLE = 5
+#: Words of the keeper's text that are looked at on either side of a paragraph's ends; more than a run without a paragraph has.
+AROUND = 64
 #: Words of long shingles, and bands of one MinHash value each of them. They collide for paragraphs that differ in their last
 #: words only, and miss links whose words are in another order; ``repeats`` does not use them but ``near_bands``.
 SKETCH, BANDS = 31, 3
@@ -235,6 +237,81 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFr
     return where.join(groups, "component_id").select("doc_id", F.col("start").alias("start_word"), F.col("size").alias("n_words"), "component_id", "keeper")
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of leading values that are equal."""
+    k = min(len(a), len(b))
+    other = np.flatnonzero(a[:k] != b[:k])
+    return int(other[0]) if len(other) else k
+
+
+def _extend(words: np.ndarray, shingle: np.ndarray, start: int, n: int, left: np.ndarray, right: np.ndarray, before: int, after: int) -> tuple[int, int]:
+    """(first word, end) of the paragraph, widened while the text agrees with its keeper's. ``left``: the keeper's words around
+    the first of its paragraph, which has the place ``before``; ``right``: those around its end, ``after`` of them behind it."""
+    end, near = start + n, min(n, AROUND)
+    a, b = start, end
+    held = K.shingle_hashes(left, SHINGLE)
+    at = np.flatnonzero(np.isin(shingle[start : start + near - SHINGLE + 1], held))
+    if len(at):
+        i = start + int(at[0])
+        places = np.flatnonzero(held == shingle[i])
+        j = int(places[np.argmin(np.abs(places - (before + i - start)))])
+        a = min(a, i - _agree(words[:i][::-1][: len(left)], left[:j][::-1]))
+    held = K.shingle_hashes(right, SHINGLE)
+    first = end - near
+    at = np.flatnonzero(np.isin(shingle[first : end - SHINGLE + 1], held))
+    if len(at):
+        i = first + int(at[-1])
+        places = np.flatnonzero(held == shingle[i])
+        j = int(places[np.argmin(np.abs(places - (len(right) - after - end + i)))])
+        b = max(b, i + _agree(words[i : i + len(right)], right[j:]))
+    return a, b
+
+
+def whole_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (see ``repeats``) with start_word and n_words of every paragraph that is not its keeper's widened both ways, word
+    by word, while the text agrees with the keeper's, AROUND words at most: longer agreement has paragraphs of its own there."""
+    docs = one_text_per_id(docs).select("doc_id", text_bytes().alias("text"))
+    found = stored(found, "paragraph-found")
+    kept = found.where("doc_id = keeper").groupBy("component_id", "doc_id").agg(F.min(F.struct("start_word", "n_words")).alias("k"))
+    kept = kept.groupBy("doc_id").agg(F.collect_list(F.struct("component_id", "k.start_word", "k.n_words")).alias("units"))
+
+    def windows(batches):
+        for batch in batches:
+            units, rows = batch.column(1).to_pylist(), []
+            for words in K.batch_words(batch.column(0), lower=True):
+                for r in range(words.last - words.first):
+                    w = words.hashes[words.at[r] : words.at[r + 1]].astype(np.uint32)
+                    for u in units[words.first + r]:
+                        a, n = u["start_word"], u["n_words"]
+                        near, lo, hi = min(n, AROUND), max(0, a - AROUND), min(len(w), a + n + AROUND)
+                        rows.append((u["component_id"], w[lo : a + near].tobytes(), w[a + n - near : hi].tobytes(), a - lo, hi - a - n))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))],
+                                             ["component_id", "left", "right", "before", "after"])
+
+    around = stored(docs.join(kept, "doc_id").select("text", "units").mapInArrow(windows, "component_id long, left binary, right binary, before int, after int"), "paragraph-windows")
+    cut = stored(found.where("doc_id > keeper").join(around, "component_id"), "paragraph-cuts")
+    cut = cut.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words", "component_id", "keeper", "left", "right", "before", "after")).alias("units"))
+
+    def widen(batches):
+        for batch in batches:
+            units, ids, rows = batch.column(2).to_pylist(), batch.column(0).to_pylist(), []
+            for words in K.batch_words(batch.column(1), lower=True):
+                for r in range(words.last - words.first):
+                    w = words.hashes[words.at[r] : words.at[r + 1]].astype(np.uint32).astype(np.uint64)
+                    s, k = K.shingle_hashes(w, SHINGLE), words.first + r
+                    for u in units[k]:
+                        left, right = (np.frombuffer(u[c], np.uint32).astype(np.uint64) for c in ("left", "right"))
+                        a, b = _extend(w, s, u["start_word"], u["n_words"], left, right, u["before"], u["after"])
+                        rows.append((ids[k], a, b - a, u["component_id"], u["keeper"]))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
+                                             ["doc_id", "start_word", "n_words", "component_id", "keeper"])
+
+    wide = docs.join(cut, "doc_id").select("doc_id", "text", "units").mapInArrow(widen, "doc_id long, start_word int, n_words int, component_id long, keeper long")
+    return found.where("doc_id = keeper").select(*wide.columns).unionByName(wide)
+
+
 def removed_spans(found: DataFrame) -> DataFrame:
     """(doc_id, spans): for every document the word ranges [start, end) to cut, merged where they touch: its paragraphs whose
     component has a keeper of smaller doc_id."""

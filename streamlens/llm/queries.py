@@ -74,7 +74,8 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op5_paragraph_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that repeat across documents, and whether each is cut."""
-    found = paragraph_dedup.repeats(table(spark, sf_dir, "documents"), shortest=paragraph_dedup.SHINGLE)
+    docs = table(spark, sf_dir, "documents")
+    found = paragraph_dedup.whole_spans(docs, paragraph_dedup.repeats(docs, shortest=paragraph_dedup.SHINGLE))
     return found.withColumn("removed", F.col("doc_id") > F.col("keeper"))
 
 

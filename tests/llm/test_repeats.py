@@ -177,6 +177,27 @@ def test_cut(spark):
     assert not [r for r in P.repeats(out).collect() if r.doc_id > r.keeper]
 
 
+def test_whole_repeats_are_cut(spark):
+    """Nothing of a pasted passage stays but in its keeper; besides it go at most 8 words at either end: 4 by which a linked
+    piece may differ, and 4 more by which another piece of the same text is linked to that one."""
+    rng = random.Random(11)
+    passages = [prose(rng, n) for n in (50, 51, 60, 77, 100)]
+    docs, want = [], {}
+    for i in range(60):
+        a, b = prose(rng, rng.randrange(60, 99)), prose(rng, rng.randrange(60, 99))
+        docs.append((i, " ".join(a + passages[i % 5] + b)))
+        want[i] = a, b
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = P.whole_spans(df, P.repeats(df, shortest=P.SHINGLE))
+    after = {r.doc_id: r.text.split() for r in P.without_repeats(df, found).collect()}
+    for i, (a, b) in want.items():
+        if i < 5:
+            assert after[i] == a + passages[i] + b
+        else:
+            assert not set(after[i]) & set(passages[i % 5])
+            assert set(a[:-8] + b[8:]) <= set(after[i])
+
+
 def test_cut_words():
     assert P.cut_words("a b  ç d\ne f".encode(), [(1, 3)]).decode() == "a  d\ne f"
     assert P.cut_words(b"a b", [(0, 2)]) == b"" and P.cut_words(b"a b", [(1, 9)]) == b"a b"
