@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlens.llm import decontaminate, host_rules, jaccard_join, packing, paragraph_dedup, quality_bayes, toxicity, training_order, url_filter, warc
+from streamlens.llm import (
+    collocations, decontaminate, host_rules, jaccard_join, language_id, packing, paragraph_dedup, prefix_trie, quality_bayes, toxicity, training_order,
+    url_filter, warc)
 from streamlens.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -164,3 +166,70 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op12_prefix_trie", """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (
+  SELECT c, list_reduce(flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: [ord(substr(c::VARCHAR, i::INT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295::BIGINT) AS crc
+  FROM (SELECT DISTINCT c FROM t)),
+k AS (SELECT c, c - c % 100 AS b, xor(crc, 4294967295::BIGINT) % 6 AS h FROM s),
+u AS (
+  SELECT k.c, 0 AS z, t.p, t.r, t.x FROM k JOIN t ON t.c = k.b AND t.p < k.h
+  UNION ALL SELECT k.c, 1, t.p, t.r, t.x FROM k JOIN t ON t.c = k.c AND t.p >= k.h),
+v AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY z, p) AS d, r, x FROM u),
+m AS (SELECT c, d, length(x) AS w, list([r, x]) OVER (PARTITION BY c ORDER BY d) AS g FROM v UNION ALL SELECT c, 0, 0, [] FROM k),
+n AS (SELECT g, d, min(c) AS c, count(*) AS n, any_value(w) AS w FROM m GROUP BY g, d),
+l AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+e AS (SELECT g, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM m JOIN l USING (c, d) GROUP BY g),
+up AS (SELECT n.g, m.g AS pg, q.c AS pc FROM n JOIN m ON m.c = n.c AND m.d = n.d - 1 JOIN n q ON q.g = m.g),
+ch AS (SELECT pg AS g, count(*) AS n FROM up GROUP BY pg),
+a AS (
+  SELECT m.g, sum((n.n - 1) * n.w) AS saved, count_if(ch.n IS NULL) AS leaves
+  FROM n JOIN m ON m.c = n.c AND m.d <= n.d LEFT JOIN ch ON ch.g = n.g GROUP BY m.g)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, up.pc AS parent_conv_id, n.n AS n_convs, coalesce(ch.n, 0) AS n_children, a.leaves::BIGINT AS n_leaves,
+  a.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN a ON a.g = n.g LEFT JOIN up ON up.g = n.g LEFT JOIN ch ON ch.g = n.g LEFT JOIN e ON e.g = n.g""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_collocations", r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+g AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS p
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, p, count(*) AS f FROM g GROUP BY lang, m, p),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, p, string_split(p, ' ') AS ws, f FROM f WHERE m > 1 AND f >= 100),
+sub AS (
+  SELECT DISTINCT lang, array_to_string(ws[i:i + j - 1], ' ') AS p, f
+  FROM (SELECT lang, ws, m, f, j, unnest(range(1, m - j + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS j) WHERE m > j)),
+gone AS (SELECT DISTINCT c.lang, c.p FROM c JOIN sub ON sub.lang = c.lang AND sub.p = c.p AND 100 * sub.f >= 100 * c.f),
+k AS (
+  SELECT c.lang, c.p, c.f AS a, l.f AS l, r.f AS r, n.n, k, ((1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f)) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN n ON n.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.ws[k + 1:c.m], ' ')),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM b WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = b.lang AND gone.p = b.p)
+QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
