@@ -151,8 +151,9 @@ def _run_rows(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel)
     return _in_order(df, keys, order).mapInPandas(run, schema)
 
 
-def _run_states(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, cold: bool) -> DataFrame:
-    """One row per chunk: its probe (``cold``) or the state it ends in when begun from its entry."""
+def _run_states(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, cold: bool, whole: bool = False) -> DataFrame:
+    """One row per chunk: its probe (``cold``) or the state it ends in when begun from its entry, as the next chunk needs it or
+    ``whole``."""
     schema = T.StructType([*_key_fields(df, keys), T.StructField("_state", T.StringType())])
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +167,7 @@ def _run_states(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel
                 state = entry if entry is not None else state
                 if len(block):
                     state, _ = kernel.step(state, block)
-            result = kernel.chunk_entry(state)
+            result = state if whole else kernel.chunk_entry(state)
         yield pd.DataFrame([[*key, json.dumps(result)]], columns=[*keys, "_state"])
 
     return _in_order(df, keys, order).groupBy(*keys).applyInPandas(run, schema)
@@ -236,3 +237,19 @@ def fold(laid: Laid, kernel: Kernel) -> DataFrame:
     finally:
         large.unpersist()
     return _run_rows(_with_entries(rows, entries), [*keys, CHUNK], order, kernel)
+
+
+def end_states(laid: Laid, kernel: Kernel) -> DataFrame:
+    """The state in which ``kernel`` leaves every stream, ``keys, _state``: what a stream over the rows that follow starts from
+    (``streaming.state.stream_fold``)."""
+    keys, order = list(laid.keys), list(laid.order)
+    rows = laid.df.select(*dict.fromkeys([*laid.parts, *order, *kernel.columns]))
+    if not laid.split:
+        return _run_states(rows, keys, order, kernel, cold=False, whole=True)
+    large = rows.filter(F.col(CHUNK) >= 0).persist(StorageLevel.DISK_ONLY)
+    try:
+        entries = entry_states(large, keys, order, kernel)
+    finally:
+        large.unpersist()
+    ends = _run_states(_with_entries(rows, entries), [*keys, CHUNK], order, kernel, cold=False, whole=True)
+    return ends.groupBy(*keys).agg(F.max_by("_state", CHUNK).alias("_state"))

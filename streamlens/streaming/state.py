@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,18 +28,97 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(name, ROCKSDB)
 
 
+class Buckets:
+    """What waits of one key, by stretches of ``width_ms`` of event time: a batch reads and writes the stretches it has rows of,
+    however much the key holds besides.
+
+    Every batch adds a piece of its own (a table as bytes) to a stretch, so nothing that is there already is written again. One
+    small value lists the stretches that hold something, with their number of pieces.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, width_ms: int) -> None:
+        self.width = width_ms
+        self.pieces = handle.getMapState(name, "bucket long, piece int", "rows binary")
+        self.index = handle.getValueState(f"{name}-index", "buckets array<long>, pieces array<int>")
+
+    def held(self) -> dict[int, int]:
+        """Stretches that hold rows, in order, and their pieces."""
+        if not self.index.exists():
+            return {}
+        buckets, pieces = self.index.get()
+        return {int(b): int(n) for b, n in zip(buckets, pieces)}
+
+    def note(self, held: dict[int, int]) -> None:
+        order = sorted(b for b, n in held.items() if n)
+        if order:
+            self.index.update((order, [held[b] for b in order]))
+        elif self.index.exists():
+            self.index.clear()
+
+    def add(self, pdf: pd.DataFrame, ms: str) -> dict[int, int]:
+        """Put rows where they belong by column ``ms``; (stretch, its earliest new ms) of those touched."""
+        held, touched = self.held(), {}
+        for bucket, part in pdf.groupby(pdf[ms] // self.width, sort=True):
+            bucket = int(bucket)
+            n = held.get(bucket, 0)
+            self.pieces.updateValue((bucket, n), (_packed(part),))
+            held[bucket] = n + 1
+            touched[bucket] = int(part[ms].min())
+        self.note(held)
+        return touched
+
+    def read(self, bucket: int, n: int) -> pd.DataFrame:
+        return pd.concat([_unpacked(self.pieces.getValue((bucket, i))[0]) for i in range(n)], ignore_index=True)
+
+    def drop(self, bucket: int, n: int) -> None:
+        for i in range(n):
+            self.pieces.removeKey((bucket, i))
+
+    def take(self, upto_ms: int, ms: str) -> tuple[pd.DataFrame | None, int | None]:
+        """All rows up to ``upto_ms``, taken out, and the earliest ms that is left in the stretch that holds ``upto_ms``."""
+        held, out, low = self.held(), [], None
+        for bucket in [b for b in held if b * self.width <= upto_ms]:
+            rows = self.read(bucket, held[bucket])
+            self.drop(bucket, held.pop(bucket))
+            rest = rows[rows[ms] > upto_ms]
+            if len(rest):
+                self.pieces.updateValue((bucket, 0), (_packed(rest),))
+                held[bucket] = 1
+                low = int(rest[ms].min())
+            out.append(rows[rows[ms] <= upto_ms])
+        if out:
+            self.note(held)
+        return (pd.concat(out, ignore_index=True) if out else None), low
+
+
+def _packed(pdf: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(blob).read_all().to_pandas()
+
+
 class FoldProcessor(StatefulProcessor):
     """Runs a kernel per key. With ``hold`` rows wait until the watermark has passed them, so they are
     folded in event order whatever order they arrive in; without it each micro-batch is sorted."""
 
-    def __init__(self, kernel: Kernel, keys: list[str], order: list[str], event_ms: str | None, in_schema: T.StructType) -> None:
-        self.kernel, self.keys, self.order, self.event_ms, self.in_schema = kernel, keys, order, event_ms, in_schema
+    def __init__(self, kernel: Kernel, keys: list[str], order: list[str], event_ms: str | None, in_schema: T.StructType, bucket_ms: int = 60_000) -> None:
+        self.kernel, self.keys, self.order, self.event_ms, self.in_schema, self.bucket_ms = kernel, keys, order, event_ms, in_schema, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "json string")
         if self.event_ms:
-            self.waiting = handle.getListState("waiting", self.in_schema)
+            self.waiting = Buckets(handle, "waiting", self.bucket_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Start from the state that a batch fold of earlier rows ended in (``fold.end_states``)."""
+        self.state.update((str(initialState["_state"].iloc[0]),))
 
     def _step(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(pdf):
@@ -53,40 +134,31 @@ class FoldProcessor(StatefulProcessor):
             yield out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf.columns = self.in_schema.names  # computed columns reach the worker by position
         if not self.event_ms:
-            pdf = pd.concat(list(rows), ignore_index=True)
-            pdf.columns = self.in_schema.names
             yield from self._step(key, pdf)
             return
-        first = None  # one timer per key at a time: the earliest waiting row
-        for pdf in rows:
-            pdf.columns = self.in_schema.names  # computed columns reach the worker by position
-            self.waiting.appendList([tuple(r) for r in pdf.itertuples(index=False, name=None)])
-            low = int(pdf[self.event_ms].min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            self.handle.registerTimer(first)
-        return
+        for low in self.waiting.add(pdf, self.event_ms).values():
+            self.handle.registerTimer(low)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.waiting.exists():
-            return
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.in_schema.names)
-        ready = rows[self.event_ms] <= timerValues.getCurrentWatermarkInMs()
-        rest = rows[~ready]
-        if len(rest):
-            self.waiting.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
-            self.handle.registerTimer(int(rest[self.event_ms].min()))
-        else:
-            self.waiting.clear()
-        yield from self._step(key, rows[ready])
+        # the first of several timers takes all that is due, in order; the others find nothing
+        ready, low = self.waiting.take(timerValues.getCurrentWatermarkInMs(), self.event_ms)
+        if low is not None:
+            self.handle.registerTimer(low)
+        if ready is not None:
+            yield from self._step(key, ready)
 
     def close(self) -> None:
         pass
 
 
-def stream_fold(df: DataFrame, kernel: Kernel, keys: list[str], order: list[str], hold: str | None = None) -> DataFrame:
-    """``kernel`` over a stream. ``hold``: watermarked timestamp column to wait for, or None."""
+def stream_fold(df: DataFrame, kernel: Kernel, keys: list[str], order: list[str], hold: str | None = None,
+                start: DataFrame | None = None, bucket_s: float = 60.0) -> DataFrame:
+    """``kernel`` over a stream. ``hold``: watermarked timestamp column to wait for, or None; what waits is kept in stretches of
+    ``bucket_s`` seconds. ``start``: states to go on from (keys, ``_state``), as ``fold.end_states`` gives them for the rows
+    before the stream; a key without one starts cold."""
     use_rocksdb(df.sparkSession)
     cols = list(dict.fromkeys([*keys, *order, *kernel.columns]))
     rows = df.select(*cols, *([hold] if hold else []))
@@ -95,81 +167,91 @@ def stream_fold(df: DataFrame, kernel: Kernel, keys: list[str], order: list[str]
     out = T.StructType([df.schema[k] for k in keys] + list(T._parse_datatype_string(kernel.schema).fields))
     # The timestamp only drives the watermark; what is buffered are the kernel's own columns.
     in_schema = T.StructType([f for f in rows.schema.fields])
-    proc = FoldProcessor(kernel, keys, order, "_ms" if hold else None, in_schema)
+    proc = FoldProcessor(kernel, keys, order, "_ms" if hold else None, in_schema, int(bucket_s * 1000))
     return rows.groupBy(*keys).transformWithStateInPandas(
-        proc, outputStructType=out, outputMode="Append", timeMode="EventTime" if hold else "None")
+        proc, outputStructType=out, outputMode="Append", timeMode="EventTime" if hold else "None",
+        initialState=None if start is None else start.select(*keys, "_state").groupBy(*keys))
 
 
 class AsOfProcessor(StatefulProcessor):
     """Holds each question until the watermark passes it, then takes the last evidence not after it; of evidence of one time
-    that with the largest frame_idx, as the batch join does. Evidence is kept as far back as a question can still ask: from
-    the last row not after the watermark, or not after the oldest waiting question, on - with questions or without."""
+    that with the largest frame_idx, as the batch join does.
+
+    Questions and evidence lie in stretches of event time (``Buckets``). A batch touches the stretches of its own rows; a due
+    question the stretch it is in and, if that has nothing before it, the last one before that holds evidence. Evidence is
+    kept as far back as a question can still ask: from the last stretch before the watermark, or before the oldest waiting
+    question, on - with questions or without. Older stretches go unread.
+    """
 
-    def __init__(self, keys: list[str]) -> None:
-        self.keys = keys
+    def __init__(self, keys: list[str], bucket_ms: int = 60_000) -> None:
+        self.keys, self.bucket_ms = keys, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queries = handle.getListState("queries", "query_id string, t double, ms long")
-        self.evidence = handle.getListState("evidence", "t double, frame_idx long, answer string")
+        self.queries = Buckets(handle, "queries", self.bucket_ms)
+        self.evidence = Buckets(handle, "evidence", self.bucket_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, came = None, False
-        for pdf in rows:
-            pdf.columns = [*self.keys, "ts", "t", "side", "query_id", "frame_idx", "answer", "ms"]
-            q, e = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
-            if len(q):
-                self.queries.appendList([(x, float(t), int(ms)) for x, t, ms in zip(q["query_id"], q["t"], q["ms"])])
-                low = int(q["ms"].min())
-                first = low if first is None else min(first, low)
-            if len(e):
-                self.evidence.appendList([(float(t), int(f), a) for t, f, a in zip(e["t"], e["frame_idx"], e["answer"])])
-                came = True
-        if came:
-            self._prune(self._sorted(), timerValues.getCurrentWatermarkInMs(), [q[2] for q in self._waiting()])
-        if first is not None:
-            self.handle.registerTimer(first)
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf.columns = [*self.keys, "ts", "t", "side", "query_id", "frame_idx", "answer", "ms"]
+        q, e = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
+        if len(q):
+            for low in self.queries.add(q[["query_id", "t", "ms"]], "ms").values():
+                self.handle.registerTimer(low)
+        if len(e):
+            self.evidence.add(e[["t", "frame_idx", "answer", "ms"]].astype({"frame_idx": "int64"}), "ms")
+            self._prune(timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = timerValues.getCurrentWatermarkInMs()
-        queries = self._waiting()
-        ready, rest = [q for q in queries if q[2] <= at], [q for q in queries if q[2] > at]
-        if not ready:
+        ready, low = self.queries.take(at, "ms")
+        if low is not None:
+            self.handle.registerTimer(low)
+        if ready is None or not len(ready):
             return
-        evidence, out, i = self._sorted(), [], 0
-        for qid, t, _ in sorted(ready, key=lambda q: q[1]):  # both sides in order: one merge
-            while i < len(evidence) and evidence[i][0] <= t:
-                i += 1
-            e = evidence[i - 1] if i else (None, None, None)
-            out.append((*key, qid, t, e[0], e[1], e[2]))
-        if rest:
-            self.queries.put(rest)
-            self.handle.registerTimer(min(q[2] for q in rest))
-        else:
-            self.queries.clear()
-        self._prune(evidence, at, [q[2] for q in rest])
-        yield pd.DataFrame(out, columns=[*self.keys, "query_id", "t", "evidence_t", "frame_idx", "answer"])
+        held = self.evidence.held()
+        order = sorted(held)
+        read: dict[int, list] = {}
 
-    def _waiting(self) -> list:
-        return list(self.queries.get()) if self.queries.exists() else []
+        def rows_of(bucket: int) -> list:
+            if bucket not in read:
+                e = self.evidence.read(bucket, held[bucket]).sort_values(["t", "frame_idx"])
+                read[bucket] = list(zip(e["t"].tolist(), e["frame_idx"].tolist(), e["answer"].tolist()))
+            return read[bucket]
 
-    def _sorted(self) -> list:
-        return sorted(self.evidence.get(), key=lambda e: (e[0], e[1])) if self.evidence.exists() else []
+        out = []
+        for qid, t, ms in ready.sort_values("t")[["query_id", "t", "ms"]].itertuples(index=False, name=None):
+            found, bucket = None, int(ms) // self.bucket_ms
+            if bucket in held:
+                rows = rows_of(bucket)
+                i = bisect.bisect_right(rows, t, key=lambda e: e[0])
+                found = rows[i - 1] if i else None
+            if found is None:
+                i = bisect.bisect_left(order, bucket)
+                found = rows_of(order[i - 1])[-1] if i else (None, None, None)
+            out.append((*key, qid, t, *found))
+        self._prune(at)
+        yield pd.DataFrame(out, columns=[*self.keys, "query_id", "t", "evidence_t", "frame_idx", "answer"])
 
-    def _prune(self, evidence: list, watermark_ms: int, waiting_ms: list[int]) -> None:
-        # all evidence up to the watermark is here; a question's ms is its time rounded up, so one millisecond is spared
-        bound = min([watermark_ms, *(ms - 1 for ms in waiting_ms)])
-        first = max(0, sum(1 for e in evidence if e[0] * 1000.0 <= bound) - 1)
-        if first:
-            self.evidence.put(evidence[first:])
+    def _prune(self, watermark_ms: int) -> None:
+        # all evidence up to the watermark is here; waiting questions are known by the stretch of the oldest
+        oldest = next(iter(self.queries.held()), None)
+        low = watermark_ms // self.bucket_ms if oldest is None else min(watermark_ms // self.bucket_ms, oldest)
+        held = self.evidence.held()
+        gone = [b for b in held if b < low][:-1]
+        for b in gone:
+            self.evidence.drop(b, held.pop(b))
+        if gone:
+            self.evidence.note(held)
 
     def close(self) -> None:
         pass
 
 
-def stream_asof(queries: DataFrame, evidence: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
-    """Questions and evidence (same ``keys``, ``t``, timestamp ``event_time``) -> answered questions."""
+def stream_asof(queries: DataFrame, evidence: DataFrame, keys: list[str], event_time: str, delay: str, bucket_s: float = 60.0) -> DataFrame:
+    """Questions and evidence (same ``keys``, ``t``, timestamp ``event_time``, of one order) -> answered questions. State is kept in
+    stretches of ``bucket_s`` seconds: about as many as a question is usually away from its evidence is right."""
     use_rocksdb(queries.sparkSession)
     q = queries.select(*keys, event_time, "t", F.lit(1).alias("side"), "query_id",
                        F.lit(None).cast("long").alias("frame_idx"), F.lit(None).cast("string").alias("answer"))
@@ -182,4 +264,4 @@ def stream_asof(queries: DataFrame, evidence: DataFrame, keys: list[str], event_
         T.StructField("evidence_t", T.DoubleType()), T.StructField("frame_idx", T.LongType()),
         T.StructField("answer", T.StringType())])
     return both.groupBy(*keys).transformWithStateInPandas(
-        AsOfProcessor(keys), outputStructType=out, outputMode="Append", timeMode="EventTime")
+        AsOfProcessor(keys, int(bucket_s * 1000)), outputStructType=out, outputMode="Append", timeMode="EventTime")
