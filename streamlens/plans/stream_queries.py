@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from streamlens.operators.cache import CacheRun
+from streamlens.operators.cadence import DepthAtCadence, depth_at_cadence
+from streamlens.operators.fold import end_states, fold
+from streamlens.operators.layout import lay_out
 from streamlens.operators.policies import FixedInterval, Trigger, make_policy
 from streamlens.operators.signals import Reference
 from streamlens.plans.cache_queries import CACHE_ROWS, cache_rec, rounded_lookups
@@ -88,6 +91,31 @@ def j2_held(spark, path):
     return collected(spark, out, "triggers-held").select("stream_id", "policy", "point", "frame_idx")
 
 
+@query("j1_batch_then_stream", f"WITH {NOVELTY} SELECT stream_id, f AS frame_idx, {r('novelty', 'novelty')} FROM s")
+def j1_handed_over(spark, path):
+    """The first half of every stream in batch; a stream over the rest goes on from the states the batch ended in."""
+    fr = tables.frames(spark, path)
+    half = fr.df.agg(F.expr("max(frame_idx) div 2")).first()[0] or 0
+    before = lay_out(fr.result().where(F.col("frame_idx") < half), ["stream_id"], ["frame_idx"], within=fr)
+    stream = replayed(spark, fr.result().where(F.col("frame_idx") >= half), "frames-half", "frame_idx")
+    out = state.stream_fold(stream, Reference(2.0), ["stream_id"], ["frame_idx"], start=end_states(before, Reference(2.0)))
+    cols = ["stream_id", "frame_idx", "novelty"]
+    return fold(before, Reference(2.0)).select(*cols).unionByName(collected(spark, out, "signals-half").select(*cols)).withColumn("novelty", F.round("novelty", 6))
+
+
+@query("j2_batch_then_stream", fired_sql(NOVELTY_COND, "'embedding_novelty'", [0.1, 0.3]))
+def j2_handed_over(spark, path):
+    kernel = Trigger([make_policy("embedding_novelty", v, min_gap_s=GAP) for v in (0.1, 0.3)])
+    tr = tables.trace(spark, path)
+    lo, hi = tr.df.agg(F.min("t_us"), F.max("t_us")).first()
+    cut = (lo + hi) // 2
+    before = lay_out(tr.result().where(F.col("t_us") < cut), ["stream_id"], ["t_us", "event_id"], within=tr)
+    stream = replayed(spark, tr.result().where(F.col("t_us") >= cut), "trace-half", "t_us")
+    out = state.stream_fold(stream, kernel, ["stream_id"], ["t_us", "event_id"], start=end_states(before, kernel))
+    cols = ["stream_id", "policy", "point", "frame_idx"]
+    return fold(before, kernel).select(*cols).unionByName(collected(spark, out, "triggers-half").select(*cols))
+
+
 @query("j3_stateful_cache", f"WITH {cache_rec('[0.1, 0.2]')} SELECT {CACHE_ROWS} FROM c")
 def j3(spark, path):
     zero = F.lit(0.0)
@@ -160,6 +188,40 @@ def j7_stream(spark, path):
     return by_day(out.filter("event_type <> 'end of replay'"))
 
 
+MINUTE, DAY_US = 60_000_000, 86_400_000_000
+CADENCE = f"""WITH {EV}, d AS (SELECT event_type, t_us, arg_max(CAST(floor(value / 10) AS INTEGER), event_id) AS depth FROM ev GROUP BY 1, 2),
+b AS (SELECT event_type, min(t_us) AS lo, max(t_us) AS hi FROM d GROUP BY 1),
+k AS (SELECT event_type, hi, unnest(generate_series((lo + {MINUTE - 1}) // {MINUTE}, (hi - 1) // {MINUTE})) * {MINUTE} AS tick FROM b)
+SELECT k.event_type, tick // {DAY_US} AS day, count(*) AS ticks, {r('avg(depth)', 'mean_depth')}, max(depth) AS peak_depth
+FROM k ASOF JOIN d ON d.event_type = k.event_type AND d.t_us <= k.tick WHERE (tick // {DAY_US} + 1) * {DAY_US} <= hi GROUP BY ALL"""
+
+
+def depth_rows(spark, path):
+    return tables.events(spark, path).select("event_type", "t_us", "event_id", F.floor(F.col("value") / 10).cast("int").alias("depth"))
+
+
+def depth_days(d):
+    return d.select("event_type", F.expr(f"window_us div {DAY_US}").alias("day"), "ticks", rd(F.col("mean_depth"), "mean_depth"), "peak_depth")
+
+
+@query("j7_depth_at_cadence", CADENCE)
+def j7_cadence(spark, path):
+    """Depth held between events and looked at once a minute, by day."""
+    return depth_days(depth_at_cadence(lay_out(depth_rows(spark, path), ["event_type"], ["t_us", "event_id"]), DAY_US, MINUTE))
+
+
+@query("j7_depth_at_cadence_stream", CADENCE)
+def j7_cadence_stream(spark, path):
+    """The same from a stream whose files come newest first: rows wait for the watermark."""
+    rows = depth_rows(spark, path).withColumn("ts", F.timestamp_micros("t_us")).withColumn("_back", -F.col("t_us"))
+    end = rows.agg(F.max("t_us").alias("m")).select(
+        F.lit("end of replay").alias("event_type"), (F.col("m") + 120 * DAY_US).alias("t_us"), F.lit(0).cast("long").alias("event_id"), F.lit(0).alias("depth")).withColumn(
+        "ts", F.timestamp_micros("t_us")).withColumn("_back", F.lit(0).cast("long"))
+    stream = replayed(spark, rows, "depth", "_back", "event_type", end=end).withWatermark("ts", SPAN)
+    out = state.stream_fold(stream, DepthAtCadence(DAY_US, MINUTE), ["event_type"], ["t_us", "event_id"], hold="ts", bucket_s=86_400.0)
+    return depth_days(collected(spark, out, "depth-out").where("event_type <> 'end of replay'"))
+
+
 @query("j8_thin_batches", f"WITH {EV} SELECT event_id, row_number() OVER (PARTITION BY stream_id, CAST(floor(t / 86400) AS BIGINT) ORDER BY t_us DESC, event_id DESC) <= 2 AS kept FROM ev")
 def j8(spark, path):
     e = tables.events(spark, path).select("stream_id", "event_id", "t_us", F.floor(F.col("t") / 86400).cast("long").alias("tick"))
