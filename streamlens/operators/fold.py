@@ -6,10 +6,12 @@ A kernel is ``step(state, block) -> (state, rows)``. The same kernel serves thre
 * the chunks of a stream too large for one task,
 * the micro-batches of a streaming query (``streamlens.streaming``).
 
-Chunks run in parallel. Each needs the state its predecessor ends in; ``probe`` and ``compose`` give
-a first value for it (exact for kernels that can describe a chunk as a map from entry to exit) and
-the loop re-runs only chunks whose entry state turned out different, until none does. That fixed
-point is the sequential result.
+Chunks run in parallel. Each needs the state its predecessor ends in. ``probe`` runs every chunk once
+without knowing its entry and keeps what tells how an entry passes through it; ``through`` leads a
+state through a chunk from that and from the chunk's last run, and says whether the result is sure.
+All chunks that are not sure are run at once from the best guess, until all are: each round makes at
+least the first of them sure, and every later one whose guess was right or that needs no run. The
+outcome is the sequential result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ class Kernel:
 
     columns: list[str] = []  # input columns used
     schema: str = ""  # DDL of the produced rows, without the key columns
-    exact_compose = False
 
     def start(self) -> dict[str, Any]:
         raise NotImplementedError
@@ -60,9 +61,11 @@ class Kernel:
             state, _ = self.step(state, block)
         return self.chunk_entry(state)
 
-    def compose(self, probes: list[Any]) -> list[dict]:
-        """Entry state of every chunk of one stream from the probes of all its chunks, in order."""
-        return [self.start(), *probes[:-1]]
+    def through(self, probe: Any, run: dict | None, entry: dict) -> tuple[dict, bool]:
+        """State after a chunk entered with ``entry``, and whether that is sure. ``run``: entry and exit of the chunk's last run."""
+        if self.same(entry, self.start()):
+            return probe, True  # the probe is that run
+        return (run["exit"], self.same(run["entry"], entry)) if run else (probe, False)
 
     def same(self, a: dict, b: dict) -> bool:
         return a == b
@@ -183,44 +186,33 @@ def _with_entries(df: DataFrame, entries: DataFrame) -> DataFrame:
 def entry_states(rows: DataFrame, keys: list[str], order: list[str], kernel: Kernel) -> DataFrame:
     """State in which every chunk of the split streams starts: ``keys, _chunk, _state``."""
     parts = [*keys, CHUNK]
-    probes = _run_states(rows, parts, order, kernel, cold=True)
-    schema = probes.schema
+    probes = cut_lineage(_run_states(rows, parts, order, kernel, cold=True))
+    schema = T.StructType([*probes.schema.fields, T.StructField("_need", T.BooleanType())])
 
-    def compose(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+    def resume(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CHUNK, ignore_index=True)
-        pdf["_state"] = [json.dumps(s) for s in kernel.compose([json.loads(s) for s in pdf["_state"]])]
-        return pdf
-
-    # One row per chunk, so a group here has (rows of the stream / chunk size) rows.
-    entries = cut_lineage((probes.groupBy(*keys) if keys else probes.groupBy()).applyInPandas(compose, schema))
-    if kernel.exact_compose:
-        return entries
-
-    @F.pandas_udf("boolean")
-    def differs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([not kernel.same(json.loads(x), json.loads(y)) for x, y in zip(a, b)])
-
-    todo = rows  # every chunk once with its first entry, then only those that changed
-    exits = None
+        entry, entries, need = kernel.start(), [], []
+        for probe, run in zip(pdf["_state"], pdf["_run"]):
+            entries.append(json.dumps(entry))
+            entry, sure = kernel.through(json.loads(probe), None if run is None else json.loads(run), entry)
+            need.append(not sure)
+        need[-1] = False  # nothing follows
+        pdf["_state"], pdf["_need"] = entries, need
+        return pdf.drop(columns="_run")
+
+    runs = None
     while True:
-        begin = entries if exits is None else join_on(entries, moved, parts, "left_semi")
-        fresh = _run_states(_with_entries(todo, begin), parts, order, kernel, cold=False)
-        if exits is not None:
-            fresh = fresh.unionByName(join_on(exits, fresh.select(*parts), parts, "left_anti"))
-        exits = cut_lineage(fresh)
-        w = Window.partitionBy(*keys).orderBy(CHUNK)
-        handed = exits.select(*parts, F.lag("_state").over(w).alias("_next"))
-        checked = join_on(entries, handed, parts).withColumn(
-            "_moved", F.when(F.col("_next").isNotNull(), differs("_state", F.coalesce("_next", "_state"))).otherwise(False)
-        )
-        checked = cut_lineage(
-            checked.select(*parts, F.when(F.col("_moved"), F.col("_next")).otherwise(F.col("_state")).alias("_state"), "_moved")
-        )
-        entries = checked.drop("_moved")
-        moved = checked.filter("_moved").select(*parts)
-        if moved.isEmpty():
+        known = probes.withColumn("_run", F.lit(None).cast("string")) if runs is None else join_on(probes, runs, parts, "left")
+        # One row per chunk, so a group here has (rows of the stream / chunk size) rows.
+        plan = cut_lineage((known.groupBy(*keys) if keys else known.groupBy()).applyInPandas(resume, schema))
+        entries, todo = plan.drop("_need"), plan.filter("_need").drop("_need")
+        if todo.isEmpty():
             return entries
-        todo = join_on(rows, moved, parts, "left_semi")
+        some = join_on(rows, todo.select(*parts), parts, "left_semi")
+        exits = _run_states(_with_entries(some, todo), parts, order, kernel, cold=False).withColumnRenamed("_state", "_exit")
+        both = F.concat(F.lit('{"entry":'), "_state", F.lit(',"exit":'), "_exit", F.lit("}"))
+        fresh = join_on(exits, todo, parts).select(*parts, both.alias("_run"))
+        runs = cut_lineage(fresh if runs is None else fresh.unionByName(join_on(runs, todo.select(*parts), parts, "left_anti")))
 
 
 def fold(laid: Laid, kernel: Kernel) -> DataFrame:

@@ -66,6 +66,17 @@ class Policy:
         """(fire, score) of one row."""
         raise NotImplementedError
 
+    def outline(self, block: dict[str, np.ndarray]) -> Any:
+        """What tells later whether any of these rows could fire after a call before them; None if the policy cannot tell."""
+        return None
+
+    def joined(self, outlines: list) -> Any:
+        raise NotImplementedError
+
+    def passes(self, outline: Any, carry: dict) -> bool:
+        """Surely no row of the outline fires after the call in ``carry``."""
+        return False
+
     def scan(self, block: dict[str, np.ndarray], carry: dict) -> tuple[np.ndarray, np.ndarray, dict]:
         """Fired positions, their scores and the new carry. The default asks ``decide`` row by row."""
         fired, scores = [], []
@@ -211,6 +222,10 @@ class _Scored(Policy):
         return np.array(picks, dtype=np.int64), np.array(scores), {"t": t_last, "v": v_last}
 
 
+#: Points that describe a chunk to a policy at most.
+OUTLINE = 4096
+
+
 @dataclass
 class InformationGain(_Scored):
     threshold: float
@@ -226,6 +241,23 @@ class InformationGain(_Scored):
         stale = 1.0 - np.power(0.5, (block["t"][sl] - t_last) / self.half_life_s)
         return np.maximum(0.0, block["novelty"][sl] - v_last) * (0.5 + 0.5 * stale)
 
+    # The gain grows with novelty and age, so of two rows the later one with no less novelty fires if the other does: the rows
+    # above all later ones stand for the chunk.
+    def outline(self, block):
+        return self.joined([[block["t"].tolist(), block["novelty"].tolist()]])
+
+    def joined(self, outlines):
+        t, v = (np.concatenate([np.array(o[k], float) for o in outlines]) for k in (0, 1))
+        later = np.concatenate([np.maximum.accumulate(v[::-1])[::-1][1:], [-np.inf]]) if len(v) else v
+        top = ~(v <= later)  # a NaN stays, and never passes
+        return _thinned([t[top], v[top]], [np.maximum, np.maximum])
+
+    def passes(self, outline, carry):
+        t, v = (np.array(x, float) for x in outline)
+        age = t - carry["t"]
+        most = np.maximum(0.0, v - carry["v"]) * (1.0 - 0.5 * np.power(0.5, age / self.half_life_s))
+        return bool(np.all((age < self.min_gap_s) | (most < self.threshold * (1 - 1e-9))))
+
 
 @dataclass
 class Learned(_Scored):
@@ -249,6 +281,28 @@ class Learned(_Scored):
         )
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
+    # Neighbouring rows are bounded together: their largest part of z that no call changes, their largest novelty, their times.
+    def outline(self, block):
+        w = self.weights
+        base = w[0] * block["novelty"] + w[1] * block["scene_change"] + w[2] * block["motion"] + self.bias
+        at = np.arange(0, len(base), 16)
+        if not len(at):
+            return [[], [], [], []]
+        return [np.maximum.reduceat(base, at).tolist(), np.maximum.reduceat(block["novelty"], at).tolist(),
+                np.minimum.reduceat(block["t"], at).tolist(), np.maximum.reduceat(block["t"], at).tolist()]
+
+    def joined(self, outlines):
+        return _thinned([np.concatenate([np.array(o[k], float) for o in outlines]) for k in range(4)], [np.maximum, np.maximum, np.minimum, np.maximum])
+
+    def passes(self, outline, carry):
+        if not 0.0 < self.threshold < 1.0:
+            return False
+        base, nov, lo, hi = (np.array(x, float) for x in outline)
+        ages = [self.weights[3] * (np.minimum(t - carry["t"], 30.0) / 10.0) for t in (lo, hi)]
+        z = base + np.maximum(*ages) + max(0.0, self.weights[4]) * np.maximum(0.0, nov - carry["v"])
+        bar = np.log(self.threshold / (1.0 - self.threshold))
+        return bool(np.all((hi - carry["t"] < self.min_gap_s) | (z < bar - 1e-9 * (1 + abs(bar)))))
+
 
 @dataclass
 class AdaptiveQuantile(Policy):
@@ -465,7 +519,6 @@ class Trigger(Kernel):
         self.schema = "policy string, point double, frame_idx long, t double, score double" + (
             ", " + self.extra_ddl if self.extra_ddl else ""
         )
-        self.exact_compose = all(p.gap_only for p in self.policies)
 
     def start(self):
         return {"p": [{} for _ in self.policies]}
@@ -492,7 +545,8 @@ class Trigger(Kernel):
         return {"p": carries}, pd.concat(frames, ignore_index=True) if frames else None
 
     # A gap policy's chunk is a map "time of the last call before it" -> "time of the last call in
-    # it". Only rows within one gap of the chunk start can be hit first, so the map is short.
+    # it". Only rows within one gap of the chunk start can be hit first, so the map is short. Other
+    # policies keep an outline that tells whether any row of the chunk could fire after a given call.
     def probe(self, blocks):
         parts: list[list] = [[] for _ in self.policies]
         cold = self.start()
@@ -503,23 +557,29 @@ class Trigger(Kernel):
                 if p.gap_only:
                     ok = p.allowed(block)
                     parts[i].append((block["t"][ok], float(block["t"][0])))
-        maps = []
-        for i, p in enumerate(self.policies):
-            maps.append(_gap_map(p, parts[i]) if p.gap_only else None)
-        return {"cold": cold["p"], "map": maps, "exit": self.chunk_entry(cold)}
-
-    def compose(self, probes):
-        entries = [{"p": [{} for _ in self.policies]}]
-        for pr in probes[:-1]:
-            prev = entries[-1]["p"]
-            nxt = []
-            for i, p in enumerate(self.policies):
-                if pr["map"][i] is None or prev[i].get("t") is None:
-                    nxt.append(pr["cold"][i])
                 else:
-                    nxt.append({"t": _through(pr["map"][i], prev[i]["t"], p.gap)})
-            entries.append({"p": nxt})
-        return entries
+                    parts[i].append(p.outline(block))
+        maps = [_gap_map(p, x) if p.gap_only else None for p, x in zip(self.policies, parts)]
+        outlines = [None if p.gap_only or None in x else p.joined(x) for p, x in zip(self.policies, parts)]
+        return {"cold": cold["p"], "map": maps, "outline": outlines, "exit": self.chunk_entry(cold)}
+
+    def through(self, probe, run, entry):
+        out = [self._through_one(i, probe, run, entry["p"][i]) for i in range(len(self.policies))]
+        return {"p": [x for x, _, _ in out]}, all(sure for _, sure, _ in out)
+
+    def _through_one(self, i: int, probe, run, carry: dict) -> tuple[dict, bool, bool]:
+        """Carry of a policy after the chunk, whether it is sure, and whether the policy surely did not call."""
+        p = self.policies[i]
+        if not carry:
+            return probe["cold"][i], True, False
+        if p.gap_only and carry.get("t") is not None:
+            t = _through(probe["map"][i], carry["t"], p.gap)
+            return {"t": carry["t"] if t is None else t}, True, t is None
+        if run and run["entry"]["p"][i] == carry:
+            return run["exit"]["p"][i], True, False
+        if probe["outline"][i] is not None and p.passes(probe["outline"][i], carry):
+            return carry, True, True
+        return (run["exit"]["p"][i] if run else probe["cold"][i]), False, False
 
 
 def _gap_map(p: Policy, parts: list) -> dict:
@@ -546,8 +606,18 @@ def _gap_map(p: Policy, parts: list) -> dict:
     return {"t": t[:m].tolist(), "exit": t[last[:m]].tolist()}
 
 
-def _through(m: dict, t_last: float, gap: float) -> float:
+def _through(m: dict, t_last: float, gap: float) -> float | None:
+    """Time of the last call of the chunk, None if it has none."""
     for t, out in zip(m["t"], m["exit"]):
         if t - t_last >= gap:
             return out
-    return t_last
+    return None
+
+
+def _thinned(columns: list[np.ndarray], how: list) -> list[list[float]]:
+    """At most OUTLINE points, each the bound (``how``: np.maximum or np.minimum) of neighbours."""
+    n = len(columns[0])
+    if n > OUTLINE:
+        at = np.arange(0, n, -(-n // OUTLINE))
+        columns = [f.reduceat(c, at) for f, c in zip(how, columns)]
+    return [c.tolist() for c in columns]

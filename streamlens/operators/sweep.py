@@ -63,9 +63,6 @@ class SweepScore(Trigger):
             + (", waiting array<struct<state:long,n:double,total:double>>, first_call array<struct<state:long,frame:double>>"
                if self.leftovers else "")
         )
-        # Held answer and previous state travel with the time of the last call, so the short
-        # time-only map of the plain trigger does not describe the whole carry.
-        self.exact_compose = False
         self._f1 = {}
         self._bank = Bank(self.policies)
 
@@ -75,11 +72,25 @@ class SweepScore(Trigger):
     def chunk_entry(self, state):
         return {"p": state["p"], "held": state["held"], "prev": state["prev"], "acc": None}
 
-    def compose(self, probes):
-        out = [self.start()]
-        for entry, before in zip(super().compose(probes)[1:], probes[:-1]):
-            out.append({"p": entry["p"], "held": before["exit"]["held"], "prev": before["exit"]["prev"], "acc": None})
-        return out
+    def through(self, probe, run, entry):
+        cold = {"entry": self.start(), "exit": probe["exit"]}
+        p, held, sure = [], [], True
+        for i, before in enumerate(entry["held"]):
+            carry, known, idle = self._through_one(i, probe, run, entry["p"][i])
+            # the call that is held is that of a run which ends in the same one; in no call, the one before
+            same = [x for x in (run, cold) if x and x["entry"]["p"][i] == entry["p"][i]]
+            alike = [x for x in (run, cold) if x and x["exit"]["p"][i].get("t") == carry.get("t")]
+            if idle:
+                after = before
+            elif same:
+                after = same[0]["exit"]["held"][i] if same[0]["exit"]["held"][i] != same[0]["entry"]["held"][i] else before
+            else:
+                after = (alike or [run or cold])[0]["exit"]["held"][i]
+                known = known and bool(alike) and self.policies[i].gap_only
+            p.append(carry)
+            held.append(after)
+            sure = sure and known
+        return {"p": p, "held": held, "prev": probe["exit"]["prev"], "acc": None}, sure
 
     def step(self, state, pdf):
         block = self.block(pdf)
