@@ -6,8 +6,9 @@ window functions. When a key holds more than ``spark.streamlens.chunkRows`` rows
 into time-contiguous chunks of about that size and what crosses a chunk border (the previous row, the
 last non-null value, the sum so far) travels through a table with one row per chunk.
 
-Sizes are measured with one column-pruned aggregate each time a table is laid out. Chunk borders are rows
-of the key in its full order, so neither a far-off time nor a burst nor tied times leave a chunk large. A
+Sizes are measured with one column-pruned aggregate each time a table is laid out. Chunks are the ranges of a
+range exchange over the key's full order, so neither a far-off time nor a burst nor tied times leave a chunk
+large, and no row ever meets a list of borders, however many chunks a key has. A
 NULL key is a key like any other: everything that crosses a border is joined null-safely.
 """
 
@@ -187,17 +188,16 @@ def lay_out(
     if not n_chunks:
         return Laid(df, keys, order, False)
 
-    # Borders come from the rows themselves: a range sort of the large keys by (key, order) deals them out evenly whatever
-    # the spacing, and the first row of a key in each range opens a chunk. Only rows equal in the whole order stay together.
-    large = join_on(df.select(*keys, *order), big.drop("_n"), keys, "left_semi") if keys else df.select(*order)
-    dealt = large.repartitionByRange(int(n_chunks), *keys, *order).withColumn("_part", F.spark_partition_id())
-    firsts = dealt.groupBy(*keys, "_part").agg(F.min(F.struct(*order)).alias("_first"))
-    borders = stored(firsts.groupBy(*keys).agg(F.sort_array(F.collect_list("_first")).alias("_borders")), "chunk-borders")
-    here = F.struct(*order)
-    joined = join_on(df, borders, keys, "left") if keys else df.crossJoin(F.broadcast(borders))
-    passed = F.size(F.filter("_borders", lambda b: b <= here)) - 1
-    chunk = F.when(F.col("_borders").isNull(), F.lit(-1)).otherwise(F.greatest(passed, F.lit(0))).cast("long")
-    return Laid(joined.withColumn(CHUNK, chunk).drop("_borders"), keys, order, True)
+    # A range exchange of the large keys' rows by (key, order) deals them out evenly whatever the spacing, and the range that a
+    # row lands in is its chunk: contiguous in the order, and only rows equal in all of it stay together. The rows are written
+    # as they were dealt, so every later reader sees one and the same cut.
+    hot = big.drop("_n")
+    large = join_on(df, hot, keys, "left_semi") if keys else df
+    dealt = stored(large.repartitionByRange(int(n_chunks), *keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("long")), "chunks")
+    if not keys:
+        return Laid(dealt, keys, order, True)
+    rest = join_on(df, hot, keys, "left_anti").withColumn(CHUNK, F.lit(-1).cast("long"))
+    return Laid(rest.unionByName(dealt), keys, order, True)
 
 
 def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -98,3 +98,12 @@ def test_chunks_are_even_whatever_the_times(odd, chunks):
         mine = sorted((r for r in sizes if r.stream_id == key), key=lambda r: r._chunk)
         assert all(a.hi < b.lo for a, b in zip(mine, mine[1:]))
     assert {r.stream_id for r in laid.df.where("_chunk < 0").select("stream_id").distinct().collect()} == {"small", "one"}
+
+
+def test_no_row_carries_the_borders(odd, chunks):
+    """What a row brings along does not grow with the number of chunks of its key."""
+    chunks(5)
+    laid = trace(odd)
+    assert laid.df.where("_chunk >= 0").select("stream_id", CHUNK).distinct().count() > 30
+    assert set(laid.df.columns) == {*odd.columns, CHUNK}
+    assert "borders" not in laid.df._jdf.queryExecution().toString()
