@@ -67,10 +67,6 @@ def a3(spark, path):
     return questions.read(spark, folder).select("question_id", "sample", "index", "task_type", F.md5("question").alias("question"), "t", "answer", "options")
 
 
-#: Points of a queue that the query's documents hold.
-DEPTH_POINTS = 5
-
-
 def run_documents(spark, path):
     """A metrics document per run, from the run's own frames, calls and answers."""
     fr, calls, answers = tables.call_log(spark, path)
@@ -87,7 +83,7 @@ def run_documents(spark, path):
     e = tables.events(spark, path).withColumnRenamed("stream_id", "run_id")
     depth = documents.depth_blocks(
         lay_out(e.select("run_id", F.col("event_type").alias("queue"), "t", "t_us", "event_id", F.floor(F.col("value") / 10).cast("int").alias("depth")), ["run_id", "queue"], ["t_us", "event_id"]),
-        "run_id", "queue", points=DEPTH_POINTS)
+        "run_id", "queue")
     power = tables.power_samples(spark, path)
     watts = energy(power).select(F.col("stream_id").alias("run_id"), F.struct("mean_w", "peak_w", "energy_j").alias("power"))
     vram = memory(power.result(), ["stream_id"]).select(F.col("stream_id").alias("run_id"), F.struct("peak_used_gb", "mean_used_gb").alias("vram"))
@@ -130,10 +126,10 @@ def a5(spark, path):
 
 
 @query("a5_document_parts", f"""WITH {EV}, x AS (SELECT stream_id, t, t_us, event_id, event_type, value, lag(t) OVER w AS pt, lag(value) OVER w AS pv FROM ev WINDOW w AS (PARTITION BY stream_id ORDER BY t_us, event_id)),
-c AS (SELECT stream_id, count(*) AS n, CAST(max(floor(value / 10)) AS BIGINT) AS d, count(*) FILTER (event_type = 'click') AS k FROM ev WHERE event_type = 'click' GROUP BY 1),
+c AS (SELECT stream_id, count(*) AS n, CAST(max(floor(value / 10)) AS BIGINT) AS d, sum(floor(value / 10)) AS s, count(*) FILTER (event_type = 'click') AS k FROM ev WHERE event_type = 'click' GROUP BY 1),
 m AS (SELECT stream_id, max(n) AS most FROM (SELECT stream_id, event_type, count(*) AS n FROM ev GROUP BY ALL) GROUP BY 1)
 SELECT CAST(x.stream_id AS VARCHAR) AS run_id, {r('avg(value)', 'mean_w', 4)}, {r('sum((t - pt) * (value + pv) / 2.0::DOUBLE)', 'energy_j', 1)}, {r('max(CAST(value * 10000000 AS BIGINT)) / 1073741824.0::DOUBLE', 'peak_used_gb', 5)},
- any_value(c.d) AS click_depth, CAST(least(any_value(c.n), {DEPTH_POINTS}) AS INTEGER) AS click_points, any_value(c.k) AS clicks, any_value(m.most) > {DEPTH_POINTS} AS truncated, 0 AS n_missing
+ any_value(c.d) AS click_depth, CAST(any_value(c.n) AS INTEGER) AS click_points, any_value(c.s)::DOUBLE AS click_sum, any_value(c.k) AS clicks, any_value(m.most) > {documents.DEPTH_POINTS} AS truncated, 0 AS n_missing
 FROM x JOIN m ON m.stream_id = x.stream_id LEFT JOIN c ON c.stream_id = x.stream_id GROUP BY x.stream_id HAVING count(*) > 1""")
 def a5_parts(spark, path):
     folder = scratch(spark, "documents")
@@ -143,6 +139,7 @@ def a5_parts(spark, path):
     q = F.col("metrics.queue_depth")["click"]
     out = d.select(F.col("run.name").alias("run_id"), rd(F.col("metrics.power.mean_w"), "mean_w", 4), rd(F.col("metrics.power.energy_j"), "energy_j", 1),
                    rd(F.col("metrics.vram.peak_used_gb"), "peak_used_gb", 5), q["max"].alias("click_depth"), F.when(q.isNotNull(), F.size(q["series"])).alias("click_points"),
+                   F.aggregate(q["series"], F.lit(0.0), lambda a, p: a + p[1]).alias("click_sum"),
                    F.col("events.counts")["click"].alias("clicks"), F.col("events.truncated").alias("truncated")).filter("mean_w is not null")
     return out.join(missing, "run_id", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
 

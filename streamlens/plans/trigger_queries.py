@@ -267,6 +267,18 @@ def d13(spark, path):
                        F.col("precision").alias("held_out_precision"), F.col("recall").alias("held_out_recall"))
 
 
+@query("d13_fit_optimum", f"""WITH RECURSIVE {TEACHER}, x AS (SELECT label FROM s JOIN tr ON tr.stream_id = s.stream_id AND tr.frame_idx = s.f WHERE s.f > 0 AND s.stream_id % 3 <> 0)
+SELECT feature, (SELECT count(*) FROM x) AS n_examples, (SELECT count(*) FROM x WHERE label > 0) AS n_positive, true AS level
+FROM (VALUES ('novelty'), ('scene_change'), ('motion'), ('since_last_call'), ('novelty_delta'), ('bias')) f(feature)""")
+def d13_optimum(spark, path):
+    """The loss is level at the fitted weights, in the direction of every weight: nothing else is the optimum of a convex loss."""
+    tr = tables.trace(spark, path)
+    examples = training.teacher_examples(tr.with_df(tr.df.filter("stream_id % 3 <> 0")), GAP)
+    fitted = training.fit(examples)
+    slopes = training.slope_at(examples, fitted["weights"], fitted["bias"])
+    return slopes.select("feature", F.lit(fitted["n_examples"]).cast("long").alias("n_examples"), F.lit(fitted["n_positive"]).cast("long").alias("n_positive"), (F.abs("slope") < 1e-6).alias("level"))
+
+
 def load_describer():
     def describe(pdf):
         out = []

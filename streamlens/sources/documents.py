@@ -64,8 +64,9 @@ def write(runs: DataFrame, path: str) -> None:
     runs.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
-#: Points of a queue's series that a document holds at most; ``events.truncated`` says whether some run has more.
-DEPTH_POINTS = 200
+#: Fixed value: points of a queue's series that a document holds at most. ``events.truncated`` says whether some run has more;
+#: those lie in ``overflow_points``, so document and overflow together hold the whole series.
+DEPTH_POINTS = 500_000
 
 
 def depth_blocks(samples: Laid, run: str, queue: str, t: str = "t", depth: str = "depth", points: int = DEPTH_POINTS) -> DataFrame:
@@ -81,6 +82,18 @@ def depth_blocks(samples: Laid, run: str, queue: str, t: str = "t", depth: str =
         F.map_from_entries(F.collect_list(F.struct(queue, block))).alias("queue_depth"), F.max(F.col("n_samples") > points).alias("truncated"))
 
 
+def overflow_points(samples: Laid, t: str = "t", depth: str = "depth", points: int = DEPTH_POINTS) -> DataFrame:
+    """The points of every queue that its document has no room for: keys, point, t_rel, depth. A table beside the documents."""
+    return telemetry.depth_points(samples, t, depth).filter(F.col("point") >= points)
+
+
+def write_valid(runs: DataFrame, path: str) -> None:
+    """``write``, but of documents that break no rule: one that does fails the write, and its task commits nothing."""
+    broken = F.array_join(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules().items()]), lambda x: x.isNotNull()), ", ")
+    text = F.concat(F.lit("metrics document of run "), F.coalesce("run.name", F.lit("?")), F.lit(" breaks: "), broken)
+    write(runs.withColumn("schema_version", F.when(F.length(broken) > 0, F.raise_error(text).cast("int")).otherwise(F.col("schema_version"))), path)
+
+
 def build(metrics: DataFrame, run: list[str], environment: Column, config: Column, counts: Column, truncated: Column) -> DataFrame:
     """Nest flat per-run columns into the document layout. A metric that ``metrics`` has no column for is null; the
     environment (a struct of ENVIRONMENT_KEYS), configuration and event counts are what the caller knows, nothing is made up."""

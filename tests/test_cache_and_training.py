@@ -5,7 +5,7 @@ from helpers import random_rows, trace
 from streamlens.operators import cache, training
 from streamlens.operators.cache import Store
 from streamlens.operators.layout import lay_out
-from streamlens.operators.policies import FixedInterval
+from streamlens.operators.policies import LEARNED_FEATURES, FixedInterval
 
 DDL = ("stream_id string, frame_idx long, t double, motion double, novelty double, scene_change double, state_id long,"
        " answer string, embedding array<double>")
@@ -113,6 +113,28 @@ def test_teacher_and_fit(spark, chunks, size):
     assert f["recall"] > 0.9 and f["weights"][0] + f["weights"][4] > 0 and f["n_positive"] == want
 
 
+def test_fit_is_the_optimum(spark):
+    """Against Newton steps in numpy on the same loss, and the slope worked out apart."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.random(400), rng.random(400), rng.random(400) * 5, rng.random(400), np.zeros(400)])
+    y = (rng.random(400) < 1 / (1 + np.exp(-(3 * x[:, 0] - 0.4 * x[:, 2] - 1.5)))).astype(float)
+    ex = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ", ".join(f"{f} double" for f in LEARNED_FEATURES) + ", label double")
+    got = training.fit(ex)
+    w = np.where(y > 0, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    scale = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / w.sum())
+    scale[scale == 0] = 1
+    z, b = np.column_stack([(x - mean) / scale, np.ones(400)]), np.zeros(6)
+    ridge = np.array([1e-3] * 5 + [0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ b))
+        b -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z / w.sum() + np.diag(ridge), z.T @ (w * (p - y)) / w.sum() + ridge * b)
+    assert np.allclose(got["weights"], b[:5] / scale, atol=1e-7) and np.isclose(got["bias"], b[5] - (b[:5] * mean / scale).sum(), atol=1e-7)
+    assert max(abs(r.slope) for r in training.slope_at(ex, got["weights"], got["bias"]).collect()) < 1e-8
+    off = training.slope_at(ex, [a + 0.1 for a in got["weights"]], got["bias"]).collect()
+    assert max(abs(r.slope) for r in off) > 1e-3
+
+
 def test_fit_refuses_no_positives(spark):
     rows = [("s", i, i / 30, 0.0, 0.0, 0.0, 0, "") for i in range(10)]
     with pytest.raises(ValueError, match="label 0"):

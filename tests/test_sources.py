@@ -4,6 +4,7 @@ import pytest
 from helpers import trace, two_state_rows
 
 from streamlens.operators.inference import answer_fired, chat_request
+from streamlens.operators.layout import lay_out
 from streamlens.sources import annotations, documents, inventory, questions, traces
 
 
@@ -86,6 +87,25 @@ def test_documents_checked(spark, tmp_path):
     lines = spark.read.text(str(tmp_path / "d.json"))
     assert {(r.run_id, r.missing) for r in documents.missing_keys(lines).collect()} == {("bad", "config"), ("bad", "metrics.vram")}
     assert documents.depth_series(docs.filter("run.name = 'ok'")).count() == 2
+    broken = {r.run_id for r in documents.violations(docs).collect()}
+    good = docs.where(~docs["run.name"].isin(*broken))
+    if good.count():
+        documents.write_valid(good, str(tmp_path / "good"))
+        assert spark.read.text(str(tmp_path / "good")).count() == good.count()
+    with pytest.raises(Exception, match="breaks: "):
+        documents.write_valid(docs, str(tmp_path / "all"))
+    assert not (tmp_path / "all" / "_SUCCESS").exists()
+
+
+def test_document_and_overflow_hold_the_whole_series(spark):
+    rows = [("r", q, float(i), i % 7) for q, n in (("long", 50), ("short", 3)) for i in range(n)]
+    laid = lay_out(spark.createDataFrame(rows, "run_id string, queue string, t double, depth int"), ["run_id", "queue"], ["t"])
+    (doc,) = documents.depth_blocks(laid, "run_id", "queue", points=20).collect()
+    rest = sorted((r.point, r.t_rel, r.depth) for r in documents.overflow_points(laid, points=20).collect())
+    held = doc.queue_depth["long"].series
+    assert doc.truncated and [tuple(p) for p in held] + [(t, d) for _, t, d in rest] == [(float(i), i % 7) for i in range(50)]
+    assert len(doc.queue_depth["short"].series) == 3 and rest[0][0] == 20
+    assert not documents.depth_blocks(laid, "run_id", "queue").first().truncated
 
 
 def test_failing_rows_become_errors(spark):
