@@ -155,28 +155,42 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return both.select("key", "lang", F.when((F.col("word") == F.col("_word")) & (F.col("lang") == F.col("_lang")), F.col("word")).otherwise(clash).alias("word"), "n")
 
 
+def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return K.mix(first * np.uint64(0x9E3779B97F4A7C15) + K.mix(second))
+
+
 def _pair_keys(keys: np.ndarray) -> np.ndarray:
-    return K.mix(keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + K.mix(keys[1:]))
+    return _pair_key(keys[:-1], keys[1:])
 
 
 def pair_counts(rows: DataFrame, words: Filter) -> DataFrame:
-    """(pair, n) of the pairs of words next to each other that are both in the filter."""
+    """(w1, w2, n) of the pairs of words next to each other that are both in the filter."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def emit(batch):
         for keys, follows, _, _ in _read(batch):
             known = shared.value.has(keys)
-            yield (_pair_keys(keys)[(known[:-1] & known[1:] & follows[:-1])],)
+            at = np.flatnonzero(known[:-1] & known[1:] & follows[:-1])
+            yield _pair_keys(keys)[at], keys[at], keys[at + 1]
+
+    def batch_of(_, n, first, second):
+        return pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n)], ["w1", "w2", "n"])
 
-    def batch_of(keys, n):
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["pair", "n"])
+    return _count(rows, emit, batch_of, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+
+
+def _with_pair_key(pairs: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            first, second = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_key(first, second).view(np.int64))], ["pair"])
 
-    return _count(rows, emit, batch_of, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return pairs.select("w1", "w2").mapInArrow(run, "pair long")
 
 
 def leaves(rows: DataFrame, words: Filter, pairs: Filter) -> DataFrame:
     """(w1 .. w5, n): different suffixes, cut after DEPTH words, at the end of their piece and before a pair that is not in the
-    filter; those of one word are left out. 0 stands for no word."""
+    filter; those of one and two words are left out, as words and pairs are counted already. 0 stands for no word."""
     shared = rows.sparkSession.sparkContext.broadcast((words, pairs))
 
     def emit(batch):
@@ -187,7 +201,7 @@ def leaves(rows: DataFrame, words: Filter, pairs: Filter) -> DataFrame:
             go = np.zeros(n + DEPTH, bool)
             at = np.flatnonzero(known[:-1] & known[1:] & follows[:-1])
             go[at] = pairs.has(_pair_keys(keys)[at])
-            start = np.flatnonzero(go)
+            start = np.flatnonzero(go[:-1] & go[1:])
             out = np.zeros((len(start), DEPTH), np.uint64)
             out[:, 0] = keys[start]
             alive = np.ones(len(start), bool)
@@ -245,7 +259,7 @@ def subtree(suffix: np.ndarray, n: np.ndarray, depth: np.ndarray) -> Iterator[tu
         new[1:] |= suffix[1:, d] != suffix[:-1, d]
         at = np.flatnonzero(new)
         whole = suffix[at, d] != 0
-        if d and whole.any():
+        if d > 1 and whole.any():
             sums = np.add.reduceat(n, at)[whole]
             words = suffix[at[whole]].copy()
             words[:, d + 1 :] = 0
@@ -253,7 +267,7 @@ def subtree(suffix: np.ndarray, n: np.ndarray, depth: np.ndarray) -> Iterator[tu
 
 
 def phrase_counts(found: DataFrame, least: int, budget: int = BUDGET) -> DataFrame:
-    """(words, f): phrases of 2 to DEPTH words that occur ``least`` times, and their occurrences."""
+    """(words, f): phrases of 3 to DEPTH words that occur ``least`` times, and their occurrences."""
     groups = grouped(found, budget)
 
     def build(table: pa.Table) -> pa.Table:
@@ -330,7 +344,9 @@ def mine(docs: DataFrame, least: int = LEAST, covered: int = COVERED, top: int =
     frequent = stored(words.where(F.col("n") >= least), "frequent-words")
     word_filter = make_filter(frequent, "key")
     pairs = stored(pair_counts(rows, word_filter).where(F.col("n") >= least), "frequent-pairs")
-    found = stored(leaves(rows, word_filter, make_filter(pairs, "pair")), "leaves")
-    phrases = stored(phrase_counts(found, least, budget), "phrases")
+    pair_filter = make_filter(stored(_with_pair_key(pairs), "pair-keys"), "pair")
+    found = stored(leaves(rows, word_filter, pair_filter), "leaves")
+    two = pairs.select(F.array("w1", "w2").alias("words"), F.col("n").alias("f"))
+    phrases = stored(two.unionByName(phrase_counts(found, least, budget)), "phrases")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
     return first_by_lang(stored(scored(phrases, frequent, totals, covered), "scored-phrases"), frequent, top)
