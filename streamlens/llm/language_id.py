@@ -14,6 +14,8 @@ from streamlens.llm.kernels import mix, release
 
 #: Documents of a language that the counts are learned from, on average at most; a language with more is thinned by id hash.
 PER_LANG = 20_000
+#: Languages that are learned at most: those of most documents. It bounds the model, 0.25 MB a language.
+MAX_LANGS = 1_000
 #: Buckets of character trigrams and whole words; what a script gets in letters is counted behind them.
 BUCKETS = 1 << 16
 #: Share of a language's letters that makes a script one of its scripts.
@@ -153,9 +155,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """
     known = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         "text is not null and lang is not null").where(~F.coalesce(held_out("id"), F.lit(False)))
-    sizes = known.groupBy("lang").count()
-    thin = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count")).alias("share"))
-    some = known.join(thin, "lang").where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000) | (F.col("share") == 1.0)).select("lang", "text")
+    number = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    thin = docs.sparkSession.createDataFrame([(x, min(1.0, per_lang / n)) for x, n in number.items()], "lang string, share double")
+    some = known.join(F.broadcast(thin), "lang").where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000) | (F.col("share") == 1.0)).select("lang", "text")
 
     def count(batches):
         release(caches=True)
@@ -185,7 +187,6 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
     counts = some.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
-    number = {r["lang"]: r["count"] for r in sizes.collect()}
     langs = tuple(sorted(set(found["lang"]), key=lambda x: (-number[x], x)))
     full = np.zeros((BUCKETS + N_SCRIPTS, len(langs)))
     full[found["bucket"].to_numpy(np.int64), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] = found["n"]
