@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,28 @@ def one_text_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.groupBy("doc_id").agg(F.max("text").alias("text")) if twice.count() else rows
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, Spark removes the shuffle files of a write as soon as it is done, not when the driver next collects garbage. For
+    steps that hand on through ``stored`` tables, which need none of them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that all steps which read them have been written after."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -153,7 +176,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 # -- links between sets that share a bucket -----------------------------------------------------------
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets link: 100 * intersection >= percent * union. ``sets``: node, n (whole size), items (sorted
-    uint64 as bytes; elements that no other set has may be left out)."""
+    uint64 as bytes; elements that no other set has may be left out), and perhaps owner: sets of one owner do not link."""
     def check(batches):
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -172,9 +195,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[k] = 100 * both >= percent * (int(na[k]) + int(nb[k]) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ia", "nb", "ib")
+    named = [c for c in ("owner",) if c in sets.columns]
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"), *(F.col(c).alias("oa") for c in named))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"), *(F.col(c).alias("ob") for c in named))
+    full = pairs.join(left, "a").join(right, "b")
+    full = (full.where("oa <> ob") if named else full).select("a", "b", "na", "ia", "nb", "ib")
     return full.mapInArrow(check, "a long, b long")
 
 

@@ -5,37 +5,36 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamlens.llm import kernels as K
-from streamlens.llm.common import exchange, link_components, one_text_per_id, stored, text_bytes
+from streamlens.llm.common import dropped, exchange, link_components, one_text_per_id, set_aside, shuffles_dropped, stored, text_bytes
 
 #: Words of a paragraph, and starts among which one is chosen: every run of WORDS + SPAN - 1 = 50 words holds a paragraph.
 WORDS, SPAN = 35, 16
 SHINGLE = 5
 #: Words of the keeper's text that are looked at on either side of a paragraph's ends; more than a run without a paragraph has.
 AROUND = 64
-#: Words of long shingles, and bands of one MinHash value each of them. They collide for paragraphs that differ in their last
-#: words only, and miss links whose words are in another order; ``repeats`` does not use them but ``near_bands``.
-SKETCH, BANDS = 31, 3
 #: A paragraph with fewer different 5-word shingles says a few words over and over; its long runs say nothing. Its bands are
 #: ROWS MinHash values each of the 5-word shingles, and FEW_BANDS of them, as there are only few such paragraphs: similarities
 #: of 0.75 and 0.86 meet with probability .957 and .9998, those of 1/11 (the same run, then another word) hardly ever.
 FEW, ROWS, FEW_BANDS = 16, 6, 16
 #: All other paragraphs: NEAR_BANDS bands of NEAR_ROWS MinHash values each of the 5-word shingles. Similarities of 0.75, 0.77
-#: (27 of 35) and 1 meet with probability .963, .973 and 1, wherever in the paragraphs the difference is.
-NEAR_ROWS, NEAR_BANDS = 2, 4
+#: (27 of 35) and 1 meet with probability .963, .974 and 1, wherever in the paragraphs the difference is; 0.3 with .15.
+NEAR_ROWS, NEAR_BANDS = 3, 6
 _NEAR = np.random.default_rng(57).integers(1, 1 << 63, NEAR_ROWS * NEAR_BANDS, dtype=np.uint64) | np.uint64(1)
 _ROW = np.random.default_rng(31).integers(1, 1 << 63, ROWS * FEW_BANDS, dtype=np.uint64) | np.uint64(1)
+#: Bands travel NEAR_BANDS at a time, 6 bytes each.
+_PACK = np.dtype((np.void, 6 * NEAR_BANDS))
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive values."""
+    """Minimum of every ``width`` consecutive values (of each row)."""
     done, out = 1, x
     while done < width:
         step = min(done, width - done)
-        out = np.minimum(out[:-step], out[step:])
+        out = np.minimum(out[..., :-step], out[..., step:])
         done += step
     return out
 
@@ -69,20 +68,16 @@ def variety(shingle: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return (before[starts[:, None] + np.arange(width)] < starts[:, None]).sum(axis=1)
 
 
-def paragraphs(words: np.ndarray, bands: int = BANDS):
-    """(starts, identity hashes, band hashes, number of the paragraph of each band hash) of one text's word hashes. Without long
-    ``bands`` those of few shingles are joined by all that could link with them."""
+def paragraphs(words: np.ndarray):
+    """(starts, identity hashes, band hashes, number of the paragraph of each band hash) of one text's word hashes. Only those of
+    few shingles have bands here, and those of a few more that could link with them; see ``near_bands``."""
     s = K.shingle_hashes(words, SHINGLE)
     starts = paragraph_starts(s, len(words))
     if not len(starts):
         return starts, np.empty(0, np.uint64), np.empty(0, np.uint64), starts
-    runs = K.shingle_hashes(words, SKETCH) if bands else s
     kinds = variety(s, starts, width := WORDS - SHINGLE + 1)
-    many, few = np.flatnonzero(kinds >= FEW), np.flatnonzero(kinds < FEW if bands else 75 * kinds < 100 * FEW)
-    band = []
-    for b in range(bands):
-        low = _sliding_min(K.mix(runs * K._STEP[40 + b] + np.uint64(b)), WORDS - SKETCH + 1)
-        band.append(K.mix(low[starts[many]] + np.uint64(b + 1)))
+    few = np.flatnonzero(75 * kinds < 100 * FEW)
+    band = [np.empty(0, np.uint64)]
     if len(few):
         held = s[starts[few][:, None] + np.arange(width)]
         for b in range(FEW_BANDS):
@@ -91,28 +86,41 @@ def paragraphs(words: np.ndarray, bands: int = BANDS):
                 mixed = K.mix(mixed + K.mix(held * _ROW[ROWS * b + r]).min(axis=1))
             band.append(mixed)
     # the words' order is part of the identity
-    power = K._powers(WORDS)[:WORDS]
     held = words[starts[:, None] + np.arange(WORDS)]
-    which = np.concatenate([many[:0], *[many] * bands, *([few] * FEW_BANDS if len(few) else [])])
-    return starts, K.mix((held * power).sum(axis=1, dtype=np.uint64)), np.concatenate([np.empty(0, np.uint64), *band]), which
+    return starts, K.mix((held * K._powers(WORDS)[:WORDS]).sum(axis=1, dtype=np.uint64)), np.concatenate(band), np.tile(few, FEW_BANDS)
 
 
 def near_bands(shingle: np.ndarray, starts: np.ndarray, line: np.ndarray | None = None, n: np.ndarray | None = None) -> np.ndarray:
     """Band hashes of the pieces at ``starts`` and then of the lines of ``n`` words at ``line``, one row for each of NEAR_BANDS;
     ``shingle``: the text's 5-word shingles."""
     lines = 0 if line is None else len(line)
-    out = np.empty((NEAR_BANDS, len(starts) + lines), np.uint64)
+    low = np.empty((len(_NEAR), len(starts) + lines), np.uint64)
     edges = np.stack([line, line + n - SHINGLE + 1], axis=1).ravel() if lines else None
-    for b in range(NEAR_BANDS):
-        mixed = np.full(out.shape[1], b + 201, np.uint64)
-        for row in _NEAR[NEAR_ROWS * b : NEAR_ROWS * (b + 1)]:
-            h = K.mix(shingle * row)
-            low = _sliding_min(h, WORDS - SHINGLE + 1)[starts] if len(starts) else h[:0]
-            if lines:
-                low = np.concatenate([low, np.minimum.reduceat(np.append(h, h[-1]), edges)[::2]])
-            mixed = K.mix(mixed + low)
-        out[b] = mixed
-    return out
+    # as many values at a time as keep the arrays small, however long the text
+    for some in np.array_split(np.arange(len(_NEAR)), min(len(_NEAR), 1 + (len(shingle) >> 14))):
+        h = K.mix(shingle * _NEAR[some][:, None])
+        if len(starts):
+            low[some, : len(starts)] = _sliding_min(h, WORDS - SHINGLE + 1)[:, starts]
+        if lines:
+            low[some, len(starts) :] = np.minimum.reduceat(np.concatenate([h, h[:, -1:]], axis=1), edges, axis=1)[:, ::2]
+    mixed = np.repeat(np.arange(201, 201 + NEAR_BANDS, dtype=np.uint64)[:, None], low.shape[1], axis=1)
+    for r in range(NEAR_ROWS):
+        mixed = K.mix(mixed + low[r::NEAR_ROWS])
+    return mixed
+
+
+def _packed(bands: np.ndarray) -> np.ndarray:
+    """The band hashes of NEAR_BANDS rows, one packed value a column."""
+    raw = np.ascontiguousarray(bands.T).view(np.uint8).reshape(bands.shape[1], NEAR_BANDS, 8)[:, :, :6]
+    return np.ascontiguousarray(raw).reshape(bands.shape[1], -1).view(_PACK).ravel()
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Band hashes, NEAR_BANDS for each packed value, in its order. The six bytes that travelled are spread anew."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 6)
+    low = np.zeros((len(raw), 8), np.uint8)
+    low[:, :6] = raw
+    return K.mix(low.view(np.uint64).ravel() ^ np.uint64(0x2545F4914F6CDD1D))
 
 
 def lines(words: np.ndarray, at: np.ndarray, breaks: np.ndarray, shortest: int = SHINGLE):
@@ -129,19 +137,13 @@ def lines(words: np.ndarray, at: np.ndarray, breaks: np.ndarray, shortest: int =
     return first[keep], n[keep], same[keep]
 
 
-def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, component_id, keeper): paragraphs that repeat in another document, one row each.
+def _units(docs: DataFrame, shortest: int) -> DataFrame:
+    """Paragraphs brought together by identity: (node, doc_id, start, size, seen, shared, owner, bands).
 
-    A paragraph is a line of ``shortest`` (SHINGLE at least) words or more, or a piece: WORDS consecutive words (between ASCII white space, A-Z
-    lower-cased) from a start that its own words choose, so pasted passages are found inside longer lines and every repeat
-    of 50 words is. Two paragraphs of different documents link if they
-    are equal or share a band and their 5-word shingle sets have a Jaccard similarity of percent / 100 or more, exactly
-    verified; component_id names a component of links, keeper its smallest doc_id. Lines of fewer words are no paragraph;
-    nulls have none; rows with a null doc_id are left out; see ``one_text_per_id`` for repeated ids. Paragraphs that repeat
-    inside one document only are not reported.
+    One row for every occurrence (``seen``) of a paragraph, the first of each also with its bands; a paragraph with more bands
+    than one packed value holds has rows more, which are no occurrences. ``shared``: several documents have it. ``owner``: the
+    document that has it alone, or a number of its own.
     """
-    docs = one_text_per_id(docs).select("doc_id", text_bytes().alias("text"))
-
     def emit(batch):
         ids = batch.column(0).to_numpy()
         for words in K.batch_words(batch.column(1), lower=True):
@@ -150,64 +152,95 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFr
             for r in range(words.last - words.first):
                 own = slice(words.at[r], words.at[r + 1])
                 w = words.hashes[own]
-                starts, same, band, which = paragraphs(w, 0)
+                starts, same, band, few = paragraphs(w)
                 line, n, named = lines(w, words.starts[own], breaks, shortest)
-                if len(starts) or len(line):
-                    s = K.shingle_hashes(w, SHINGLE)
-                    many = np.flatnonzero(variety(s, starts, WORDS - SHINGLE + 1) >= FEW) if len(starts) else starts
-                    band = np.concatenate([band, near_bands(s, starts[many], line, n).ravel()])
-                    units = np.concatenate([many, len(starts) + np.arange(len(line))])
-                    which = np.concatenate([which, np.tile(units, NEAR_BANDS)]).astype(np.int64)
-                    size = np.concatenate([np.full(len(starts), WORDS), n]).astype(np.int32)
-                    same, starts = np.concatenate([same, named]), np.concatenate([starts, line]).astype(np.int32)
-                    out.append((band, same[which], np.full(len(which), ids[words.first + r]), starts[which], size[which]))
+                if not len(starts) and not len(line):
+                    continue
+                s = K.shingle_hashes(w, SHINGLE)
+                many = np.flatnonzero(variety(s, starts, WORDS - SHINGLE + 1) >= FEW) if len(starts) else starts
+                bands = [_packed(near_bands(s, starts[many], line, n))]
+                which = [many, len(starts) + np.arange(len(line))]
+                chunk = [np.zeros(len(many) + len(line), np.uint8)]
+                if len(few):
+                    rows = band.reshape(FEW_BANDS, -1)
+                    for c, first in enumerate(range(0, FEW_BANDS, NEAR_BANDS)):
+                        # the last bands once more where they do not fill a packed value
+                        bands.append(_packed(rows[np.minimum(np.arange(first, first + NEAR_BANDS), FEW_BANDS - 1)]))
+                        which.append(few[: rows.shape[1]])
+                        chunk.append(np.full(rows.shape[1], c + 1, np.uint8))
+                which, chunk = np.concatenate(which).astype(np.int64), np.concatenate(chunk)
+                seen = np.zeros(len(which), np.uint8)
+                seen[np.unique(which, return_index=True)[1]] = 1
+                size = np.concatenate([np.full(len(starts), WORDS), n]).astype(np.int32)
+                same, starts = np.concatenate([same, named]), np.concatenate([starts, line]).astype(np.int32)
+                out.append((same[which], np.full(len(which), ids[words.first + r]), starts[which], size[which], chunk * 2 + seen, np.concatenate(bands)))
             if out:
                 yield tuple(np.concatenate(c) for c in zip(*out))
 
     def receive(columns):
-        band, same, doc, start, size = columns
-        order = np.lexsort((start, doc, same, band))
-        band, same, doc, start, size = (c[order] for c in columns)
+        order = np.lexsort((columns[2], columns[1], columns[4] >> 1, columns[0]))
+        same, doc, start, size, kind, bands = (c[order] for c in columns)
+        edge = np.concatenate([[True], same[1:] != same[:-1]])
+        first, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        shared = (low != high)[group]
+        lead = edge | np.concatenate([[True], kind[1:] >> 1 != kind[:-1] >> 1])
+        seen = (kind & 1).astype(bool)
+        owner = np.where(shared, K.mix(same ^ np.uint64(0x9FB21C651E98DF25)).view(np.int64), doc)
+        keep = np.flatnonzero(seen | lead)
+        for k in np.array_split(keep, 1 + len(keep) // 100_000):
+            offsets = np.concatenate([[0], np.cumsum(np.where(lead[k], _PACK.itemsize, 0))]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(bands[k][lead[k]].tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(same[k].view(np.int64)), pa.array(doc[k]), pa.array(start[k]), pa.array(size[k]), pa.array(seen[k]), pa.array(shared[k]), pa.array(owner[k]), packed],
+                ["node", "doc_id", "start", "size", "seen", "shared", "owner", "bands"])
+
+    return exchange(docs, emit, receive, (np.uint64, np.int64, np.int32, np.int32, np.uint8, _PACK),
+                    "node long, doc_id long, start int, size int, seen boolean, shared boolean, owner long, bands binary")
+
+
+def _buckets(units: DataFrame) -> DataFrame:
+    """(bucket, node): the bands that different paragraphs of different documents share."""
+    def emit(batch):
+        if batch.num_rows:
+            yield _unpacked(batch.column(2)), np.repeat(batch.column(0).to_numpy(), NEAR_BANDS), np.repeat(batch.column(1).to_numpy(), NEAR_BANDS)
+
+    def receive(columns):
+        order = np.lexsort((columns[1], columns[0]))
+        band, node, owner = (c[order] for c in columns)
         edge = np.concatenate([[True], band[1:] != band[:-1]])
-        group = np.cumsum(edge) - 1
-        first = np.flatnonzero(edge)
-        low = np.minimum.reduceat(doc, first)
-        high = np.maximum.reduceat(doc, first)
-        variants = np.add.reduceat(np.concatenate([[True], (same[1:] != same[:-1]) | edge[1:]]).astype(np.int64), first)
-        keep = (low != high)[group]
+        first, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+        mixed = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))[group]
+        keep = mixed & (edge | np.concatenate([[True], node[1:] != node[:-1]]))
         if keep.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(band[keep].view(np.int64)), pa.array(same[keep].view(np.int64)), pa.array(doc[keep]), pa.array(start[keep]),
-                 pa.array(size[keep]), pa.array((variants[group] > 1)[keep])], ["bucket", "node", "doc_id", "start", "size", "mixed"])
-
-    hits = stored(exchange(docs, emit, receive, (np.uint64, np.uint64, np.int64, np.int32, np.int32),
-                           "bucket long, node long, doc_id long, start int, size int, mixed boolean"), "paragraphs")
-    # one example of every paragraph that meets a different one; its words are read again for the exact check
-    mixed = hits.where("mixed")
-    example = mixed.groupBy("node").agg(F.min(F.struct("doc_id", "start", "size")).alias("x"), F.max("doc_id").alias("high"))
-    # who has it: its document, or nobody else if several do
-    owner = F.when(F.col("x.doc_id") == F.col("high"), F.col("high")).otherwise(F.xxhash64("node"))
-    wanted = example.select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.start").alias("start"), F.col("x.size").alias("size"), owner.alias("owner"))
-    wanted = stored(wanted.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("start", "node", "size", "owner"))), "wanted")
+            yield pa.RecordBatch.from_arrays([pa.array(band[keep].view(np.int64)), pa.array(node[keep])], ["bucket", "node"])
+
+    bands = units.where("length(bands) > 0").select("node", "owner", "bands")
+    return exchange(bands, emit, receive, (np.uint64, np.int64, np.int64), "bucket long, node long")
+
+
+def _sets(docs: DataFrame, examples: DataFrame) -> DataFrame:
+    """(node, n, items, owner): the shingles of one example of every paragraph, read from its text once more."""
+    wanted = examples.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "node", "owner")).alias("units"))
 
     def sets(batches):
         for batch in batches:
-            starts, nodes, sizes, owners = (batch.column(i).to_pylist() for i in range(1, 5))
-            node, owner, n, items = [], [], [], []
+            units, rows = batch.column(1).to_pylist(), []
             for words in K.batch_words(batch.column(0), lower=True):
                 for r in range(words.last - words.first):
                     s = K.shingle_hashes(words.hashes[words.at[r] : words.at[r + 1]], SHINGLE)
-                    k = words.first + r
-                    for at, name, size, who in zip(starts[k], nodes[k], sizes[k], owners[k]):
-                        x = np.unique(s[at : at + size - SHINGLE + 1])
-                        node.append(name)
-                        owner.append(who)
-                        n.append(len(x))
-                        items.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary()), pa.array(owner, pa.int64())], ["node", "n", "items", "owner"])
+                    for u in units[words.first + r]:
+                        x = np.unique(s[u["start"] : u["start"] + u["size"] - SHINGLE + 1])
+                        rows.append((u["node"], len(x), x.tobytes(), u["owner"]))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["node", "n", "items", "owner"])
+
+    return docs.join(wanted, "doc_id").select("text", "units").mapInArrow(sets, "node long, n long, items binary, owner long")
 
-    arrays = stored(docs.join(wanted, "doc_id").select("text", "start", "node", "size", "owner").mapInArrow(sets, "node long, n long, items binary, owner long"), "paragraph-sets")
 
+def _met(sets: DataFrame) -> DataFrame:
+    """(node, m): how many shingles of a paragraph any one of another document has. (Neighbours in a text share much with each
+    other, and a few words over and over share long runs with much that is no copy of them.)"""
     def send(batch):
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
         if items:
@@ -224,16 +257,47 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFr
         node, m = np.unique(nodes[shared], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(m.astype(np.int64))], ["node", "m"])
 
-    # how much of a paragraph any one of another document has (neighbours in a text share much with each other): a few words over and over share long runs with much that is no copy of them
-    met = exchange(arrays.select("node", "items", "owner"), send, tally, (np.uint64, np.int64, np.int64), "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
-    sizes = stored(arrays.select("node", "n").join(met, "node"), "paragraph-sizes")
-    members = mixed.select("bucket", "node").distinct().join(sizes, "node").select(
-        "bucket", "node", "n", "m", F.lit(1).alias("ell"), F.lit(0).alias("pos"))
-    linked = link_components(members, arrays.drop("owner"), percent, "paragraphs")
-    where = stored(hits.select("node", "doc_id", "start", "size").distinct().join(linked, "node", "left").select(
-        "doc_id", "start", "size", F.coalesce("component", "node").alias("component_id")), "paragraph-components")
-    # stored, so that the join's sides are both shuffled and Spark can split a component with much of the rows
-    groups = stored(where.groupBy("component_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper <> high").drop("high"), "paragraph-groups")
+    met = exchange(sets.select("node", "items", "owner"), send, tally, (np.uint64, np.int64, np.int64), "node long, m long")
+    return met.groupBy("node").agg(F.sum("m").alias("m"))
+
+
+def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFrame:
+    """(doc_id, start_word, n_words, component_id, keeper): paragraphs that repeat in another document, one row each.
+
+    A paragraph is a line of ``shortest`` (SHINGLE at least) words or more, or a piece: WORDS consecutive words (between ASCII white space, A-Z
+    lower-cased) from a start that its own words choose, so pasted passages are found inside longer lines and every repeat
+    of 50 words is. Two paragraphs of different documents link if they
+    are equal or share a band and their 5-word shingle sets have a Jaccard similarity of percent / 100 or more, exactly
+    verified; component_id names a component of links, keeper its smallest doc_id. Lines of fewer words are no paragraph;
+    nulls have none; rows with a null doc_id are left out; see ``one_text_per_id`` for repeated ids. Paragraphs that repeat
+    inside one document only are not reported, and paragraphs of one document do not link with each other.
+
+    Equal paragraphs meet by their identity; only the bands of different ones are exchanged after that. Every step's shuffle
+    files and tables go when the next step's table is written.
+    """
+    docs = one_text_per_id(docs).select("doc_id", text_bytes().alias("text"))
+    with shuffles_dropped(docs.sparkSession):
+        units = stored(_units(docs, shortest), "paragraph-units")
+        buckets = stored(_buckets(units), "paragraph-buckets")
+        met = buckets.select("node").distinct()
+        hits = units.where("seen").join(met.withColumn("mixed", F.lit(True)), "node", "left").where("shared or mixed")
+        hits = stored(hits.select("node", "doc_id", "start", "size", "owner", (F.length("bands") > 0).alias("lead"), F.coalesce("mixed", F.lit(False)).alias("mixed")), "paragraph-hits")
+        dropped(units)
+        sets = stored(_sets(docs, hits.where("lead and mixed")), "paragraph-sets")
+        # only what other documents have enough of can link
+        sizes = stored(sets.select("node", "n").join(_met(sets), "node").where(100 * F.col("m") >= percent * F.col("n")), "paragraph-sizes")
+        some = stored(sets.join(sizes.select("node"), "node"), "paragraph-sets")
+        dropped(sets)
+        members = stored(buckets.join(sizes, "node").select("bucket", "node", "n", "m", F.lit(1).alias("ell"), F.lit(0).alias("pos")), "paragraph-members")
+        dropped(buckets, sizes)
+        linked = stored(link_components(members, some, percent, "paragraphs"), "paragraph-linked")
+        dropped(members, some)
+        where = hits.join(linked, "node", "left").select("doc_id", "start", "size", F.coalesce("component", "node").alias("component_id"))
+        where = stored(where, "paragraph-components")
+        dropped(hits, linked)
+        # stored, so that the join's sides are both shuffled and Spark can split a component with much of the rows
+        groups = where.groupBy("component_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high"))
+        groups = stored(groups.where("keeper <> high").drop("high"), "paragraph-groups")
     return where.join(groups, "component_id").select("doc_id", F.col("start").alias("start_word"), F.col("size").alias("n_words"), "component_id", "keeper")
 
 
@@ -244,72 +308,97 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else k
 
 
-def _extend(words: np.ndarray, shingle: np.ndarray, start: int, n: int, left: np.ndarray, right: np.ndarray, before: int, after: int) -> tuple[int, int]:
+def _extend(words: np.ndarray, shingle: np.ndarray, start: int, n: int, left: np.ndarray | None, right: np.ndarray | None, before: int, after: int) -> tuple[int, int]:
     """(first word, end) of the paragraph, widened while the text agrees with its keeper's. ``left``: the keeper's words around
-    the first of its paragraph, which has the place ``before``; ``right``: those around its end, ``after`` of them behind it."""
+    the first of its paragraph, which has the place ``before``; ``right``: those around its end, ``after`` of them behind it; None
+    where that side is not widened."""
     end, near = start + n, min(n, AROUND)
     a, b = start, end
-    held = K.shingle_hashes(left, SHINGLE)
-    at = np.flatnonzero(np.isin(shingle[start : start + near - SHINGLE + 1], held))
-    if len(at):
-        i = start + int(at[0])
-        places = np.flatnonzero(held == shingle[i])
-        j = int(places[np.argmin(np.abs(places - (before + i - start)))])
-        a = min(a, i - _agree(words[:i][::-1][: len(left)], left[:j][::-1]))
-    held = K.shingle_hashes(right, SHINGLE)
-    first = end - near
-    at = np.flatnonzero(np.isin(shingle[first : end - SHINGLE + 1], held))
-    if len(at):
-        i = first + int(at[-1])
-        places = np.flatnonzero(held == shingle[i])
-        j = int(places[np.argmin(np.abs(places - (len(right) - after - end + i)))])
-        b = max(b, i + _agree(words[i : i + len(right)], right[j:]))
+    if left is not None:
+        held = K.shingle_hashes(left, SHINGLE)
+        at = np.flatnonzero(np.isin(shingle[start : start + near - SHINGLE + 1], held))
+        if len(at):
+            i = start + int(at[0])
+            places = np.flatnonzero(held == shingle[i])
+            j = int(places[np.argmin(np.abs(places - (before + i - start)))])
+            a = min(a, i - _agree(words[max(0, i - len(left)) : i][::-1], left[:j][::-1]))
+    if right is not None:
+        held = K.shingle_hashes(right, SHINGLE)
+        first = end - near
+        at = np.flatnonzero(np.isin(shingle[first : end - SHINGLE + 1], held))
+        if len(at):
+            i = first + int(at[-1])
+            places = np.flatnonzero(held == shingle[i])
+            j = int(places[np.argmin(np.abs(places - (len(right) - after - end + i)))])
+            b = max(b, i + _agree(words[i : i + len(right)], right[j:]))
     return a, b
 
 
 def whole_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` (see ``repeats``) with start_word and n_words of every paragraph that is not its keeper's widened both ways, word
-    by word, while the text agrees with the keeper's, AROUND words at most: longer agreement has paragraphs of its own there."""
-    docs = one_text_per_id(docs).select("doc_id", text_bytes().alias("text"))
-    found = stored(found, "paragraph-found")
-    kept = found.where("doc_id = keeper").groupBy("component_id", "doc_id").agg(F.min(F.struct("start_word", "n_words")).alias("k"))
-    kept = kept.groupBy("doc_id").agg(F.collect_list(F.struct("component_id", "k.start_word", "k.n_words")).alias("units"))
+    """``found`` (see ``repeats``) with start_word and n_words of paragraphs that are not their keeper's widened both ways, word
+    by word, while the text agrees with the keeper's, AROUND words at most: longer agreement has paragraphs of its own there.
 
-    def windows(batches):
-        for batch in batches:
-            units, rows = batch.column(1).to_pylist(), []
-            for words in K.batch_words(batch.column(0), lower=True):
-                for r in range(words.last - words.first):
-                    w = words.hashes[words.at[r] : words.at[r + 1]].astype(np.uint32)
-                    for u in units[words.first + r]:
-                        a, n = u["start_word"], u["n_words"]
-                        near, lo, hi = min(n, AROUND), max(0, a - AROUND), min(len(w), a + n + AROUND)
-                        rows.append((u["component_id"], w[lo : a + near].tobytes(), w[a + n - near : hi].tobytes(), a - lo, hi - a - n))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))],
-                                             ["component_id", "left", "right", "before", "after"])
-
-    around = stored(docs.join(kept, "doc_id").select("text", "units").mapInArrow(windows, "component_id long, left binary, right binary, before int, after int"), "paragraph-windows")
-    cut = stored(found.where("doc_id > keeper").join(around, "component_id"), "paragraph-cuts")
-    cut = cut.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words", "component_id", "keeper", "left", "right", "before", "after")).alias("units"))
-
-    def widen(batches):
-        for batch in batches:
-            units, ids, rows = batch.column(2).to_pylist(), batch.column(0).to_pylist(), []
-            for words in K.batch_words(batch.column(1), lower=True):
-                for r in range(words.last - words.first):
-                    w = words.hashes[words.at[r] : words.at[r + 1]].astype(np.uint32).astype(np.uint64)
-                    s, k = K.shingle_hashes(w, SHINGLE), words.first + r
-                    for u in units[k]:
-                        left, right = (np.frombuffer(u[c], np.uint32).astype(np.uint64) for c in ("left", "right"))
-                        a, b = _extend(w, s, u["start_word"], u["n_words"], left, right, u["before"], u["after"])
-                        rows.append((ids[k], a, b - a, u["component_id"], u["keeper"]))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
-                                             ["doc_id", "start_word", "n_words", "component_id", "keeper"])
-
-    wide = docs.join(cut, "doc_id").select("doc_id", "text", "units").mapInArrow(widen, "doc_id long, start_word int, n_words int, component_id long, keeper long")
-    return found.where("doc_id = keeper").select(*wide.columns).unionByName(wide)
+    Paragraphs that touch and are equally far from their places in one keeper are a run; only its first is widened to the left and its
+    last to the right, as the others end inside the run. Null and repeated ids, null texts and empty tables as in ``repeats``.
+    """
+    docs = one_text_per_id(docs).select("doc_id", text_bytes().alias("text"))
+    with shuffles_dropped(docs.sparkSession):
+        found = stored(found, "paragraph-found")
+        kept = found.where("doc_id = keeper").groupBy("component_id").agg(F.min(F.struct("start_word", "n_words")).alias("k"))
+        # stored, so that Spark can split a component with much of the rows
+        kept = stored(kept.select("component_id", F.col("k.start_word").alias("at"), F.col("k.n_words").alias("size")), "paragraph-kept")
+        end = F.col("start_word") + F.col("n_words")
+        line = Window.partitionBy("doc_id", "keeper", "shift").orderBy("start_word", "n_words", "component_id")
+        placed = found.where("doc_id > keeper").join(kept, "component_id").withColumn("shift", F.col("start_word") - F.col("at"))
+        placed = placed.withColumn("head", F.coalesce(F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start_word"), F.lit(True)))
+        placed = placed.withColumn("run", F.sum(F.col("head").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        placed = placed.withColumn("tail", end == F.max(end).over(Window.partitionBy("doc_id", "keeper", "shift", "run")))
+        placed = stored(placed.drop("shift", "run"), "paragraph-runs")
+        ends = placed.where("head or tail")
+        units = ends.groupBy("component_id").agg(F.first("keeper").alias("doc_id"), F.first("at").alias("at"), F.first("size").alias("size"))
+        units = units.groupBy("doc_id").agg(F.collect_list(F.struct("component_id", "at", "size")).alias("units"))
+
+        def windows(batches):
+            for batch in batches:
+                units, rows = batch.column(1).to_pylist(), []
+                for words in K.batch_words(batch.column(0), lower=True):
+                    for r in range(words.last - words.first):
+                        w = words.hashes[words.at[r] : words.at[r + 1]]
+                        for u in units[words.first + r]:
+                            a, n = u["at"], u["size"]
+                            near, lo, hi = min(n, AROUND), max(0, a - AROUND), min(len(w), a + n + AROUND)
+                            rows.append((u["component_id"], w[lo : a + near].tobytes(), w[a + n - near : hi].tobytes(), a - lo, hi - a - n))
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))],
+                                                 ["component_id", "left", "right", "before", "after"])
+
+        around = docs.join(units, "doc_id").select("text", "units").mapInArrow(windows, "component_id long, left binary, right binary, before int, after int")
+        around = stored(around, "paragraph-windows")
+        cut = ends.join(around, "component_id").select(
+            "doc_id", F.struct("start_word", "n_words", "component_id", "keeper", F.when(F.col("head"), F.col("left")).alias("left"),
+                               F.when(F.col("tail"), F.col("right")).alias("right"), "before", "after").alias("unit"))
+        cut = cut.groupBy("doc_id").agg(F.collect_list("unit").alias("units"))
+
+        def widen(batches):
+            for batch in batches:
+                units, ids, rows = batch.column(2).to_pylist(), batch.column(0).to_pylist(), []
+                for words in K.batch_words(batch.column(1), lower=True):
+                    for r in range(words.last - words.first):
+                        w = words.hashes[words.at[r] : words.at[r + 1]]
+                        s, k = K.shingle_hashes(w, SHINGLE), words.first + r
+                        for u in units[k]:
+                            left, right = (None if u[c] is None else np.frombuffer(u[c], np.uint64) for c in ("left", "right"))
+                            a, b = _extend(w, s, u["start_word"], u["n_words"], left, right, u["before"], u["after"])
+                            rows.append((ids[k], a, b - a, u["component_id"], u["keeper"]))
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
+                                                 ["doc_id", "start_word", "n_words", "component_id", "keeper"])
+
+        wide = docs.join(cut, "doc_id").select("doc_id", "text", "units").mapInArrow(widen, "doc_id long, start_word int, n_words int, component_id long, keeper long")
+        wide = stored(wide, "paragraph-wide")
+        dropped(around, kept)
+    names = wide.columns
+    return found.where("doc_id = keeper").select(*names).unionByName(placed.where("not head and not tail").select(*names)).unionByName(wide)
 
 
 def removed_spans(found: DataFrame) -> DataFrame:
@@ -339,17 +428,20 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with every repeated paragraph cut out of all documents but its keeper; n_chars, if there, is counted anew. Rows
-    without a cut are unchanged, and so is a text too short for its cuts (another text of a repeated doc_id)."""
-    spans = removed_spans(found).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    without a cut are unchanged, and so is a text too short for its cuts (another text of a repeated doc_id). Columns may have
+    any names."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    rows, back = set_aside(docs)
+    of = {n: c for c, n in back.items()}
+    spans = removed_spans(found)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([cut_words(bytes(t), [(x["a"], x["b"]) for x in c]).decode("utf-8", "replace") for t, c in zip(text, cuts)])
 
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    hit = joined.where(F.col("__spans").isNotNull() & F.col("text").isNotNull()).withColumn("text", cut(text_bytes(), F.col("__spans")))
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rest = joined.where(F.col("__spans").isNull() | F.col("text").isNull())
-    return rest.select(*names).unionByName(hit.select(*names))
+    joined = rows.join(spans, F.col(of["doc_id"]).cast("long") == F.col("doc_id"), "left")
+    to_cut = F.col("spans").isNotNull() & F.col(of["text"]).isNotNull()
+    hit = joined.where(to_cut).withColumn(of["text"], cut(text_bytes(of["text"]), F.col("spans")))
+    if "n_chars" in of:
+        hit = hit.withColumn(of["n_chars"], F.length(of["text"]).cast(kinds["n_chars"]))
+    return joined.where(~to_cut).select(*back).unionByName(hit.select(*back)).toDF(*back.values())

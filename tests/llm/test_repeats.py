@@ -86,24 +86,6 @@ def test_links_are_exact(spark):
         assert len(reached) == len(sets)
 
 
-def test_recall_of_bands_on_near_paragraphs():
-    """Of pairs that differ in a word at an end most share a band; of those that differ in the middle, which are no links, none."""
-    rng = np.random.default_rng(2)
-    met = total = 0
-    for _ in range(400):
-        w = rng.integers(0, 1 << 62, P.WORDS, dtype=np.uint64)
-        v = w.copy()
-        v[rng.choice([0, 1, 33, 34])] = rng.integers(0, 1 << 62, dtype=np.uint64)
-        a, b = (set(K.shingle_hashes(x, 5).tolist()) for x in (w, v))
-        if 100 * len(a & b) >= 75 * len(a | b):
-            total += 1
-            met += bool(np.isin(P.paragraphs(w)[2], P.paragraphs(v)[2]).any())
-        u = w.copy()
-        u[17] ^= np.uint64(1)
-        assert not np.isin(P.paragraphs(w)[2], P.paragraphs(u)[2]).any()
-    assert total > 300 and met / total > 0.85
-
-
 def test_a_few_words_over_and_over_meet_by_what_they_are():
     w, x, y, z = (np.full(P.WORDS, k, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (1, 1, 1, 1))
     x[33:], y[:2] = np.uint64(77), np.uint64(99)  # runs of one word, ended by another word or begun by a third
@@ -215,3 +197,82 @@ def test_edge_rows(spark):
     assert all(n == want[d] for d, n in after if d in want)
     assert all(n <= 40 for d, n in after if d in (5, 8)) and len(after) == len(rows)
     assert P.repeats(df.limit(0)).collect() == [] and P.without_repeats(df.limit(0), P.repeats(df.limit(0))).collect() == []
+
+
+def test_near_bands_meet_at_the_threshold_in_lines():
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(600):
+        w = rng.integers(0, 1 << 62, 74, dtype=np.uint64)
+        v = w.copy()
+        v[[20, 50]] = rng.integers(0, 1 << 62, 2, dtype=np.uint64)
+        a, b = (K.shingle_hashes(x, 5) for x in (w, v))
+        assert len(np.intersect1d(a, b)) == 60  # of 80
+        none, first, n = np.empty(0, np.int64), np.array([0]), np.array([74])
+        met += bool((P.near_bands(a, none, first, n) == P.near_bands(b, none, first, n)).any())
+    assert met / 600 >= 0.94
+
+
+def test_packed_bands_come_back_one_to_one():
+    rng = np.random.default_rng(6)
+    bands = rng.integers(0, 1 << 62, (P.NEAR_BANDS, 40), dtype=np.uint64)
+    bands[:, 20:] = bands[:, :20]
+    import pyarrow as pa
+    out = P._unpacked(pa.array([bytes(x) for x in P._packed(bands)], pa.binary())).reshape(40, P.NEAR_BANDS)
+    assert (out[:20] == out[20:]).all() and len(np.unique(out)) == 20 * P.NEAR_BANDS
+
+
+def test_long_texts_have_the_bands_of_short_ones():
+    s = np.random.default_rng(7).integers(0, 1 << 62, 70_000, dtype=np.uint64)
+    starts = np.array([5, 60_000])
+    assert (P.near_bands(s, starts) == np.concatenate([P.near_bands(s[:100], starts[:1]), P.near_bands(s[59_900:], np.array([100]))], axis=1)).all()
+
+
+def test_paragraphs_of_one_document_do_not_link(spark):
+    """A in document 1; A' and a line that is like A' only in document 2: the latter is clean and stays."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(20):
+        w = prose(rng, 74)
+        v, x = list(w), list(w)
+        v[20], v[50] = prose(rng, 2)
+        x[20], x[50] = v[20], v[50]
+        x[30], x[60] = prose(rng, 2)
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v) + "\n" + " ".join(x))]
+    found = P.repeats(spark.createDataFrame(docs, "doc_id long, text string"), shortest=P.SHINGLE).where("n_words = 74").collect()
+    assert sum(r.start_word == 0 and r.doc_id % 2 for r in found) >= 17
+    assert not [r for r in found if r.doc_id % 2 and r.start_word == 74]
+
+
+def test_names_that_clash_and_rows_of_all_kinds(spark):
+    same = " ".join(f"q{i}" for i in range(60))
+    rows = [(1, same, 1, 2, 3), (2, "a b\n" + same, 1, 2, 3), (2, "a b\n" + same, 1, 2, 3), (3, None, 1, 2, 3), (4, "", 1, 2, 3), (None, same, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int, __spans int, spans int")
+    whole = P.whole_spans(df, P.repeats(df, shortest=P.SHINGLE))
+    assert {(r.doc_id, r.keeper) for r in whole.collect()} == {(1, 1), (2, 1)}
+    out = P.without_repeats(df, whole)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, None if r.text is None else r.text.strip()) for r in out.collect()), key=repr)
+    assert got == sorted([(1, same), (2, "a b"), (2, "a b"), (3, None), (4, ""), (None, same)], key=repr)
+    empty = df.limit(0)
+    assert P.whole_spans(empty, P.repeats(empty)).collect() == []
+
+
+def test_runs_are_widened_at_their_ends(spark):
+    """Long passages, two of them with an edit inside, are cut whole and no clean word with them."""
+    rng = random.Random(13)
+    passage = prose(rng, 300)
+    docs = []
+    for i in range(12):
+        w = list(passage)
+        if i in (4, 7):
+            w[150] = prose(rng, 1)[0]
+        docs.append((i, " ".join(prose(rng, 40) + w + prose(rng, 40))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = P.whole_spans(df, P.repeats(df, shortest=P.SHINGLE))
+    after = {r.doc_id: r.text.split() for r in P.without_repeats(df, found).collect()}
+    text = {d: t.split() for d, t in docs}
+    for i in range(1, 12):
+        left = set(after[i]) & set(passage)
+        assert not left or i in (4, 7)
+        assert set(text[i][:32] + text[i][-32:]) <= set(after[i])
