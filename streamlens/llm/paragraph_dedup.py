@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,6 +27,8 @@ FEW, ROWS, FEW_BANDS = 16, 6, 16
 NEAR_ROWS, NEAR_BANDS = 3, 6
 _NEAR = np.random.default_rng(57).integers(1, 1 << 63, NEAR_ROWS * NEAR_BANDS, dtype=np.uint64) | np.uint64(1)
 _ROW = np.random.default_rng(31).integers(1, 1 << 63, ROWS * FEW_BANDS, dtype=np.uint64) | np.uint64(1)
+#: Exchanges that the bands are met in, one after the other, so that each holds a part of them on disk.
+PASSES = 3
 #: Bands travel NEAR_BANDS at a time, 6 bytes each.
 _PACK = np.dtype((np.void, 6 * NEAR_BANDS))
 
@@ -115,9 +119,9 @@ def _packed(bands: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raw).reshape(bands.shape[1], -1).view(_PACK).ravel()
 
 
-def _unpacked(column: pa.Array) -> np.ndarray:
-    """Band hashes, NEAR_BANDS for each packed value, in its order. The six bytes that travelled are spread anew."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 6)
+def _unpacked(column: pa.Array, bands: slice = slice(None)) -> np.ndarray:
+    """Band hashes, all or some of the NEAR_BANDS of each packed value, in its order. The six bytes that travelled are spread anew."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, NEAR_BANDS, 6)[:, bands].reshape(-1, 6)
     low = np.zeros((len(raw), 8), np.uint8)
     low[:, :6] = raw
     return K.mix(low.view(np.uint64).ravel() ^ np.uint64(0x2545F4914F6CDD1D))
@@ -138,11 +142,12 @@ def lines(words: np.ndarray, at: np.ndarray, breaks: np.ndarray, shortest: int =
 
 
 def _units(docs: DataFrame, shortest: int) -> DataFrame:
-    """Paragraphs brought together by identity: (node, doc_id, start, size, seen, shared, owner, bands).
+    """Paragraphs brought together by identity: (node, doc_id, start, size, seen, shared, owner, bands, code).
 
     One row for every occurrence (``seen``) of a paragraph, the first of each also with its bands; a paragraph with more bands
     than one packed value holds has rows more, which are no occurrences. ``shared``: several documents have it. ``owner``: the
-    document that has it alone, or a number of its own.
+    document that has it alone, or a number of its own. ``code``: with doc_id, an address that is shorter than the node; its last
+    bit is ``shared``.
     """
     def emit(batch):
         ids = batch.column(0).to_numpy()
@@ -195,70 +200,81 @@ def _units(docs: DataFrame, shortest: int) -> DataFrame:
                 [pa.array(same[k].view(np.int64)), pa.array(doc[k]), pa.array(start[k]), pa.array(size[k]), pa.array(seen[k]), pa.array(shared[k]), pa.array(owner[k]), packed],
                 ["node", "doc_id", "start", "size", "seen", "shared", "owner", "bands"])
 
-    return exchange(docs, emit, receive, (np.uint64, np.int64, np.int32, np.int32, np.uint8, _PACK),
-                    "node long, doc_id long, start int, size int, seen boolean, shared boolean, owner long, bands binary")
+    met = exchange(docs, emit, receive, (np.uint64, np.int64, np.int32, np.int32, np.uint8, _PACK),
+                   "node long, doc_id long, start int, size int, seen boolean, shared boolean, owner long, bands binary")
+    return met.withColumn("code", F.expr(f"start * 4 + int(size <> {WORDS}) * 2 + int(shared)"))
+
 
+def _across(edge: np.ndarray, doc: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For rows in groups that begin at ``edge``, ordered by address: does the group hold two paragraphs of different documents?"""
+    first, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+    several = np.add.reduceat((edge | (doc != np.roll(doc, 1)) | (code != np.roll(code, 1))).astype(np.int64), first) > 1
+    apart = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    return (several & (apart | (np.maximum.reduceat(code & 1, first) == 1)))[group]
 
-def _buckets(units: DataFrame) -> DataFrame:
-    """(bucket, node): the bands that different paragraphs of different documents share."""
+
+def _buckets(units: DataFrame, some: slice) -> DataFrame:
+    """(bucket, doc_id, code): those of ``some`` bands that different paragraphs of different documents share."""
     def emit(batch):
         if batch.num_rows:
-            yield _unpacked(batch.column(2)), np.repeat(batch.column(0).to_numpy(), NEAR_BANDS), np.repeat(batch.column(1).to_numpy(), NEAR_BANDS)
+            bands = _unpacked(batch.column(2), some)
+            yield bands, *(np.repeat(batch.column(i).to_numpy(), len(bands) // batch.num_rows) for i in (0, 1))
 
     def receive(columns):
-        order = np.lexsort((columns[1], columns[0]))
-        band, node, owner = (c[order] for c in columns)
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        band, doc, code = (c[order] for c in columns)
         edge = np.concatenate([[True], band[1:] != band[:-1]])
-        first, group = np.flatnonzero(edge), np.cumsum(edge) - 1
-        mixed = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))[group]
-        keep = mixed & (edge | np.concatenate([[True], node[1:] != node[:-1]]))
+        keep = _across(edge, doc, code) & (edge | (doc != np.roll(doc, 1)) | (code != np.roll(code, 1)))
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(band[keep].view(np.int64)), pa.array(node[keep])], ["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(band[keep].view(np.int64)), pa.array(doc[keep]), pa.array(code[keep])], ["bucket", "doc_id", "code"])
 
-    bands = units.where("length(bands) > 0").select("node", "owner", "bands")
-    return exchange(bands, emit, receive, (np.uint64, np.int64, np.int64), "bucket long, node long")
+    bands = units.where("length(bands) > 0").select("doc_id", "code", "bands")
+    return exchange(bands, emit, receive, (np.uint64, np.int64, np.int32), "bucket long, doc_id long, code int")
 
 
 def _sets(docs: DataFrame, examples: DataFrame) -> DataFrame:
-    """(node, n, items, owner): the shingles of one example of every paragraph, read from its text once more."""
-    wanted = examples.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "node", "owner")).alias("units"))
+    """(doc_id, code, node, n, items, owner): the shingles of one example of every paragraph, read from its text once more."""
+    wanted = examples.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "node", "owner", "code")).alias("units"))
 
     def sets(batches):
         for batch in batches:
-            units, rows = batch.column(1).to_pylist(), []
-            for words in K.batch_words(batch.column(0), lower=True):
+            ids, units, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for words in K.batch_words(batch.column(1), lower=True):
                 for r in range(words.last - words.first):
+                    k = words.first + r
                     s = K.shingle_hashes(words.hashes[words.at[r] : words.at[r + 1]], SHINGLE)
-                    for u in units[words.first + r]:
+                    for u in units[k]:
                         x = np.unique(s[u["start"] : u["start"] + u["size"] - SHINGLE + 1])
-                        rows.append((u["node"], len(x), x.tobytes(), u["owner"]))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["node", "n", "items", "owner"])
+                        rows.append((ids[k], u["code"], u["node"], len(x), x.tobytes(), u["owner"]))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "code", "node", "n", "items", "owner"])
 
-    return docs.join(wanted, "doc_id").select("text", "units").mapInArrow(sets, "node long, n long, items binary, owner long")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "units").mapInArrow(sets, "doc_id long, code int, node long, n long, items binary, owner long")
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(node, m): how many shingles of a paragraph any one of another document has. (Neighbours in a text share much with each
-    other, and a few words over and over share long runs with much that is no copy of them.)"""
+    """(doc_id, code, m): how many shingles of a paragraph any one of another document has. (Neighbours in a text share much with
+    each other, and a few words over and over share long runs with much that is no copy of them.)"""
     def send(batch):
-        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
         if items:
             n = [len(x) for x in items]
-            yield np.concatenate(items), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(2).to_numpy(), n)
+            yield np.concatenate(items), *(np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
 
     def tally(columns):
-        hashes, nodes, owners = columns
-        order = np.lexsort((owners, hashes))
-        hashes, nodes, owners = (c[order] for c in columns)
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        last = np.append(first[1:], len(hashes)) - 1
-        shared = np.repeat(owners[first] != owners[last], last - first + 1)
-        node, m = np.unique(nodes[shared], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(m.astype(np.int64))], ["node", "m"])
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        hashes, doc, code = (c[order] for c in columns)
+        met = _across(np.concatenate([[True], hashes[1:] != hashes[:-1]]), doc, code)
+        doc, code = doc[met], code[met]
+        if len(doc):
+            order = np.lexsort((code, doc))
+            doc, code = doc[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(code[first]), pa.array(np.diff(np.append(first, len(doc))))], ["doc_id", "code", "m"])
 
-    met = exchange(sets.select("node", "items", "owner"), send, tally, (np.uint64, np.int64, np.int64), "node long, m long")
-    return met.groupBy("node").agg(F.sum("m").alias("m"))
+    met = exchange(sets.select("doc_id", "code", "items"), send, tally, (np.uint64, np.int64, np.int32), "doc_id long, code int, m long")
+    return met.groupBy("doc_id", "code").agg(F.sum("m").alias("m"))
 
 
 def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFrame:
@@ -278,18 +294,23 @@ def repeats(docs: DataFrame, percent: int = 75, shortest: int = WORDS) -> DataFr
     docs = one_text_per_id(docs).select("doc_id", text_bytes().alias("text"))
     with shuffles_dropped(docs.sparkSession):
         units = stored(_units(docs, shortest), "paragraph-units")
-        buckets = stored(_buckets(units), "paragraph-buckets")
-        met = buckets.select("node").distinct()
-        hits = units.where("seen").join(met.withColumn("mixed", F.lit(True)), "node", "left").where("shared or mixed")
-        hits = stored(hits.select("node", "doc_id", "start", "size", "owner", (F.length("bands") > 0).alias("lead"), F.coalesce("mixed", F.lit(False)).alias("mixed")), "paragraph-hits")
+        step = -(-NEAR_BANDS // PASSES)
+        passes = [stored(_buckets(units, slice(k, k + step)), "paragraph-buckets") for k in range(0, NEAR_BANDS, step)]
+        buckets = reduce(DataFrame.union, passes)
+        lead = units.where("seen and length(bands) > 0").select("doc_id", "code", "node")
+        names = stored(buckets.select("doc_id", "code").distinct().join(lead, ["doc_id", "code"]), "paragraph-names")
+        hits = units.where("seen").join(names.select("node", F.lit(True).alias("mixed")), "node", "left").where("shared or mixed")
+        hits = stored(hits.select("node", "doc_id", "start", "size", "owner", "code", (F.length("bands") > 0).alias("lead"), F.coalesce("mixed", F.lit(False)).alias("mixed")), "paragraph-hits")
         dropped(units)
         sets = stored(_sets(docs, hits.where("lead and mixed")), "paragraph-sets")
         # only what other documents have enough of can link
-        sizes = stored(sets.select("node", "n").join(_met(sets), "node").where(100 * F.col("m") >= percent * F.col("n")), "paragraph-sizes")
-        some = stored(sets.join(sizes.select("node"), "node"), "paragraph-sets")
-        dropped(sets)
-        members = stored(buckets.join(sizes, "node").select("bucket", "node", "n", "m", F.lit(1).alias("ell"), F.lit(0).alias("pos")), "paragraph-members")
-        dropped(buckets, sizes)
+        sizes = sets.select("doc_id", "code", "node", "n").join(_met(sets), ["doc_id", "code"]).where(100 * F.col("m") >= percent * F.col("n"))
+        sizes = stored(sizes, "paragraph-sizes")
+        some = stored(sets.join(sizes.select("node"), "node").select("node", "n", "items", "owner"), "paragraph-sets")
+        dropped(sets, names)
+        members = buckets.join(sizes, ["doc_id", "code"]).select("bucket", "node", "n", "m", F.lit(1).alias("ell"), F.lit(0).alias("pos"))
+        members = stored(members, "paragraph-members")
+        dropped(*passes, sizes)
         linked = stored(link_components(members, some, percent, "paragraphs"), "paragraph-linked")
         dropped(members, some)
         where = hits.join(linked, "node", "left").select("doc_id", "start", "size", F.coalesce("component", "node").alias("component_id"))
