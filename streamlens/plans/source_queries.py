@@ -11,7 +11,7 @@ from streamlens.plans.registry import EV, TR, query, r
 from streamlens.plans.scalar import annotation_docs, rd
 from streamlens.plans.signal_queries import MOVES
 from streamlens.session import shared_path
-from streamlens.sources import annotations, documents, inventory, questions, tables, traces
+from streamlens.sources import annotations, builds, documents, inventory, questions, tables, traces
 from streamlens.sources.tables import table
 
 
@@ -177,3 +177,20 @@ def a10(spark, path):
     tr = tables.trace(spark, path).result()
     todo = traces.missing(tr.select("stream_id").distinct(), tr.filter("novelty > 0.8"))
     return tr.join(todo, "stream_id", "left_semi").groupBy("stream_id").agg(F.count("*").alias("n"))
+
+
+@query("a10_changed_inputs", f"""WITH {TR}, hot AS (SELECT DISTINCT stream_id FROM tr WHERE novelty > 0.5), x AS (SELECT tr.*, hot.stream_id IS NOT NULL AS h FROM tr LEFT JOIN hot USING (stream_id))
+SELECT stream_id, CASE WHEN h THEN 2 ELSE 1 END AS version, count(*) AS n, {r('sum(novelty * CASE WHEN h THEN 20 ELSE 10 END)', 'score', 4)} FROM x GROUP BY stream_id, h""")
+def a10_changed(spark, path):
+    """All streams are built; then some streams' input changes, and only these are built again."""
+    tr = tables.trace(spark, path).result().select("stream_id", "frame_idx", "novelty")
+    hot = tr.filter("novelty > 0.5").select("stream_id", F.lit(2.0).alias("_by")).distinct()
+    changed = tr.join(hot, "stream_id", "left").withColumn("novelty", F.col("novelty") * F.coalesce("_by", F.lit(1.0))).drop("_by")
+    folder = scratch(spark, "build")
+
+    def score(rows):
+        return rows.select("stream_id", "frame_idx", (F.col("novelty") * 10).alias("score"))
+
+    for rows in (tr, changed):
+        builds.build(rows, folder, score)
+    return builds.load(spark, folder).groupBy("stream_id", "version").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
