@@ -18,6 +18,8 @@ from streamlens.session import stored
 
 #: Most sides of hyperplanes that a cell of alike rows is named by.
 SIDES = 16
+#: Hyperplanes beyond those that would make as many cells as blocks: a ball around several kinds of rows rules out little.
+FINER = 3
 BLOCK = ["_cell", "_part"]
 VECTOR = T.ArrayType(T.DoubleType())
 
@@ -54,11 +56,12 @@ def numbered(fired: Laid) -> DataFrame:
 
 def blocks(fired: Laid, block: int) -> DataFrame:
     """(keys, frame_idx, _n, _x, _cell, _part): the rows of every stream in blocks of at most ``block`` rows. Streams of more
-    than a block are first dealt to cells, about as many as blocks, and each cell is cut along time."""
+    than a block are first dealt to cells, 2 ** FINER for each full block, and each cell is cut along time."""
     keys = list(fired.keys)
     rows = numbered(fired)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
-    sides = F.least(F.lit(SIDES), F.ceil(F.log2(F.greatest(F.col("_size") / block, F.lit(1.0))))).cast("int")
+    finer = F.when(F.col("_size") > block, F.ceil(F.log2(F.col("_size") / block)) + FINER).otherwise(0)
+    sides = F.least(F.lit(SIDES), finer).cast("int")
     rows = join_on(rows, sizes.select(*keys, sides.alias("_sides")), keys)
     rows = stored(rows.withColumn("_code", _sides("_x")), "nearest-rows")
     rows = rows.withColumn("_cell", F.floor(F.col("_code") / F.pow(F.lit(2.0), SIDES - F.col("_sides"))).cast("int"))
